@@ -5,7 +5,9 @@ significant first. A round takes one digit (a slice of bytes, four times as wide
 documents that still share a group, and splits each group by it. A document leaves when it is alone
 or when its bytes have ended; those that end in one group are equal byte by byte, without a digest.
 A group is only ever counted, with partial counts before the shuffle, and joined back to its
-members, so that no task holds a whole group.
+members, so that no task holds a whole group. Those joins are always shuffled, hashed on the side of
+the groups: the plan is the same at every size, texts are not sorted, and adaptive execution can
+split the partition of a large group.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "id", "points", "norm", F.octet_length("norm").alias("size"), F.substring(F.col("norm").cast("binary"), 1, first_digit).alias("digit")
     )
     groups = _shared(base.groupBy("size", "digit"), staged)
-    rows = base.join(groups, ["size", "digit"], "left")
+    rows = base.join(groups.hint("shuffle_hash"), ["size", "digit"], "left")
     going_on = F.col("cell").isNotNull() & (F.col("size") > first_digit)
     rows = rows.select(
         F.monotonically_increasing_id().alias("uid"), "id", "points", F.sha2("norm", 256).alias("sha"), "size", F.lit(0).alias("round"), "cell",
@@ -56,7 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         done += width
         going_on = F.col("cell").isNotNull() & (F.col("size") > done)
         table = staged.write(
-            split.join(groups, ["parent", "digit"], "left").select(
+            split.join(groups.hint("shuffle_hash"), ["parent", "digit"], "left").select(
                 "uid", "id", "points", "sha", "size", F.lit(number).alias("round"), "cell", F.when(going_on, F.col("rest")).alias("rest"), going_on.alias("open")
             ),
             "open",
