@@ -7,17 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkintel.llm.exact_dedup import exact_dedup
+from sparkintel.llm.mixing import mix_sources
+from sparkintel.llm.packing import pack_documents
+from sparkintel.llm.personal_data import find_personal_data
+from sparkintel.llm.token_tables import token_table_digest
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def word_tokenizer() -> str:
+    """The vocabulary file that the queries use; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), word_tokenizer())
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def op3_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table_digest(documents(spark, sf_dir), word_tokenizer())
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_exact_dedup": op9_exact_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_source_mixing": op2_source_mixing,
+    "op3_token_tables": op3_token_tables,
+    "op4_personal_data": op4_personal_data,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": r"""
