@@ -195,7 +195,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("all", lambda s: s["is_base"])
     lists = lists.select(
-        "row", *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]],
+        "row", *[F.size(F.array_remove(F.transform(base, lambda s: s["kind"] == F.lit(k)), False)).cast("long").alias(f"n_{k}") for k in KINDS[:4]],
         F.sha2(named(base), 256).alias("base_sha256"), named(F.col("all")).alias("spans"), (F.size("all") - F.size(base)).cast("long").alias("n_added"),
     )
     none = {f"n_{k}": F.lit(0).cast("long") for k in KINDS[:4]} | {"base_sha256": F.sha2(F.lit(""), 256), "spans": F.lit(""), "n_added": F.lit(0).cast("long")}
