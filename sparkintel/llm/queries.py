@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkintel.llm.exact_dedup import exact_dedup
 from sparkintel.llm.mixing import mix_sources
+from sparkintel.llm.near_dedup import near_duplicate_components
 from sparkintel.llm.packing import pack_documents
 from sparkintel.llm.personal_data import find_personal_data
 from sparkintel.llm.token_tables import token_table_digest
@@ -44,12 +45,17 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
     "op3_token_tables": op3_token_tables,
     "op4_personal_data": op4_personal_data,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
