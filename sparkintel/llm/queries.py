@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkintel.llm.exact_dedup import exact_dedup
+from sparkintel.llm.language_id import language_report
 from sparkintel.llm.mixing import mix_sources
 from sparkintel.llm.near_dedup import near_duplicate_components
 from sparkintel.llm.packing import pack_documents
 from sparkintel.llm.personal_data import find_personal_data
+from sparkintel.llm.quality_rules import judge_quality
 from sparkintel.llm.token_tables import token_table_digest
+from sparkintel.llm.url_filters import judge_urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +44,18 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(documents(spark, sf_dir))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -54,6 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_token_tables": op3_token_tables,
     "op4_personal_data": op4_personal_data,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_url_filters": op7_url_filters,
+    "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
