@@ -3,20 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkintel.llm.exact_dedup import keep_first_copies
+from sparkintel.llm.language_id import UNKNOWN, held_out, identify_languages, learn_languages
+from sparkintel.llm.mixing import mixed_documents
+from sparkintel.llm.near_dedup import keep_one_of_each
+from sparkintel.llm.packing import pack_documents
+from sparkintel.llm.queries import word_tokenizer
+from sparkintel.llm.staging import Staged
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in some learned language; texts without a letter go."""
+    model = learn_languages(docs, ~held_out(docs["doc_id"]))
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc_id"), "text")
+    return identify_languages(marked, model).where(F.col("lang_pred") != UNKNOWN).select("doc_id.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return keep_first_copies(docs)
 
 
-STAGES = [("exact dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates."""
+    return keep_one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in training sequences; a repeated document is packed as often."""
+    return pack_documents(docs, word_tokenizer())
+
+
+STAGES = [("language", known_language), ("exact copies", drop_copies), ("near copies", drop_near_copies), ("mix", mix), ("pack", pack)]
+#: Language machines, tokenizer ids and bin plans are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    staged = Staged(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = staged.write(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
