@@ -9,7 +9,7 @@ of documents by source and size, which are exact sufficient statistics.
 
 Rates become copies by systematic rounding along the sizes of a source, so that the copies up to any
 size differ from their expected number by less than one; what then lacks or exceeds in words is put
-right by single documents of the size nearest to it. Inside a class of one source and size, copies go
+right by documents of the sizes nearest below it, and then by single ones of the size nearest to it. Inside a class of one source and size, copies go
 by hash order, ranked in buckets of about the root of the class, so that no large class is one task.
 """
 
@@ -98,6 +98,20 @@ def tilted_rates(classes: DataFrame, sources: DataFrame, staged: Staged, cap: in
     return state.select("place", "target", "mean", "multiplier")
 
 
+def _filled(dealt: DataFrame, cap: int) -> DataFrame:
+    """`given` changed by what its source lacks or exceeds: from the largest size that is no more than
+    the lack downwards, as many copies as there is room for, until the next would be too many."""
+    lacks = dealt.groupBy("place").agg((F.first("target") - F.sum(F.col("size") * F.col("given"))).alias("lack"))
+    rows = dealt.join(lacks, "place").withColumn("room", F.when(F.col("size") > F.abs("lack"), 0).when(F.col("lack") > 0, cap * F.col("n") - F.col("given")).otherwise(F.col("given")))
+    before = F.sum(F.col("room") * F.col("size")).over(Window.partitionBy("place").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    left = F.greatest(F.abs("lack") - F.coalesce(before, F.lit(0)), F.lit(0.0))
+    change = F.least(F.col("room"), F.floor(left / F.col("size")))
+    # Past the first class that isn't used up, nothing more is taken, so that the sum stays within the lack.
+    open_before = F.coalesce(F.max(F.when(F.col("change") < F.col("room"), 1)).over(Window.partitionBy("place").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("change", change).withColumn("ended", open_before)
+    return rows.withColumn("given", F.col("given") + F.when(F.col("ended") == 0, F.signum("lack").cast("long") * F.col("change")).otherwise(0)).select(*dealt.columns)
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Column | None = None, cap: int = CAP) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, rate, copies, taken.
 
@@ -120,6 +134,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = rated.withColumn("upto", upto)
     dealt = dealt.withColumn("given", F.least(F.col("upto") - F.coalesce(F.lag("upto").over(Window.partitionBy("place").orderBy("size")), F.lit(0)), cap * F.col("n"))).drop("upto")
     dealt = staged.write(dealt)
+    dealt = staged.write(_filled(dealt, cap))
     for _ in range(REPAIRS):
         lacks = dealt.groupBy("place").agg((F.first("target") - F.sum(F.col("size") * F.col("given"))).alias("lack"))
         near = dealt.join(lacks, "place").where(F.when(F.col("lack") > 0, F.col("given") < cap * F.col("n")).otherwise(F.col("given") > 0))

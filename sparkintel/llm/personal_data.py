@@ -115,13 +115,13 @@ def estimate_reliabilities(counts: list[tuple[str, tuple[int, ...], int]], steps
 
     Starts from the share of votes for; a kind has its own prior, shared voters' chances are smoothed.
     """
-    votes = np.array([v for _, v, _ in counts]).reshape(len(counts), -1)
+    votes = np.array([v for _, v, _ in counts], int).reshape(len(counts), len(VOTERS))
     n = np.array([c for _, _, c in counts], float)
     kinds = np.array([KINDS.index(k) for k, _, _ in counts], int)
     p = (1 + (votes > 0).sum(1)) / (2 + (votes != 0).sum(1)) if len(n) else np.zeros(0)
-    chances = np.full((votes.shape[1] if len(n) else 0, 2, 3), 1 / 3)
+    chances = np.full((len(VOTERS), 2, 3), 1 / 3)
     for _ in range(steps):
-        for j in range(votes.shape[1] if len(n) else 0):
+        for j in range(len(VOTERS)):
             for truth, weight in ((0, n * (1 - p)), (1, n * p)):
                 sums = np.array([weight[votes[:, j] == v].sum() for v in (-1, 0, 1)]) + 1
                 chances[j, truth] = sums / sums.sum()
@@ -130,7 +130,7 @@ def estimate_reliabilities(counts: list[tuple[str, tuple[int, ...], int]], steps
             here = kinds == k
             share = ((n * p)[here].sum() + 1) / (n[here].sum() + 2)
             log[here] = np.log([1 - share, share])
-        for j in range(votes.shape[1] if len(n) else 0):
+        for j in range(len(VOTERS)):
             log += np.log(chances[j][:, votes[:, j] + 1]).T
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
         if not len(n) or np.abs(new - p).max() < 1e-9:
