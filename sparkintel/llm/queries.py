@@ -61,7 +61,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_components(documents(spark, sf_dir))
+    return near_duplicate_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -88,4 +88,21 @@ ORACLE_SQL: dict[str, str] = {
                row_number() OVER (PARTITION BY body ORDER BY points DESC, doc_id) = 1 AS kept,
                sha256(body) AS text_sha256
         FROM norm""",
+    "op10_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) END AS s
+            FROM words),
+        sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+        shingles AS (SELECT doc_id, unnest(s) AS g FROM sets),
+        shared AS (SELECT doc_id, g FROM shingles WHERE g IN (SELECT g FROM shingles GROUP BY g HAVING count(*) > 1)),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shared a JOIN shared b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (
+            SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+        reach AS (
+            SELECT doc_id, doc_id AS other FROM documents
+            UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
+        SELECT doc_id, n AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = z.doc_id) AS component_id FROM sizes z""",
 }
