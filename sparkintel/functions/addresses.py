@@ -58,7 +58,7 @@ def ip_version(c: Column) -> Column:
 
 def order_key(c: Column) -> Column:
     """Orders by version and number: v4 before v6."""
-    return F.when(is_v4(c), F.concat(F.lit("4"), F.lpad(F.hex(ip_number(c)), 8, "0"))).otherwise(F.concat(F.lit("6"), _v6_key(c)))
+    return F.when(is_v4(c), F.concat(F.lit("4"), F.lpad(F.hex(ip_number(c)), 8, "0"))).otherwise(F.concat(F.lit("6"), _v6_key(F.when(F.contains(c, F.lit(":")), c))))
 
 
 def in_networks(number: Column, networks: list[str] | None = None) -> Column:

@@ -42,7 +42,7 @@ def rule_namespace(source: Column, path: Column) -> Column:
 
 def unique_clean(values: Column) -> Column:
     """Trimmed non-empty strings, the first of each."""
-    return F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: v != ""))
+    return F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != ""))
 
 
 def terms(json_list: Column) -> Column:
