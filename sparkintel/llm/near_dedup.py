@@ -92,7 +92,8 @@ def _digests(id_type: pa.DataType, buckets: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of a document's dealt shingles other batches have too, for the shingles of this task."""
+    """How many of a document's dealt shingles other batches have too, for the shingles of this task: a
+    row for each batch of documents."""
     tokens, docs = [], []
     for batch in batches:
         for base, six, doc in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -110,8 +111,24 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     run = np.cumsum(new) - 1
     shared = np.bincount(run, np.where(doc < 0, 2, 1)) >= 2
     found, times = np.unique(doc[shared[run] & (doc >= 0)], return_counts=True)
-    for at in range(0, len(found), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 100_000]), pa.array(times[at : at + 100_000].astype(np.int64))], names=["doc", "met"])
+    if not len(found):
+        return
+    base, first = np.unique(found >> 16, return_index=True)
+    ends = [*first[1:].tolist(), len(found)]
+    parts = [((found[a:b] & 0xFFFF).astype("<u2").tobytes(), times[a:b].astype("<u4").tobytes()) for a, b in zip(first.tolist(), ends, strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(base << 16), pa.array([d for d, _ in parts], pa.binary()), pa.array([t for _, t in parts], pa.binary())], names=["base", "docs", "times"])
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums what the tasks of _meet have counted, for the documents of the batches in this task."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for base, docs, times in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            own = np.frombuffer(docs, "<u2")
+            np.add.at(sums.setdefault(base, np.zeros(_MANY, np.int64)), own, np.frombuffer(times, "<u4"))
+    for base, met in sums.items():
+        found = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(base + found), pa.array(met[found])], names=["doc", "met"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +182,8 @@ def _survivors(docs: DataFrame, staged: Staged) -> tuple[DataFrame, DataFrame]:
     kind = id_field.dataType.simpleString()
     dealt = staged.write(docs.mapInArrow(_digests(to_arrow_type(id_field.dataType), buckets), f"kind int, id {kind}, n int, sig binary, doc long, near int, bucket int, tokens binary, docs binary"), "kind")
     rows = dealt.where("kind = 0").select("id", "n", "sig", "doc", "near")
-    met = dealt.where("kind = 1").select("doc", "tokens", "docs", "bucket").repartition(buckets, "bucket").select("doc", "tokens", "docs").mapInArrow(_meet, "doc long, met long")
-    counts = met.groupBy("doc").agg(F.sum("met").alias("met"))
+    met = dealt.where("kind = 1").select("doc", "tokens", "docs", "bucket").repartition(buckets, "bucket").select("doc", "tokens", "docs").mapInArrow(_meet, "base long, docs binary, times binary")
+    counts = met.repartition(buckets, "base").mapInArrow(_total, "doc long, met long")
     needed = F.greatest(F.lit(1), F.ceil(F.lit(SLACK) * F.col("n")))
     some = rows.join(counts, "doc", "left").where((F.col("n") > 0) & (F.col("near") + F.coalesce("met", F.lit(0)) >= needed))
     return rows.select("id", "n", "sig"), some.select("id", "n", "sig")
