@@ -13,6 +13,7 @@ from sparkintel.llm.near_dedup import near_duplicate_components
 from sparkintel.llm.packing import pack_documents
 from sparkintel.llm.personal_data import find_personal_data
 from sparkintel.llm.quality_rules import judge_quality
+from sparkintel.llm.token_counts import count_tokens_after_edits, sample_edits
 from sparkintel.llm.token_tables import token_table_digest
 from sparkintel.llm.url_filters import judge_urls
 
@@ -44,6 +45,11 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(documents(spark, sf_dir))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return count_tokens_after_edits(docs, word_tokenizer(), sample_edits(docs["doc_id"], docs["text"]))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_token_tables": op3_token_tables,
     "op4_personal_data": op4_personal_data,
+    "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filters": op7_url_filters,
     "op8_language_id": op8_language_id,
