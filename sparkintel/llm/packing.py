@@ -75,11 +75,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: st
     """id, piece, start, length, ids_crc32: the ids of each text and an end id, cut at the capacity."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        encode_all = encoder(tokenizer_path).encode_all
         for batch in batches:
             rows: list[tuple] = []
-            for k, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                ids = np.append(encode(text or b""), np.uint32(END_ID))
+            for k, found in enumerate(encode_all(text or b"" for text in batch.column(1).cast(pa.binary()).to_pylist())):
+                ids = np.append(found, np.uint32(END_ID))
                 rows += [(k, n, start, len(x := ids[start : start + capacity]), ids_crc32(x)) for n, start in enumerate(range(0, len(ids), capacity))]
             k, piece, start, length, crc = zip(*rows, strict=True) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays(

@@ -198,12 +198,13 @@ def write_token_tables(docs: DataFrame, folder: str, tokenizer_path: str, id_col
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        encode_all = encoder(tokenizer_path).encode_all
         writer = out = None
         first = last = None
         repeat, name = 0, f"{uuid.uuid4().hex}.tok"
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            texts = (text or b"" for text in batch.column(1).cast(pa.binary()).to_pylist())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(texts), strict=True):
                 if writer is None:
                     fs, path = _opened(folder, name)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
@@ -211,7 +212,7 @@ def write_token_tables(docs: DataFrame, folder: str, tokenizer_path: str, id_col
                     writer = TableWriter(out)
                 repeat = repeat + 1 if doc_id == last else 0
                 last = doc_id
-                writer.add(key_of(doc_id, repeat), np.append(encode(text or b""), np.uint32(END_ID)))
+                writer.add(key_of(doc_id, repeat), np.append(ids, np.uint32(END_ID)))
         if writer is not None:
             writer.close()
             out.close()
