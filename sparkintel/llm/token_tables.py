@@ -248,8 +248,9 @@ def read_token_tables(manifest: DataFrame, folder: str, with_ids: bool = True) -
 
     order = Window.orderBy("first", "last")
     before = F.coalesce(F.sum("ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.select("path", before.alias("before"), F.row_number().over(order).alias("place"))
-    return files.repartition("path").mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    # As many partitions as a shuffle has: a manifest is small, but what its rows stand for is not.
+    partitions = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("path", before.alias("before")).repartition(partitions, "path").mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def token_table_lookup(spark: SparkSession, manifest: DataFrame, folder: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
