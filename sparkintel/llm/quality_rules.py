@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from sparkintel.llm.sampling import lowest_hashes
 from sparkintel.llm.staging import Staged
 from sparkintel.llm.words import mix, text_groups, windows, word_bounds, word_hashes
 
@@ -188,8 +189,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     counted = staged.write(text_counts(docs, id_col, text_col))
     ratios = features()
     marks = labels.select(labels[id_col].alias("id"), labels[label_col].alias("label")).where("label IS NOT NULL AND id IS NOT NULL").distinct()
-    known = counted.join(marks, "id").orderBy(F.xxhash64("id"), "id", "label").limit(sample).select(*[c.alias(n) for n, c in ratios.items()], F.col("label").cast("int").alias("label"))
-    table = known.toPandas()
+    known = lowest_hashes(counted.join(marks, "id").withColumn("hash", F.xxhash64("id")), "hash", sample, "id", "label")
+    table = known.select(*[c.alias(n) for n, c in ratios.items()], F.col("label").cast("int").alias("label")).toPandas()
     rules = learn_rules(table[list(ratios)].to_numpy(float), (table["label"] == 0).to_numpy())
     judged = counted.select("*", *[c.alias(n) for n, c in ratios.items()]).withColumn("rule", rule_column(rules, list(ratios)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
