@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-SIZE = 4096
+from sparkintel.llm.sampling import lowest_hashes
+
+SIZE = 2048
 #: Labelled texts that the machines are fitted on, at most: those of the smallest hashes.
-SAMPLE = 3000
+SAMPLE = 2000
 UNKNOWN = "und"
 #: Families of common languages; a language that is not here is a family of its own.
 FAMILIES = {
@@ -56,7 +58,7 @@ def text_features(text: str) -> np.ndarray:
 
 def fit_machine(x: np.ndarray, up: np.ndarray, cost: float = 10.0, steps: int = 20) -> np.ndarray:
     """Weights and offset of a linear machine: least |w|^2 / 2 + cost * mean squared hinge."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     y, w = np.where(up, 1.0, -1.0), np.zeros(x.shape[1])
     weight = cost * len(x) * np.where(up, 0.5 / max(1, up.sum()), 0.5 / max(1, (~up).sum()))
     for _ in range(steps):
@@ -66,7 +68,7 @@ def fit_machine(x: np.ndarray, up: np.ndarray, cost: float = 10.0, steps: int =
         if np.abs(gradient).max() < 1e-6 * max(1.0, cost):
             break
         # (I + A' C A)^-1 g by the smaller system in the number of active rows.
-        root = np.sqrt(c)[:, None] * a
+        root = np.sqrt(c)[:, None].astype(x.dtype) * a
         w = w - (gradient - root.T @ np.linalg.solve(np.eye(len(root)) + root @ root.T, root @ gradient))
     return w
 
@@ -117,24 +119,19 @@ def predict_language(model: dict, x: np.ndarray) -> tuple[str, float]:
 def learn_languages(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict:
     """A model from at most `sample` labelled rows of docs for which `use` holds, by text and label alone."""
     rows = docs.where(use & docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
-    chosen = rows.withColumn("hash", F.xxhash64("text")).select("hash", "lang").distinct().orderBy("hash", "lang").limit(sample)
+    chosen = lowest_hashes(rows.select(F.xxhash64("text").alias("hash"), "lang"), "hash", sample, "lang", distinct=True)
     edge = chosen.agg(F.max("hash")).first()[0]
     if edge is None:
         return fit_languages(np.zeros((0, SIZE)), [])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_features(t) for t in batch.column(0).to_pylist()]
-            places = [np.flatnonzero(f) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([p.astype(np.int32) for p in places], pa.list_(pa.int32())), pa.array([f[p].astype(np.float32) for f, p in zip(found, places, strict=True)], pa.list_(pa.float32()))], names=["lang", "places", "parts"])
-
-    kept = rows.where(F.xxhash64("text") <= edge).dropDuplicates(["text", "lang"])
-    table = kept.mapInArrow(work, "lang string, places array<int>, parts array<float>").limit(2 * sample).collect()
-    x = np.zeros((len(table), SIZE), np.float32)
-    for row, r in zip(x, table, strict=True):
-        row[r["places"]] = r["parts"]
-    order = sorted(range(len(table)), key=lambda k: (table[k]["lang"], table[k]["places"], table[k]["parts"]))  # whatever order rows come in
-    return fit_languages(x[order].astype(np.float64), [table[k]["lang"] for k in order])
+            found = [text_features(t).astype(np.float32).tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["lang", "features"])
+
+    kept = rows.where(F.xxhash64("text") <= edge).dropDuplicates(["text", "lang"])  # as many as the sample
+    table = sorted((r["lang"], bytes(r["features"])) for r in kept.mapInArrow(work, "lang string, features binary").collect())  # whatever order rows come in
+    return fit_languages(np.frombuffer(b"".join(f for _, f in table), np.float32).reshape(-1, SIZE), [language for language, _ in table])
 
 
 def identify_languages(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
