@@ -9,6 +9,7 @@ tokenizer encodes whole texts. Tests hold all of it against encoding whole texts
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import zlib
@@ -61,15 +62,26 @@ class WordEncoder:
 
         self.tokenizer, self.most, self.local = Tokenizer.from_file(path), most, _is_local(path)
         self.model = self.tokenizer.model
+        self.tails = {p.encode(): self.tokenizer.encode(p, add_special_tokens=False).ids for p in ",."}
         self._clear()
 
     def _clear(self) -> None:
-        self.codes, self.parts = _Codes(), {}
+        self.codes, self.cores, self.parts = _Codes(), {}, {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.words = np.zeros(1 << 14, np.int64), 0
 
     def _ids_of(self, word: bytes) -> list[int]:
-        text = word.decode("utf-8", "replace")
+        """By its lower-case core and the comma or full stop that ends it: between an ASCII letter and
+        either, the pipeline always cuts."""
+        low = word.lower()
+        tail = self.tails.get(low[-1:], []) if low[-2:-1].isalpha() else []
+        core = low[:-1] if tail else low
+        if (ids := self.cores.get(core)) is None:
+            ids = self.cores[core] = [t.id for t in self.model.tokenize(core.decode())] if core.isalpha() else self._ids_of_core(core)
+        return ids + tail if tail else ids
+
+    def _ids_of_core(self, core: bytes) -> list[int]:
+        text = core.decode("utf-8", "replace")
         if not _PLAIN.fullmatch(text) or "<|" in text:
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         found: list[int] = []
@@ -88,7 +100,7 @@ class WordEncoder:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.words + len(known) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for ids in known for i in ids), np.uint32, total)
+        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(known), np.uint32, total)
         self.starts[self.words + 1 : self.words + len(known) + 1] = self.used + np.cumsum(lengths)
         self.used += total
         self.words += len(known)
