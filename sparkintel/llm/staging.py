@@ -40,7 +40,7 @@ class Staged:
         self.written += 1
         return f"{self.root}/{self.written:04d}"
 
-    def drop(self, number: int) -> None:
-        """Removes the table that was written as that number (from 1), once nothing reads it."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{number:04d}")
+    def drop(self, number: int, part: str = "") -> None:
+        """Removes the table (or a partition) that was written as that number from 1, once nothing reads it."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{number:04d}/{part}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
