@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkintel.llm.rows import deal_out, keyed
 from sparkintel.llm.staging import Staged
 
 #: The deleted characters, \x20 and \x09-\x0D.
@@ -83,12 +84,6 @@ def _shared(grouped, staged: Staged) -> DataFrame:
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with the columns of docs. Repeated ids are told apart by a row number."""
-    staged = Staged(docs.sparkSession, "keep-copies")
-    marked = staged.write(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[docs[c] for c in docs.columns]).alias("__doc")))
-    found = exact_dedup(
-        marked.select("__row", F.col(f"__doc.{text_col}").alias("text"), F.col(f"__doc.{id_col}").alias("doc")).withColumn("doc_row", F.struct(F.col("doc").isNull(), "doc", "__row")),
-        "doc_row", "text",
-    )
-    kept = found.where("kept").select(F.col("doc_row.__row").alias("__row"))
-    return marked.join(kept, "__row", "left_semi").select("__doc.*")
+    """The rows that stay, with the columns of docs."""
+    kept = exact_dedup(keyed(docs, id_col, text_col), "doc_row", "text").where("kept")
+    return deal_out(docs, kept.select("doc_row", F.lit(1).alias("times")), id_col, text_col)

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkintel.llm.rows import deal_out, keyed
 from sparkintel.llm.staging import Staged
 
 WORDS = r"[^\x20\x09-\x0D]++"
@@ -162,8 +163,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows of size 0 give nothing to a mix in words and stay once, so that no document is lost to it.
     """
-    staged = Staged(docs.sparkSession, "mixed")
-    marked = staged.write(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[docs[c] for c in docs.columns]).alias("__doc")))
-    found = mix_sources(marked.select(F.struct(F.xxhash64(f"__doc.{id_col}", f"__doc.{text_col}").alias("mark"), "__row").alias("doc_row"), F.col(f"__doc.{text_col}").alias("text"), F.col(f"__doc.{source_col}").alias("source")), "doc_row", "text", "source", weights, cap)
-    times = found.select(F.col("doc_row.__row").alias("__row"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias("__times")).where("__times > 0")
-    return marked.join(times, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__doc.*")
+    found = mix_sources(keyed(docs, id_col, text_col, source_col), "doc_row", "text", source_col, weights, cap)
+    times = found.groupBy("doc_row").agg(F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias("times"))
+    return deal_out(docs, times, id_col, text_col)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkintel.llm.components import connected_components
+from sparkintel.llm.rows import deal_out, keyed
 from sparkintel.llm.staging import Staged
 from sparkintel.llm.words import LOWER, mix, shingle_sets, text_groups
 
@@ -201,6 +202,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     rows, some = _survivors(texts, staged)
     chosen = staged.write(some.groupBy("sig").agg(F.min("id").alias("one")).select(F.col("one").alias("one")).distinct())
+    staged.drop(1, "kind=1")  # the dealt shingles have been met
     own = texts.join(chosen.hint("shuffle_hash"), texts["id"].eqNullSafe(chosen["one"]), "left_semi").select("text").mapInArrow(_sets, "sig binary, tokens array<long>")
     sets = staged.write(own.dropDuplicates(["sig"]).withColumn("node", F.monotonically_increasing_id()).withColumn("n", F.size("tokens")))
     tokens = sets.select("node", F.explode("tokens").alias("token"))
@@ -276,8 +278,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows of an empty set all stay.
     """
-    staged = Staged(docs.sparkSession, "keep-one")
-    marked = staged.write(docs.select(F.struct(docs[id_col].isNull().alias("unnamed"), docs[id_col].alias("id"), F.monotonically_increasing_id().alias("row")).alias("__key"), F.struct(*[docs[c] for c in docs.columns]).alias("__doc")))
-    found = near_duplicate_components(marked.select("__key", F.col(f"__doc.{text_col}").alias("text")), "__key", "text")
-    stay = found.where((F.col("n_shingles") == 0) | (F.col("component_id") == F.col("__key"))).select("__key")
-    return marked.join(stay, "__key", "left_semi").select("__doc.*")
+    found = near_duplicate_components(keyed(docs, id_col, text_col), "doc_row", "text")
+    stay = found.where((F.col("n_shingles") == 0) | (F.col("component_id") == F.col("doc_row")))
+    times = stay.groupBy("doc_row").agg(F.when(F.max("n_shingles") == 0, F.count(F.lit(1))).otherwise(1).alias("times"))
+    return deal_out(docs, times, id_col, text_col)
