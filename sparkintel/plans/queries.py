@@ -101,7 +101,7 @@ def ip_lookup_counts(spark, sf_dir):
 def ip_report_top(spark, sf_dir):
     """The first 50 lines of the report: by verdict, then by number. Top-k, so no full sort."""
     ranked = lookups.rank_verdicts(_ip_statuses(spark, sf_dir), ["Yes", "", "No"], ip_number(F.col("ip"))).limit(50)
-    return ranked.select("ip", "status", F.row_number().over(Window.orderBy("rank", ip_number(F.col("ip")))).alias("line"))
+    return ranked.select("ip", "status", F.row_number().over(Window.orderBy("rank", ip_number(F.col("ip")))).cast("long").alias("line"))
 
 
 @query(f"WITH {_INTEL} SELECT ip FROM judged WHERE status <> 'hit'")
