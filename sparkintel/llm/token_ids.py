@@ -57,7 +57,7 @@ class _Codes(dict):
 class WordEncoder:
     """Ids of texts; holds those of about `most` words, then starts anew."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.local = Tokenizer.from_file(path), most, _is_local(path)
