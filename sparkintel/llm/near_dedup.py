@@ -22,12 +22,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -167,6 +168,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of fewer rows, as each row of what runs inside holds one or two whole sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that link; nodes: node, n, tokens."""
     left = nodes.select(F.col("node").alias("a"), "n", F.col("tokens").alias("x"))
@@ -198,30 +211,32 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     component (nulls aside); n_links is the number of links found from the row's set to others, which
     join the component. An empty table gives an empty result.
     """
-    staged = Staged(docs.sparkSession, "near-dedup")
+    spark = docs.sparkSession
+    staged = Staged(spark, "near-dedup")
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     rows, some = _survivors(texts, staged)
     chosen = staged.write(some.groupBy("sig").agg(F.min("id").alias("one")).select(F.col("one").alias("one")).distinct())
     staged.drop(1, "kind=1")  # the dealt shingles have been met
-    own = texts.join(chosen.hint("shuffle_hash"), texts["id"].eqNullSafe(chosen["one"]), "left_semi").select("text").mapInArrow(_sets, "sig binary, tokens array<long>")
-    sets = staged.write(own.dropDuplicates(["sig"]).withColumn("node", F.monotonically_increasing_id()).withColumn("n", F.size("tokens")))
-    tokens = sets.select("node", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("having")).where("having > 1")
-    kept = tokens.join(shared.select("token").hint("shuffle_hash"), "token", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    least = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
-    nodes = staged.write(kept.join(sets.select("node", "n"), "node").where(F.size("tokens") >= least))
-
-    links: list[DataFrame] = []
-    comps = None
-    for turn in range(ROUNDS):
-        keys = nodes.select("node", "tokens").mapInArrow(_minhashes(1 + turn * KEYS), "node long, k int, key long").join(nodes.select("node", (F.size("tokens") / F.col("n")).alias("share")), "node")
-        best = keys.groupBy("k", "key").agg(F.max(F.struct("share", (-F.col("node")).alias("less"))).alias("best")).select("k", "key", (-F.col("best.less")).alias("b"))
-        pairs = keys.select(F.col("node").alias("a"), "k", "key").join(best.hint("shuffle_hash"), ["k", "key"]).where("a <> b").select("a", "b").distinct()
-        links.append(staged.write(_linked(_across(pairs, comps), nodes)))
-        comps = connected_components(reduce(DataFrame.union, links), staged)
-    links.append(staged.write(_linked(_prefix_pairs(nodes, comps, staged), nodes)))
-    every = staged.write(reduce(DataFrame.union, links).distinct())
-    comps = connected_components(every, staged)
+    with _batches_of(spark, 2000):
+        own = texts.join(chosen.hint("shuffle_hash"), texts["id"].eqNullSafe(chosen["one"]), "left_semi").select("text").mapInArrow(_sets, "sig binary, tokens array<long>")
+        sets = staged.write(own.dropDuplicates(["sig"]).withColumn("node", F.monotonically_increasing_id()).withColumn("n", F.size("tokens")))
+        tokens = sets.select("node", F.explode("tokens").alias("token"))
+        shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("having")).where("having > 1")
+        kept = tokens.join(shared.select("token").hint("shuffle_hash"), "token", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+        least = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
+        nodes = staged.write(kept.join(sets.select("node", "n"), "node").where(F.size("tokens") >= least))
+
+        links: list[DataFrame] = []
+        comps = None
+        for turn in range(ROUNDS):
+            keys = nodes.select("node", "tokens").mapInArrow(_minhashes(1 + turn * KEYS), "node long, k int, key long").join(nodes.select("node", (F.size("tokens") / F.col("n")).alias("share")), "node")
+            best = keys.groupBy("k", "key").agg(F.max(F.struct("share", (-F.col("node")).alias("less"))).alias("best")).select("k", "key", (-F.col("best.less")).alias("b"))
+            pairs = keys.select(F.col("node").alias("a"), "k", "key").join(best.hint("shuffle_hash"), ["k", "key"]).where("a <> b").select("a", "b").distinct()
+            links.append(staged.write(_linked(_across(pairs, comps), nodes)))
+            comps = connected_components(reduce(DataFrame.union, links), staged)
+        links.append(staged.write(_linked(_prefix_pairs(nodes, comps, staged), nodes)))
+        every = staged.write(reduce(DataFrame.union, links).distinct())
+        comps = connected_components(every, staged)
 
     degree = every.select(F.col("a").alias("node")).union(every.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     named = sets.select("sig", "node").join(comps, "node").join(degree, "node", "left").select("sig", "comp", "links")
