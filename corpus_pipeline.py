@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkintel.llm.exact_dedup import keep_first_copies
-from sparkintel.llm.language_id import UNKNOWN, held_out, identify_languages, learn_languages
+from sparkintel.llm.language_id import UNKNOWN, has_letter, held_out, identify_languages, learn_languages
 from sparkintel.llm.mixing import mixed_documents
 from sparkintel.llm.near_dedup import keep_one_of_each
 from sparkintel.llm.packing import pack_documents
@@ -15,8 +15,10 @@ from sparkintel.llm.staging import Staged
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in some learned language; texts without a letter go."""
+    """Documents whose text is in some learned language; texts without a letter go, and only those if no row had a label."""
     model = learn_languages(docs, ~held_out(docs["doc_id"]))
+    if not model["families"]:
+        return docs.where(has_letter(docs["text"]))
     marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc_id"), "text")
     return identify_languages(marked, model).where(F.col("lang_pred") != UNKNOWN).select("doc_id.*")
 

@@ -13,15 +13,17 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType
 
-from sparkintel.llm.sampling import lowest_hashes
+from sparkintel.llm.sampling import lowest_of_labels
 
 SIZE = 2048
-#: Labelled texts that the machines are fitted on, at most: those of the smallest hashes.
+#: Labelled texts that the machines are fitted on, at most: for each label those of the smallest hashes.
 SAMPLE = 2000
 UNKNOWN = "und"
 #: Families of common languages; a language that is not here is a family of its own.
@@ -117,11 +119,13 @@ def predict_language(model: dict, x: np.ndarray) -> tuple[str, float]:
 
 
 def learn_languages(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict:
-    """A model from at most `sample` labelled rows of docs for which `use` holds, by text and label alone."""
+    """A model from at most `sample` distinct labelled texts of docs for which `use` holds, by text and label alone.
+
+    Every label is learned, with an even share of the sample or all its texts; copies take no part of it.
+    """
     rows = docs.where(use & docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
-    chosen = lowest_hashes(rows.select(F.xxhash64("text").alias("hash"), "lang"), "hash", sample, "lang", distinct=True)
-    edge = chosen.agg(F.max("hash")).first()[0]
-    if edge is None:
+    edges = lowest_of_labels(rows.select(F.xxhash64("text").alias("hash"), "lang"), "hash", "lang", sample)
+    if not edges:
         return fit_languages(np.zeros((0, SIZE)), [])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +133,8 @@ def learn_languages(docs: DataFrame, use: Column, id_col: str = "doc_id", text_c
             found = [text_features(t).astype(np.float32).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["lang", "features"])
 
-    kept = rows.where(F.xxhash64("text") <= edge).dropDuplicates(["text", "lang"])  # as many as the sample
+    upto = F.broadcast(docs.sparkSession.createDataFrame(sorted(edges.items()), "lang string, edge long"))
+    kept = rows.join(upto, "lang").where(F.xxhash64("text") <= F.col("edge")).select("text", "lang").dropDuplicates(["text", "lang"])  # as many as the sample
     table = sorted((r["lang"], bytes(r["features"])) for r in kept.mapInArrow(work, "lang string, features binary").collect())  # whatever order rows come in
     return fit_languages(np.frombuffer(b"".join(f for _, f in table), np.float32).reshape(-1, SIZE), [language for language, _ in table])
 
@@ -149,6 +154,11 @@ def identify_languages(docs: DataFrame, model: dict, id_col: str = "doc_id", tex
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(work, f"id {kind.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+@F.pandas_udf(BooleanType())
+def has_letter(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: bool(t and _LETTER.search(t))).astype(bool)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that nothing is learned from: a fifth, by the crc32 of the id as text."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

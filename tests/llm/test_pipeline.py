@@ -74,3 +74,9 @@ def test_packing_has_every_copy(stages):
 
 def test_run(spark, sf_dir, stages):
     assert corpus_pipeline.run(spark, sf_dir).count() == stages[-1][1].count()
+
+
+def test_texts_with_letters_stay_without_labels(spark, docs, rows):
+    unlabelled = docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source")
+    kept = corpus_pipeline.known_language(spark, unlabelled, "").collect()
+    assert Counter(r["text"] for r in kept) == Counter(r[1] for r in rows if r[1] and re.search(r"[^\W\d_]", r[1]))
