@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType
 
 from sparkintel.operators.versions import effective_corrections, latest_by
@@ -113,11 +116,41 @@ def capture_sources(files: DataFrame, group: str, max_doc: int, max_repo: int) -
     return cut.select(group, "path", "kind", F.col("kept").cast("long"), F.sha2(F.expr("substring(content, 1, CAST(kept AS INT))"), 256).alias("sha256"), is_translation(F.col("path")).alias("translation"))
 
 
+def evidence_rows(sources: DataFrame) -> DataFrame:
+    """The block of each repository as its rows, to be read in order of place: repository_id, place, text, hash."""
+    return sources.select("repository_id", "place", F.concat(F.lit("["), F.col("source_id").cast("string"), F.lit("]\n"), F.col("content")).alias("text"), F.sha2("content", 256).alias("hash"))
+
+
 def evidence_blocks(sources: DataFrame) -> DataFrame:
-    """The block of texts of each repository in its order, and the hash of the set: repository_id, block, set_hash."""
-    part = F.struct("place", F.concat(F.lit("["), F.col("source_id").cast("string"), F.lit("]\n"), F.col("content")).alias("text"), F.sha2("content", 256).alias("hash"))
-    parts = sources.groupBy("repository_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    return parts.select("repository_id", F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("block"), F.sha2(F.array_join(F.transform("parts", lambda p: p["hash"]), ","), 256).alias("set_hash"))
+    """What stands for the block of each repository: repository_id, set_hash, n.
+
+    set_hash is the hash of its hashes in order, joined by commas; n the length of its texts, joined by
+    blank lines. Hashes alone are brought together, and read as a stream that keeps one running hash, so
+    that a repository of very many sources is never one row or one frame.
+    """
+    kind = sources.schema["repository_id"].dataType
+    schema = pa.schema([("repository_id", to_arrow_type(kind)), ("set_hash", pa.string()), ("n", pa.int64())])
+
+    def told(key, digest, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((key, digest.hexdigest(), n), schema, strict=True)], schema=schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = digest = None
+        n = 0
+        for batch in batches:
+            for key, own, length in zip(*[batch.column(c).to_pylist() for c in ("repository_id", "hash", "length")], strict=True):
+                if digest is None or key != last:
+                    if digest is not None:
+                        yield told(last, digest, n)
+                    last, digest, n = key, hashlib.sha256(own.encode()), length
+                else:
+                    digest.update(b"," + own.encode())
+                    n += 2 + length
+        if digest is not None:
+            yield told(last, digest, n)
+
+    rows = evidence_rows(sources).select("repository_id", "place", "hash", F.length("text").alias("length"))
+    return rows.repartition("repository_id").sortWithinPartitions("repository_id", "place", "hash").mapInArrow(work, f"repository_id {kind.simpleString()}, set_hash string, n long")
 
 
 def full_cards(cards: DataFrame, snapshots: DataFrame, copies: DataFrame, runs: DataFrame, corrections: DataFrame, fields: list[str]) -> DataFrame:

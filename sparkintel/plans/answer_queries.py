@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkintel.operators import answers, lookups
@@ -36,9 +35,16 @@ def answer_violations(spark, sf_dir):
     SELECT repository_id, sha256(string_agg(sha256(content), ',' ORDER BY place)) AS set_hash, length(string_agg('[' || doc_id || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY place)) AS n FROM d WHERE place <= 20 GROUP BY repository_id"""
 )
 def evidence_blocks(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("place <= 20")
-    blocks = answers.evidence_blocks(d.select(F.col("source").alias("repository_id"), "place", F.col("doc_id").alias("source_id"), F.left(F.coalesce("text", F.lit("")), F.lit(20)).alias("content")))
-    return blocks.select("repository_id", "set_hash", F.length("block").cast("long").alias("n"))
+    """All documents of each source with their whole texts. The SQL stops at 20 documents and 20 characters, so that tests compare by brute force."""
+    d = read(spark, sf_dir, "documents")
+    return answers.evidence_blocks(d.select(F.col("source").alias("repository_id"), F.col("doc_id").alias("place"), F.col("doc_id").alias("source_id"), F.coalesce("text", F.lit("")).alias("content")))
+
+
+@query("SELECT source AS repository_id, doc_id AS place, '[' || doc_id || ']' || chr(10) || coalesce(text, '') AS text FROM documents")
+def evidence_block_rows(spark, sf_dir):
+    """The blocks themselves, as rows to be read in order of place."""
+    d = read(spark, sf_dir, "documents")
+    return answers.evidence_rows(d.select(F.col("source").alias("repository_id"), F.col("doc_id").alias("place"), F.col("doc_id").alias("source_id"), F.coalesce("text", F.lit("")).alias("content"))).drop("hash")
 
 
 @query("SELECT event_type AS metric, CAST(sum(event_id) AS BIGINT) AS value FROM events GROUP BY event_type")
