@@ -11,8 +11,8 @@ from sparkintel.plans.tables import event_ips, read
 
 @query(f"SELECT ip, string_agg(event_type || '@' || event_id, ',' ORDER BY event_type DESC, event_id) AS children FROM (SELECT DISTINCT ip, event_type, event_id FROM ({_EVENT_IPS}) WHERE user_id % 10 = 0) GROUP BY ip")
 def nested_children(spark, sf_dir):
-    """Children of each address as an ordered array, the type descending and the number ascending."""
-    e = event_ips(spark, sf_dir).where("user_id % 10 = 0").select("ip", "event_type", "event_id").distinct()
+    """Children of each address as an ordered array, the type descending and the number ascending. The SQL reads every tenth user alone."""
+    e = event_ips(spark, sf_dir).select("ip", "event_type", "event_id").distinct()
     down = F.transform(F.split("event_type", ""), lambda c: -F.ascii(c))
     nested = lookups.nest(e, "ip", ["event_type", "event_id"], "children", [F.array_append(down, F.lit(1)), F.col("event_id")])
     return nested.select("ip", F.array_join(F.transform("children", lambda c: F.concat_ws("@", c["event_type"], c["event_id"].cast("string"))), ",").alias("children"))

@@ -14,7 +14,7 @@ def sf_dir(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("whole"))
     docs = [(k, f"text {k} of some length, more than 20 characters é" if k % 50 else None, "a" if k < 90 else "b") for k in range(120)] + [(500, "alone", None)]
     spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5).write.parquet(f"{folder}/documents.parquet")
-    spark.range(400).select(F.col("id").alias("event_id"), (F.col("id") % 37).alias("user_id"), F.when(F.col("id") % 4 > 0, "error").otherwise("view").alias("event_type"), F.timestamp_seconds("id").alias("ts"), F.lit("{}").alias("props")).repartition(3).write.parquet(f"{folder}/events.parquet")
+    spark.range(4000).select(F.col("id").alias("event_id"), (F.col("id") % 37).alias("user_id"), F.when(F.col("id") % 3 > 0, "error").otherwise("view").alias("event_type"), F.timestamp_seconds("id").alias("ts"), F.lit("{}").alias("props")).repartition(3).write.parquet(f"{folder}/events.parquet")
     return folder
 
 
@@ -34,3 +34,28 @@ def test_evidence_blocks_hold_all_documents_and_whole_texts(spark, sf_dir):
     for r in sorted(rows_of(spark, sf_dir, "evidence_block_rows"), key=lambda r: r["place"]):
         parts[r["repository_id"]].append(r["text"])
     assert dict(parts) == {s: [f"[{k}]\n{t}" for k, t in d] for s, d in own.items()}
+
+
+def events_of(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").collect()
+
+
+def address(e):
+    return f"{1 + e['user_id'] % 223}.{e['event_id'] % 7}.{e['user_id'] % 251}.{1 + e['event_id'] % 5}"
+
+
+def test_children_of_all_users(spark, sf_dir):
+    own = defaultdict(list)
+    for e in sorted(events_of(spark, sf_dir), key=lambda e: (-ord(e["event_type"][0]), e["event_id"])):
+        own[address(e)].append(f"{e['event_type']}@{e['event_id']}")
+    assert {r["ip"]: r["children"] for r in rows_of(spark, sf_dir, "nested_children")} == {ip: ",".join(c) for ip, c in own.items()}
+
+
+def test_adapters_report_at_most_32_of_all_their_codes(spark, sf_dir):
+    codes = defaultdict(set)
+    for e in events_of(spark, sf_dir):
+        if e["event_type"] == "error":
+            codes[f"a{e['user_id'] % 4}"].add(f"c{e['event_id'] % 40 + 10}")
+    assert {a: len(c) for a, c in codes.items()} == {f"a{k}": 40 for k in range(4)}
+    want = {a: ("failed" if a == "a1" else "degraded", ",".join(sorted(c)[:32])) for a, c in codes.items()} | {"a9": ("success", "")}
+    assert {r["adapter"]: (r["state"], r["codes"]) for r in rows_of(spark, sf_dir, "adapter_states")} == want
