@@ -95,16 +95,16 @@ def strict_v6_text(token: Column) -> Column:
 def extract_ips(df: DataFrame, text: Column, *keep: Column, v6: bool = False) -> DataFrame:
     """Distinct addresses of each row in the strict dialect: keep..., ip. Reserved v4 networks are left out.
 
-    v6 candidates are made distinct before the one step that needs Python.
+    Tokens are distinct in each row before v6 candidates, which have two colons at least, go to Python.
     """
-    tokens = df.where(text.rlike("[0-9A-Fa-f][.:]")).select(*keep, F.explode(F.array_distinct(strict_tokens(text))).alias("token"))
+    tokens = df.where(text.rlike("[0-9A-Fa-f][.:]|::" if v6 else "[0-9A-Fa-f][.:]")).select(*keep, F.explode(F.array_distinct(strict_tokens(text))).alias("token"))
     names = tokens.columns[:-1]
-    four = tokens.where(F.col("token").rlike("^[0-9]")).select(*names, strict_v4(F.col("token")).alias("ip")).where(F.col("ip").isNotNull() & ~in_networks(ip_number(F.col("ip"))))
     if not v6:
-        return four.distinct()
-    maybe = tokens.where(F.contains("token", F.lit(":"))).select(*names, strict_v6_text(F.col("token")).alias("raw")).where("raw IS NOT NULL")
-    checked = maybe.select("raw").distinct().select("raw", _v6_canonical("raw").alias("ip")).where("ip IS NOT NULL")
-    return four.union(maybe.join(checked, "raw").select(*names, "ip")).distinct()
+        four = tokens.where(F.col("token").rlike("^[0-9]")).select(*names, strict_v4(F.col("token")).alias("ip"))
+        return four.where(F.col("ip").isNotNull() & ~in_networks(ip_number(F.col("ip")))).distinct()
+    maybe = tokens.select(*names, F.when(F.col("token").rlike("^[0-9]"), strict_v4(F.col("token"))).alias("four"), F.when(F.col("token").rlike(":.*:"), strict_v6_text(F.col("token"))).alias("raw"))
+    found = maybe.where((F.col("four").isNotNull() & ~in_networks(ip_number(F.col("four")))) | F.col("raw").isNotNull())
+    return found.select(*names, F.coalesce("four", _v6_canonical("raw")).alias("ip")).where("ip IS NOT NULL").distinct()
 
 
 def extract_ips_loose(text: Column) -> Column:

@@ -51,9 +51,9 @@ _EVENT_IPS = "SELECT event_id, user_id, event_type, ts, concat_ws('.', 1 + user_
 
 @query(f"WITH {_STRICT} SELECT path, ip, {_number('ip')} AS ip_num FROM observed")
 def ip_observations(spark, sf_dir):
-    """Strict addresses of every file, reserved networks left out."""
+    """Strict addresses of every file, of both versions, reserved networks left out; ip_num is null for v6, which the SQL does not know."""
     df = texts(spark, sf_dir)
-    return extract_ips(df, F.col("text"), F.col("path")).select("path", "ip", ip_number(F.col("ip")).alias("ip_num"))
+    return extract_ips(df, F.col("text"), F.col("path"), v6=True).select("path", "ip", ip_number(F.col("ip")).alias("ip_num"))
 
 
 def _intel(spark, sf_dir):

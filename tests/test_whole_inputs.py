@@ -1,6 +1,8 @@
 """Registered queries read all rows of their tables, compared with brute force."""
 
 import hashlib
+import ipaddress
+import re
 from collections import defaultdict
 
 import pytest
@@ -14,6 +16,8 @@ def sf_dir(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("whole"))
     docs = [(k, f"text {k} of some length, more than 20 characters é" if k % 50 else None, "a" if k < 90 else "b") for k in range(120)] + [(500, "alone", None)]
     spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5).write.parquet(f"{folder}/documents.parquet")
+    pages = [(0, "at ::1"), (1, "<p>[2001:DB8::1]:53 2001:db8:0::1 8.8.8.8:53 10.0.0.1 12:30:59 std::x a::b</p>"), (2, "fe80::1%eth0 1::2::3 ::ffff:1.2.3.4 9.9.9.9"), (3, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{folder}/pages.parquet")
     spark.range(4000).select(F.col("id").alias("event_id"), (F.col("id") % 37).alias("user_id"), F.when(F.col("id") % 3 > 0, "error").otherwise("view").alias("event_type"), F.timestamp_seconds("id").alias("ts"), F.lit("{}").alias("props")).repartition(3).write.parquet(f"{folder}/events.parquet")
     return folder
 
@@ -59,3 +63,20 @@ def test_adapters_report_at_most_32_of_all_their_codes(spark, sf_dir):
     assert {a: len(c) for a, c in codes.items()} == {f"a{k}": 40 for k in range(4)}
     want = {a: ("failed" if a == "a1" else "degraded", ",".join(sorted(c)[:32])) for a, c in codes.items()} | {"a9": ("success", "")}
     assert {r["adapter"]: (r["state"], r["codes"]) for r in rows_of(spark, sf_dir, "adapter_states")} == want
+
+
+def brute_addresses(text):
+    for token in re.findall(r"[0-9A-Za-z:.%\[\]_-]+", text or ""):
+        bare = re.sub(r"^\[(.*)\](:[0-9]+)?$", r"\1", token).partition("%")[0]
+        try:
+            found = ipaddress.ip_address(bare.partition(":")[0] if bare.count(":") == 1 else bare)
+        except ValueError:
+            continue
+        if found.version == 6 or not found.is_private:
+            yield str(found), None if found.version == 6 else int(found)
+
+
+def test_addresses_of_both_versions(spark, sf_dir):
+    want = {(f"pages/{r['page_id']}", *x) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect() for x in brute_addresses(r["html"])}
+    got = [tuple(r) for r in rows_of(spark, sf_dir, "ip_observations")]
+    assert set(got) == want and len(got) == len(want) == 7 and ("pages/0", "::1", None) in want
