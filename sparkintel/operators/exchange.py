@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkintel.operators.folds import fitting_in_order
+
 HEX64, UUID = "^[0-9a-f]{64}$", "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 UTC_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?Z$"
 MOST_ITEMS = 500_000
@@ -106,17 +108,8 @@ def cost_micro_usd(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_
 
 
 def admit(requests: DataFrame, limit: int) -> DataFrame:
-    """Which requests of a run fit its limit, in order; a refused one takes nothing: run_id, id, cost.
+    """Which requests of a run fit its limit, in order; a refused one takes nothing: run_id, id, cost, admitted.
 
     Needs each decision before the next, so each run is folded in order; runs are spread over tasks.
     """
-
-    def fold(pdf):
-        used, told = 0, []
-        for cost in pdf.sort_values("id")["cost"]:
-            good = used + cost <= limit
-            used += cost if good else 0
-            told.append(good)
-        return pdf.sort_values("id").assign(admitted=told)
-
-    return requests.select("run_id", "id", "cost").groupBy("run_id").applyInPandas(fold, "run_id long, id long, cost long, admitted boolean")
+    return fitting_in_order(requests.withColumn("run_id", F.col("run_id").cast("long")), "run_id", "cost", limit, "admitted")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkintel.operators.folds import fitting_in_order
 from sparkintel.operators.merges import max_verdict, ranked_verdict
 
 FILE_VERDICTS = ["yes", "no", "unknown"]
@@ -144,17 +144,7 @@ def quarantine_plan(items: DataFrame, each: int, whole: int) -> DataFrame:
 
     An item that does not fit takes nothing, so that each decision needs the one before: one fold a source.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, told = 0, []
-        pdf = pdf.sort_values("id")
-        for size in pdf["size"]:
-            good = size <= each and used + size <= whole
-            used += size if good else 0
-            told.append(good)
-        return pdf.assign(kept=told)
-
-    return items.select("source", "id", "size").groupBy("source").applyInPandas(fold, "source string, id long, size long, kept boolean")
+    return fitting_in_order(items, "source", "size", whole, "kept", each)
 
 
 def write_bundle(files: DataFrame, ips: DataFrame, repositories: DataFrame, header: dict[str, Column]) -> DataFrame:

@@ -80,3 +80,20 @@ def test_addresses_of_both_versions(spark, sf_dir):
     want = {(f"pages/{r['page_id']}", *x) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect() for x in brute_addresses(r["html"])}
     got = [tuple(r) for r in rows_of(spark, sf_dir, "ip_observations")]
     assert set(got) == want and len(got) == len(want) == 7 and ("pages/0", "::1", None) in want
+
+
+@pytest.mark.parametrize(("name", "flag", "size", "each", "whole"), [("budget_admission", "admitted", "cost", None, 5000), ("quarantined_items", "kept", "size", 1000, 50_000)])
+def test_items_are_admitted_as_a_stream(spark, sf_dir, name, flag, size, each, whole):
+    df = __spark_entry__.queries()[name](spark, sf_dir)
+    assert "InPandas" not in df._jdf.queryExecution().toString()  # no frame of a whole group
+    key, used = df.columns[0], defaultdict(int)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted(df.collect(), key=lambda r: r["id"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r["id"] for r in got] == list(range(4000)) and 0 < sum(r[flag] for r in got) < 4000
+    for r in got:
+        fits = (each is None or r[size] <= each) and used[r[key]] + r[size] <= whole
+        used[r[key]] += r[size] if fits else 0
+        assert r[flag] == fits
