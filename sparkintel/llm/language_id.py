@@ -8,17 +8,13 @@ rows by Newton steps on the squared hinge loss. Texts are scored whole, in Arrow
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import BooleanType
 
 from sparkintel.llm.sampling import lowest_of_labels
 
@@ -38,7 +34,6 @@ FAMILIES = {
     "indic": "hi bn ur pa gu mr ne".split(),
 }
 _FAMILY = {language: family for family, own in FAMILIES.items() for language in own}
-_LETTER = re.compile(r"[^\W\d_]")
 _SLICE = 1 << 20
 
 
@@ -139,24 +134,33 @@ def learn_languages(docs: DataFrame, use: Column, id_col: str = "doc_id", text_c
     return fit_languages(np.frombuffer(b"".join(f for _, f in table), np.float32).reshape(-1, SIZE), [language for language, _ in table])
 
 
-def identify_languages(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, lang_pred, score, from the whole text alone.
+def has_letter(text: Column) -> Column:
+    """Whether a text has a character of Unicode's category L; false for null."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
-    Null texts and texts without a letter are `und` with score 0, as is every text if nothing was learned.
-    """
-    kind = docs.schema[id_col].dataType
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            told = [predict_language(model, text_features(t)) if t and _LETTER.search(t) else (UNKNOWN, 0.0) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in told], pa.string()), pa.array([s for _, s in told], pa.float64())], schema=pa.schema([("id", to_arrow_type(kind)), ("lang_pred", pa.string()), ("score", pa.float64())]))
+def language_column(model: dict, text: Column) -> Column:
+    """lang_pred and score of a text as a struct. Only texts with a letter are sent to Python, and nothing else of a row."""
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(work, f"id {kind.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    def tell(texts: pa.Array) -> pa.Array:
+        named, sure = [], []
+        for at in range(0, len(texts), 256):
+            for t in texts.slice(at, 256).to_pylist():
+                language, score = predict_language(model, text_features(t)) if t else (UNKNOWN, 0.0)
+                named.append(language)
+                sure.append(score)
+        return pa.StructArray.from_arrays([pa.array(named, pa.string()), pa.array(sure, pa.float64())], names=["lang_pred", "score"])
 
+    return F.arrow_udf(tell, "struct<lang_pred:string,score:double>")(F.when(has_letter(text), text))
 
-@F.pandas_udf(BooleanType())
-def has_letter(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: bool(t and _LETTER.search(t))).astype(bool)
+
+def identify_languages(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, lang_pred, score, from the whole text alone.
+
+    Null texts and texts without a letter are `und` with score 0, as is every text if nothing was learned.
+    """
+    told = docs.select(docs[id_col].alias("id"), language_column(model, docs[text_col]).alias("told"))
+    return told.select(F.col("id").alias(id_col), "told.lang_pred", "told.score")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,7 +1,11 @@
 import random
 import zlib
 
-from sparkintel.llm.language_id import family_of, language_report
+import unicodedata
+
+from pyspark.sql import functions as F
+
+from sparkintel.llm.language_id import family_of, has_letter, language_report
 
 SYLLABLES = {"en": "the and ing tion er ed", "de": "der und ung keit sch ein", "fr": "les que ment eau oi re", "es": "los que ado cion mente ar"}
 
@@ -14,7 +18,7 @@ def make(rng, language, n):
 def test_held_out_accuracy_and_odd_rows(spark):
     rng = random.Random(8)
     data = [(k, make(rng, lang, rng.randrange(10, 90)), lang, "s", 0.5) for k, lang in enumerate(rng.choices(list(SYLLABLES), k=600))]
-    odd = [(1000, None, "en", "s", 0.1), (1001, "", None, None, 0.1), (1002, "123 !!", "fr", "s", 0.1), (None, make(rng, "de", 20), None, "s", 0.1), (1003, make(rng, "fr", 60_000), None, "s", 0.1), data[0], data[0]]
+    odd = [(1000, None, "en", "s", 0.1), (1001, "", None, None, 0.1), (1002, "123 !!", "fr", "s", 0.1), (1004, "½ ²", "fr", "s", 0.1), (1005, "① Ⅷ 1_0", None, "s", 0.1), (None, make(rng, "de", 20), None, "s", 0.1), (1003, make(rng, "fr", 60_000), None, "s", 0.1), data[0], data[0]]
     got = language_report(spark.createDataFrame(data + odd, "doc_id long, text string, lang string, source string, score double").repartition(3)).collect()
     assert len(got) == len(data) + len(odd)
     want = {r[0]: r[2] for r in data}
@@ -24,7 +28,7 @@ def test_held_out_accuracy_and_odd_rows(spark):
         assert 0 <= r["score"] <= 1
         assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
     told = {r["doc_id"]: r["lang_pred"] for r in got}
-    assert [told[k] for k in (1000, 1001, 1002, None, 1003)] == ["und", "und", "und", "de", "fr"]
+    assert [told[k] for k in (1000, 1001, 1002, 1004, 1005, None, 1003)] == ["und"] * 5 + ["de", "fr"]
 
 
 def test_families():
@@ -34,3 +38,9 @@ def test_families():
 def test_without_labels_or_documents(spark, docs, no_docs):
     assert {r["lang_pred"] for r in language_report(docs.drop("lang").selectExpr("*", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}
     assert language_report(no_docs).count() == 0
+
+
+def test_letters_are_those_of_unicode(spark):
+    texts = [None, "", " ", "½ ②", "Ⅷ", "_", "１２", "é", "ªb", "日", "ʰ", "\U0001f600", "٣", "ǅ", "\U00010400"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", has_letter(F.col("text")).alias("has")).collect()
+    assert {r["text"]: r["has"] for r in got} == {t: any(unicodedata.category(c).startswith("L") for c in t or "") for t in texts}
