@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkintel.llm.exact_dedup import keep_first_copies
-from sparkintel.llm.language_id import UNKNOWN, has_letter, held_out, identify_languages, learn_languages
+from sparkintel.llm.language_id import UNKNOWN, has_letter, held_out, language_column, learn_languages
 from sparkintel.llm.mixing import mixed_documents
 from sparkintel.llm.near_dedup import keep_one_of_each
 from sparkintel.llm.packing import pack_documents
@@ -19,8 +18,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = learn_languages(docs, ~held_out(docs["doc_id"]))
     if not model["families"]:
         return docs.where(has_letter(docs["text"]))
-    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc_id"), "text")
-    return identify_languages(marked, model).where(F.col("lang_pred") != UNKNOWN).select("doc_id.*")
+    return docs.where(language_column(model, docs["text"])["lang_pred"] != UNKNOWN)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
