@@ -44,3 +44,9 @@ def repository_tokens(df: DataFrame, text: Column, *keep: Column, longest: int =
 def parent_url(full_name: Column) -> Column:
     """The address of a parent named `owner/name`, null if the name is none."""
     return F.when(full_name.rlike(f"^{_PART}/{_PART}$"), F.concat(F.lit("https://github.com/"), full_name))
+
+
+def repo_ref(c: Column) -> Column:
+    """The key of a repository that is named by its address or by `owner/name` alone; null for neither."""
+    spelled = F.when(c.rlike("://|@"), c).otherwise(F.concat(F.lit("https://github.com/"), F.regexp_replace(c, "^/+|/+$", "")))
+    return repository_key_lenient(spelled)

@@ -31,8 +31,68 @@ def redact_url(c: Column) -> Column:
     return F.regexp_replace(c, r"^([a-z+.-]+://)[^/@]*@", "$1")
 
 
+def quoted(c: Column) -> Column:
+    """A regular expression that matches the text itself, whatever it holds."""
+    return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def sanitize_name(c: Column) -> Column:
-    return F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "_")
+    """A capture's name: other characters one by one as `_`; `capture` for what would be no name."""
+    label = F.regexp_replace(c, r"[^A-Za-z0-9._-]", "_")
+    return F.when(label.isin("", ".", ".."), "capture").otherwise(label)
+
+
+def safe_part(c: Column) -> Column:
+    """A part of a file name: runs of other characters as one `_`, no dots or `_` at its ends; `scan` if nothing is left."""
+    cleaned = F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
+    return F.when(cleaned == "", "scan").otherwise(cleaned)
+
+
+def capture_label(name: Column, suffixes: tuple[str, ...] = (".en_dec", ".enc")) -> Column:
+    """An archive's name without the first of the suffixes that ends it, in any case."""
+    cut = F.coalesce(*[F.when(F.endswith(F.lower(name), F.lit(x)), F.left(name, F.length(name) - len(x))) for x in suffixes])
+    return F.coalesce(cut, name)
+
+
+def report_stem(path: Column) -> Column:
+    """The last part of a path if reports may be named by it, else null."""
+    stem = F.element_at(F.split(path, "/"), -1)
+    return F.when((stem != "") & ~stem.isin(".", "..") & ~stem.rlike("[\\\\\\x00-\\x1f\\x7f-\\x9f\\u2028\\u2029]"), stem)
+
+
+def display_path(path: Column, base: str) -> Column:
+    """A path below a base relative to it, `.` for the base itself; others as they are."""
+    root = base.rstrip("/")
+    return F.when(path == root, ".").when(F.startswith(path, F.lit(f"{root}/")), F.substr(path, F.lit(len(root) + 2))).otherwise(path)
+
+
+def is_uuid(c: Column) -> Column:
+    """A UUID in its canonical lower-case form."""
+    return c.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+
+
+def is_sha256(c: Column) -> Column:
+    return c.rlike("^[0-9a-f]{64}$")
+
+
+def is_utc_time(c: Column) -> Column:
+    """An ISO timestamp that ends in Z and names a moment that there is."""
+    return c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?Z$") & F.try_to_timestamp(F.replace(c, F.lit(","), F.lit("."))).isNotNull()
+
+
+def utc_stamp(at: Column) -> Column:
+    """A moment in ISO form with Z, as reports tell when they were made; the session's zone must be UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def staging_stamp(at: Column) -> Column:
+    """The part of a staged archive's name that tells when it came."""
+    return F.date_format(at, "yyMMdd-HHmmss")
+
+
+def outcome_shares(*counts: Column) -> Column:
+    """Counters as one text, as reports show them: a / b / c."""
+    return F.concat_ws(" / ", *[c.cast("string") for c in counts])
 
 
 def rule_namespace(source: Column, path: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkintel.functions.strings import quoted
+
 #: Character classes, with what the reading by names adds to and takes from the scripts.
 SCRIPTS = {
     "hangul": r"\p{IsHangul}", "kana": r"\p{IsHiragana}\p{IsKatakana}ー", "han": r"\p{IsHan}&&[^々]", "cyrillic": r"\p{IsCyrillic}", "hebrew": r"\p{IsHebrew}",
@@ -28,7 +30,7 @@ def select_sources(versions: DataFrame, group: str, size: str, order: list[Colum
 def quote_positions(source: Column, quote: Column) -> tuple[Column, Column]:
     """Offset of the first occurrence, and how many there are, overlapping ones counted."""
     first = F.instr(source, quote) - 1
-    count = F.regexp_count(source, F.concat(F.lit(r"(?=\Q"), quote, F.lit(r"\E)")))
+    count = F.regexp_count(source, F.concat(F.lit("(?="), quoted(quote), F.lit(")")))
     return first, count
 
 
@@ -74,6 +76,6 @@ def infer_language(df: DataFrame, text: Column, detector: Column, *keep: Column,
 def explicit_language(sources: DataFrame, people: DataFrame, languages: list[str]) -> DataFrame:
     """Statements like "NAME is a native LANGUAGE speaker" in a repository's sources about its people."""
     joined = sources.join(people, "repository_id")
-    pattern = F.concat(F.lit(r"(?i)\b\Q"), F.col("person"), F.lit(rf"\E\s+is\s+a\s+native\s+({'|'.join(languages)})\s+speaker\b"))
-    found = joined.withColumn("language", F.regexp_extract("content", pattern, 1)).where("language <> ''")
+    pattern = F.concat(F.lit(r"(?i)\b"), quoted(F.col("person")), F.lit(rf"\s+is\s+a\s+native\s+({'|'.join(languages)})\s+speaker\b"))
+    found = joined.withColumn("language", F.call_function("regexp_extract", F.col("content"), pattern, F.lit(1))).where("language <> ''")
     return found.groupBy("repository_id", "person").agg(F.min_by("language", "source_id").alias("language"))

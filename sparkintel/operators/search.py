@@ -3,24 +3,39 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkintel.operators.answers import search_document
+
 K1, B = 1.2, 0.75
 MOST = 100
 
 
+#: Letters with marks and the letter that they are read as, by their canonical decomposition.
+_MARKED = {c: base for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if len(d := unicodedata.normalize("NFD", c)) > 1 and (base := d[0]).isascii()}
+_BASE = str.maketrans(_MARKED)
+
+
 def query_terms(query: str) -> list[str]:
-    """Literal terms of a query, lower-cased and distinct; one without any is an error."""
-    terms = re.findall(r"[^\W_]+", query.lower())
+    """Literal terms of a query, lower-cased, without diacritics and distinct; one without any is an error."""
+    plain = "".join(c for c in query.translate(_BASE) if not unicodedata.combining(c)).lower()
+    terms = re.findall(r"[^\W_]+", plain)
     if not terms:
         raise ValueError("a query needs at least one term")
     return list(dict.fromkeys(terms))
 
 
+def without_diacritics(text: Column) -> Column:
+    """Latin letters without their marks; combining marks go. ASCII texts stay as they are."""
+    bare = F.regexp_replace(F.translate(text, "".join(_MARKED), "".join(_MARKED.values())), r"\p{Mn}", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), bare).otherwise(text)
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(without_diacritics(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def _times(words: Column, term: str) -> Column:
@@ -48,3 +63,8 @@ def bm25_search(docs: DataFrame, key: str, text: str, query: str, k: int = 10) -
         idf = F.log(1 + (F.col("docs") - F.col(f"df{n}") + 0.5) / (F.col(f"df{n}") + 0.5))
         score = score + idf * F.col(f"tf{n}") * (K1 + 1) / (F.col(f"tf{n}") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return scored.select(key, F.round(score, 9).alias("score")).orderBy(F.col("score").desc(), key).limit(k)
+
+
+def search_cards(cards: DataFrame, fields: list[str], query: str, k: int = 20) -> DataFrame:
+    """The k best cards for a query, in the texts that search looks through: repository_id, score."""
+    return bm25_search(search_document(cards, fields), "repository_id", "text", query, k)

@@ -9,65 +9,246 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed values.
-EXTENSIONS = "exe dll sys scr com bat cmd ps1 vbs js jar apk elf so dylib bin sh py pl rb php msi".split()
-MAGIC = ["4D5A", "7F454C46", "FEEDFACE", "FEEDFACF", "CEFAEDFE", "CFFAEDFE", "CAFEBABE"]
-INDICATORS = ["pe32", "elf", "mach-o", "ms-dos executable", "shell script", "python script", "perl script", "powershell", "batch file", "java archive", "android package"]
+from sparkintel.functions.strings import quoted
+
+#: Headers, extensions and descriptions of executables, the descriptions in the order in which they are looked for.
+HEADERS = ["4D5A", "7F454C46", "FEEDFA", "CFFAEDFE", "CAFEBABE"]
+INDICATORS = [
+    "pe32", "pe32+", "msi installer", "windows installer", "elf 32-bit", "elf 64-bit", "elf", "shared object", "mach-o", "dex", "dalvik", "posix shell script", "bourne-again shell script", "powershell",
+]
+EXTENSIONS = [".exe", ".dll", ".sys", ".ocx", ".msi", ".so", ".dylib", ".app", ".dex", ".apk", ".ps1", ".sh", ".bash"]
 GENERIC = ["", "data", "ascii text", "unicode text"]
+#: What the scanner takes for a script or a binary.
+SCRIPT_EXTENSIONS = [".ps1", ".bat", ".cmd", ".sh", ".py", ".pl", ".php", ".rb", ".js", ".vbs"]
+BINARY_EXTENSIONS = [".exe", ".dll", ".sys", ".bin", ".elf", ".so", ".dylib"]
+SCAN_HEADERS = ["4D5A", "7F454C46", "FEEDFACE", "CEFAEDFE", "FEEDFACF", "CFFAEDFE", "CAFEBABE", "BEBAFECA"]
+MIME_FRAGMENTS = ["executable", "x-sh", "x-python", "x-perl", "x-php", "x-ruby", "javascript"]
+HEADER_BYTES = 8192
+#: Regular expressions of a rule set, at most: each is a column of its own.
+MOST_REGEXES = 500
+#: Literals up to which texts are looked through where they lie, and those of them without an inner word.
+MOST_LITERALS, MOST_BARE = 20_000, 500
+
+
+def header(content: Column) -> Column:
+    """The first bytes of a file, which its kind is told by."""
+    return F.substring(content, 1, HEADER_BYTES)
 
 
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    """The extension with its dot, in lower case; a name that only starts with a dot has none."""
+    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
+
+
+def _starts_with_any(content: Column, headers: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.startswith(content, F.unhex(F.lit(h))) for h in headers])
+
+
+def _text(content: Column) -> Column:
+    return F.decode(content, "ISO-8859-1")
 
 
 def is_exec_candidate(content: Column, path: Column) -> Column:
-    """A known header, a line that names an interpreter, or a known extension."""
-    header = reduce(lambda a, b: a | b, [F.startswith(content, F.unhex(F.lit(m))) for m in MAGIC])
-    line = F.regexp_extract(F.decode(F.substring(content, 1, 256), "ISO-8859-1"), r"^#![ \t]*([^\s]+)", 1) != ""
-    return header | line | extension(path).isin(EXTENSIONS)
+    """A known header, `#!` with anything after it, or a known extension."""
+    sample = header(content)
+    line = F.startswith(sample, F.unhex(F.lit("2321"))) & _text(F.substring(sample, 3, HEADER_BYTES)).rlike(r"[^ \t\n\x0B\f\r]")
+    return _starts_with_any(sample, HEADERS) | line | extension(path).isin(EXTENSIONS)
+
+
+def _told(description: Column) -> Column:
+    return F.coalesce(*[F.when(F.contains(description, F.lit(i)), F.lit(f"magic: {i}")) for i in INDICATORS])
 
 
 def classify_exec(description: Column, path: Column, use_extension: bool = True) -> Column:
-    """`magic: x` for the first indicator in a description; by extension only if it says nothing."""
-    text = F.lower(F.coalesce(description, F.lit("")))
-    told = F.coalesce(*[F.when(F.contains(text, F.lit(i)), F.lit(f"magic: {i}")) for i in INDICATORS])
-    by_name = F.when(extension(path).isin(EXTENSIONS) & (text.isin(GENERIC) | (F.contains(text, F.lit("zip")) & (extension(path) == "apk"))), F.concat(F.lit("extension: "), extension(path)))
-    return F.coalesce(told, by_name) if use_extension else told
+    """`magic: x` for the first indicator in a description; the extension only if the description says nothing.
+
+    It says nothing if what stands before its first comma is generic, or for an apk that is a zip archive.
+    """
+    text = F.lower(F.trim(F.coalesce(description, F.lit("")), F.lit(" \t\n\x0b\f\r")))
+    silent = F.trim(F.substring_index(text, ",", 1)).isin(GENERIC) | ((extension(path) == ".apk") & F.startswith(text, F.lit("zip archive data")))
+    by_name = F.when(silent & extension(path).isin(EXTENSIONS), F.concat(F.lit("extension fallback: "), extension(path)))
+    return F.coalesce(_told(text), by_name) if use_extension else _told(text)
 
 
 def classify_exec_loose(description: Column, path: Column) -> Column:
     """The first indicator, else the extension whatever the description says."""
     text = F.lower(F.coalesce(description, F.lit("")))
-    return F.coalesce(*[F.when(F.contains(text, F.lit(i)), F.lit(f"magic: {i}")) for i in INDICATORS], F.when(extension(path).isin(EXTENSIONS), F.concat(F.lit("extension: "), extension(path))))
+    return F.coalesce(_told(text), F.when(extension(path).isin(EXTENSIONS), F.concat(F.lit("extension fallback: "), extension(path))))
+
+
+def classifier_state(use_magic: bool, described: bool, use_extension: bool) -> str:
+    """`available`, or what is left when no description can be had: `degraded` to extensions, or `unavailable`."""
+    if not use_magic and not use_extension:
+        raise ValueError("at least one way of classifying is needed")
+    return "available" if described or not use_magic else "degraded" if use_extension else "unavailable"
+
+
+def describe_files(files: DataFrame, describe=None, content: str = "content") -> DataFrame:
+    """Files with a `description`: by a column function over the header where one is given, else null."""
+    return files.withColumn("description", F.lit(None).cast("string") if describe is None else describe(header(F.col(content))))
+
 
+def is_scan_candidate(content: Column, path: Column, mime: Column | None = None) -> Column:
+    """What the scanner takes for executable: by extension, header, a first line that names an interpreter, or MIME type."""
+    first = F.regexp_extract(_text(header(content)), r"^(.*)", 1)
+    interpreter = F.trim(F.substring(first, 3, 510), F.lit(" \t\x0b\f\r"))
+    line = F.startswith(first, F.lit("#!")) & (interpreter != "")
+    told = F.lit(False) if mime is None else F.coalesce(reduce(lambda a, b: a | b, [F.contains(F.lower(mime), F.lit(m)) for m in MIME_FRAGMENTS]), F.lit(False))
+    return extension(path).isin(SCRIPT_EXTENSIONS + BINARY_EXTENSIONS) | _starts_with_any(content, SCAN_HEADERS) | line | told
 
-def match_candidates(df: DataFrame, path: str, size: str, globs: list[str], regexes: list[str], most: int | None = None) -> DataFrame:
-    """Files of which the name fits any glob and the path any regex, no larger than `most`."""
+
+def match_candidates(df: DataFrame, path: str, size: str, globs: list[str], regexes: list[str], most: int | None = None, selector: str = "all", content: str = "content", mime: str | None = None) -> DataFrame:
+    """Files no larger than `most` of which the name fits any glob and the path any regex; `exec-only` takes executables alone."""
+    if selector not in ("all", "exec-only"):
+        raise ValueError(f"unknown selector: {selector}")
     for pattern in regexes:
         re.compile(pattern)
     base = F.element_at(F.split(path, "/"), -1)
-    kept = df
+    kept = df if most is None else df.where(F.col(size) <= most)
+    if selector == "exec-only":
+        kept = kept.where(is_scan_candidate(F.col(content), F.col(path), None if mime is None else F.col(mime)))
     if globs:
-        kept = kept.where(reduce(lambda a, b: a | b, [base.rlike(fnmatch.translate(g).replace("\\z", "\\z").replace("(?s:", "(?s:")) for g in globs]))
-    if regexes:
-        kept = kept.where(reduce(lambda a, b: a | b, [F.col(path).rlike(r) for r in regexes]))
-    return kept if most is None else kept.where(F.col(size) <= most)
+        kept = kept.where(reduce(lambda a, b: a | b, [base.rlike(fnmatch.translate(g).replace(r"\Z", r"\z")) for g in globs]))
+    return kept.where(reduce(lambda a, b: a | b, [F.col(path).rlike(r) for r in regexes])) if regexes else kept
+
+
+#: A word that stands whole in a literal, white space on both sides: it stands whole in every text that holds the literal.
+_INNER = r"(?<=[ \t\n\x0B\f\r])[^ \t\n\x0B\f\r]+(?=[ \t\n\x0B\f\r])"
+_SPACES = r"[ \t\n\x0B\f\r]+"
+GRAM = 4
+
+
+def _anchored(rules: DataFrame) -> DataFrame:
+    """Literals with `anchor`, the longest of their inner words, or null."""
+    inner = F.regexp_extract_all("pattern", F.lit(_INNER), F.lit(0))
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("less"), w.alias("word")))), 1)
+    return rules.withColumn("anchor", F.when(F.size(inner) > 0, longest["word"]))
+
+
+def _candidates(files: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
+    """(key, pattern) that may match, by equi-joins alone: key, pattern.
+
+    A literal with an inner word meets the texts that have that word. Others meet the texts that have
+    their first characters, which is asked only if there are such literals.
+    """
+    literals = _anchored(rules.select("pattern").distinct())
+    words = files.select(key, F.explode(F.array_distinct(F.split(text, _SPACES))).alias("anchor"))
+    found = words.join(literals.where("anchor IS NOT NULL"), "anchor").select(key, "pattern")
+    bare = literals.where("anchor IS NULL")
+    if bare.isEmpty():
+        return found.distinct()
+    # Grams of words where the literal is one word, whose start then lies inside a single word of the text.
+    gram = lambda c, at: F.substr(c, at, F.lit(GRAM))
+    first = F.regexp_extract("pattern", r"[^ \t\n\x0B\f\r]+", 0)
+    head = bare.withColumn("gram", F.left(first, F.lit(GRAM)))
+    grams = files.select(key, F.explode(F.array_distinct(F.split(text, _SPACES))).alias("word")).where("word <> ''")
+    shingled = grams.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: gram(F.col("word"), i)))).alias("gram"))
+    # A first word of fewer characters than a gram may stand anywhere: it meets every gram that starts with it.
+    short = head.where(F.length("gram") < GRAM).select("pattern", "gram", F.length("gram").alias("n"))
+    out = found.union(shingled.join(head.where(F.length("gram") == GRAM), "gram").select(key, "pattern"))
+    for n in range(1, GRAM):
+        out = out.union(shingled.withColumn("gram", F.left("gram", F.lit(n))).join(short.where(F.col("n") == n), "gram").select(key, "pattern"))
+    blank = head.where("gram = ''").select("pattern", F.lit(1).alias("one"))
+    return out.union(files.where(F.col(text).rlike(_SPACES)).select(key, F.lit(1).alias("one")).join(blank, "one").select(key, "pattern")).distinct()
+
+
+def _held(files: DataFrame, key: str, text: str, literals: DataFrame) -> DataFrame:
+    """key, text, pattern for each literal that a text holds.
+
+    Up to MOST_LITERALS, texts stay where they lie: their words are held against a set of inner words. More
+    are joined by those words, and texts shuffled to the candidates.
+    """
+    distinct = _anchored(literals.select("pattern").distinct())
+    known = distinct.limit(MOST_LITERALS + 1).collect()
+    bare = sorted(r["pattern"] for r in known if r["anchor"] is None)
+    if len(known) > MOST_LITERALS or len(bare) > MOST_BARE:
+        return files.select(key, text).join(_candidates(files, key, text, literals), key).where(F.contains(F.col(text), F.col("pattern")))
+    anchors = sorted({r["anchor"] for r in known} - {None})
+    out = None
+    if anchors:
+        hits = F.array_distinct(F.filter(F.split(text, _SPACES), lambda w: w.isin(anchors)))
+        # Outer, as otherwise a filter on the hits would be put before it and find them all once more.
+        words = files.select(key, text, F.explode_outer(hits).alias("anchor")).where("anchor IS NOT NULL")
+        out = words.join(F.broadcast(distinct), "anchor").where(F.contains(F.col(text), F.col("pattern"))).select(key, text, "pattern")
+    if bare:
+        seen = files.select(key, text, F.explode_outer(F.array_compact(F.array(*[F.when(F.contains(F.col(text), F.lit(p)), F.lit(p)) for p in bare]))).alias("pattern")).where("pattern IS NOT NULL")
+        out = seen if out is None else out.union(seen)
+    return files.select(key, text, F.lit("").alias("pattern")).where("false") if out is None else out
+
+
+def _found(text: Column, expression: Column | str, place: Column) -> list[Column]:
+    return [place.cast("long").alias("offset"), F.regexp_count(text, expression if isinstance(expression, Column) else F.lit(expression)).cast("long").alias("times")]
 
 
 def match_signatures(files: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
-    """Matches of literal patterns: key, namespace, rule, n_strings, first_offset.
+    """Matches of rules: key, namespace, rule, n_strings, first_offset.
 
-    rules: namespace, rule, pattern_id, pattern, condition (`any`, `all` or a number as text). The rule
-    table is broadcast if it is small by Spark's own measure; texts are looked through where they lie.
+    rules: namespace, rule, pattern_id, pattern, condition (`any`, `all` or a number as text) and, where
+    there are regular expressions too, kind (`text` or `regex`). A literal is looked for only in texts
+    that have a word or a gram of it, and then verified; occurrences may overlap. Regular expressions,
+    MOST_REGEXES at most, are columns of one pass over the texts. Texts may be null.
     """
-    found = files.select(key, text).join(rules.select("namespace", "rule", "pattern_id", "pattern", "condition"), F.contains(F.col(text), F.col("pattern")))
-    found = found.select(key, "namespace", "rule", "condition", "pattern_id", (F.instr(text, F.col("pattern")) - 1).alias("offset"), F.regexp_count(text, F.concat(F.lit(r"(?=\Q"), F.col("pattern"), F.lit(r"\E)"))).alias("times"))
-    wanted = rules.groupBy("namespace", "rule").agg(F.countDistinct("pattern_id").alias("patterns"))
-    per = found.groupBy(key, "namespace", "rule", "condition").agg(F.count(F.lit(1)).alias("n_patterns"), F.sum("times").cast("long").alias("n_strings"), F.min("offset").cast("long").alias("first_offset"))
+    kinded = rules if "kind" in rules.columns else rules.withColumn("kind", F.lit("text"))
+    named = kinded.select("namespace", "rule", "pattern_id", "pattern", "condition", "kind").where("pattern <> ''")
+    literals = named.where("kind = 'text'")
+    held = _held(files.where(F.col(text).isNotNull()), key, text, literals)
+    spots = held.select(key, "pattern", *_found(F.col(text), F.concat(F.lit("(?="), quoted(F.col("pattern")), F.lit(")")), F.instr(text, F.col("pattern")) - 1))
+    if "kind" in rules.columns:
+        expressions = [r["pattern"] for r in named.where("kind = 'regex'").select("pattern").distinct().orderBy("pattern").limit(MOST_REGEXES + 1).collect()]
+        if len(expressions) > MOST_REGEXES:
+            raise ValueError(f"a rule set has at most {MOST_REGEXES} regular expressions")
+        for e in expressions:
+            re.compile(e)
+        if expressions:
+            tried = [F.when(F.col(text).rlike(e), F.struct(F.lit(e).alias("pattern"), *_found(F.col(text), e, F.length(F.regexp_extract(text, f"(?s)^(.*?)(?:{e})", 1))))) for e in expressions]
+            spots = spots.union(files.select(key, F.explode(F.array_compact(F.array(*tried))).alias("x")).select(key, "x.*"))
+    found = spots.join(named, "pattern")
+    wanted = named.groupBy("namespace", "rule").agg(F.countDistinct("pattern_id").alias("patterns"))
+    per = found.groupBy(key, "namespace", "rule", "condition").agg(F.countDistinct("pattern_id").alias("n_patterns"), F.sum("times").cast("long").alias("n_strings"), F.min("offset").cast("long").alias("first_offset"))
     need = F.when(F.col("condition") == "any", 1).when(F.col("condition") == "all", F.col("patterns")).otherwise(F.col("condition").try_cast("int"))
     return per.join(wanted, ["namespace", "rule"]).where(F.col("n_patterns") >= need).select(key, "namespace", "rule", "n_strings", "first_offset")
 
 
+def order_matches(matches: DataFrame, path: str = "path") -> DataFrame:
+    """Matches as reports list them: by path, namespace and rule."""
+    return matches.orderBy(path, "namespace", "rule")
+
+
+def order_errors(errors: DataFrame, path: str = "path") -> DataFrame:
+    """Errors as reports list them: by path, code and message."""
+    return errors.orderBy(path, "code", "message")
+
+
+def match_rows(files: DataFrame, matches: DataFrame, path: str = "path") -> DataFrame:
+    """A row for each file and rule with nested columns as compact JSON: file_path, sha256, md5, rule, namespace, tags, meta, strings.
+
+    files: path, sha256, md5; matches: path, namespace, rule, tags (array), meta (map), strings (array of structs).
+    """
+    meta = F.map_from_entries(F.array_sort(F.map_entries("meta")))
+    return order_matches(matches.join(files.select(path, "sha256", "md5"), path), path).select(
+        F.col(path).alias("file_path"), "sha256", "md5", "rule", "namespace", F.to_json(F.array_sort("tags")).alias("tags"), F.to_json(meta).alias("meta"), F.coalesce(F.to_json("strings"), F.lit("[]")).alias("strings")
+    )
+
+
+def match_documents(files: DataFrame, matches: DataFrame, path: str = "path") -> DataFrame:
+    """A row for each file with its matches nested, by namespace and rule: file_path, sha256, md5, matches."""
+    order = F.struct("namespace", "rule", F.array_sort("tags").alias("tags"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("meta")))).alias("meta"), "strings")
+    nested = matches.groupBy(path).agg(F.array_sort(F.collect_list(order)).alias("matches"))  # as many as a rule set has rules
+    return files.select(path, "sha256", "md5").join(nested, path).select(F.col(path).alias("file_path"), "sha256", "md5", "matches").orderBy("file_path")
+
+
+def write_matches(files: DataFrame, matches: DataFrame, folder: str, kind: str, metadata: DataFrame | None = None) -> None:
+    """The report of a scan as `json` (a file's matches nested) or `csv` (a row for each file and rule), its metadata beside it."""
+    if kind not in ("json", "csv"):
+        raise ValueError(f"unknown format of reports: {kind}")
+    if kind == "json":
+        match_documents(files, matches).write.mode("overwrite").json(f"{folder}/matches")
+    else:
+        match_rows(files, matches).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/matches")
+    if metadata is not None:
+        metadata.select(F.lit(1).alias("schema_version"), F.struct(*metadata.columns).alias("scan_metadata")).write.mode("overwrite").json(f"{folder}/metadata")
+
+
 def attach_provenance(matches: DataFrame, manifest: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Matches with their rule's origin; files with a match of unknown namespace lose all, and are errors."""
     joined = matches.join(manifest, "namespace", "left").withColumn("unknown", F.bool_or(F.col("source").isNull()).over(Window.partitionBy(key)))

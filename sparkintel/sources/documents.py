@@ -65,8 +65,8 @@ def git_remotes(configs: DataFrame) -> DataFrame:
     window = Window.partitionBy("copy_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     inside = lines.withColumn("section", F.last(F.when(header != "", header), ignorenulls=True).over(window))
     remote = F.regexp_extract("section", r'^remote\s+"([^"]*)"$', 1)
-    bare = F.regexp_replace(F.regexp_extract("line", r'^\s*(?:url|pushurl)\s*=\s*((?:"[^"]*"|[^#;])*)', 1), '"', "")
-    key = F.lower(F.regexp_extract("line", r"^\s*(url|pushurl|URL|PUSHURL|Url|PushUrl)\s*=", 1))
+    bare = F.regexp_replace(F.regexp_extract("line", r'(?i)^\s*(?:url|pushurl)\s*=\s*((?:"[^"]*"|[^#;])*)', 1), '"', "")
+    key = F.lower(F.regexp_extract("line", r"(?i)^\s*(url|pushurl)\s*=", 1))
     urls = inside.select("copy_id", "n", remote.alias("remote"), F.when(key == "url", "fetch").when(key == "pushurl", "push").alias("direction"), F.trim(bare).alias("url")).where("remote <> '' AND direction IS NOT NULL AND url <> ''")
     ordinal = F.row_number().over(Window.partitionBy("copy_id", "remote", "direction").orderBy("n")) - 1
     return urls.select("copy_id", "remote", "direction", "url", ordinal.alias("ordinal"), repository_key_lenient(F.col("url")).alias("identity_key"))

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from sparkintel.functions import strings
 from sparkintel.functions.repositories import parent_url, repository_key, repository_key_lenient, repository_tokens
-from sparkintel.operators.evidence import infer_language, quote_positions, validate_quotes
+from sparkintel.operators.evidence import explicit_language, infer_language, quote_positions, validate_quotes
 from sparkintel.operators.indicators import repo_observations, traversal_key
 from sparkintel.operators.search import bm25_search, query_terms
 from sparkintel.operators.signatures import classify_exec, classify_exec_loose, is_exec_candidate, match_candidates
@@ -44,26 +44,42 @@ def test_strings(spark):
 
 
 def test_executables(spark):
-    rows = [("no-extension", b"MZ\x90"), ("sample", b"\x7fELF\x02"), ("tool", b"#!/usr/bin/env python\n"), ("run.PS1", b"x"), ("library.DLL", b""), ("notes.txt", b"hi"), ("empty", b"#!  \n")]
+    rows = [("plain", b"MZ\x90"), ("sample", b"\x7fELF\x02"), ("tool", b"#!/usr/bin/env python\n"), ("run.PS1", b"x"), ("library.DLL", b""), ("notes.txt", b"hi"), ("empty", b"#!  \n")]
     df = spark.createDataFrame(rows, "p string, c binary")
     assert [r["x"] for r in df.select(is_exec_candidate(F.col("c"), F.col("p")).alias("x")).collect()] == [True] * 5 + [False] * 2
     d = spark.createDataFrame([("a.exe", None), ("a.txt", "PE32 executable"), ("a.exe", "JPEG image"), ("notes.txt", None), ("x.apk", "Zip archive data")], "p string, d string")
-    assert [r["x"] for r in d.select(classify_exec(F.col("d"), F.col("p")).alias("x")).collect()] == ["extension: exe", "magic: pe32", None, None, "extension: apk"]
-    assert [r["x"] for r in d.select(classify_exec_loose(F.col("d"), F.col("p")).alias("x")).collect()][2] == "extension: exe"
+    assert [r["x"] for r in d.select(classify_exec(F.col("d"), F.col("p")).alias("x")).collect()] == ["extension fallback: .exe", "magic: pe32", None, None, "extension fallback: .apk"]
+    told = ["ELF 64-bit LSB shared object", "ASCII text, with very long lines", "data", "Zip archive data, at least v1", " POSIX shell script, text ", "text, ascii text", "Dalvik dex file"]
+    e = spark.createDataFrame([(k, f"dir.d/x{k}.sh", t) for k, t in enumerate(told)], "k int, p string, d string").orderBy("k")
+    assert [r["x"] for r in e.select("k", classify_exec(F.col("d"), F.col("p")).alias("x")).orderBy("k").collect()] == ["magic: elf 64-bit", "extension fallback: .sh", "extension fallback: .sh", None, "magic: posix shell script", None, "magic: dex"]
+    assert [r["x"] for r in d.select(classify_exec_loose(F.col("d"), F.col("p")).alias("x")).collect()][2] == "extension fallback: .exe"
 
 
 def test_candidate_filters(spark):
-    df = spark.createDataFrame([("in/release/sample_payload.bin", 5), ("in/staging/x.bin", 5), ("in/release/a.txt", 5), ("other/b.exe", 500)], "path string, size long")
+    df = spark.createDataFrame([("in/release/blob-7.bin", 5), ("in/staging/x.bin", 5), ("in/release/a.txt", 5), ("other/b.exe", 500)], "path string, size long")
     got = match_candidates(df, "path", "size", ["*.exe", "*.bin"], ["^other/", "^in/release/"], 100)
-    assert [r["path"] for r in got.collect()] == ["in/release/sample_payload.bin"]
+    assert [r["path"] for r in got.collect()] == ["in/release/blob-7.bin"]
 
 
 def test_quotes(spark):
     assert column(spark, ["aaaa"], lambda c: quote_positions(c, F.lit("aa"))[1]) == [3]
-    quotes = spark.createDataFrame([(1, 1, "Exact quote"), (2, 1, "Invented"), (3, 9, "Exact quote")], "quote_id long, source_id long, quote string")
-    sources = spark.createDataFrame([(1, "Before Exact quote after")], "source_id long, content string")
+    quotes = spark.createDataFrame([(1, 1, "exact words"), (2, 1, "Invented"), (3, 9, "exact words")], "quote_id long, source_id long, quote string")
+    sources = spark.createDataFrame([(1, "before, exact words and more")], "source_id long, content string")
     got = {r["quote_id"]: (r["state"], r["start_offset"]) for r in validate_quotes(quotes, sources).collect()}
-    assert got == {1: ("valid", 7), 2: ("not_in_source", None), 3: ("unknown_source", None)}
+    assert got == {1: ("valid", 8), 2: ("not_in_source", None), 3: ("unknown_source", None)}
+
+
+def test_text_that_ends_a_quotation_of_patterns(spark):
+    """Data in a regular expression stays data."""
+    odd = r"a\E.*\Qb"
+    assert column(spark, [f"x{odd}{odd}y", "axxb"], lambda c: quote_positions(c, F.lit(odd))[1]) == [2, 0]
+    quotes = spark.createDataFrame([(1, 1, r"end \E of"), (2, 1, r"\E"), (3, 1, "")], "quote_id long, source_id long, quote string")
+    sources = spark.createDataFrame([(1, r"the end \E of it \E")], "source_id long, content string")
+    got = {r["quote_id"]: (r["state"], r["start_offset"], r["occurrences"]) for r in validate_quotes(quotes, sources).collect()}
+    assert got == {1: ("valid", 4, 1), 2: ("valid", 8, 2), 3: ("not_in_source", None, None)}
+    people = spark.createDataFrame([(1, r"A\E|B")], "repository_id long, person string")
+    told = spark.createDataFrame([(1, 1, r"A\E|B is a native Korean speaker"), (1, 2, "B is a native Greek speaker")], "repository_id long, source_id long, content string")
+    assert [r["language"] for r in explicit_language(told, people, ["Korean", "Greek"]).collect()] == ["Korean"]
 
 
 def test_language(spark):
@@ -77,6 +93,9 @@ def test_search(spark):
     df = spark.createDataFrame([(1, "a cli-tool for all"), (2, "nothing here"), (3, "tool tool tool")], "id long, text string")
     assert [r["id"] for r in bm25_search(df, "id", "text", "tool").collect()] == [3, 1]
     assert [r["id"] for r in bm25_search(df, "id", "text", "cli-tool )").collect()] == [1]
+    cafe = spark.createDataFrame([(1, "Le café Ünïque"), (2, "le cafe unique"), (3, "cafe\u0301 e\u0301")], "id long, text string")
+    assert sorted(r["id"] for r in bm25_search(cafe, "id", "text", "cafe").collect()) == [1, 2, 3]
+    assert sorted(r["id"] for r in bm25_search(cafe, "id", "text", "CAFÉ unique").collect()) == [1, 2]
     for bad in ("", "  ", "***()"):
         try:
             query_terms(bad)
