@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType
 
+from sparkintel.operators.folds import running_digest
 from sparkintel.operators.versions import effective_corrections, latest_by
 
 #: How sources are preferred by kind.
@@ -128,29 +126,11 @@ def evidence_blocks(sources: DataFrame) -> DataFrame:
     blank lines. Hashes alone are brought together, and read as a stream that keeps one running hash, so
     that a repository of very many sources is never one row or one frame.
     """
-    kind = sources.schema["repository_id"].dataType
-    schema = pa.schema([("repository_id", to_arrow_type(kind)), ("set_hash", pa.string()), ("n", pa.int64())])
-
-    def told(key, digest, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((key, digest.hexdigest(), n), schema, strict=True)], schema=schema)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = digest = None
-        n = 0
-        for batch in batches:
-            for key, own, length in zip(*[batch.column(c).to_pylist() for c in ("repository_id", "hash", "length")], strict=True):
-                if digest is None or key != last:
-                    if digest is not None:
-                        yield told(last, digest, n)
-                    last, digest, n = key, hashlib.sha256(own.encode()), length
-                else:
-                    digest.update(b"," + own.encode())
-                    n += 2 + length
-        if digest is not None:
-            yield told(last, digest, n)
-
-    rows = evidence_rows(sources).select("repository_id", "place", "hash", F.length("text").alias("length"))
-    return rows.repartition("repository_id").sortWithinPartitions("repository_id", "place", "hash").mapInArrow(work, f"repository_id {kind.simpleString()}, set_hash string, n long")
+    rows = evidence_rows(sources)
+    lengths = rows.groupBy("repository_id").agg((F.sum(F.length("text")) + 2 * (F.count(F.lit(1)) - 1)).alias("length"))
+    hashes = running_digest(rows.select("repository_id", "place", "hash"), ["repository_id"], F.col("hash"), ["place"], ",")
+    same = hashes["repository_id"].eqNullSafe(lengths["repository_id"])
+    return hashes.join(lengths, same).select(hashes["repository_id"], F.col("digest").alias("set_hash"), F.col("length").alias("n"))
 
 
 def full_cards(cards: DataFrame, snapshots: DataFrame, copies: DataFrame, runs: DataFrame, corrections: DataFrame, fields: list[str]) -> DataFrame:

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkintel.operators.folds import fitting_in_order
+from sparkintel.functions.addresses import canonical_ip
+from sparkintel.functions.repositories import repository_key
+from sparkintel.functions.strings import is_sha256, is_utc_time, is_uuid
+from sparkintel.operators.folds import fitting_in_order, fold_in_order
 
-HEX64, UUID = "^[0-9a-f]{64}$", "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
-UTC_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?Z$"
-MOST_ITEMS = 500_000
+#: What a bundle holds at most, its fields, what may be asked for, and the measures of a budget.
+MOST_ITEMS, MOST_BYTES = 500_000, 64 << 20
+BUNDLE_FIELDS = ["schema_version", "bundle_id", "source_instance_id", "source_sequence", "created_at", "selection", "policy_sha256", "files", "ips", "repositories", "counts"]
+SELECTIONS = ["missing", "all"]
+MEASURES = ["requests", "repositories", "input_tokens", "output_tokens", "cost_micro_usd"]
+OUTCOMES = ["success", "not_found", "error", "rate_limited"]
 
 
 def backoff(base: Column, attempts: Column) -> Column:
@@ -27,6 +33,41 @@ def bundle_violations(items: DataFrame, value: str, bundle: str = "bundle_id", p
     return rows.select(bundle, F.col(place).cast("long").alias(place), "violation").union(long)
 
 
+def header_violations(bundles: DataFrame, key: str = "bundle_id") -> DataFrame:
+    """What is wrong with bundles as JSON (key, body): key, violation.
+
+    Fields are exactly BUNDLE_FIELDS; version 1, canonical UUIDs, a positive sequence, a UTC time, a known
+    selection, a digest of the policy, and counts that are those of the lists.
+    """
+    lists = "files array<struct<sha256:string,md5:string>>, ips array<string>, repositories array<struct<identity_key:string,canonical_url:string>>"
+    parsed = F.from_json("body", f"schema_version int, bundle_id string, source_instance_id string, source_sequence long, created_at string, selection string, policy_sha256 string, {lists}, counts struct<files:long,ips:long,repositories:long>")
+    fields, expected = F.json_object_keys("body"), F.array(*[F.lit(f) for f in BUNDLE_FIELDS])
+    b = lambda name: F.col("b")[name]
+    no = lambda good: ~F.coalesce(good, F.lit(False))
+    sizes = [F.coalesce(F.size(b(n)), F.lit(-1)) for n in ("files", "ips", "repositories")]
+    wrong = F.array(
+        F.when(no((F.size(fields) == len(BUNDLE_FIELDS)) & (F.size(F.array_except(fields, expected)) == 0)), "fields"), F.when(no(b("schema_version") == 1), "version"), F.when(no(is_uuid(b("bundle_id")) & is_uuid(b("source_instance_id"))), "uuid"),
+        F.when(no(b("source_sequence") >= 1), "sequence"), F.when(no(is_utc_time(b("created_at"))), "time"), F.when(no(b("selection").isin(SELECTIONS)), "selection"), F.when(no(is_sha256(b("policy_sha256"))), "policy"),
+        F.when(no((b("counts")["files"] == sizes[0]) & (b("counts")["ips"] == sizes[1]) & (b("counts")["repositories"] == sizes[2])), "counts"), F.when(sizes[0] + sizes[1] + sizes[2] > MOST_ITEMS, "size"), F.when(F.octet_length("body") > MOST_BYTES, "bytes"),
+    )
+    return bundles.select(key, "body", parsed.alias("b")).select(key, F.explode(F.array_compact(wrong)).alias("violation"))
+
+
+def indicator_violations(items: DataFrame, bundle: str = "bundle_id") -> DataFrame:
+    """What is wrong with the indicators of bundles: bundle, kind, place, violation.
+
+    items: bundle, kind (files, ips, repositories), place, value (SHA-256, address or key), extra (MD5 or
+    address of the repository). Values of a kind ascend strictly and are in their canonical form.
+    """
+    before = F.lag("value").over(Window.partitionBy(bundle, "kind").orderBy("place"))
+    file = is_sha256(F.col("value")) & F.coalesce(F.col("extra").rlike("^[0-9a-f]{32}$"), F.lit(True))
+    repository = repository_key(F.col("extra")) == F.col("value")
+    good = F.when(F.col("kind") == "files", file).when(F.col("kind") == "ips", canonical_ip(F.col("value")) == F.col("value")).when(F.col("kind") == "repositories", repository)
+    ordered = items.withColumn("before", before).withColumn("good", F.coalesce(good, F.lit(False)))
+    wrong = F.array_compact(F.array(F.when(F.col("before") >= F.col("value"), "order"), F.when(~F.col("good"), "form")))
+    return ordered.select(bundle, "kind", "place", F.explode(wrong).alias("violation"))
+
+
 def bundle_digest(items: DataFrame, bundle: str, value: str) -> DataFrame:
     """Canonical JSON of each bundle's sorted distinct values, its number and SHA-256."""
     body = F.to_json(F.array_sort(F.collect_set(value)))
@@ -34,34 +75,88 @@ def bundle_digest(items: DataFrame, bundle: str, value: str) -> DataFrame:
 
 
 def import_requests(requests: DataFrame) -> DataFrame:
-    """The queue after requests in their order of import: identity, seq, source, import_seq.
+    """The queue after requests in their order of import: identity, request_count, last_source, last_seq, replaced.
 
     A bundle that comes again counts once. The payload is replaced by a request of another source or a
     higher sequence than what is there; an older one is only counted.
     """
     once = requests.groupBy("identity", "source", "seq").agg(F.min("import_seq").alias("import_seq"))
-    folded = once.groupBy("identity").agg(F.array_sort(F.collect_list(F.struct("import_seq", "source", "seq"))).alias("all"))
-    start = F.struct(F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("seq"), F.lit(0).cast("long").alias("replaced"))
 
-    def step(acc: Column, r: Column) -> Column:
-        wins = acc["source"].isNull() | (acc["source"] != r["source"]) | (r["seq"] > acc["seq"])
-        return F.struct(F.when(wins, r["source"]).otherwise(acc["source"]).alias("source"), F.when(wins, r["seq"]).otherwise(acc["seq"]).alias("seq"), (acc["replaced"] + wins.cast("long")).alias("replaced"))
+    def step(state: tuple, row: tuple) -> tuple[tuple, None]:
+        count, source, seq, replaced = state
+        if source is None or row[0] != source or row[1] > seq:
+            source, seq, replaced = row[0], row[1], replaced + 1
+        return (count + 1, source, seq, replaced), None
+
+    typed = once.select("identity", F.col("source").cast("string").alias("source"), F.col("seq").cast("long").alias("seq"), "import_seq")
+    return fold_in_order(typed, ["identity"], ["import_seq"], ["source", "seq"], "request_count long, last_source string, last_seq long, replaced long", lambda: (0, None, None, 0), step, lambda s: s)
+
+
+ITEM = "payload string, first_requested_at timestamp, last_requested_at timestamp, last_source string, last_seq long, last_bundle_id string, request_count long, status string, last_outcome string, next_eligible_at timestamp, lease_until timestamp, lease_token string, attempts long"
+
+
+def new_bundles(bundles: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bundles to import, each once, and those that conflict.
+
+    bundles: bundle_id, source, seq, import_seq; ledger: bundle_id, source, seq of those that are imported.
+    A bundle that is in the ledger or comes again is left out. One that has the source and sequence of
+    another bundle is a conflicting transfer: the one that was there, or came first, holds.
+    """
+    rest = [c for c in bundles.columns if c != "bundle_id"]
+    once = bundles.groupBy("bundle_id").agg(F.min_by(F.struct(*rest), F.struct("import_seq", "source", "seq")).alias("b")).select("bundle_id", "b.*").join(ledger.select("bundle_id"), "bundle_id", "left_anti")
+    first = F.first("bundle_id").over(Window.partitionBy("source", "seq").orderBy("import_seq", "bundle_id"))
+    held = ledger.select("source", "seq", F.col("bundle_id").alias("holder"))
+    judged = once.withColumn("first", first).join(held, ["source", "seq"], "left").withColumn("clash", F.col("holder").isNotNull() | (F.col("first") != F.col("bundle_id")))
+    fresh = judged.where("NOT clash").select(*bundles.columns)
+    return fresh, judged.where("clash").select("bundle_id", "source", "seq", F.coalesce("holder", "first").alias("conflicts_with"))
+
 
-    typed = F.transform("all", lambda r: F.struct(r["source"].cast("string").alias("source"), r["seq"].cast("long").alias("seq")))
-    state = F.aggregate(typed, start, step)
-    return folded.select("identity", F.size("all").cast("long").alias("request_count"), state["source"].alias("last_source"), state["seq"].alias("last_seq"), state["replaced"].alias("replaced"))
+def import_bundles(items: DataFrame, requests: DataFrame) -> DataFrame:
+    """The queue after the requests of new bundles: identity and the fields of ITEM.
+
+    requests: identity, payload, bundle_id, source, seq, created_at, import_seq. A newer request (another
+    source, or a higher sequence) replaces the payload, makes the item pending, ends its lease and, unless
+    it was rate limited, its wait. An older one is only counted. Each item is folded in order of import.
+    """
+    fields = [f.split()[0] for f in ITEM.split(", ")]
+    blank = {f: F.lit(None) for f in fields}
+    made = {"payload": F.col("payload"), "first_requested_at": F.col("created_at"), "last_requested_at": F.col("created_at"), "last_source": F.col("source").cast("string"), "last_seq": F.col("seq").cast("long"), "last_bundle_id": F.col("bundle_id").cast("string")}
+    shape = lambda df, columns, at: df.select("identity", at.cast("long").alias("import_seq"), *[columns[f.split()[0]].cast(f.split()[1]).alias(f.split()[0]) for f in ITEM.split(", ")])
+    known = shape(items.withColumn("there", F.lit(True)), {f: F.col(f) for f in fields}, F.lit(None))
+    asked = shape(requests, blank | made, F.col("import_seq"))
+    at = {f: k for k, f in enumerate(fields)}
+
+    def step(state: list | None, row: tuple) -> tuple[list, None]:
+        order, *new = row
+        if order is None:  # the item as it was
+            return list(new), None
+        if state is None:
+            new[at["request_count"]], new[at["status"]], new[at["attempts"]] = 1, "pending", 0
+            return list(new), None
+        state[at["request_count"]] += 1
+        if state[at["last_source"]] != new[at["last_source"]] or new[at["last_seq"]] > state[at["last_seq"]]:
+            for f in ("payload", "last_requested_at", "last_source", "last_seq", "last_bundle_id"):
+                state[at[f]] = new[at[f]]
+            state[at["status"]], state[at["lease_until"]], state[at["lease_token"]] = "pending", None, None
+            if state[at["last_outcome"]] != "rate_limited":
+                state[at["next_eligible_at"]] = None
+        return state, None
+
+    return fold_in_order(known.union(asked), ["identity"], ["import_seq"], ["import_seq", *fields], ITEM, lambda: None, step, lambda s: tuple(s))
 
 
 def finish_items(items: DataFrame, outcomes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Items after the outcomes of their leases, and the pause that rate limits set for all.
 
-    items: identity, lease_token, attempts, status. outcomes: identity, lease_token, outcome. An outcome
-    with another token changes nothing.
+    items: identity, lease_token, attempts, status. outcomes: identity, lease_token, outcome and, where a
+    provider told it, retry_after_seconds. An outcome with another token changes nothing. The pause is
+    only ever moved on: hold it against the one before.
     """
     joined = items.join(outcomes, ["identity", "lease_token"], "left")
     base = F.when(F.col("outcome").isin("not_found", "rate_limited"), 3600).otherwise(300)
     done = F.col("outcome") == "success"
-    wait = F.when(F.col("outcome").isNotNull() & ~done, backoff(base, F.col("attempts")))
+    told = F.col("retry_after_seconds") if "retry_after_seconds" in outcomes.columns else F.lit(None)
+    wait = F.when(F.col("outcome").isNotNull() & ~done, F.coalesce(told.cast("long"), backoff(base, F.col("attempts"))))
     after = joined.select(
         "identity", F.when(F.col("outcome").isNull(), F.col("status")).when(done, "resolved").otherwise("pending").alias("status"),
         (F.col("attempts") + F.col("outcome").isNotNull().cast("long")).alias("attempts"), F.timestamp_add("SECOND", wait, now).alias("next_eligible_at"), "outcome",
@@ -79,26 +174,57 @@ def lease(items: DataFrame, k: int) -> DataFrame:
     return items.orderBy(F.col("last_seq").desc(), F.col("last_requested_at").desc(), "identity").limit(k)
 
 
+def lease_items(items: DataFrame, bundles: DataFrame, k: int, now: Column, seconds: int = 300, paused_until: Column | None = None) -> DataFrame:
+    """The k free items asked for last, leased, with the selection of the bundle that asked: identity, lease_token, lease_until, selection.
+
+    bundles: bundle_id, selection. An item whose bundle is not known is not leased.
+    """
+    free = eligible_items(items, now, paused_until).join(bundles.select(F.col("bundle_id").alias("last_bundle_id"), "selection"), "last_bundle_id")
+    token = F.sha2(F.concat_ws("/", F.col("identity").cast("string"), F.col("attempts").cast("string"), now.cast("string")), 256)
+    return lease(free, k).select("identity", token.alias("lease_token"), F.timestamp_add("SECOND", F.lit(seconds), now).alias("lease_until"), "selection")
+
+
 def budget_usage(ledger: DataFrame) -> DataFrame:
     """Use of each run: commits and reserves without an end, folded last in first out for each item.
 
     ledger: run_id, run_item_id, id, kind, cost. A commit or release without an open reserve is malformed.
     """
-    per = ledger.groupBy("run_id", "run_item_id").agg(F.array_sort(F.collect_list(F.struct("id", "kind", F.col("cost").cast("long").alias("cost")))).alias("events"))
-    start = F.struct(F.array().cast("array<bigint>").alias("open"), F.lit(0).cast("long").alias("spent"), F.lit(False).alias("bad"))
+    none = [F.lit(0).cast("long").alias(m) for m in MEASURES[:-1]]
+    out = budget_measures(ledger.select("run_id", "run_item_id", "id", "kind", *none, F.col("cost").cast("long").alias(MEASURES[-1])), same_value=False)
+    return out.select("run_id", F.col(MEASURES[-1]).alias("used"), "malformed")
 
-    def step(acc: Column, e: Column) -> Column:
-        ends = e["kind"].isin("commit", "release")
-        none = F.size(acc["open"]) == 0
-        rest = F.when(none, acc["open"]).otherwise(F.slice(acc["open"], F.lit(1), F.greatest(F.size(acc["open"]) - 1, F.lit(0))))
-        return F.struct(
-            F.when(e["kind"] == "reserve", F.concat(acc["open"], F.array(e["cost"]))).when(ends, rest).otherwise(acc["open"]).alias("open"),
-            (acc["spent"] + F.when((e["kind"] == "commit") & ~none, e["cost"]).otherwise(0)).alias("spent"), (acc["bad"] | (ends & none)).alias("bad"),
-        )
 
-    folded = per.select("run_id", F.aggregate("events", start, step).alias("s"))
-    held = F.aggregate(F.col("s")["open"], F.lit(0).cast("long"), lambda a, x: a + x)
-    return folded.groupBy("run_id").agg(F.sum(F.col("s")["spent"] + held).alias("used"), F.bool_or(F.col("s")["bad"]).alias("malformed"))
+def budget_measures(ledger: DataFrame, same_value: bool = True) -> DataFrame:
+    """Use of each run by all measures: run_id, MEASURES, malformed.
+
+    ledger: run_id, run_item_id, id, kind and the measures. Commits count, and reserves without an end,
+    last in first out for each item. A commit or release without an open reserve, a release of another
+    value than its reserve, a row without an item and an unknown kind make the run malformed.
+    """
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, None]:
+        open_, spent, bad = state
+        kind, item, value = row[0], row[1], [v or 0 for v in row[2:]]
+        if item is None or kind not in ("reserve", "commit", "release"):
+            return (open_, spent, True), None
+        if kind == "reserve":
+            open_.append(value)
+        elif not open_:
+            bad = True
+        else:
+            reserved = open_.pop()
+            bad = bad or (kind == "release" and same_value and reserved != value)
+            if kind == "commit":
+                spent = [a + b for a, b in zip(spent, value, strict=True)]
+        return (open_, spent, bad), None
+
+    def end(state: tuple) -> tuple:
+        open_, spent, bad = state
+        return (*[sum(x) for x in zip(spent, *open_, strict=True)], bad)
+
+    item = F.col("run_item_id").alias("item")
+    per = fold_in_order(ledger.withColumn("item", item), ["run_id", "run_item_id"], ["id"], ["kind", "item", *MEASURES], ", ".join(f"{m} long" for m in MEASURES) + ", bad boolean", lambda: ([], [0] * len(MEASURES), False), step, end)
+    return per.groupBy("run_id").agg(*[F.sum(m).alias(m) for m in MEASURES], F.bool_or("bad").alias("malformed"))
 
 
 def cost_micro_usd(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out: Column) -> Column:
@@ -108,8 +234,32 @@ def cost_micro_usd(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_
 
 
 def admit(requests: DataFrame, limit: int) -> DataFrame:
-    """Which requests of a run fit its limit, in order; a refused one takes nothing: run_id, id, cost, admitted.
+    """Which requests of a run fit its limit of cost, in order; a refused one takes nothing: run_id, id, cost, admitted."""
+    return fitting_in_order(requests.withColumn("run_id", F.col("run_id").cast("long")), "run_id", "cost", limit, "admitted")
 
-    Needs each decision before the next, so each run is folded in order; runs are spread over tasks.
+
+def admit_reservations(events: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Which events of a run its five ceilings allow, in order: run_id, id, kind, allowed and what is used after each, by measure.
+
+    events: run_id, id, kind, the measures and, for a settlement, what it replaces as reserved_<measure>.
+    A reserve adds, a release takes away, a settlement puts what was used in place of what was reserved.
+    What would pass a ceiling or fall below nothing is refused and changes nothing.
     """
-    return fitting_in_order(requests.withColumn("run_id", F.col("run_id").cast("long")), "run_id", "cost", limit, "admitted")
+    ceilings = [limits[m] for m in MEASURES]
+    many = len(MEASURES)
+
+    def step(used: list, row: tuple) -> tuple[list, tuple]:
+        number, kind, value, reserved = row[0], row[1], [v or 0 for v in row[2 : 2 + many]], [v or 0 for v in row[2 + many :]]
+        if kind == "reserve":
+            after = [u + v for u, v in zip(used, value, strict=True)]
+        elif kind == "release":
+            after = [u - v for u, v in zip(used, value, strict=True)]
+        else:
+            after = [u - r + v for u, r, v in zip(used, reserved, value, strict=True)]
+        good = kind in ("reserve", "release", "settle") and all(a >= 0 for a in after) and (kind == "release" or all(a <= c for a, c in zip(after, ceilings, strict=True)))
+        used = after if good else used
+        return used, (number, kind, good, *used)
+
+    like = "id long, kind string, allowed boolean, " + ", ".join(f"{m} long" for m in MEASURES)
+    typed = events.select("run_id", F.col("id").cast("long").alias("id"), "kind", *[F.col(m).cast("long").alias(m) for m in MEASURES], *[F.col(f"reserved_{m}").cast("long").alias(f"reserved_{m}") for m in MEASURES])
+    return fold_in_order(typed, ["run_id"], ["id"], ["id", "kind", *MEASURES, *[f"reserved_{m}" for m in MEASURES]], like, lambda: [0] * many, step)

@@ -2,31 +2,81 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+Step = Callable[[Any, tuple], tuple[Any, tuple | None]]
+
+
+def fold_in_order(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], like: str, start: Callable[[], Any], step: Step, end: Callable[[Any], tuple | None] | None = None) -> DataFrame:
+    """Folds the rows of each key in their order: keys..., and what `step` (for a row) or `end` (for a key) tells.
+
+    step takes the state and the row's columns and gives the next state and a row to tell, or None; `like`
+    names what is told. A key's rows are a stream that is sorted on disk, never one frame or array.
+    """
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.select(*keys).schema)}, {like}"
+    width = len(keys)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = state = None
+        begun, told = False, []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*told, strict=True), arrow, strict=True)], schema=arrow)
+
+        for each in batches:
+            for row in zip(*(each.column(k).to_pylist() for k in range(each.num_columns)), strict=True):
+                key = row[:width]
+                if not begun or key != last:
+                    if begun and end and (row_told := end(state)) is not None:
+                        told.append((*last, *row_told))
+                    last, state, begun = key, start(), True
+                state, row_told = step(state, row[width:])
+                if row_told is not None:
+                    told.append((*key, *row_told))
+            if told:
+                yield batch()
+                told = []
+        if begun and end and (row_told := end(state)) is not None:
+            told.append((*last, *row_told))
+            yield batch()
+
+    arrow = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return ordered.select(*keys, *columns).mapInArrow(work, schema)
 
 
 def fitting_in_order(items: DataFrame, key: str, size: str, whole: int, name: str, each: int | None = None) -> DataFrame:
     """key, id, size and, as `name`, whether the item fits: none above `each`, and their sum in order of id within `whole`.
 
-    An item that does not fit takes nothing. Each group is one stream of rows sorted on disk, not one frame.
+    An item that does not fit takes nothing.
     """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, used, begun = None, 0, False
-        for batch in batches:
-            told = []
-            for k, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not begun or k != last:
-                    last, used, begun = k, 0, True
-                good = n is not None and (each is None or n <= each) and used + n <= whole
-                used += n if good else 0
-                told.append(good)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.bool_())], names=[*batch.schema.names, name])
-
-    kind = items.schema[key].dataType.simpleString()
+    def step(used: int, row: tuple) -> tuple[int, tuple]:
+        number, n = row
+        good = n is not None and (each is None or n <= each) and used + n <= whole
+        return used + n if good else used, (number, n, good)
+
     rows = items.select(key, F.col("id").cast("long").alias("id"), F.col(size).cast("long").alias(size))
-    return rows.repartition(key).sortWithinPartitions(key, "id", size).mapInArrow(work, f"{key} {kind}, id long, {size} long, {name} boolean")
+    return fold_in_order(rows, [key], ["id", size], ["id", size], f"id long, {size} long, {name} boolean", int, step)
+
+
+def running_digest(rows: DataFrame, keys: list[str], line: Column, order: list[str] | None = None, between: str = "") -> DataFrame:
+    """The SHA-256 of each key's lines, one after the other in their order (by themselves without one), and their number: keys..., digest, n.
+
+    Lines are best hashes themselves: they alone are brought together, and read as a stream.
+    """
+
+    def step(state: list, row: tuple) -> tuple[list, None]:
+        digest, n = state
+        digest.update((between if n else "").encode() + (row[0] or "").encode())
+        return [digest, n + 1], None
+
+    named = rows.select(*rows.columns, line.alias("line_of_digest"))
+    return fold_in_order(named, keys, [*(order or []), "line_of_digest"], ["line_of_digest"], "digest string, n long", lambda: [hashlib.sha256(), 0], step, lambda s: (s[0].hexdigest(), s[1]))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,6 +18,31 @@ def missing_columns(df: DataFrame, needed: StructType) -> list[str]:
     return [f.name for f in needed.fields if f.name not in df.columns]
 
 
+#: What a table of intelligence must have, by kind.
+INTEL = {
+    "ip": "ip string, ip_version int, country_code string, whois string, malicious string",
+    "file": "file_id long, sha256_hash string, md5_hash string, malicious string",
+    "repository": "identity_key string, status string, tool_types_json string",
+}
+
+
+def load_intel(spark: SparkSession, folder: str, kind: str) -> tuple[DataFrame | None, str | None]:
+    """A table of intelligence, or None and why it is unavailable: no table, or columns that it lacks.
+
+    Only its schema is read. Columns that are there besides the needed ones don't matter.
+    """
+    try:
+        df = spark.read.parquet(f"{folder}/{kind}")
+    except AnalysisException as e:
+        return None, f"no table: {e.getCondition()}"
+    lacking = missing_columns(df, _parse(spark, INTEL[kind]))
+    return (None, f"missing columns: {', '.join(lacking)}") if lacking else (df.select(*[f.split()[0] for f in INTEL[kind].split(", ")]), None)
+
+
+def _parse(spark: SparkSession, fields: str) -> StructType:
+    return spark.createDataFrame([], fields).schema
+
+
 def nest(child: DataFrame, key: str, columns: list[str], name: str, order: list[Column] | None = None) -> DataFrame:
     """One row for each key with its children as an ordered array of structs, or of values for one column."""
     keyed = F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order or [F.col(c) for c in columns])], F.struct(*columns).alias("child"))
@@ -85,6 +111,42 @@ def lookup_repositories(observed: DataFrame, cards: DataFrame, states: list[str]
     return joined.withColumn("lookup", status).select("identity_key", F.col("lookup").alias("status"), F.when(F.col("lookup") == "hit", F.array_join(parsed, ",")).alias("tool_types"))
 
 
+def nest_file_children(names: DataFrame, tags: DataFrame, lookups: DataFrame, observations: DataFrame) -> DataFrame:
+    """Children of each file as ordered arrays: file_id, file_names, tags, provider_lookups, historical_observations.
+
+    Names and tags by value and source; lookups the newest first, then by provider; observations the newest
+    first, then by path.
+    """
+    down = lambda c: -F.unix_micros(F.col(c).cast("timestamp"))
+    parts = [
+        nest(names, "file_id", ["file_name", "source"], "file_names"), nest(tags, "file_id", ["tag", "source"], "tags"), nest(lookups, "file_id", ["provider", "status", "completed_at"], "provider_lookups", [down("completed_at"), F.col("provider")]),
+        nest(observations, "file_id", ["path", "observed_at"], "historical_observations", [down("observed_at"), F.col("path")]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "file_id", "full_outer")
+    return out
+
+
+def files_of_job(files: DataFrame, observations: DataFrame, job: int) -> DataFrame:
+    """The files that a scan job has observed, each once."""
+    return files.join(observations.where(F.col("scan_job_id") == job).select("file_id").distinct(), "file_id", "left_semi")
+
+
+def needs_enrichment(repositories: DataFrame, current: DataFrame, policy: str) -> DataFrame:
+    """Repositories to enrich: all of them, or by the policy `reuse` those without a current finding."""
+    return repositories.join(current.select("repository_id"), "repository_id", "left_anti") if policy == "reuse" else repositories
+
+
+def all_records(records: dict[str, DataFrame]) -> DataFrame:
+    """Records of several kinds in one table, with their `type`; columns that a kind lacks are null."""
+    out = None
+    for kind, df in records.items():
+        typed = df.withColumn("type", F.lit(kind))
+        out = typed if out is None else out.unionByName(typed, allowMissingColumns=True)
+    return out
+
+
 def lookup_counts(statuses: DataFrame, *groups: str) -> DataFrame:
     """Counters by status."""
     return statuses.groupBy(*groups).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("hit", "miss", "ambiguous", "unavailable", "error")])

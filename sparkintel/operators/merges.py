@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,32 +31,34 @@ def latest(c: Column) -> Column:
     return F.max_by(c, timestamp_key(c))
 
 
-def merge_ip_snapshots(rows: DataFrame) -> DataFrame:
-    """Entities folded in the order of their import: ip, import_seq, country_code, malicious, first_seen, last_updated.
+def merge_ip_snapshots(rows: DataFrame, scalars: tuple[str, ...] = ("country_code",)) -> DataFrame:
+    """Entities after their snapshots in order of import: ip, scalars..., malicious, first_seen, last_updated, n_snapshots.
 
-    A row that is newer than what is there gives its values where it has any, an older one only fills
-    blanks; so the result depends on the order, and the fold keeps it. Verdicts take the greatest,
-    first_seen the least, last_updated the greatest.
+    A row that is newer than all before it gives its values where it has any, an older one only fills
+    blanks. So a value is that of the last row that was newer and had one, else the first that there was.
+    Verdicts take the greatest, first_seen the least, last_updated the greatest.
     """
-    entry = F.struct("import_seq", "last_updated", "country_code")
-    folded = rows.groupBy("ip").agg(
-        F.array_sort(F.collect_list(entry)).alias("entries"), max_verdict(F.col("malicious"), ["Yes", "No"]).alias("malicious"), F.min("first_seen").alias("first_seen"), F.max("last_updated").alias("last_updated"), F.count(F.lit(1)).alias("n_snapshots")
-    )
+    before = F.max("last_updated").over(Window.partitionBy("ip").orderBy("import_seq").rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("newer", F.col("last_updated").isNotNull() & (before.isNull() | (F.col("last_updated") > before)))
     blank = lambda c: F.nullif(c, F.lit(""))
-    start = F.struct(F.lit(None).cast("string").alias("at"), F.lit(None).cast("string").alias("country"))
 
-    def step(acc: Column, row: Column) -> Column:
-        newer = acc["at"].isNull() | (row["last_updated"] > acc["at"])
-        chosen = F.when(newer, F.coalesce(blank(row["country_code"]), blank(acc["country"]))).otherwise(F.coalesce(blank(acc["country"]), blank(row["country_code"])))
-        return F.struct(F.when(newer, row["last_updated"]).otherwise(acc["at"]).alias("at"), chosen.alias("country"))
+    def held(c: str) -> Column:
+        there = blank(F.col(c)).isNotNull()
+        last = F.max_by(c, F.when(F.col("newer") & there, F.col("import_seq")))
+        return F.coalesce(F.when(F.count_if(F.col("newer") & there) > 0, last), F.min_by(c, F.when(there, F.col("import_seq")))).alias(c)
 
-    typed = F.transform("entries", lambda e: F.struct(e["last_updated"].cast("string").alias("last_updated"), e["country_code"].alias("country_code")))
-    return folded.select("ip", F.aggregate(typed, start, step)["country"].alias("country_code"), "malicious", "first_seen", "last_updated", "n_snapshots")
+    return marked.groupBy("ip").agg(
+        *[held(c) for c in scalars], max_verdict(F.col("malicious"), ["Yes", "No"]).alias("malicious"), F.min("first_seen").alias("first_seen"), F.max("last_updated").alias("last_updated"), F.count(F.lit(1)).alias("n_snapshots")
+    )
 
 
 def union_ignore(dst: DataFrame, src: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of dst, and those of src whose key is not there yet (one for each key)."""
-    fresh = src.join(dst.select(*keys), keys, "left_anti")
+    """Rows of dst, and those of src whose key is not there yet (one for each key); null keys are equal."""
+    same = F.lit(True)
+    there = dst.select(*[F.col(k).alias(f"there_{k}") for k in keys])
+    for k in keys:
+        same = same & src[k].eqNullSafe(F.col(f"there_{k}"))
+    fresh = src.join(there, same, "left_anti")
     rest = [c for c in dst.columns if c not in keys]
     if not rest:
         return dst.union(fresh.select(*keys).distinct())
@@ -64,6 +66,13 @@ def union_ignore(dst: DataFrame, src: DataFrame, keys: list[str]) -> DataFrame:
     return dst.unionByName(one.select(*keys, "one.*").select(*dst.columns))
 
 
+def add_versions(dst: DataFrame, src: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Snapshots or source versions of both, one for each key: what is there stays, of new ones the first in the order."""
+    rest = [c for c in dst.columns if c not in keys]
+    first = src.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("one")).select(*keys, "one.*")
+    return union_ignore(dst, first.select(*dst.columns), keys)
+
+
 def merge_first_seen(dst: DataFrame, src: DataFrame, keys: list[str]) -> DataFrame:
     """Set rows of both sides, each with its earliest first_seen."""
     return dst.unionByName(src).groupBy(*keys).agg(F.min("first_seen").alias("first_seen"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkintel.functions.strings import unique_clean
+from sparkintel.operators.exchange import MOST_BYTES, MOST_ITEMS
 from sparkintel.operators.folds import fitting_in_order
-from sparkintel.operators.merges import max_verdict, ranked_verdict
+from sparkintel.operators.merges import max_verdict, ranked_verdict, union_ignore
 
 FILE_VERDICTS = ["yes", "no", "unknown"]
 
@@ -77,6 +79,55 @@ def promote_findings(existing: DataFrame, new: DataFrame) -> DataFrame:
     return fresh.join(top, "repository_id", "left").select(*keys, "seq", (F.coalesce("top", F.lit(0)) + number).alias("version"))
 
 
+def move_pointers(current: DataFrame, findings: DataFrame) -> DataFrame:
+    """The current finding of each repository after new ones: repository_id, finding_id, provenance.
+
+    The newest of the new ones is pointed to, but a deterministic one never replaces one that was enriched.
+    current: repository_id, finding_id, provenance; findings: the same and seq.
+    """
+    last = findings.groupBy("repository_id").agg(F.max_by(F.struct("finding_id", "provenance"), F.struct(F.col("provenance") != "deterministic", "seq")).alias("new"))
+    joined = current.select("repository_id", F.struct("finding_id", "provenance").alias("old")).join(last, "repository_id", "full_outer")
+    moves = F.col("old").isNull() | (F.col("new").isNotNull() & ((F.col("new.provenance") != "deterministic") | (F.col("old.provenance") == "deterministic")))
+    return joined.select("repository_id", F.when(moves, F.col("new")).otherwise(F.col("old")).alias("f")).select("repository_id", "f.*")
+
+
+def replace_remotes(remotes: DataFrame, copies: DataFrame, found: DataFrame) -> DataFrame:
+    """Remotes after a discovery: those of the copies that were found again are replaced by what was found.
+
+    remotes and found: root, path_key, remote, direction, url; copies: root, path_key of what was found.
+    """
+    return remotes.join(copies.select("root", "path_key").distinct(), ["root", "path_key"], "left_anti").unionByName(found.select(*remotes.columns))
+
+
+def append_corrections(corrections: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
+    """Corrections with new ones added: each gets the next id of all and the id of the one of its field before it.
+
+    corrections: id, repository_id, field_path, replacement, rationale, supersedes_id; new: the same without
+    ids, and seq. What `correction_violations` finds wrong is left out.
+    """
+    wrong = correction_violations(new.withColumn("id", F.col("seq")), fields).select(F.col("id").alias("seq")).distinct()
+    good = new.join(wrong, "seq", "left_anti")
+    top = corrections.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    numbered = good.crossJoin(top).withColumn("id", F.col("top") + F.col("seq"))  # one row
+    last = corrections.groupBy("repository_id", "field_path").agg(F.max("id").alias("last"))
+    before = F.lag("id").over(Window.partitionBy("repository_id", "field_path").orderBy("id"))
+    linked = numbered.join(last, ["repository_id", "field_path"], "left").withColumn("supersedes_id", F.coalesce(before, "last"))
+    return corrections.unionByName(linked.select(*corrections.columns))
+
+
+def remap_root(copies: DataFrame, old: str, new: str, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Copies of one root under another, and the event that says so: old_root, new_root, n_copies, at."""
+    moved = copies.withColumn("root", F.when(F.col("root") == old, F.lit(new)).otherwise(F.col("root")))
+    event = copies.where(F.col("root") == old).agg(F.count(F.lit(1)).alias("n_copies")).select(F.lit(old).alias("old_root"), F.lit(new).alias("new_root"), "n_copies", at.alias("at"))
+    return moved, event
+
+
+def apply_children(children: DataFrame, records: DataFrame, column: str, at: Column) -> DataFrame:
+    """Child values of addresses (ip, value, first_seen) with those of provider records (ip, array of values) added where they are new."""
+    told = records.select("ip", F.explode(unique_clean(F.col(f"{column}s"))).alias(column)).distinct().withColumn("first_seen", at)
+    return union_ignore(children, told, ["ip", column])
+
+
 def apply_discovery(copies: DataFrame, found: DataFrame, at: Column) -> DataFrame:
     """Local copies after a discovery: root, path_key, first_seen, last_seen, missing_at.
 
@@ -147,18 +198,34 @@ def quarantine_plan(items: DataFrame, each: int, whole: int) -> DataFrame:
     return fitting_in_order(items, "source", "size", whole, "kept", each)
 
 
-def write_bundle(files: DataFrame, ips: DataFrame, repositories: DataFrame, header: dict[str, Column]) -> DataFrame:
-    """One row: the canonical JSON of a bundle, its SHA-256, and its counts."""
-    lists = {"files": files.agg(F.array_sort(F.collect_set(F.struct("sha256", "md5"))).alias("files")), "ips": ips.agg(F.array_sort(F.collect_set("ip")).alias("ips")), "repositories": repositories.agg(F.array_sort(F.collect_set("identity_key")).alias("repositories"))}
-    joined = lists["files"].crossJoin(lists["ips"]).crossJoin(lists["repositories"])  # one row each
-    counts = F.struct(*[F.size(n).alias(n) for n in lists])
-    body = F.to_json(F.struct(counts.alias("counts"), "files", "ips", "repositories", *[v.alias(k) for k, v in sorted(header.items())]))
-    return joined.select(body.alias("body"), F.sha2(body, 256).alias("sha256"), *[F.size(n).cast("long").alias(f"n_{n}") for n in lists])
+def write_bundle(files: DataFrame, ips: DataFrame, repositories: DataFrame, header: dict[str, Column], most: int = MOST_ITEMS, spread: int | None = None) -> DataFrame:
+    """Bundles of indicators as canonical JSON: bundle, body, sha256, n_files, n_ips, n_repositories.
+
+    Indicators are distinct and sorted in each list. They are dealt by hash over as many bundles as keep
+    each below `most` items (or over `spread`), so that a bundle, which is one row, is bounded. One that
+    still passes the limits of items or bytes is refused when it is made.
+    """
+    as_row = lambda df, kind, value, body: df.select(F.lit(kind).alias("kind"), value.alias("value"), body.alias("body")).distinct()
+    items = as_row(files, "files", F.col("sha256"), F.to_json(F.struct("md5", "sha256"), {"ignoreNullFields": "false"})).union(as_row(ips, "ips", F.col("ip"), F.to_json(F.array("ip"))))
+    items = items.union(as_row(repositories, "repositories", F.col("identity_key"), F.to_json(F.struct(F.concat(F.lit("https://"), F.col("identity_key")).alias("canonical_url"), "identity_key"))))
+    many = spread or -(-items.count() * 5 // (4 * most)) or 1
+    dealt = items.withColumn("bundle", F.pmod(F.xxhash64("value"), F.lit(many)).cast("int"))
+    one = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("value", "body"))))
+    lists = dealt.groupBy("bundle").agg(*[one(k).alias(k) for k in ("files", "ips", "repositories")])
+    bare = lambda x: F.substr(x["body"], F.lit(2), F.length(x["body"]) - 2)  # noqa: E731  without the brackets
+    text = {k: F.concat(F.lit("["), F.array_join(F.transform(k, bare if k == "ips" else lambda x: x["body"]), ","), F.lit("]")) for k in ("files", "ips", "repositories")}
+    counts = F.to_json(F.struct(*[F.size(k).alias(k) for k in ("files", "ips", "repositories")]))
+    parts = {"counts": counts, **text, **{k: F.to_json(F.array(v)) for k, v in header.items()}}
+    body = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), F.substr(v, F.lit(2), F.length(v) - 2) if k in header else v) for k, v in sorted(parts.items())]), F.lit("}"))
+    out = lists.select("bundle", body.alias("body"), *[F.size(k).cast("long").alias(f"n_{k}") for k in ("files", "ips", "repositories")])
+    fits = (F.col("n_files") + F.col("n_ips") + F.col("n_repositories") <= most) & (F.octet_length("body") <= MOST_BYTES)
+    return out.select("bundle", F.when(fits, F.col("body")).otherwise(F.raise_error(F.lit("a bundle passes its limits"))).alias("body"), "n_files", "n_ips", "n_repositories").withColumn("sha256", F.sha2("body", 256))
 
 
 def read_bundle(bundles: DataFrame) -> DataFrame:
-    """ips and repositories of bundles (bundle_id, body, sha256) whose checksum and counts are right."""
-    schema = "struct<counts:struct<files:int,ips:int,repositories:int>,ips:array<string>,repositories:array<string>>"
+    """files, ips and keys of repositories of bundles (bundle_id, body, sha256) whose checksum and counts are right."""
+    schema = "struct<counts:struct<files:int,ips:int,repositories:int>,files:array<struct<sha256:string,md5:string>>,ips:array<string>,repositories:array<struct<identity_key:string>>>"
     good = bundles.where(F.sha2("body", 256) == F.col("sha256")).select("bundle_id", F.from_json("body", schema).alias("b"))
-    return good.where("size(b.ips) = b.counts.ips AND size(b.repositories) = b.counts.repositories").select("bundle_id", "b.ips", "b.repositories")
+    right = good.where("size(b.files) = b.counts.files AND size(b.ips) = b.counts.ips AND size(b.repositories) = b.counts.repositories")
+    return right.select("bundle_id", "b.ips", F.col("b.repositories.identity_key").alias("repositories"), F.col("b.files.sha256").alias("files"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from sparkintel.functions.addresses import canonical_ip, ip_version, order_key
 from sparkintel.functions.strings import is_safe_member
+from sparkintel.operators.folds import running_digest
 
 ARCHIVE_SUFFIXES = (".tar.gz", ".tgz", ".zip")
+#: Bytes of members that are held at once, but for a single larger one.
+FRAME_BYTES = 16 << 20
 
 
 def eligible(path: Column, max_depth: int | None = None, include_hidden: bool = True, name_only: bool = False) -> Column:
@@ -62,9 +65,30 @@ def inventory_violations(rows: DataFrame, most: int = 200_000) -> DataFrame:
 
 
 def manifest_digest(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One digest for each key over its sorted rows; rows are hashed where they lie, only hashes are gathered."""
+    """One digest for each key over its sorted rows; rows are hashed where they lie, and hashes read as a stream."""
     line = F.sha2(F.to_json(F.struct(*columns)), 256)
-    return rows.select(key, line.alias("line")).groupBy(key).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), ""), 256).alias("digest"))
+    return running_digest(rows.select(key, line.alias("line")), [key], F.col("line")).select(key, "digest")
+
+
+def replay(captures: DataFrame, manifests: DataFrame, files: DataFrame, capture_id: str, analyse: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The analysis of a retained capture again, with today's intelligence.
+
+    captures: capture_id, status, digest; manifests: capture_id, path, type, size, sha256; files: path,
+    content. Only a capture that is ready and whose manifest still has its digest is analysed, and only if
+    every file of it is there unchanged.
+    """
+    row = captures.where(F.col("capture_id") == capture_id).limit(2).collect()
+    own = manifests.where(F.col("capture_id") == capture_id)
+    if len(row) != 1 or row[0]["status"] != "ready":
+        raise ValueError(f"{capture_id} is no ready capture")
+    told = manifest_digest(own, "capture_id", ["path", "type", "size", "sha256"]).first()
+    if told is None or told["digest"] != row[0]["digest"]:
+        raise ValueError(f"the manifest of {capture_id} has changed")
+    hashed = files.select("path", "content", F.sha2("content", 256).alias("found"))
+    joined = own.where("type = 'file'").select("path", "sha256").join(hashed, "path", "left")
+    if odd := joined.where("found IS NULL OR found <> sha256").select("path").limit(1).collect():
+        raise ValueError(f"{odd[0]['path']} is not what the manifest says")
+    return analyse(joined.select("path", "content"))
 
 
 def is_archive(path: Column) -> Column:
@@ -135,17 +159,24 @@ def expand_archives(files: DataFrame, max_files: int = 200_000, max_bytes: int =
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = list(members(path, bytes(content)))
+                # By size, so that of a large archive only some members are held at once.
+                rows, held = [], 0
+                for row in nested(path, bytes(content), max_depth):
+                    rows.append(row)
+                    held += len(row[1] or b"")
+                    if held >= FRAME_BYTES:
+                        yield pd.DataFrame(rows, columns=["path", "content", "error"])
+                        rows, held = [], 0
                 yield pd.DataFrame(rows, columns=["path", "content", "error"])
 
-    schema = "path string, content binary, error string"
-    level = files.where(is_archive(F.col("path"))).select("path", "content")
-    out = None
-    for _ in range(max_depth):
-        found = level.mapInPandas(work, schema)
-        out = found if out is None else out.union(found)
-        level = found.where(F.col("error").isNull() & is_archive(F.col("path"))).select("path", "content")
-    return out
+    def nested(path: str, content: bytes, depth: int) -> Iterator[tuple[str, bytes | None, str | None]]:
+        for row in members(path, content):
+            yield row
+            if depth > 1 and row[1] is not None and row[0].lower().endswith(ARCHIVE_SUFFIXES):
+                yield from nested(row[0], row[1], depth - 1)
+
+    archives = files.where(is_archive(F.col("path"))).select("path", "content")
+    return archives.mapInPandas(work, "path string, content binary, error string")
 
 
 def read_ip_tuples(lines: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -57,9 +58,13 @@ class RequestQueue(StatefulProcessor):
     not even that. So any order of arrival of one source gives one state.
     """
 
+    def __init__(self, remember: timedelta | None = None):
+        self.remember = remember
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.item = handle.getValueState("item", "source string, seq long, requests long")
-        self.seen = handle.getMapState("seen", "source string, seq long", "one boolean")
+        # What was seen is forgotten after a while where the stream says so, so that state does not grow for ever.
+        self.seen = handle.getMapState("seen", "source string, seq long", "one boolean", None if self.remember is None else int(self.remember.total_seconds() * 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         source, seq, requests = self.item.get() if self.item.exists() else (None, None, 0)
@@ -77,14 +82,129 @@ class RequestQueue(StatefulProcessor):
         pass
 
 
-def queue_stream(requests: DataFrame) -> DataFrame:
-    """The state of each identity after every batch; needs the RocksDB state store."""
-    return requests.groupBy("identity").transformWithStateInPandas(RequestQueue(), "identity long, last_source string, last_seq long, request_count long", "update", "none")
+def queue_stream(requests: DataFrame, remember: timedelta | None = None) -> DataFrame:
+    """The state of each identity after every batch; needs the RocksDB state store.
+
+    A request that comes again counts once for as long as it is remembered, or for ever.
+    """
+    mode = "none" if remember is None else "processingTime"
+    return requests.groupBy("identity").transformWithStateInPandas(RequestQueue(remember), "identity long, last_source string, last_seq long, request_count long", "update", mode)
+
+
+EVENTS = "identity string, kind string, at timestamp, source string, seq long, lease_token string, lease_until timestamp, outcome string, retry_after_seconds long"
+TOLD = "identity string, at timestamp, status string, last_source string, last_seq long, request_count long, attempts long, lease_token string, next_eligible_at timestamp, why string"
+
+
+class LeasedQueue(StatefulProcessor):
+    """A request item with its lease and its waits: takes requests, leases and outcomes, and tells each change.
+
+    A newer request makes the item pending and ends its lease and, unless it was rate limited, its wait. A
+    lease holds until its end, an outcome counts only with the lease's token. A lease that nobody ends and
+    a wait that is over are told by timers.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.item = handle.getValueState("item", "source string, seq long, requests long, status string, last_outcome string, attempts long, lease_token string, lease_until timestamp, next_eligible_at timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        item = list(self.item.get()) if self.item.exists() else None
+        told = []
+        for row in pd.concat(rows).sort_values(["at", "kind", "seq"]).itertuples():
+            if row.kind == "request":
+                item, why = self._request(item, row)
+            elif item is None:
+                continue
+            elif row.kind == "lease":
+                item, why = self._lease(item, row)
+            else:
+                item, why = self._outcome(item, row)
+            if why:
+                told.append(self._row(key[0], row.at, item, why))
+        if item is not None:
+            self.item.update(tuple(item))
+            for at in (item[7], item[8]):
+                if at is not None:
+                    self.handle.registerTimer(int(at.timestamp() * 1000))
+        yield pd.DataFrame(told, columns=[f.split()[0] for f in TOLD.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due, told = expiredTimerInfo.getExpiryTimeInMs(), []
+        if self.item.exists():
+            item = list(self.item.get())
+            at = pd.Timestamp(due, unit="ms")
+            if item[3] == "leased" and item[7] is not None and item[7].timestamp() * 1000 <= due:
+                item[3], item[6], item[7] = "pending", None, None
+                told.append(self._row(key[0], at, item, "lease over"))
+            elif item[3] == "pending" and item[8] is not None and item[8].timestamp() * 1000 <= due:
+                item[8] = None
+                told.append(self._row(key[0], at, item, "wait over"))
+            self.item.update(tuple(item))
+        yield pd.DataFrame(told, columns=[f.split()[0] for f in TOLD.split(", ")])
+
+    @staticmethod
+    def _request(item, row):
+        if item is None:
+            return [row.source, int(row.seq), 1, "pending", None, 0, None, None, None], "new"
+        item[2] += 1
+        if item[0] == row.source and row.seq <= item[1]:
+            return item, "counted"
+        item[0], item[1], item[3], item[6], item[7] = row.source, int(row.seq), "pending", None, None
+        if item[4] != "rate_limited":
+            item[8] = None
+        return item, "asked again"
+
+    @staticmethod
+    def _lease(item, row):
+        busy = (item[7] is not None and item[7] > row.at) or (item[8] is not None and item[8] > row.at)
+        if item[3] == "resolved" or busy:
+            return item, None
+        item[3], item[6], item[7] = "leased", row.lease_token, row.lease_until.to_pydatetime()
+        return item, "leased"
+
+    @staticmethod
+    def _outcome(item, row):
+        if item[3] != "leased" or item[6] != row.lease_token:
+            return item, None
+        wait = None
+        if row.outcome != "success":
+            base = 3600 if row.outcome in ("not_found", "rate_limited") else 300
+            wait = min(86_400, base << min(item[5], 8)) if pd.isna(row.retry_after_seconds) else int(row.retry_after_seconds)
+        item[3], item[4], item[5] = "resolved" if wait is None else "pending", row.outcome, item[5] + 1
+        item[6], item[7], item[8] = None, None, None if wait is None else (row.at + pd.Timedelta(seconds=wait)).to_pydatetime()
+        return item, row.outcome
+
+    @staticmethod
+    def _row(key, at, item, why):
+        return (key, at, item[3], item[0], item[1], item[2], item[5], item[6], item[8], why)
+
+    def close(self) -> None:
+        pass
+
+
+def leased_queue(events: DataFrame) -> DataFrame:
+    """Every change of every item, by the events of EVENTS (kind: request, lease, outcome); needs the RocksDB state store."""
+    return events.groupBy("identity").transformWithStateInPandas(LeasedQueue(), TOLD, "append", "processingTime")
+
+
+def pause_stream(changes: DataFrame) -> DataFrame:
+    """Until when rate limits pause all items: one row, which only ever moves on. changes: rows of TOLD."""
+    return changes.where("why = 'rate_limited'").groupBy(F.lit("all").alias("scope")).agg(F.max("next_eligible_at").alias("paused_until"))
+
+
+def unit_stream(stream: DataFrame, root: str, depth: int, watermark: str | None = None) -> DataFrame:
+    """Directories at a depth below a root, each once as files of them arrive: root, unit, depth, status."""
+    below = F.substring_index(F.col("path"), f"{root.rstrip('/')}/", -1)
+    parts = F.split(below, "/")
+    kept = stream if watermark is None else stream.withWatermark("modificationTime", watermark)
+    units = kept.where(F.contains("path", F.lit(f"{root.rstrip('/')}/")) & (F.size(parts) > depth)).withColumn("unit", F.array_join(F.slice(parts, 1, depth), "/"))
+    one = units.dropDuplicates(["unit"]) if watermark is None else units.dropDuplicatesWithinWatermark(["unit"])
+    return one.select(F.lit(root).alias("root"), "unit", F.lit(depth).alias("depth"), F.lit("pending").alias("status"))
 
 
-def once(stream: DataFrame, key: str) -> DataFrame:
-    """Rows of keys that were not seen before."""
-    return stream.dropDuplicates([key])
+def once(stream: DataFrame, key: str, at: str | None = None, watermark: str | None = None) -> DataFrame:
+    """Rows of keys that were not seen before; within the watermark of a time column where one is given, which bounds the state."""
+    return stream.dropDuplicates([key]) if watermark is None else stream.withWatermark(at, watermark).dropDuplicatesWithinWatermark([key])
 
 
 def run_once(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> None:
