@@ -72,12 +72,11 @@ def current_findings(spark, sf_dir):
     return merges.current_findings(e.select(F.col("user_id").alias("repository_id"), F.col("event_id").alias("finding_id"), F.col("ts").alias("created_at"), (F.col("event_id") % 2 == 0).alias("is_dst")))
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+@query("WITH f AS (SELECT user_id * 100 + event_id % 30 AS finding_id, bool_or(event_type = 'error') AS broken FROM events GROUP BY 1) SELECT finding_id FROM f WHERE NOT broken")
 def complete_findings(spark, sf_dir):
-    """Findings (users) none of whose evidence (events) cites a missing version (errors)."""
-    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("finding_id"), F.col("event_type").alias("source_version_id"))
-    kept = merges.complete_findings(e.select("finding_id").distinct(), e, e.where("source_version_id <> 'error'").select("source_version_id").distinct())
-    return kept.select(F.col("finding_id").alias("user_id"))
+    """Findings (users, in thirty parts) none of whose evidence (events) cites a missing version (errors)."""
+    e = read(spark, sf_dir, "events").select((F.col("user_id") * 100 + F.col("event_id") % 30).alias("finding_id"), F.col("event_type").alias("source_version_id"))
+    return merges.complete_findings(e.select("finding_id").distinct(), e, e.where("source_version_id <> 'error'").select("source_version_id").distinct())
 
 
 @query("SELECT event_id % 1000 AS k, min(event_id) AS v FROM events WHERE event_type = 'view' GROUP BY 1 UNION ALL SELECT event_id % 1000, min(event_id) FROM events WHERE event_type = 'click' AND event_id % 1000 NOT IN (SELECT event_id % 1000 FROM events WHERE event_type = 'view') GROUP BY 1")
@@ -139,33 +138,61 @@ def bm25_top(spark, sf_dir):
 
 
 def _rules(spark, sf_dir):
-    """Rules whose literals are passages of benchmark items: any of two halves, or both."""
-    b = read(spark, sf_dir, "benchmark").select("item_id", "text")
-    half = b.select("item_id", F.substring("text", 1, 40).alias("p1"), F.substring("text", 41, 40).alias("p2"))
-    rows = half.select(F.concat(F.lit("ns"), (F.col("item_id") % 3).cast("string")).alias("namespace"), F.concat(F.lit("r"), F.col("item_id").cast("string")).alias("rule"), F.when(F.col("item_id") % 2 == 0, "any").otherwise("all").alias("condition"), F.explode(F.array(F.struct(F.lit("a").alias("pattern_id"), F.col("p1").alias("pattern")), F.struct(F.lit("b").alias("pattern_id"), F.col("p2").alias("pattern")))).alias("x"))
-    return rows.select("namespace", "rule", "condition", "x.*").where("length(pattern) >= 10")
+    """A rule for each benchmark item, its whole text in literals of 40 characters: any of them, or all."""
+    b = read(spark, sf_dir, "benchmark").where("length(text) > 0")
+    pieces = b.select("item_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 40))).alias("k"))
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    rows = pieces.select(name("ns", F.col("item_id") % 3).alias("namespace"), name("r", F.col("item_id")).alias("rule"), name("p", F.col("k")).alias("pattern_id"), F.substr("text", F.col("k") * 40 + 1, F.lit(40)).alias("pattern"), F.when(F.col("item_id") % 2 == 0, "any").otherwise("all").alias("condition"))
+    return rows.where("length(pattern) >= 10")
 
 
-@query(
-    """WITH p AS (SELECT item_id, 'a' AS pid, substr(text, 1, 40) AS pattern FROM benchmark UNION ALL SELECT item_id, 'b', substr(text, 41, 40) FROM benchmark),
+_RULES = """
+    p AS (SELECT item_id, substr(text, 1 + 40 * CAST(k AS BIGINT), 40) AS pattern FROM (SELECT item_id, text, unnest(range((length(text) + 39) // 40)) AS k FROM benchmark WHERE length(text) > 0)),
     q AS (SELECT * FROM p WHERE length(pattern) >= 10),
-    m AS (SELECT doc_id, item_id, count(*) AS n, min(strpos(text, pattern) - 1) AS first_offset FROM documents JOIN q ON contains(text, pattern) GROUP BY doc_id, item_id)
-    SELECT doc_id, 'ns' || (m.item_id % 3) AS namespace, 'r' || m.item_id AS rule, first_offset FROM m JOIN (SELECT item_id, count(*) AS k FROM q GROUP BY item_id) w USING (item_id) WHERE n >= CASE WHEN m.item_id % 2 = 0 THEN 1 ELSE k END"""
-)
+    h AS (SELECT doc_id, pattern, strpos(text, pattern) - 1 AS place FROM documents JOIN (SELECT DISTINCT pattern FROM q) ON contains(text, pattern)),
+    m AS (SELECT doc_id, item_id, count(*) AS n, min(place) AS first_offset FROM h JOIN q USING (pattern) GROUP BY doc_id, item_id),
+    found AS (SELECT doc_id, m.item_id, first_offset FROM m JOIN (SELECT item_id, count(*) AS k FROM q GROUP BY item_id) w ON w.item_id = m.item_id WHERE n >= CASE WHEN m.item_id % 2 = 0 THEN 1 ELSE k END)"""
+
+
+@query(f"WITH {_RULES} SELECT doc_id, 'ns' || (item_id % 3) AS namespace, 'r' || item_id AS rule, first_offset FROM found")
 def signature_matches(spark, sf_dir):
+    """Rules of literals in all documents."""
     return signatures.match_signatures(read(spark, sf_dir, "documents"), "doc_id", "text", _rules(spark, sf_dir)).drop("n_strings")
 
 
-@query(
-    """WITH p AS (SELECT item_id, substr(text, 1, 40) AS pattern FROM benchmark), m AS (SELECT DISTINCT doc_id, item_id FROM documents JOIN p ON contains(text, pattern) WHERE length(pattern) >= 10)
-    SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT 't' || (item_id % 3), ',' ORDER BY 't' || (item_id % 3)) AS tags FROM m GROUP BY doc_id"""
-)
+@query(f"WITH {_RULES} SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT 't' || (item_id % 3), ',' ORDER BY 't' || (item_id % 3)) AS tags FROM found GROUP BY doc_id")
 def match_summary(spark, sf_dir):
-    rules = _rules(spark, sf_dir).where("pattern_id = 'a'").withColumn("condition", F.lit("any"))
-    found = signatures.match_signatures(read(spark, sf_dir, "documents"), "doc_id", "text", rules)
+    found = signatures.match_signatures(read(spark, sf_dir, "documents"), "doc_id", "text", _rules(spark, sf_dir))
     return signatures.match_summary(found.withColumn("tags", F.array(F.concat(F.lit("t"), F.substring("namespace", 3, 1)))), "doc_id", "tags")
 
 
+@query(
+    r"""WITH r AS (SELECT * FROM (VALUES ('mail', 'any', '[a-z]+@[a-z0-9.]+'), ('keys', 'all', 'token = "[0-9a-f]{8}'), ('keys', 'all', '[0-9a-f]{32}'), ('years', '1', '(19|20)[0-9]{2}'), ('years', '1', 'the [A-Z]')) AS v(rule, condition, pattern)),
+    h AS (SELECT doc_id, rule, condition, pattern, len(regexp_extract_all(text, pattern)) AS times FROM documents, r WHERE regexp_matches(text, pattern)),
+    m AS (SELECT doc_id, rule, any_value(condition) AS condition, count(*) AS n, sum(times) AS n_strings FROM h GROUP BY doc_id, rule)
+    SELECT doc_id, rule, CAST(n_strings AS BIGINT) AS n_strings FROM m WHERE n >= CASE WHEN condition = 'all' THEN 2 ELSE 1 END"""
+)
+def regex_matches(spark, sf_dir):
+    """Rules of regular expressions in all documents."""
+    rows = [("ns", "mail", "a", "[a-z]+@[a-z0-9.]+", "any", "regex"), ("ns", "keys", "a", 'token = "[0-9a-f]{8}', "all", "regex"), ("ns", "keys", "b", "[0-9a-f]{32}", "all", "regex"), ("ns", "years", "a", "(19|20)[0-9]{2}", "1", "regex"), ("ns", "years", "b", "the [A-Z]", "1", "regex")]
+    rules = spark.createDataFrame(rows, "namespace string, rule string, pattern_id string, pattern string, condition string, kind string")
+    return signatures.match_signatures(read(spark, sf_dir, "documents"), "doc_id", "text", rules).select("doc_id", "rule", "n_strings")
+
+
+@query(
+    f"""WITH {_RULES} SELECT 'documents/' || doc_id AS file_path, sha256(text) AS sha256, md5(text) AS md5, 'r' || item_id AS rule, 'ns' || (item_id % 3) AS namespace, '["t' || (item_id % 3) || '"]' AS tags, '{{"item":"' || item_id || '"}}' AS meta,
+    '[{{"identifier":"$a","offset":' || first_offset || '}}]' AS strings FROM found JOIN documents USING (doc_id)"""
+)
+def match_report_rows(spark, sf_dir):
+    """What the report of a scan has for each file and rule, its nested columns as JSON."""
+    d = read(spark, sf_dir, "documents")
+    found = signatures.match_signatures(d, "doc_id", "text", _rules(spark, sf_dir))
+    path = F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path")
+    item = F.substring("rule", 2, 20)
+    matches = found.select(path, "namespace", "rule", F.array(F.concat(F.lit("t"), F.substring("namespace", 3, 1))).alias("tags"), F.create_map(F.lit("item"), item).alias("meta"), F.array(F.struct(F.lit("$a").alias("identifier"), F.col("first_offset").alias("offset"))).alias("strings"))
+    return signatures.match_rows(d.select(path, F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5")), matches)
+
+
 def _requests(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("identity"), F.concat(F.lit("s"), (F.col("event_id") % 2).cast("string")).alias("source"), (F.col("event_id") * 7919 % 1009).alias("seq"), F.col("event_id").alias("import_seq"))
@@ -240,9 +267,14 @@ def budget_usage(spark, sf_dir):
     return exchange.budget_usage(ledger)
 
 
-@query()
+@query(
+    """WITH RECURSIVE i AS (SELECT user_id % 20 AS run_id, event_id AS id, event_id % 100 AS cost, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS n FROM events),
+    f AS (SELECT run_id, CAST(-1 AS BIGINT) AS id, CAST(0 AS BIGINT) AS cost, CAST(0 AS BIGINT) AS n, false AS admitted, CAST(0 AS BIGINT) AS used FROM i WHERE n = 1
+          UNION ALL SELECT i.run_id, i.id, i.cost, i.n, used + i.cost <= 5000, used + CASE WHEN used + i.cost <= 5000 THEN i.cost ELSE 0 END FROM f JOIN (SELECT *, n - 1 AS prior FROM i) i ON i.run_id = f.run_id AND i.prior = f.n)
+    SELECT run_id, id, cost, admitted FROM f WHERE n > 0"""
+)
 def budget_admission(spark, sf_dir):
-    """Each decision needs the one before, so that SQL would be a recursion over all events of a run."""
+    """Requests that fit the cost of their run; each decision needs the one before."""
     return exchange.admit(read(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("run_id"), F.col("event_id").alias("id"), (F.col("event_id") % 100).alias("cost")), 5000)
 
 
@@ -265,9 +297,13 @@ def rule_namespaces(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", strings.rule_namespace(F.col("source"), F.concat(F.lit("p/"), F.col("doc_id").cast("string"), F.lit(".yar"))).alias("namespace"))
 
 
-@query("SELECT adapter, CASE WHEN count(*) FILTER (severity = 'failed') > 0 THEN 'failed' WHEN count(code) > 0 THEN 'degraded' ELSE 'success' END AS state, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS codes FROM (SELECT unnest(['a0', 'a1', 'a2', 'a3', 'a9']) AS adapter) LEFT JOIN (SELECT 'a' || (user_id % 4) AS adapter, CASE WHEN user_id % 4 = 1 THEN 'failed' ELSE 'warning' END AS severity, 'c' || (event_id % 40 + 10) AS code FROM events WHERE event_type = 'error' AND event_id % 40 < 30) USING (adapter) GROUP BY adapter")
+@query(
+    """WITH e AS (SELECT 'a' || (user_id % 4) AS adapter, CASE WHEN user_id % 4 = 1 THEN 'failed' ELSE 'warning' END AS severity, 'c' || (event_id % 40 + 10) AS code FROM events WHERE event_type = 'error')
+    SELECT a.adapter, CASE WHEN bool_or(severity = 'failed') THEN 'failed' WHEN count(code) > 0 THEN 'degraded' ELSE 'success' END AS state, coalesce(array_to_string(list_sort(list(DISTINCT code))[1:32], ','), '') AS codes
+    FROM (SELECT unnest(['a0', 'a1', 'a2', 'a3', 'a9']) AS adapter) a LEFT JOIN e ON e.adapter = a.adapter GROUP BY a.adapter"""
+)
 def adapter_states(spark, sf_dir):
-    """The first 32 codes of each adapter. The SQL reads only 30 codes and has no limit."""
+    """The state of each adapter and the first 32 of its codes."""
     e = read(spark, sf_dir, "events").where("event_type = 'error'")
     errors = e.select(F.concat(F.lit("a"), (F.col("user_id") % 4).cast("string")).alias("adapter"), F.when(F.col("user_id") % 4 == 1, "failed").otherwise("warning").alias("severity"), F.concat(F.lit("c"), (F.col("event_id") % 40 + 10).cast("string")).alias("code"))
     return lookups.adapter_status(errors, ["a0", "a1", "a2", "a3", "a9"])

@@ -127,9 +127,11 @@ def ip_singularities(spark, sf_dir):
     return indicators.singular_files(event_ips(spark, sf_dir), ["user_id"], "ip", 3)
 
 
-@query(f"WITH e AS ({_EVENT_IPS}) SELECT event_id, ip FROM e WHERE user_id NOT IN (SELECT user_id FROM e GROUP BY user_id HAVING count(DISTINCT ip) > 3)")
+@query(f"WITH e AS (SELECT *, event_id % 17 AS part FROM ({_EVENT_IPS})) SELECT event_id, ip FROM e WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.user_id = e.user_id AND x.part = e.part GROUP BY x.user_id HAVING count(DISTINCT x.ip) > 3)")
 def ip_observations_without_singular(spark, sf_dir):
-    return indicators.without_singular(event_ips(spark, sf_dir), ["user_id"], "ip", 3).select("event_id", "ip")
+    """Observations of the files (users, in seventeen parts) that have three addresses at most."""
+    e = event_ips(spark, sf_dir).withColumn("part", F.col("event_id") % 17)
+    return indicators.without_singular(e, ["user_id", "part"], "ip", 3).select("event_id", "ip")
 
 
 @query(
@@ -156,7 +158,18 @@ def last_observation(spark, sf_dir):
 _KEY = "'github.com/owner' || source || '/repo-' || (doc_id % 50)"
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN {_KEY} END AS strict_key, CASE WHEN doc_id % 5 < 3 THEN {_KEY} END AS lenient_key FROM documents")
+_PART = "[A-Za-z0-9][A-Za-z0-9_.-]{0,99}"
+_URL = """'Owner' || source AS o, 'repo-' || (doc_id % 50) AS r"""
+_SPELLED = "CASE doc_id % 5 WHEN 0 THEN 'https://github.com/' || o || '/' || r || '.git' WHEN 1 THEN 'git@github.com:' || o || '/' || r WHEN 2 THEN 'ssh://git@github.com:22/' || o || '/' || r || '.git' WHEN 3 THEN 'github.com/' || o || '/' || r || '/' ELSE 'https://github.com/' || o || '/' || r || '/issues' END"
+_STRICT_FORM = f"(?:https?://github[.]com/|git@github[.]com:|ssh://git@github[.]com(?::[0-9]{{1,5}})?/|github[.]com/)({_PART})/({_PART}?)(?:[.]git)?/?"
+_LENIENT_FORM = f"(?:https?://github[.]com/|git@github[.]com:|ssh://git@github[.]com(?::(?:22|80|443))?/)({_PART})/({_PART}?)(?:[.]git)?/?"
+
+
+def _keyed(form: str) -> str:
+    return f"CASE WHEN regexp_full_match(url, '{form}') THEN lower('github.com/' || regexp_extract(url, '^{form}$', 1) || '/' || regexp_extract(url, '^{form}$', 2)) END"
+
+
+@query(f"WITH n AS (SELECT doc_id, {_URL} FROM documents), u AS (SELECT doc_id, {_SPELLED} AS url FROM n) SELECT doc_id, {_keyed(_STRICT_FORM)} AS strict_key, {_keyed(_LENIENT_FORM)} AS lenient_key FROM u")
 def repository_keys(spark, sf_dir):
     urls = repository_urls(spark, sf_dir)
     return urls.select("doc_id", repository_key(F.col("url")).alias("strict_key"), repository_key_lenient(F.col("url")).alias("lenient_key"))
@@ -277,10 +290,11 @@ def completed_by_all(spark, sf_dir):
     return versions.is_completed(e, "user_id", ["view", "click", "purchase"])
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'click'")
+@query("SELECT user_id, event_id % 40 AS unit FROM events WHERE event_type = 'view' EXCEPT SELECT user_id, event_id % 40 FROM events WHERE event_type = 'click'")
 def new_units(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    return versions.new_units(e.where("event_type = 'view'"), e.where("event_type = 'click'"), ["user_id"])
+    """Units (users, in forty parts) that are there and not known."""
+    e = read(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 40).alias("unit"), "event_type")
+    return versions.new_units(e.where("event_type = 'view'"), e.where("event_type = 'click'"), ["user_id", "unit"])
 
 
 @query("WITH c AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view') SELECT user_id FROM c WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click') OR user_id IN (SELECT user_id FROM events WHERE event_type = 'error')")

@@ -90,17 +90,13 @@ def item_transitions(spark, sf_dir):
     return after.select("user_id", F.when(F.col("state") == "running", "view").otherwise(F.col("state")).alias("state"), "attempts")
 
 
-@query(f"WITH i AS (SELECT DISTINCT ip FROM ({_EVENT_IPS}) WHERE user_id % 50 = 0) SELECT 1 AS bundles, count(*) AS n_ips, 0 AS n_files FROM i")
-def bundle_counts(spark, sf_dir):
-    """A bundle of the missing addresses of some users, written and counted."""
-    ips = event_ips(spark, sf_dir).where("user_id % 50 = 0").select("ip")
-    none = spark.createDataFrame([], "sha256 string, md5 string, identity_key string")
-    bundle = stores.write_bundle(none.select("sha256", "md5"), ips, none.select("identity_key"), {"schema_version": F.lit(1)})
-    return bundle.select(F.lit(1).cast("int").alias("bundles"), "n_ips", F.col("n_files").cast("int").alias("n_files"))
-
-
-@query()
+@query(
+    """WITH RECURSIVE i AS (SELECT event_type || '/' || (user_id % 30) AS source, event_id AS id, event_id % 1200 AS size, row_number() OVER (PARTITION BY event_type || '/' || (user_id % 30) ORDER BY event_id) AS n FROM events),
+    f AS (SELECT source, CAST(-1 AS BIGINT) AS id, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS n, false AS kept, CAST(0 AS BIGINT) AS used FROM i WHERE n = 1
+          UNION ALL SELECT i.source, i.id, i.size, i.n, i.size <= 1000 AND used + i.size <= 50000, used + CASE WHEN i.size <= 1000 AND used + i.size <= 50000 THEN i.size ELSE 0 END FROM f JOIN (SELECT *, n - 1 AS prior FROM i) i ON i.source = f.source AND i.prior = f.n)
+    SELECT source, id, size, kept FROM f WHERE n > 0"""
+)
 def quarantined_items(spark, sf_dir):
-    """Each decision needs the one before; see the tests for the fold."""
+    """Items that fit the budgets of their source; each decision needs the one before."""
     items = read(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("id"), (F.col("event_id") % 1200).alias("size"), "user_id")
     return stores.quarantine_plan(items.select(F.concat_ws("/", "event_type", (F.col("user_id") % 30).cast("string")).alias("source"), "id", "size"), 1000, 50_000)

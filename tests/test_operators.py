@@ -1,9 +1,10 @@
 import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from sparkintel.operators import exchange, indicators, lookups, merges
+from sparkintel.operators import exchange, indicators, lookups, merges, signatures
 from sparkintel.operators.signatures import attach_provenance, cap_strings, match_signatures
 
 
@@ -102,3 +103,78 @@ def test_signatures(spark):
     assert kept.count() == 0 and sorted(r["id"] for r in errors.collect()) == [1, 2]
     strings = spark.createDataFrame([(1, "$b", 5), (1, "$a", 5), (1, "$c", 1)], "m int, identifier string, offset long")
     assert [(r["identifier"], r["truncated"]) for r in cap_strings(strings, ["m"], 2).orderBy("place").collect()] == [("$c", True), ("$a", True)]
+
+
+def test_signatures_of_any_form(spark):
+    """Literals with and without inner words, short, spaced and odd ones, and regular expressions, against brute force."""
+    rng = random.Random(4)
+    pieces = ["ab", "needle", " in a haystack ", r"x\E.y", "  ", "\n", "q", "tail end", "zz top", "(", "é"]
+    texts = [(k, "".join(rng.choice(pieces) for _ in range(rng.randrange(12)))) for k in range(60)] + [(60, None), (61, "")]
+    literals = ["ab", "needle in a", " a haystack n", r"\E", r"x\E.y", " ", "q(", "need", "e", "top", "tail end tail", "b\n", "in a haystack  in"]
+    rules = [("ns", f"r{k}", "a", p, "any") for k, p in enumerate(literals)] + [("ns", "two", "a", "needle", "all"), ("ns", "two", "b", "zz top", "all"), ("ns", "empty", "a", "", "any")]
+    files = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    frame = spark.createDataFrame(rules, "namespace string, rule string, pattern_id string, pattern string, condition string")
+    times = lambda t, p: sum(t.startswith(p, i) for i in range(len(t)))
+    want = set()
+    for k, t in texts:
+        for name in {r[1] for r in rules}:
+            own = [r for r in rules if r[1] == name]
+            hits = [times(t or "", r[3]) if r[3] else 0 for r in own]
+            if all(hits) if own[0][4] == "all" else any(hits):
+                want.add((k, name, sum(hits), min((t or "").find(r[3]) for r, h in zip(own, hits, strict=True) if h)))
+    got = lambda: {tuple(r) for r in match_signatures(files, "id", "text", frame).select("id", "rule", "n_strings", "first_offset").collect()}
+    assert got() == want
+    plan = match_signatures(files, "id", "text", frame)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    before = signatures.MOST_LITERALS, signatures.MOST_BARE
+    try:  # the way of very many literals
+        signatures.MOST_LITERALS, signatures.MOST_BARE = 3, 0
+        assert got() == want
+    finally:
+        signatures.MOST_LITERALS, signatures.MOST_BARE = before
+    expressions = frame.limit(0).withColumn("kind", F.lit("text")).union(spark.createDataFrame([("ns", "e", "a", "n[ei]+dle", "any", "regex"), ("ns", "e", "b", "^ab", "any", "regex"), ("ns", "e", "c", "zz top", "any", "text")], "namespace string, rule string, pattern_id string, pattern string, condition string, kind string"))
+    found = {r["id"]: (r["n_strings"], r["first_offset"]) for r in match_signatures(files, "id", "text", expressions).collect()}
+    tests = [re.compile("n[ei]+dle"), re.compile("^ab"), re.compile("zz top")]
+    wanted = {k: (sum(len(p.findall(t or "")) for p in tests), min(m.start() for p in tests if (m := p.search(t or "")))) for k, t in texts if any(p.search(t or "") for p in tests)}
+    assert found == wanted
+
+
+def test_reports_of_matches(spark, tmp_path):
+    files = spark.createDataFrame([("b", "s2", "m2"), ("a", "s1", "m1")], "path string, sha256 string, md5 string")
+    matches = spark.createDataFrame([("a", "n", "r2", ["y", "x"], {"k": "v"}, [("$a", 3)]), ("a", "n", "r1", ["z"], {}, None)], "path string, namespace string, rule string, tags array<string>, meta map<string,string>, strings array<struct<identifier:string,offset:long>>")
+    rows = signatures.match_rows(files, matches).collect()
+    assert [(r["file_path"], r["rule"], r["tags"], r["meta"], r["strings"]) for r in rows] == [("a", "r1", '["z"]', "{}", "[]"), ("a", "r2", '["x","y"]', '{"k":"v"}', '[{"identifier":"$a","offset":3}]')]
+    signatures.write_matches(files, matches, str(tmp_path / "j"), "json", spark.createDataFrame([(2, 1)], "scanned int, matched int"))
+    signatures.write_matches(files, matches, str(tmp_path / "c"), "csv")
+    assert [len(r["matches"]) for r in spark.read.json(f"{tmp_path}/j/matches").collect()] == [2]
+    assert spark.read.json(f"{tmp_path}/j/metadata").first()["scan_metadata"]["scanned"] == 2
+    assert sorted(r["tags"] for r in spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/c/matches").collect()) == ['["x","y"]', '["z"]']
+
+
+def test_bundles_in_and_out_of_turn(spark):
+    """A bundle again, a clash, an older one and one from elsewhere; leases and waits as the imports leave them."""
+    requests = [("b1", "s", 5, 1, "x", "p1"), ("b1", "s", 5, 2, "x", "p1"), ("b2", "s", 5, 3, "x", "p2"), ("b3", "s", 4, 4, "x", "p3"), ("b4", "t", 1, 5, "y", "p4"), ("b5", "s", 9, 6, "y", "p5"), ("b0", "s", 1, 7, "x", "p0")]
+    frame = spark.createDataFrame(requests, "bundle_id string, source string, seq long, import_seq long, identity string, payload string").withColumn("created_at", F.timestamp_seconds("import_seq"))
+    ledger = spark.createDataFrame([("b0", "s", 1)], "bundle_id string, source string, seq long")
+    fresh, clash = exchange.new_bundles(frame.select("bundle_id", "source", "seq", "import_seq").distinct(), ledger)
+    assert [tuple(r) for r in clash.collect()] == [("b2", "s", 5, "b1")]
+    assert sorted(tuple(r) for r in fresh.select("bundle_id", "import_seq").collect()) == [("b1", 1), ("b3", 4), ("b4", 5), ("b5", 6)]
+    made = lambda k, status, outcome, wait: (k, "old", 0, 0, "s", 4, "b9", 1, status, outcome, wait, 99, "tok", 2)
+    items = spark.createDataFrame([made("x", "leased", "error", 50), made("y", "resolved", "rate_limited", 60), made("z", "leased", None, None)], "identity string, payload string, a long, b long, last_source string, last_seq long, last_bundle_id string, request_count long, status string, last_outcome string, c long, d long, lease_token string, attempts long")
+    items = items.select("*", F.timestamp_seconds("a").alias("first_requested_at"), F.timestamp_seconds("b").alias("last_requested_at"), F.timestamp_seconds("c").alias("next_eligible_at"), F.timestamp_seconds("d").alias("lease_until"))
+    asked = frame.join(fresh.select("bundle_id", "import_seq"), ["bundle_id", "import_seq"])
+    got = {r["identity"]: (r["payload"], r["request_count"], r["status"], r["wait"], r["lease_token"], r["attempts"], r["last_bundle_id"]) for r in exchange.import_bundles(items, asked).withColumn("wait", F.unix_timestamp("next_eligible_at")).collect()}
+    assert got == {"x": ("p1", 3, "pending", None, None, 2, "b1"), "y": ("p5", 3, "pending", 60, None, 2, "b5"), "z": ("old", 1, "leased", None, "tok", 2, "b9")}
+    assert exchange.import_bundles(items, asked.where("false")).count() == 3
+
+
+def test_ceilings_and_settlements(spark):
+    m = exchange.MEASURES
+    row = lambda run, n, kind, cost, reserved=0: (run, n, kind, 1, 0, 0, 0, cost, *([1, 0, 0, 0, reserved] if kind == "settle" else [None] * 5))
+    events = [row(1, 1, "reserve", 60), row(1, 2, "reserve", 50), row(1, 3, "settle", 20, 60), row(1, 4, "reserve", 50), row(1, 5, "settle", 200, 50), row(1, 6, "release", 50), row(1, 7, "release", 50), row(2, 1, "odd", 1)]
+    frame = spark.createDataFrame(events, "run_id long, id long, kind string, " + ", ".join(f"{x} long" for x in m) + ", " + ", ".join(f"reserved_{x} long" for x in m))
+    got = exchange.admit_reservations(frame, {"requests": 2, "repositories": 9, "input_tokens": 9, "output_tokens": 9, "cost_micro_usd": 100}).orderBy("run_id", "id").collect()
+    assert [(r["allowed"], r["requests"], r["cost_micro_usd"]) for r in got] == [(True, 1, 60), (False, 1, 60), (True, 1, 20), (True, 2, 70), (False, 2, 70), (True, 1, 20), (False, 1, 20), (False, 0, 0)]
+    ledger = [(1, 1, 1, "reserve", 1, 0, 5, 5, 9), (1, 1, 2, "reserve", 1, 0, 6, 6, 9), (1, 1, 3, "commit", 1, 1, 1, 2, 3), (2, 1, 1, "reserve", 1, 0, 0, 0, 4), (2, 1, 2, "release", 1, 0, 0, 0, 5), (3, None, 1, "reserve", 1, 0, 0, 0, 0)]
+    used = {r["run_id"]: tuple(r)[1:] for r in exchange.budget_measures(spark.createDataFrame(ledger, "run_id long, run_item_id long, id long, kind string, " + ", ".join(f"{x} long" for x in m))).collect()}
+    assert used == {1: (2, 1, 6, 7, 12, False), 2: (0, 0, 0, 0, 0, True), 3: (0, 0, 0, 0, 0, True)}

@@ -1,3 +1,6 @@
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from sparkintel.operators import answers, stores
@@ -26,7 +29,13 @@ def test_bundles(spark):
     row = stores.write_bundle(files, ips, repos, {"schema_version": F.lit(1)}).first()
     assert (row["n_ips"], row["n_files"], row["n_repositories"]) == (2, 1, 1)
     bundles = spark.createDataFrame([(1, row["body"], row["sha256"]), (2, row["body"] + " ", row["sha256"])], "bundle_id long, body string, sha256 string")
-    assert [tuple(r) for r in stores.read_bundle(bundles).collect()] == [(1, ["1.1.1.1", "2.2.2.2"], ["github.com/a/b"])]
+    assert [tuple(r) for r in stores.read_bundle(bundles).collect()] == [(1, ["1.1.1.1", "2.2.2.2"], ["github.com/a/b"], ["s"])]
+    body = json.loads(row["body"])
+    assert body["repositories"] == [{"canonical_url": "https://github.com/a/b", "identity_key": "github.com/a/b"}] and body["files"] == [{"md5": "m", "sha256": "s"}] and body["schema_version"] == 1
+    many = stores.write_bundle(files, spark.range(100).select(F.col("id").cast("string").alias("ip")), repos, {}, spread=7).collect()
+    assert len(many) == 7 and sum(r["n_ips"] for r in many) == 100 and all(json.loads(r["body"])["ips"] == sorted(json.loads(r["body"])["ips"]) for r in many)
+    with pytest.raises(Exception, match="passes its limits"):
+        stores.write_bundle(files, ips, repos, {}, most=2, spread=1).collect()
 
 
 def test_quarantine(spark):
@@ -66,3 +75,19 @@ def test_names_and_leaves(spark):
     assert [r["n"] for r in df.select(answers.normal_name(F.col("v")).alias("n")).collect()] == ["ab ss", "plain name"]
     body = spark.createDataFrame([(1, '{"a": [" x ", {"b": 2}], "c": null, "d": "x"}'), (2, "bad")], "k long, body string")
     assert sorted((r["k"], r["leaf"]) for r in answers.json_leaves(body, "k", "body").collect()) == [(1, "2"), (1, "x")]
+
+
+def test_pointers_remotes_and_corrections(spark):
+    current = spark.createDataFrame([(1, 10, "model"), (2, 20, "deterministic"), (3, 30, "model")], "repository_id long, finding_id long, provenance string")
+    new = spark.createDataFrame([(1, 11, "deterministic", 1), (2, 21, "deterministic", 1), (3, 31, "model", 1), (3, 32, "deterministic", 2), (4, 41, "deterministic", 1)], "repository_id long, finding_id long, provenance string, seq long")
+    assert {tuple(r)[:2] for r in stores.move_pointers(current, new).collect()} == {(1, 10), (2, 21), (3, 31), (4, 41)}
+    remotes = spark.createDataFrame([("r", "a", "old"), ("r", "b", "kept")], "root string, path_key string, remote string")
+    found = spark.createDataFrame([("r", "a", "new"), ("r", "a", "more")], "root string, path_key string, remote string")
+    assert sorted(r["remote"] for r in stores.replace_remotes(remotes, found, found).collect()) == ["kept", "more", "new"]
+    old = spark.createDataFrame([(4, 1, "summary", "a", "why", None)], "id long, repository_id long, field_path string, replacement string, rationale string, supersedes_id long")
+    added = spark.createDataFrame([(1, 1, "summary", "b", "why"), (2, 1, "summary", "c", "why"), (3, 1, "odd", "d", "why"), (4, 1, "summary", " ", "why")], "seq long, repository_id long, field_path string, replacement string, rationale string")
+    got = stores.append_corrections(old, added, ["summary"]).orderBy("id").collect()
+    assert [(r["id"], r["replacement"], r["supersedes_id"]) for r in got] == [(4, "a", None), (5, "b", 4), (6, "c", 5)]
+    children = spark.createDataFrame([("1.1.1.1", "a", "t0")], "ip string, domain string, first_seen string")
+    records = spark.createDataFrame([("1.1.1.1", ["a", " b ", ""])], "ip string, domains array<string>")
+    assert {tuple(r) for r in stores.apply_children(children, records, "domain", F.lit("t1")).collect()} == {("1.1.1.1", "a", "t0"), ("1.1.1.1", "b", "t1")}
