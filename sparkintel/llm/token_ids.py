@@ -9,10 +9,10 @@ tokenizer encodes whole texts. Tests hold all of it against encoding whole texts
 
 from __future__ import annotations
 
-import itertools
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -42,6 +42,10 @@ def _is_local(path: str) -> bool:
     )
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class _Codes(dict):
     """A number for each word; new words are noted."""
 
@@ -55,52 +59,58 @@ class _Codes(dict):
 
 
 class WordEncoder:
-    """Ids of texts; holds those of about `most` words, then starts anew."""
+    """Ids of texts; holds those of about `most` words and twice as many parts of words, then starts anew with either."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.local = Tokenizer.from_file(path), most, _is_local(path)
         self.model = self.tokenizer.model
-        self.tails = {p.encode(): self.tokenizer.encode(p, add_special_tokens=False).ids for p in ",."}
+        self.tails = {p.encode(): _packed(self.tokenizer.encode(p, add_special_tokens=False).ids) for p in ",."}
+        self.parts: dict[str, bytes] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.codes, self.cores, self.parts = _Codes(), {}, {}
+        self.codes = _Codes()
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.words = np.zeros(1 << 14, np.int64), 0
 
-    def _ids_of(self, word: bytes) -> list[int]:
+    def _part(self, part: str) -> bytes:
+        """The ids of a part as the pipeline cuts them, in lower case; packed, as very many are held."""
+        ids = self.parts.get(part)
+        if ids is None:
+            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
+            ids = self.parts[part] = _packed([t.id for t in self.model.tokenize(spelled)])
+        return ids
+
+    def _ids_of(self, word: bytes) -> bytes:
         """By its lower-case core and the comma or full stop that ends it: between an ASCII letter and
         either, the pipeline always cuts."""
         low = word.lower()
-        tail = self.tails.get(low[-1:], []) if low[-2:-1].isalpha() else []
+        tail = self.tails.get(low[-1:], b"") if low[-2:-1].isalpha() else b""
         core = low[:-1] if tail else low
-        if (ids := self.cores.get(core)) is None:
-            ids = self.cores[core] = [t.id for t in self.model.tokenize(core.decode())] if core.isalpha() else self._ids_of_core(core)
-        return ids + tail if tail else ids
-
-    def _ids_of_core(self, core: bytes) -> list[int]:
+        if core.isalpha():
+            return self._part(core.decode()) + tail
         text = core.decode("utf-8", "replace")
         if not _PLAIN.fullmatch(text) or "<|" in text:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        found: list[int] = []
-        for part in _PARTS.findall(text.lower()):
-            if (ids := self.parts.get(part)) is None:
-                ids = self.parts[part] = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTES))]
-            found += ids
-        return found
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids) + tail
+        text = text.lower()
+        if text.isalpha():
+            return self._part(text) + tail
+        return b"".join([self._part(p) for p in _PARTS.findall(text)]) + tail
 
     def _learn(self) -> None:
+        if len(self.parts) > 2 * self.most:
+            self.parts = {}
         known = [self._ids_of(w) for w in self.codes.new]
         self.codes.new = []
-        lengths = np.fromiter(map(len, known), np.int64, len(known))
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) >> 2
         total = int(lengths.sum())
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.words + len(known) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(known), np.uint32, total)
+        self.ids[self.used : self.used + total] = np.frombuffer(b"".join(known), np.uint32)
         self.starts[self.words + 1 : self.words + len(known) + 1] = self.used + np.cumsum(lengths)
         self.used += total
         self.words += len(known)

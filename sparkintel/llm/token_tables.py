@@ -10,12 +10,14 @@ A shard is one file:
     footer   fixed size: offsets and sizes of index and filter, number of hashes, entries and ids, id
              width, crc32 of index and filter, magic
 
-Keys are the document ids as 8 bytes in big endian with the sign bit flipped, so that byte order is
-number order, and a repeated id's number among its equals (4 bytes), so that keys are unique. Values
-are ids in little endian of 2 bytes, or 4 in shards where one needs more.
-
-Shards are cut by ranges of ids. A task writes a file of its own name and reports it in its rows;
-only reported files count, so that repeated or lost attempts leave nothing that is read.
+Keys are a byte that is 1 for a document without an id, which come last, the id as 8 bytes in big
+endian with the sign bit flipped, so that byte order is number order, and a repeated id's number among
+its equals of the shard (4 bytes), so that keys are unique in a shard. Values are ids in little endian
+of 2 bytes, or 4 where one needs more.
+
+Shards are cut by ranges of ids and, as one id may stand for very many documents, of hashes of the text
+among equal ids. A task writes a file of its own name and reports it in its rows; only reported files
+count, so that repeated or lost attempts leave nothing that is read.
 """
 
 from __future__ import annotations
@@ -38,17 +40,21 @@ from sparkintel.llm.token_ids import encoder, ids_crc32
 END_ID = 2
 BLOCK_BYTES = 32_768
 BITS_PER_KEY, HASHES = 10, 7
+#: Texts that are Python objects at once.
+SLICE = 256
 FOOTER = struct.Struct("<QQQQIQQBI8s")
 MAGIC = b"TOKSST01"
-MANIFEST = "path string, first long, last long, documents long, ids long"
+KEY = struct.Struct(">BQI")
+MANIFEST = "path string, first long, first_hash long, last long, documents long, ids long"
 
 
-def key_of(doc_id: int, repeat: int = 0) -> bytes:
-    return struct.pack(">QI", doc_id + (1 << 63), repeat)
+def key_of(doc_id: int | None, repeat: int = 0) -> bytes:
+    return KEY.pack(doc_id is None, 0 if doc_id is None else doc_id + (1 << 63), repeat)
 
 
-def doc_of(key: bytes) -> int:
-    return struct.unpack(">QI", key)[0] - (1 << 63)
+def doc_of(key: bytes) -> int | None:
+    without, number, _ = KEY.unpack(key)
+    return None if without else number - (1 << 63)
 
 
 def leb(number: int) -> bytes:
@@ -72,9 +78,11 @@ def unleb(data: bytes, at: int) -> tuple[int, int]:
 
 
 def _bit_places(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Places of each key (rows of 12 bytes) in a filter of so many bits."""
-    words = np.ascontiguousarray(keys).view(">u4").astype(np.uint64)
-    h = words[:, 0] << np.uint64(32) ^ words[:, 1] ^ words[:, 2] * np.uint64(0x9E3779B97F4A7C15)
+    """Places of each key (a row of bytes) in a filter of so many bits."""
+    wide = np.zeros((len(keys), 16), np.uint8)
+    wide[:, : KEY.size] = keys
+    words = wide.view(">u8").astype(np.uint64)
+    h = words[:, 0] ^ words[:, 1] * np.uint64(0x9E3779B97F4A7C15)
     for by, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         h = (h ^ h >> np.uint64(by)) * np.uint64(times)
     h ^= h >> np.uint64(31)
@@ -117,7 +125,7 @@ class TableWriter:
         bits = max(64, -(-self.entries * BITS_PER_KEY // 8) * 8)
         marks = np.zeros(bits, np.uint8)
         if self.entries:
-            marks[_bit_places(np.frombuffer(bytes(self.keys), np.uint8).reshape(-1, 12), bits).ravel()] = 1
+            marks[_bit_places(np.frombuffer(bytes(self.keys), np.uint8).reshape(-1, KEY.size), bits).ravel()] = 1
         bloom, index_at = np.packbits(marks).tobytes(), self.at
         self._put(bytes(self.index))
         bloom_at = self.at
@@ -148,7 +156,7 @@ class TableReader:
             self.places.append((offset, length))
 
     def may_hold(self, key: bytes) -> bool:
-        places = _bit_places(np.frombuffer(key, np.uint8).reshape(1, 12), len(self.bloom) * 8)[0].astype(np.int64)
+        places = _bit_places(np.frombuffer(key, np.uint8).reshape(1, KEY.size), len(self.bloom) * 8)[0].astype(np.int64)
         return bool(np.all(self.bloom[places >> 3] >> (7 - (places & 7)) & 1))
 
     def _block(self, n: int) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -179,6 +187,13 @@ class TableReader:
             return None
         return next((ids for found, ids in self._block(low) if found == key), None)
 
+    def every(self, doc_id: int | None) -> Iterator[np.ndarray]:
+        """The ids of each document of an id."""
+        repeat = 0
+        while (ids := self.get(key_of(doc_id, repeat))) is not None:
+            yield ids
+            repeat += 1
+
     def scan(self) -> Iterator[tuple[bytes, np.ndarray]]:
         for n in range(len(self.places)):
             yield from self._block(n)
@@ -190,43 +205,55 @@ def _opened(folder: str, name: str = ""):
     return fs, f"{path}/{name}" if name else path
 
 
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=columns)
+    return out.assign(id=pd.array(out["id"].to_list(), "Int64"))
+
+
 def write_token_tables(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Writes the shards below folder (shared by driver and executors); returns a row for each file.
 
-    Null and empty texts are one end id. Rows without an id have no key and are left out; of rows with
-    one id each is kept. An empty table gives no shard. The rows are lazy: write them before use.
+    Null and empty texts are one end id. Every row is a document, also of an id that comes again; rows
+    without an id come last. An empty table gives no shard. The rows are lazy: write them before use.
     """
+    fields = [("path", pa.string()), *((n, pa.int64()) for n in ("first", "first_hash", "last", "documents", "ids"))]
+
+    def texts(column: pa.Array) -> Iterator[bytes]:
+        for at in range(0, len(column), SLICE):
+            yield from (text or b"" for text in column.slice(at, SLICE).cast(pa.binary()).to_pylist())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all = encoder(tokenizer_path).encode_all
         writer = out = None
-        first = last = None
+        first = low = last = None
         repeat, name = 0, f"{uuid.uuid4().hex}.tok"
         for batch in batches:
-            texts = (text or b"" for text in batch.column(1).cast(pa.binary()).to_pylist())
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(texts), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(texts(batch.column(2))), strict=True):
                 if writer is None:
                     fs, path = _opened(folder, name)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
-                    out, first = fs.open_output_stream(path), doc_id
+                    out, first, low = fs.open_output_stream(path), doc_id, batch.column(1)[0].as_py()
                     writer = TableWriter(out)
-                repeat = repeat + 1 if doc_id == last else 0
+                    repeat = 0
+                else:
+                    repeat = repeat + 1 if doc_id == last else 0
                 last = doc_id
                 writer.add(key_of(doc_id, repeat), np.append(ids, np.uint32(END_ID)))
         if writer is not None:
             writer.close()
             out.close()
-            yield pa.RecordBatch.from_pylist([{"path": name, "first": first, "last": last, "documents": writer.entries, "ids": writer.ids}], schema=pa.schema([("path", pa.string()), *((n, pa.int64()) for n in ("first", "last", "documents", "ids"))]))
+            yield pa.RecordBatch.from_pylist([{"path": name, "first": first, "first_hash": low, "last": last, "documents": writer.entries, "ids": writer.ids}], schema=pa.schema(fields))
 
-    keyed = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    dealt = keyed.repartitionByRange(shards, "id") if shards else keyed.repartitionByRange("id")
-    return dealt.sortWithinPartitions("id", "text").mapInArrow(write, MANIFEST)
+    keyed = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("hash"), docs[text_col].alias("text"))
+    order = [F.col("id").asc_nulls_last(), F.col("hash")]
+    dealt = keyed.repartitionByRange(shards, *order) if shards else keyed.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order).mapInArrow(write, MANIFEST)
 
 
 def read_token_tables(manifest: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
     """id, start, n_tokens, ids_crc32 and ids (if wanted) of every document, from the files in the manifest.
 
-    start counts the ids of all documents before it, by ascending id.
+    start counts the ids of all documents before it, by ascending id, those without one last.
     """
 
     columns = ["id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids]
@@ -242,11 +269,11 @@ def read_token_tables(manifest: DataFrame, folder: str, with_ids: bool = True) -
                         at += len(ids)
                         held += len(ids)
                         if held >= 2_000_000:
-                            yield pd.DataFrame(rows, columns=columns)
+                            yield _frame(rows, columns)
                             rows, held = [], 0
-                yield pd.DataFrame(rows, columns=columns)
+                yield _frame(rows, columns)
 
-    order = Window.orderBy("first", "last")
+    order = Window.orderBy(F.col("first").asc_nulls_last(), "first_hash")  # over a row for each shard
     before = F.coalesce(F.sum("ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # As many partitions as a shuffle has: a manifest is small, but what its rows stand for is not.
     partitions = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -254,17 +281,22 @@ def read_token_tables(manifest: DataFrame, folder: str, with_ids: bool = True) -
 
 
 def token_table_lookup(spark: SparkSession, manifest: DataFrame, folder: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The ids of wanted documents: each asks the one shard that covers it, through its filter and index."""
+    """The ids of wanted documents: each asks the shards whose range covers it, through their filter and index.
+
+    A null id is one that asks for the documents without an id.
+    """
 
     def look(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fs, path = _opened(folder, key[0])
         with fs.open_input_file(path) as source:
             reader = TableReader(source)
-            found = [(x, reader.get(key_of(int(x)))) for x in pdf["id"]]
-        return pd.DataFrame([(x, ids.astype(np.int32)) for x, ids in found if ids is not None], columns=["id", "ids"])
+            found = [(x, ids.astype(np.int32)) for x in pdf["id"].astype("Int64") for ids in reader.every(None if x is pd.NA else int(x))]
+        return pd.DataFrame({"id": pd.array([None if x is pd.NA else int(x) for x, _ in found], "Int64"), "ids": [ids for _, ids in found]})
 
     asked = wanted.select(F.col(id_col).cast("long").alias("id")).distinct()
-    covered = asked.join(manifest.select("path", "first", "last"), F.col("id").between(F.col("first"), F.col("last")))
+    shards = manifest.select("path", "first", "last")  # a row for each shard
+    inside = (F.col("first") <= F.col("id")) & (F.col("last").isNull() | (F.col("id") <= F.col("last")))
+    covered = asked.join(F.broadcast(shards), F.when(F.col("id").isNull(), F.col("last").isNull()).otherwise(inside))
     return covered.groupBy("path").applyInPandas(look, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
