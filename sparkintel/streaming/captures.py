@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import timedelta
+import time
+from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -95,6 +96,11 @@ EVENTS = "identity string, kind string, at timestamp, source string, seq long, l
 TOLD = "identity string, at timestamp, status string, last_source string, last_seq long, request_count long, attempts long, lease_token string, next_eligible_at timestamp, why string"
 
 
+def _millis(at: datetime) -> int:
+    """Since the epoch; moments without a zone are in UTC, as the session is."""
+    return int(pd.Timestamp(at).tz_localize("UTC").timestamp() * 1000) if at.tzinfo is None else int(at.timestamp() * 1000)
+
+
 class LeasedQueue(StatefulProcessor):
     """A request item with its lease and its waits: takes requests, leases and outcomes, and tells each change.
 
@@ -125,7 +131,7 @@ class LeasedQueue(StatefulProcessor):
             self.item.update(tuple(item))
             for at in (item[7], item[8]):
                 if at is not None:
-                    self.handle.registerTimer(int(at.timestamp() * 1000))
+                    self.handle.registerTimer(_millis(at))
         yield pd.DataFrame(told, columns=[f.split()[0] for f in TOLD.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -133,10 +139,10 @@ class LeasedQueue(StatefulProcessor):
         if self.item.exists():
             item = list(self.item.get())
             at = pd.Timestamp(due, unit="ms")
-            if item[3] == "leased" and item[7] is not None and item[7].timestamp() * 1000 <= due:
+            if item[3] == "leased" and item[7] is not None and _millis(item[7]) <= due:
                 item[3], item[6], item[7] = "pending", None, None
                 told.append(self._row(key[0], at, item, "lease over"))
-            elif item[3] == "pending" and item[8] is not None and item[8].timestamp() * 1000 <= due:
+            elif item[3] == "pending" and item[8] is not None and _millis(item[8]) <= due:
                 item[8] = None
                 told.append(self._row(key[0], at, item, "wait over"))
             self.item.update(tuple(item))
@@ -207,6 +213,21 @@ def once(stream: DataFrame, key: str, at: str | None = None, watermark: str | No
     return stream.dropDuplicates([key]) if watermark is None else stream.withWatermark(at, watermark).dropDuplicatesWithinWatermark([key])
 
 
+def run_until(stream: DataFrame, folder: str, checkpoint: str, done: Callable[[], bool], most: float = 120.0) -> bool:
+    """Runs until done() or so many seconds are over; whether it was done.
+
+    A stream with timers of the clock always has another batch to run, so that it never ends by itself.
+    """
+    query = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        end = time.monotonic() + most
+        while not (ended := done()) and time.monotonic() < end and query.isActive:
+            time.sleep(0.5)
+        return ended
+    finally:
+        query.stop()
+
+
 def run_once(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> None:
     """Takes what is there now, writes it as Parquet, and ends."""
     query = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
