@@ -1,10 +1,13 @@
 """URL filters: rules by host and path, and trust spread over the graph of hosts.
 
-Rules judge the urls that they fit, the longest first. For the rest, two personalised PageRanks run
-over host edges in Spark: trust follows links from the hosts that rules allow, distrust runs against
-them from the hosts that rules block. A host is blocked if its distrust is more than `margin` times
-its trust and no less than what an average blocked host holds by restarts alone. Host edges are the links of pages to other hosts and, at a lower weight, the tie between a
-host and the domain above it, in both directions: who runs a domain runs its subdomains.
+Rules judge the urls that they fit, the longest first. For the rest, personalised PageRanks run over
+host edges in Spark: trust follows links from the hosts that rules allow, distrust runs against them
+from the hosts that rules block. A third rank starts from all hosts alike and runs as distrust does: what
+a host's place in the graph gives it by itself. A host is blocked if its distrust is more than `margin`
+times its trust and at least `FLOOR` of that, so that a trickle from far away blocks nobody, while all
+that hangs on a blocked host alone is blocked with it, however much that is. Host edges are the links
+of pages to other hosts and, at a lower weight, the tie between a host and the domain above it, in both
+directions: who runs a domain runs its subdomains. Pages are read once.
 """
 
 from __future__ import annotations
@@ -14,13 +17,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkintel.llm.rows import join_skewed
 from sparkintel.llm.staging import Staged
 
 #: (verdict, host, path): fixed values.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DAMPING, STEPS, TOLERANCE = 0.85, 30, 1e-4
 DOMAIN_WEIGHT = 0.5
-MARGIN = 2.0
+MARGIN, FLOOR = 2.0, 0.1
+#: Steps between written ranks.
+STRIDE = 3
 _UPPER, _UNDER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,18 +49,26 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
     return first([h + p for _, h, p in ordered]), first([v for v, _, _ in ordered])
 
 
-def host_edges(judged: DataFrame, html: Column, domain_weight: float = DOMAIN_WEIGHT) -> DataFrame:
-    """src, dst, weight: links of pages (host, html) to other hosts, and ties to parent domains.
+_LINK = r"(?is)\b(?:href|src|action)\s*=\s*[\"']?\s*((?:https?:)?//[^\"'\s>]+)"
 
-    Edges are summed for each pair before they are shuffled further.
+
+def link_targets(html: Column) -> Column:
+    """Hosts that a page's links name, as often as they do."""
+    absolute = lambda to: F.when(F.startswith(to, F.lit("//")), F.concat(F.lit("http:"), to)).otherwise(to)
+    return F.transform(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)), lambda to: url_host(absolute(to)))
+
+
+def host_edges(pages: DataFrame, staged: Staged, domain_weight: float = DOMAIN_WEIGHT) -> DataFrame:
+    """src, dst, weight: links of pages (host, targets) to other hosts, and ties to parent domains.
+
+    Links are summed for each pair before they are shuffled, and written once.
     """
-    targets = F.explode(F.regexp_extract_all(html, F.lit(r"(?is)\b(?:href|src|action)\s*=\s*[\"']?\s*((?:https?:)?//[^\"'\s>]+)"), F.lit(1)))
-    links = judged.select(F.col("host").alias("src"), targets.alias("to")).select("src", url_host(F.when(F.startswith("to", F.lit("//")), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to"))).alias("dst"))
-    linked = links.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    hosts = judged.select("host").union(linked.select("dst")).where("host <> ''").distinct()
+    links = pages.select(F.col("host").alias("src"), F.explode("targets").alias("dst")).where("src <> '' AND dst <> '' AND src <> dst")
+    linked = staged.write(links.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    hosts = pages.select("host").union(linked.select("dst")).where("host <> ''").distinct()
     parts = F.split("host", r"\.")
     chain = hosts.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))).alias("low")).distinct()
-    ties = chain.select("low", F.regexp_replace("low", r"^[^.]*\.", "").alias("high")).where("low <> high AND high LIKE '%.%'").distinct()
+    ties = staged.write(chain.select("low", F.regexp_replace("low", r"^[^.]*\.", "").alias("high")).where("low <> high AND high LIKE '%.%'"))
     both = ties.select(F.col("low").alias("src"), F.col("high").alias("dst")).union(ties.select("high", "low")).withColumn("weight", F.lit(domain_weight))
     return linked.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
@@ -71,11 +85,11 @@ def personal_ranks(edges: DataFrame, seeds: DataFrame, staged: Staged, damping:
     restart = seeds.select("kind", "host", ((1 - damping) * F.col("share")).alias("rank"))
     ranks = was = restart
     for step in range(1, steps + 1):
-        moved = shares.join(ranks, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("part")).alias("rank"))
+        moved = shares.join(ranks, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("part")).alias("rank"))
         ranks = moved.union(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if step % 5 == 0:
+        if step % STRIDE == 0 or step == steps:
             ranks = staged.write(ranks)
-            change = ranks.join(was.withColumnRenamed("rank", "was"), ["kind", "host"], "left").agg(F.sum(F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0))))).first()[0]
+            change = ranks.join(was.withColumnRenamed("rank", "was"), ["kind", "host"], "left").groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0)))).alias("c")).agg(F.max("c")).first()[0]
             if (change or 0.0) < TOLERANCE:
                 break
             was = ranks
@@ -83,7 +97,9 @@ def personal_ranks(edges: DataFrame, seeds: DataFrame, staged: Staged, damping:
     return ranks.join(whole, "kind").select("kind", "host", (F.col("rank") / F.col("whole")).alias("rank"))
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: list[tuple[str, str, str]] = RULES, margin: float = MARGIN) -> DataFrame:
+def judge_urls(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: list[tuple[str, str, str]] = RULES, margin: float = MARGIN, floor: float = FLOOR
+) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, trust, distrust.
 
     A url that is null or has no `://` has an empty host and path, no rule and no trust; it is allowed,
@@ -91,22 +107,23 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     count as links of their own. An empty table gives an empty result.
     """
     staged = Staged(pages.sparkSession, "url-filters")
-    base = pages.select(pages[id_col].alias("id"), url_host(pages[url_col]).alias("host"), url_path(pages[url_col]).alias("path"), pages[html_col].alias("html"))
+    base = pages.select(pages[id_col].alias("id"), url_host(pages[url_col]).alias("host"), url_path(pages[url_col]).alias("path"), link_targets(pages[html_col]).alias("targets"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    edges = staged.write(host_edges(base.select("host", "html"), F.col("html")))
-    judged = staged.write(base.select("id", "host", "path", rule.alias("rule"), verdict.alias("told")))
+    judged = staged.write(base.select("id", "host", "path", rule.alias("rule"), verdict.alias("told"), "targets"))
+    edges = staged.write(host_edges(judged.select("host", "targets"), staged))
     told = staged.write(judged.where("host <> '' AND told IS NOT NULL").groupBy("host").agg(F.count_if(F.col("told") == "allow").alias("allowed"), F.count_if(F.col("told") == "block").alias("blocked")))
 
     votes = told.select(F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("allowed").alias("n")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("n")))).alias("vote"), "host")
     votes = votes.select("vote.kind", "host", "vote.n").where("n > 0")
-    whole = votes.groupBy("kind").agg(F.sum("n").alias("whole"), F.count(F.lit(1)).alias("seeds"))
-    seeds = staged.write(votes.join(whole, "kind").select("kind", "host", (F.col("n") / F.col("whole")).alias("share"), "seeds"))
-    both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("distrust"), "dst", "src", "weight"))
-    ranks = staged.write(personal_ranks(both, seeds, staged))
-    scores = ranks.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
-    floor = seeds.where("kind = 'distrust'").agg(((1 - DAMPING) / F.max("seeds")).alias("floor")).first()[0] or 0.0
-    found = judged.join(scores.hint("shuffle_hash"), "host", "left")
-    bad = F.coalesce((F.col("distrust") > margin * F.col("trust")) & (F.col("distrust") >= floor), F.lit(False))
+    everywhere = edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(told.select("host")).distinct().select(F.lit("place").alias("kind"), "host", F.lit(1).cast("long").alias("n"))
+    votes = votes.union(everywhere)
+    whole = votes.groupBy("kind").agg(F.sum("n").alias("whole"))  # three rows
+    seeds = staged.write(votes.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("n") / F.col("whole")).alias("share")))
+    against = edges.select(F.explode(F.array(F.lit("distrust"), F.lit("place"))).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    ranks = personal_ranks(edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(against), seeds, staged)
+    scores = staged.write(ranks.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust", "place")]))
+    found = join_skewed(judged.drop("targets"), scores, "host")
+    bad = F.coalesce((F.col("distrust") > margin * F.col("trust")) & (F.col("distrust") >= floor * F.col("place")), F.lit(False))
     return found.select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("told", F.when(bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
     )

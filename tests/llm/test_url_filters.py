@@ -3,6 +3,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from sparkintel.llm.rows import join_skewed
 from sparkintel.llm.staging import Staged
 from sparkintel.llm.url_filters import RULES, judge_urls, personal_ranks
 
@@ -46,6 +47,26 @@ def test_trust_and_distrust_spread(spark):
     assert got[3]["trust"] > 0 and got[4]["distrust"] > 0 and got[5]["trust"] == got[5]["distrust"] == 0
 
 
+def test_all_that_hangs_on_a_blocked_domain_is_blocked(spark):
+    """Ten subdomains of a blocked one go with it, whatever the number of other blocked hosts; those of a trusted one stay, and so do strangers."""
+    for others in (0, 3, 60):
+        data = [(0, "http://bad.example.com/de/1", None), (1, "http://good.org/fr/1", None)]
+        data += [(10 + k, f"http://s{k}.bad.example.com/x", None) for k in range(10)] + [(30 + k, f"http://s{k}.good.org/x", None) for k in range(10)]
+        data += [(50 + k, f"http://stranger{k}.info/x", '<a href="http://stranger0.info/">x</a>') for k in range(10)] + [(100 + k, f"http://other{k}.net/x", None) for k in range(others)]
+        got = {r["page_id"]: r["verdict"] for r in judge_urls(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+        assert {got[10 + k] for k in range(10)} == {"block"} and {got[30 + k] for k in range(10)} == {got[50 + k] for k in range(10)} == {"allow"}
+
+
+def test_a_trickle_blocks_nobody(spark):
+    """A directory that links to very many hosts, one of them blocked, passes; hosts that link to little else do not."""
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    data = [(0, "http://bad.net/x", None), (1, "http://directory.info/x", "".join(link(f"stranger{k}.info") for k in range(60)) + link("bad.net"))]
+    data += [(10 + k, f"http://farm{k}.info/x", link("bad.net") * 50 + link("stranger1.info")) for k in range(9)] + [(100 + k, f"http://stranger{k}.info/x", None) for k in range(60)]
+    got = {r["page_id"]: r for r in judge_urls(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert {got[10 + k]["verdict"] for k in range(9)} == {"block"} and got[1]["verdict"] == "allow" and 0 < got[1]["distrust"] < got[10]["distrust"]
+    assert {got[100 + k]["verdict"] for k in range(60)} == {"allow"}
+
+
 def test_ranks_against_the_linear_system(spark):
     rng = np.random.default_rng(3)
     edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 12, (40, 2)) if a != b and a < 10})
@@ -66,3 +87,16 @@ def test_ranks_against_the_linear_system(spark):
 def test_empty(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert judge_urls(spark.createDataFrame([(1, None, None)], "page_id long, url string, html string")).select(F.col("verdict")).first()[0] == "allow"
+
+
+def test_one_host_with_most_pages(spark):
+    data = [(k, "http://hot.net/x" if k % 3 else f"http://h{k}.info/x", None) for k in range(900)] + [(1000, None, None)]
+    got = judge_urls(spark.createDataFrame(data, "page_id long, url string, html string").repartition(5)).collect()
+    assert len(got) == 901 and {r["verdict"] for r in got if r["host"] == "hot.net"} == {"block"} and {r["verdict"] for r in got if r["host"] != "hot.net"} == {"allow"}
+
+
+def test_join_skewed(spark):
+    rows = [(1, k) for k in range(5000)] + [(k, k) for k in range(2, 900)] + [(None, 7)]
+    left, facts = spark.createDataFrame(rows, "key long, v long").repartition(7), spark.createDataFrame([(k, f"f{k}") for k in range(0, 500)], "key long, fact string")
+    got = sorted((tuple(r) for r in join_skewed(left, facts, "key").select("key", "v", "fact").collect()), key=str)
+    assert got == sorted(((k, v, f"f{k}" if k is not None and k < 500 else None) for k, v in rows), key=str)
