@@ -15,8 +15,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir where that is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder that driver and executors share, below spark.checkpoint.dir; a temporary one only where all runs on this machine."""
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    named = named or tempfile.mkdtemp(prefix="spark-")
     return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
 
 
