@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -43,6 +44,25 @@ def test_targets_and_taken(docs, rows):
         assert abs(taken[source] - want[source]) <= max(0.02 * size, 10 * small)
 
 
+def test_rates_solve_the_dual(docs):
+    """The rates of each source are those of an exponential tilt, capped, that meets its target; by bisection."""
+    own = defaultdict(list)
+    for r in mix_sources(docs).collect():
+        own[r["source"]].append(r)
+    for found in own.values():
+        mean, target = found[0]["source_size"] / len(found), found[0]["target"]
+        words = [r["size"] for r in found if r["size"]]
+        rate = lambda m, size, mean=mean: min(3.0, math.exp(min(2.0, m * size / mean)))
+        if not 0 < target < 3 * sum(words) * (1 - 1e-9):
+            continue
+        low, high = -1000.0, 1000.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(rate(middle, n) * n for n in words) < target else (low, middle)
+        for r in found:
+            assert r["rate"] == pytest.approx(rate(low, r["size"]) if r["size"] else 1.0, rel=1e-4)
+
+
 def test_reruns_agree_on_other_partitions(docs):
     key = lambda df: sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in df.collect())
     assert key(mix_sources(docs)) == key(mix_sources(docs.repartition(7)))

@@ -80,3 +80,11 @@ def test_texts_with_letters_stay_without_labels(spark, docs, rows):
     unlabelled = docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source")
     kept = corpus_pipeline.known_language(spark, unlabelled, "").collect()
     assert Counter(r["text"] for r in kept) == Counter(r[1] for r in rows if r[1] and re.search(r"[^\W\d_]", r[1]))
+
+
+def test_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
