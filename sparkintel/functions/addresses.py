@@ -67,6 +67,18 @@ def in_networks(number: Column, networks: list[str] | None = None) -> Column:
     return reduce(lambda a, b: a | b, [number.between(int(r.network_address), int(r.broadcast_address)) for r in ranges])
 
 
+def networks_of(df: DataFrame, number: str, networks: DataFrame) -> DataFrame:
+    """Rows of df with the networks (network, low, high) that their v4 number lies in, one row for each.
+
+    Both sides are cut into the 256 blocks of the first octet and joined on those, so that a table of very
+    many networks is an equi-join and no nested loop; a network has as many rows as it touches blocks.
+    """
+    block = lambda c: F.shiftright(c, 24)
+    cut = networks.select("network", "low", "high", F.explode(F.sequence(block(F.col("low")), block(F.col("high")))).alias("block"))
+    joined = df.withColumn("block", block(F.col(number))).join(cut, "block")
+    return joined.where(F.col(number).between(F.col("low"), F.col("high"))).drop("block", "low", "high")
+
+
 def strict_tokens(text: Column) -> Column:
     """Maximal runs of token characters, each with the slash that may follow; runs that are too long go."""
     runs = F.regexp_extract_all(text, F.lit(r"[0-9A-Za-z:.%\[\]_-]+/?"), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkintel.functions.strings import capture_label, sanitize_name, staging_stamp
+
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that is greatest in the order; partial maxima before the shuffle."""
@@ -47,6 +49,12 @@ def dedupe_names(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     return df.withColumn("unique_name", F.when(number == 1, F.col(name)).otherwise(F.concat_ws("-", name, number)))
 
 
+def capture_names(captures: DataFrame, name: str, started: str, order: list[str]) -> DataFrame:
+    """Captures with `capture_name`: an archive's label and when it came, in the order of their coming, with -2, -3 for those of one name."""
+    base = F.concat(sanitize_name(capture_label(F.col(name))), F.lit("-"), staging_stamp(F.col(started)))
+    return dedupe_names(captures.withColumn("base_name", base), "base_name", order).withColumnRenamed("unique_name", "capture_name").drop("base_name")
+
+
 def project_cards(repositories: DataFrame, current: DataFrame, findings: DataFrame, snapshots: DataFrame, people: DataFrame) -> DataFrame:
     """One card for each repository: its current finding, latest snapshot, people and state.
 

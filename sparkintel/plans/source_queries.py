@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkintel.operators import indicators, signatures
+from sparkintel.functions.addresses import ip_number, networks_of
+from sparkintel.operators import indicators, signatures, versions
 from sparkintel.plans.queries import query
 from sparkintel.plans.tables import event_ips, read
 from sparkintel.sources import captures, documents, exports
@@ -95,6 +96,37 @@ def manifest_digests(spark, sf_dir):
     return captures.manifest_digest(rows, "capture_id", ["doc_id", "sha"])
 
 
+@query(
+    """WITH c AS (SELECT event_id, 'in ' || event_type || CASE event_id % 3 WHEN 0 THEN '.enc' WHEN 1 THEN '.EN_DEC' ELSE '.zip' END AS name, ts FROM events),
+    b AS (SELECT event_id, replace('in ' || split_part(split_part(name, 'in ', 2), '.', 1) || CASE WHEN name LIKE '%.zip' THEN '.zip' ELSE '' END, ' ', '_') || '-' || strftime(date_trunc('hour', ts), '%y%m%d-%H%M%S') AS base FROM c),
+    n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY event_id) AS k FROM b)
+    SELECT event_id, base || CASE WHEN k = 1 THEN '' ELSE '-' || k END AS capture_name FROM n"""
+)
+def captured_names(spark, sf_dir):
+    """Names of staged archives: label, hour of coming, and a number for those that share both."""
+    n = F.col("event_id")
+    name = F.concat(F.lit("in "), "event_type", F.when(n % 3 == 0, ".enc").when(n % 3 == 1, ".EN_DEC").otherwise(".zip"))
+    e = read(spark, sf_dir, "events").select("event_id", name.alias("name"), F.date_trunc("hour", "ts").alias("ts"))
+    return versions.capture_names(e, "name", "ts", ["event_id"]).select("event_id", "capture_name")
+
+
+_LOW = "(s_suppkey * 7919 % 223 * 16777216 + s_suppkey * 104729 % 65536 * 256)"
+
+
+@query(
+    f"""WITH n AS (SELECT s_suppkey AS network, {_LOW} AS low, {_LOW} + CASE s_suppkey % 3 WHEN 0 THEN 255 WHEN 1 THEN 1048575 ELSE 50331647 END AS high FROM supplier),
+    i AS (SELECT DISTINCT ((1 + user_id % 223) * 256 + event_id % 7) * 65536 + user_id % 251 * 256 + 1 + event_id % 5 AS number FROM events)
+    SELECT number, network FROM i JOIN n ON number BETWEEN low AND high"""
+)
+def network_matches(spark, sf_dir):
+    """Addresses of events in a table of networks, one for each supplier."""
+    k = F.col("s_suppkey").cast("long")
+    low = k * 7919 % 223 * 16_777_216 + k * 104_729 % 65_536 * 256
+    networks = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("network"), low.alias("low"), (low + F.when(k % 3 == 0, 255).when(k % 3 == 1, 1_048_575).otherwise(50_331_647)).alias("high"))
+    ips = event_ips(spark, sf_dir).select(ip_number(F.col("ip")).alias("number")).distinct()
+    return networks_of(ips, "number", networks)
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_ips(spark, sf_dir)
     return e.select(F.concat(F.when(F.col("event_id") % 9 == 0, "bad").otherwise(""), "ip", F.when(F.col("event_id") % 10 == 0, " ").otherwise("; "), "event_type").alias("value"), "ip", "event_id")
