@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkintel.llm.components import connected_components
-from sparkintel.llm.rows import deal_out, keyed
+from sparkintel.llm.rows import deal_out, join_skewed, keyed
 from sparkintel.llm.staging import Staged
 from sparkintel.llm.words import LOWER, mix, shingle_sets, text_groups
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 SLACK = 0.1
-KEYS, ROUNDS = 4, 2
+KEYS, ROUNDS, BUCKETS = 4, 2, 4
 _MANY = 0xFFFF
 
 
@@ -94,18 +94,27 @@ def _digests(id_type: pa.DataType, buckets: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of a document's dealt shingles other batches have too, for the shingles of this task: a
-    row for each batch of documents."""
-    tokens, docs = [], []
+    """How many of a document's dealt shingles other batches have too: a row for each batch of documents and bucket.
+
+    Rows come in order of bucket; one bucket is held at once.
+    """
+    tokens, docs, bucket = [], [], None
     for batch in batches:
-        for base, six, doc in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for base, six, doc, own_bucket in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if own_bucket != bucket and tokens:
+                yield from _met(tokens, docs)
+                tokens, docs = [], []
+            bucket = own_bucket
             wide = np.zeros((len(six) // 6, 8), np.uint8)
             wide[:, :6] = np.frombuffer(six, np.uint8).reshape(-1, 6)
             own = np.frombuffer(doc, "<u2").astype(np.int64)
             tokens.append(wide.view("<u8").ravel())
             docs.append(np.where(own == _MANY, -1, base + own))
-    if not tokens:
-        return
+    if tokens:
+        yield from _met(tokens, docs)
+
+
+def _met(tokens: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     token, doc = np.concatenate(tokens), np.concatenate(docs)
     order = np.argsort(token)
     token, doc = token[order], doc[order]
@@ -122,15 +131,22 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums what the tasks of _meet have counted, for the documents of the batches in this task."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for base, docs, times in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            own = np.frombuffer(docs, "<u2")
-            np.add.at(sums.setdefault(base, np.zeros(_MANY, np.int64)), own, np.frombuffer(times, "<u4"))
-    for base, met in sums.items():
+    """Sums what _meet has counted, for each batch of documents in turn: rows come in their order."""
+    met, base = np.zeros(_MANY, np.int64), None
+
+    def told() -> pa.RecordBatch:
         found = np.flatnonzero(met)
-        yield pa.RecordBatch.from_arrays([pa.array(base + found), pa.array(met[found])], names=["doc", "met"])
+        return pa.RecordBatch.from_arrays([pa.array(base + found), pa.array(met[found])], names=["doc", "met"])
+
+    for batch in batches:
+        for own_base, docs, times in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if own_base != base and base is not None:
+                yield told()
+                met[:] = 0
+            base = own_base
+            np.add.at(met, np.frombuffer(docs, "<u2"), np.frombuffer(times, "<u4"))
+    if base is not None:
+        yield told()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,13 +207,14 @@ def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _survivors(docs: DataFrame, staged: Staged) -> tuple[DataFrame, DataFrame]:
     """All documents (id, n, sig, doc), and those of them that share enough to link with another."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = partitions * BUCKETS  # ranges of hashes, of which a task holds one at once
     id_field = docs.schema["id"]
     kind = id_field.dataType.simpleString()
     dealt = staged.write(docs.mapInArrow(_digests(to_arrow_type(id_field.dataType), buckets), f"kind int, id {kind}, n int, sig binary, doc long, near int, bucket int, tokens binary, docs binary"), "kind")
     rows = dealt.where("kind = 0").select("id", "n", "sig", "doc", "near")
-    met = dealt.where("kind = 1").select("doc", "tokens", "docs", "bucket").repartition(buckets, "bucket").select("doc", "tokens", "docs").mapInArrow(_meet, "base long, docs binary, times binary")
-    counts = met.repartition(buckets, "base").mapInArrow(_total, "doc long, met long")
+    met = dealt.where("kind = 1").select("doc", "tokens", "docs", "bucket").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "base long, docs binary, times binary")
+    counts = met.repartition(partitions, "base").sortWithinPartitions("base").mapInArrow(_total, "doc long, met long")
     needed = F.greatest(F.lit(1), F.ceil(F.lit(SLACK) * F.col("n")))
     some = rows.join(counts, "doc", "left").where((F.col("n") > 0) & (F.col("near") + F.coalesce("met", F.lit(0)) >= needed))
     return rows.select("id", "n", "sig"), some.select("id", "n", "sig")
@@ -229,9 +246,10 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         links: list[DataFrame] = []
         comps = None
         for turn in range(ROUNDS):
-            keys = nodes.select("node", "tokens").mapInArrow(_minhashes(1 + turn * KEYS), "node long, k int, key long").join(nodes.select("node", (F.size("tokens") / F.col("n")).alias("share")), "node")
-            best = keys.groupBy("k", "key").agg(F.max(F.struct("share", (-F.col("node")).alias("less"))).alias("best")).select("k", "key", (-F.col("best.less")).alias("b"))
-            pairs = keys.select(F.col("node").alias("a"), "k", "key").join(best.hint("shuffle_hash"), ["k", "key"]).where("a <> b").select("a", "b").distinct()
+            keys = staged.write(nodes.select("node", "tokens").mapInArrow(_minhashes(1 + turn * KEYS), "node long, k int, key long").join(nodes.select("node", (F.size("tokens") / F.col("n")).alias("share")), "node"))
+            best = staged.write(keys.groupBy("k", "key").agg(F.max(F.struct("share", (-F.col("node")).alias("less"))).alias("best"), F.count(F.lit(1)).alias("rows_of_key")).where("rows_of_key > 1").select("k", "key", (-F.col("best.less")).alias("b"), "rows_of_key"))
+            met = join_skewed(keys.select(F.col("node").alias("a"), "k", "key"), best.drop("rows_of_key"), "k", "key", sizes=best.select("k", "key", "rows_of_key"))
+            pairs = met.where("a <> b").select("a", "b").distinct()
             links.append(staged.write(_linked(_across(pairs, comps), nodes)))
             comps = connected_components(reduce(DataFrame.union, links), staged)
         links.append(staged.write(_linked(_prefix_pairs(nodes, comps, staged), nodes)))
@@ -240,11 +258,13 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     degree = every.select(F.col("a").alias("node")).union(every.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     named = sets.select("sig", "node").join(comps, "node").join(degree, "node", "left").select("sig", "comp", "links")
-    smallest = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("low"))
+    smallest = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows_of_sig"))
     placed = staged.write(smallest.join(named, "sig", "left"))
-    of_comp = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("low").alias("lowest"))
-    final = placed.join(of_comp, "comp", "left").select("sig", F.coalesce("lowest", "low").alias("component"), "links")
-    return rows.join(final.hint("shuffle_hash"), "sig", "left").select(
+    of_comp = staged.write(placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("low").alias("lowest"), F.count(F.lit(1)).alias("rows_of_key")))
+    final = join_skewed(placed, of_comp.drop("rows_of_key"), "comp", sizes=of_comp.select("comp", "rows_of_key")).select("sig", F.coalesce("lowest", "low").alias("component"), "links", "rows_of_sig")
+    final = staged.write(final)
+    named_rows = rows.withColumn("sig", F.when(F.col("n") > 0, F.col("sig")))  # empty sets are no group
+    return join_skewed(named_rows, final.drop("rows_of_sig"), "sig", sizes=final.select("sig", F.col("rows_of_sig").alias("rows_of_key"))).select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
     )
