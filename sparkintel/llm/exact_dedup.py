@@ -5,9 +5,9 @@ significant first. A round takes one digit (a slice of bytes, four times as wide
 documents that still share a group, and splits each group by it. A document leaves when it is alone
 or when its bytes have ended; those that end in one group are equal byte by byte, without a digest.
 A group is only ever counted, with partial counts before the shuffle, and joined back to its
-members, so that no task holds a whole group. Those joins are always shuffled, hashed on the side of
-the groups: the plan is the same at every size, texts are not sorted, and adaptive execution can
-split the partition of a large group.
+members, so that no task holds a whole group. Those joins are shuffled, hashed on the side of the
+groups, so that texts are not sorted and adaptive execution can split the partition of a large group;
+the last, to the row that stays, broadcasts it for the few largest groups.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkintel.llm.rows import deal_out, keyed
+from sparkintel.llm.rows import deal_out, join_skewed, keyed
 from sparkintel.llm.staging import Staged
 
 #: The deleted characters, \x20 and \x09-\x0D.
@@ -67,8 +67,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         closed.append(table.where(~F.col("open")))
     ended = reduce(DataFrame.unionByName, closed).drop("rest", "open", "size")
     best = F.struct((-F.col("points")).alias("fewer"), F.col("id").isNull().alias("unnamed"), "id", "uid")
-    stays = ended.where("cell IS NOT NULL").groupBy("round", "cell").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n"))
-    return ended.join(stays, ["round", "cell"], "left").select(
+    stays = staged.write(ended.where("cell IS NOT NULL").groupBy("round", "cell").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n")))
+    sizes = stays.select("round", "cell", F.col("n").alias("rows_of_key"))
+    return join_skewed(ended, stays, "round", "cell", sizes=sizes).select(
         F.col("id").alias(id_col),
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),

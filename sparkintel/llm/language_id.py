@@ -34,7 +34,7 @@ FAMILIES = {
     "indic": "hi bn ur pa gu mr ne".split(),
 }
 _FAMILY = {language: family for family, own in FAMILIES.items() for language in own}
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 def family_of(language: str) -> str:
@@ -144,8 +144,8 @@ def language_column(model: dict, text: Column) -> Column:
 
     def tell(texts: pa.Array) -> pa.Array:
         named, sure = [], []
-        for at in range(0, len(texts), 256):
-            for t in texts.slice(at, 256).to_pylist():
+        for at in range(0, len(texts), 64):
+            for t in texts.slice(at, 64).to_pylist():
                 language, score = predict_language(model, text_features(t)) if t else (UNKNOWN, 0.0)
                 named.append(language)
                 sure.append(score)
