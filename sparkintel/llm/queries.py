@@ -13,6 +13,7 @@ from sparkintel.llm.near_dedup import near_duplicate_components
 from sparkintel.llm.packing import pack_documents
 from sparkintel.llm.personal_data import find_personal_data
 from sparkintel.llm.quality_rules import judge_quality
+from sparkintel.llm.source_divergence import source_divergence
 from sparkintel.llm.token_counts import count_tokens_after_edits, sample_edits
 from sparkintel.llm.token_tables import token_table_digest
 from sparkintel.llm.url_filters import judge_urls
@@ -70,6 +71,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -112,4 +118,31 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, doc_id AS other FROM documents
             UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
         SELECT doc_id, n AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = z.doc_id) AS component_id FROM sizes z""",
+    "op11_source_divergence": r"""
+        WITH docs AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        words AS (SELECT lang, source, row, unnest(terms) AS term FROM docs),
+        kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+        langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+        cells AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        totals AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL),
+        groups AS (SELECT lang, source, coalesce(total, 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN totals USING (lang, source)),
+        shares AS (
+            SELECT lang, g.source, term, coalesce(c.n, 0) AS n,
+                   1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * v) AS p,
+                   1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total::HUGEINT + 5 * v) AS q
+            FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN cells c USING (lang, source, term)),
+        pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        every AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+            FROM (SELECT * FROM every UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q))
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
 }
