@@ -165,11 +165,14 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     blank = F.lit("")
     fields = docs.select(F.coalesce(docs[lang_col], blank).alias("lang"), F.coalesce(docs[source_col], blank).alias("source"), docs[text_col].cast("binary").alias("text"))
     counted = fields.mapInArrow(_counts, "lang string, source string, term binary, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counts = staged.write(counted.select("lang", "source", F.col("term").cast("string").alias("term"), "n", "docs"))
+    # Rare terms, which are most, end here: each term meets its sources once, and only kept ones are written.
+    of_term = Window.partitionBy("lang", "term")
+    counted = counted.withColumn("in_lang", F.sum("n").over(of_term)).withColumn("in_docs", F.sum("docs").over(of_term)).withColumn("term", F.col("term").cast("string"))
+    counts = staged.write(counted.where((F.col("term") == "") | (F.col("in_docs") >= least_docs)).select("lang", "source", "term", "n", "in_lang"))
     real = counts.where("term <> ''")
 
     # Numbered from frequent to rare; the number is fixed by being written.
-    kept = real.groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
+    kept = real.select("lang", "term", "in_lang").distinct()
     number = F.monotonically_increasing_id()
     terms = staged.write(kept.repartitionByRange("lang", F.desc("in_lang")).sortWithinPartitions("lang", F.desc("in_lang")).withColumn("number", number).withColumn("word", F.expr("shiftright(number, 6)")))
     langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("in_lang").alias("of_lang"))
