@@ -34,7 +34,7 @@ SOURCE_BLOCK = 64
 #: Cells that are held at once in a task.
 _CELLS = 1 << 21
 #: Entries (terms of groups) that a task counts before it passes them on.
-_HELD = 200_000
+HELD = 200_000
 _SLICE = 1 << 20
 #: Bytes of terms in lower case; all others are blanks.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -50,41 +50,45 @@ def _slices(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, source, term, n, docs: partial counts; the empty term counts the documents of a group."""
-    held: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
-    entries = 0
-
-    def passed_on() -> pa.RecordBatch:
-        keys = [(lang, source, len(n)) for (lang, source), (n, _) in held.items()]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([x for lang, _, size in keys for x in repeat(lang, size)], pa.string()),
-                pa.array([x for _, source, size in keys for x in repeat(source, size)], pa.string()),
-                pa.array([t for n, _ in held.values() for t in n], pa.binary()),
-                pa.array([k for n, _ in held.values() for k in n.values()], pa.int64()),
-                pa.array([d[t] for n, d in held.values() for t in n], pa.int64()),
-            ],
-            names=["lang", "source", "term", "n", "docs"],
-        )
-
-    for batch in batches:
-        langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang, source, cell in zip(langs, sources, batch.column(2), strict=True):
-            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            before, seen = len(n), set()
-            for piece in _slices((cell.as_py() or b"").translate(_TERM_BYTES)):
-                words = piece.split()
-                seen.update(words)
-                n.update(words)
-            docs.update(seen)
-            n[b""] += 1
-            entries += len(n) - before
-            if entries > _HELD:
-                yield passed_on()
-                held, entries = {}, 0
-    if held:
-        yield passed_on()
+def _counts(most: int):
+    """lang, source, term, n, docs: partial counts, passed on when more than `most` are held; the empty term counts the documents of a group."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
+        entries = 0
+
+        def passed_on() -> pa.RecordBatch:
+            keys = [(lang, source, len(n)) for (lang, source), (n, _) in held.items()]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x for lang, _, size in keys for x in repeat(lang, size)], pa.string()),
+                    pa.array([x for _, source, size in keys for x in repeat(source, size)], pa.string()),
+                    pa.array([t for n, _ in held.values() for t in n], pa.binary()),
+                    pa.array([k for n, _ in held.values() for k in n.values()], pa.int64()),
+                    pa.array([d[t] for n, d in held.values() for t in n], pa.int64()),
+                ],
+                names=["lang", "source", "term", "n", "docs"],
+            )
+
+        for batch in batches:
+            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lang, source, cell in zip(langs, sources, batch.column(2), strict=True):
+                n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+                before, seen = len(n), set()
+                for piece in _slices((cell.as_py() or b"").translate(_TERM_BYTES)):
+                    words = piece.split()
+                    seen.update(words)
+                    n.update(words)
+                docs.update(seen)
+                n[b""] += 1
+                entries += len(n) - before
+                if entries > most:
+                    yield passed_on()
+                    held, entries = {}, 0
+        if held:
+            yield passed_on()
+
+    return work
 
 
 def _share(count: str, total: str, kept: str) -> Column:
@@ -122,35 +126,39 @@ def joint_distance(full: np.ndarray, left: tuple[np.ndarray, ...], right: tuple[
     return out
 
 
-def _block(rows: pd.DataFrame) -> pd.DataFrame:
+def _block(source_block: int):
     """Distances of the sources of one pair of source blocks over one block of terms.
 
     rows: levels (number: the source's, word, share, bits), one row of word -1 and share p(0) for each
     source, and the terms of each word under number -1.
     """
-    lang, low, high = rows["lang"].iloc[0], int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
-    words = rows[rows["number"] < 0]
-    names, at = np.unique(words["word"].to_numpy(), return_inverse=True)
-    full = np.zeros(len(names), np.uint64)
-    np.bitwise_or.at(full, at, words["bits"].to_numpy().view(np.uint64))
-    levels, sides, numbers = rows[rows["number"] >= 0], [], []
-    for block in (low, high):
-        own = levels[levels["number"] // SOURCE_BLOCK == block]
-        zero = own[own["word"] < 0].sort_values("number")
-        number, some = zero["number"].to_numpy(), own[own["word"] >= 0]
-        word = np.r_[np.repeat(np.arange(len(names)), len(number)), np.searchsorted(names, some["word"].to_numpy())]
-        group = np.r_[np.tile(np.arange(len(number)), len(names)), np.searchsorted(number, some["number"].to_numpy())]
-        share = np.r_[np.tile(zero["share"].to_numpy(), len(names)), some["share"].to_numpy()]
-        bits = np.r_[np.zeros(len(number) * len(names), np.int64), some["bits"].to_numpy()].view(np.uint64)
-        order = np.lexsort((share, group, word))
-        sides.append((word[order], group[order], share[order], bits[order], len(number)))
-        numbers.append(number)
-    found = joint_distance(full, *sides)
-    i, j = np.nonzero(numbers[0][:, None] < numbers[1][None, :])
-    return pd.DataFrame({"lang": lang, "one": numbers[0][i], "other": numbers[1][j], "part_value": found[i, j]})
-
-
-def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        lang, low, high = rows["lang"].iloc[0], int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
+        words = rows[rows["number"] < 0]
+        names, at = np.unique(words["word"].to_numpy(), return_inverse=True)
+        full = np.zeros(len(names), np.uint64)
+        np.bitwise_or.at(full, at, words["bits"].to_numpy().view(np.uint64))
+        levels, sides, numbers = rows[rows["number"] >= 0], [], []
+        for block in (low, high):
+            own = levels[levels["number"] // source_block == block]
+            zero = own[own["word"] < 0].sort_values("number")
+            number, some = zero["number"].to_numpy(), own[own["word"] >= 0]
+            word = np.r_[np.repeat(np.arange(len(names)), len(number)), np.searchsorted(names, some["word"].to_numpy())]
+            group = np.r_[np.tile(np.arange(len(number)), len(names)), np.searchsorted(number, some["number"].to_numpy())]
+            share = np.r_[np.tile(zero["share"].to_numpy(), len(names)), some["share"].to_numpy()]
+            bits = np.r_[np.zeros(len(number) * len(names), np.int64), some["bits"].to_numpy()].view(np.uint64)
+            order = np.lexsort((share, group, word))
+            sides.append((word[order], group[order], share[order], bits[order], len(number)))
+            numbers.append(number)
+        found = joint_distance(full, *sides)
+        i, j = np.nonzero(numbers[0][:, None] < numbers[1][None, :])
+        return pd.DataFrame({"lang": lang, "one": numbers[0][i], "other": numbers[1][j], "part_value": found[i, j]})
+
+    return work
+
+
+def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, top_terms: int = TOP_TERMS, block_words: int = BLOCK_WORDS, source_block: int = SOURCE_BLOCK, held: int = HELD) -> DataFrame:
     """lang, source, part, item, value, rank: how far each source of a language is from its others, and its own terms.
 
     Terms are runs of ASCII letters and of characters beyond ASCII, with only A to Z lower-cased; a
@@ -164,7 +172,7 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     staged = Staged(spark, "source-divergence")
     blank = F.lit("")
     fields = docs.select(F.coalesce(docs[lang_col], blank).alias("lang"), F.coalesce(docs[source_col], blank).alias("source"), docs[text_col].cast("binary").alias("text"))
-    counted = fields.mapInArrow(_counts, "lang string, source string, term binary, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counted = fields.mapInArrow(_counts(held), "lang string, source string, term binary, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     # Rare terms, which are most, end here: each term meets its sources once, and only kept ones are written.
     of_term = Window.partitionBy("lang", "term")
     counted = counted.withColumn("in_lang", F.sum("n").over(of_term)).withColumn("in_docs", F.sum("docs").over(of_term)).withColumn("term", F.col("term").cast("string"))
@@ -183,7 +191,7 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     by_source = Window.partitionBy("lang").orderBy("source")
     groups = staged.write(groups.withColumn("number", (F.row_number().over(by_source) - 1).cast("long")))
 
-    pairs = _pairs(groups, terms, cells, staged)
+    pairs = _pairs(groups, terms, cells, staged, block_words, source_block)
     shares = cells.join(groups.drop("number"), ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), (_share("n", "total", "kept") - _share("in_lang", "of_lang", "kept")).alias("value"))
     ranks = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     own = shares.where("value > 0").withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= top_terms)
@@ -191,26 +199,26 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     return both.select(F.col("lang").alias(lang_col), F.col("source").alias(source_col), "part", "item", "value", "rank")
 
 
-def _pairs(groups: DataFrame, terms: DataFrame, cells: DataFrame, staged: Staged) -> DataFrame:
+def _pairs(groups: DataFrame, terms: DataFrame, cells: DataFrame, staged: Staged, block_words: int, source_block: int) -> DataFrame:
     """lang, source, item, value for each ordered pair of the sources of a language."""
     facts = groups.where("kept > 0").select("lang", "source", "number", "total", "kept")
     bit = "shiftleft(1L, CAST(number & 63 AS INT))"
     levels = cells.withColumn("bit", F.expr(bit)).groupBy("lang", "source", "word", "n").agg(F.bit_or("bit").alias("bits"))
     bitmaps = staged.write(levels.join(facts, ["lang", "source"]).select("lang", "number", "word", _share("n", "total", "kept").alias("share"), "bits"))
     words = terms.withColumn("bit", F.expr(bit)).groupBy("lang", "word").agg(F.bit_or("bit").alias("bits"))
-    block_of = F.floor(F.col("word") / BLOCK_WORDS).cast("long")
+    block_of = F.floor(F.col("word") / block_words).cast("long")
     blocks = words.select("lang", block_of.alias("block")).distinct()
     # Each block of terms meets each pair of blocks of sources.
     n_sources = facts.groupBy("lang").agg(F.max("number").alias("last"))
     zeros = facts.select("lang", "number", F.lit(-1).cast("long").alias("word"), _share("0", "total", "kept").alias("share"), F.lit(0).cast("long").alias("bits")).join(blocks, "lang")
     own = bitmaps.withColumn("block", block_of).unionByName(zeros).join(n_sources, "lang")
-    mine, last = F.floor(F.col("number") / SOURCE_BLOCK), F.floor(F.col("last") / SOURCE_BLOCK)
+    mine, last = F.floor(F.col("number") / source_block), F.floor(F.col("last") / source_block)
     own = own.withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
     own = own.select("lang", "block", F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"), "number", "word", "share", "bits")
     span = F.sequence(F.lit(0).cast("long"), last.cast("long"))
     whole = words.withColumn("block", block_of).join(n_sources, "lang").withColumn("low", F.explode(span)).withColumn("high", F.explode(F.sequence(F.col("low"), last.cast("long"))))
     whole = whole.select("lang", "block", "low", "high", F.lit(-1).cast("long").alias("number"), "word", F.lit(0).cast("long").alias("share"), "bits")
-    parts = own.unionByName(whole).groupBy("lang", "block", "low", "high").applyInPandas(_block, "lang string, one long, other long, part_value long")
+    parts = own.unionByName(whole).groupBy("lang", "block", "low", "high").applyInPandas(_block(source_block), "lang string, one long, other long, part_value long")
     sums = staged.write(parts.groupBy("lang", "one", "other").agg(F.sum("part_value").alias("value")))
     both = sums.unionByName(sums.select("lang", F.col("other").alias("one"), F.col("one").alias("other"), "value"))
     names = groups.select("lang", "source", "number")
