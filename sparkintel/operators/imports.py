@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from sparkintel.functions.addresses import canonical_ip, ip_version
 from sparkintel.functions.repositories import repository_key_lenient
 from sparkintel.functions.strings import normalize_hash
+from sparkintel.operators.file_identity import FILE_VERDICTS, assign_files, file_warnings, merge_files
 from sparkintel.operators.merges import add_versions, complete_findings, current_findings, merge_first_seen, merge_ip_snapshots, not_imported, union_ignore
-from sparkintel.operators.stores import FILE_VERDICTS, ambiguous_md5, merge_files, same_files
 from sparkintel.operators.versions import assign_versions
 
 Store = dict[str, DataFrame]
@@ -102,8 +102,8 @@ def merge_file_store(store: Store, snapshots: Store, intelligence_only: bool = F
     tags (row_id, value, source, first_seen), observations (row_id, path), lookups (row_id, provider,
     status, completed_at, raw_path) and ledger. snapshots: the same with source_sha256, and `snapshots`.
     row_ids differ between snapshots; the store after it names files by `group`. Only for intelligence, local
-    observations and paths stay behind and the ledger guards. Warnings tell of MD5 values that stand beside
-    several SHA-256 values and of magics that an older row says otherwise.
+    observations and paths stay behind and the ledger guards. Warnings tell of files with a row whose MD5
+    is another's, or whose magic was another and not newer.
     """
     fresh = fresh_snapshots(snapshots["snapshots"], store["ledger"])
     carried = {name: df.join(fresh.select("source_sha256"), "source_sha256") for name, df in snapshots.items() if name != "snapshots"}
@@ -111,10 +111,10 @@ def merge_file_store(store: Store, snapshots: Store, intelligence_only: bool = F
     clean = lambda df: df.select(*columns).withColumn("sha256", normalize_hash(F.col("sha256"))).withColumn("md5", normalize_hash(F.col("md5"))).withColumn("magic", F.nullif(F.trim("magic"), F.lit(""))).withColumn("malicious", F.when(F.col("malicious").isin(FILE_VERDICTS), F.col("malicious")).otherwise("unknown"))
     old, new = clean(store["files"]).withColumn("there", F.lit(True)), clean(carried["files"]).withColumn("there", F.lit(False))
     rows = old.union(new)
-    groups = same_files(rows)
+    groups = assign_files(rows).select("row_id", "group")
     named = rows.join(groups, "row_id")
-    per = named.groupBy("group").agg(F.bool_or("there").alias("known"), F.count_if(~F.col("there")).alias("rows"), F.countDistinct("magic").alias("magics"), F.max(F.when(F.col("magic").isNotNull(), F.struct("updated_at", "there"))).alias("last"))
-    out: Store = {"files": merge_files(rows.drop("there")), "ledger": store["ledger"].select("source_sha256").union(fresh.select("source_sha256"))}
+    per = named.groupBy("group").agg(F.bool_or("there").alias("known"), F.count_if(~F.col("there")).alias("rows"))
+    out: Store = {"files": merge_files(rows), "ledger": store["ledger"].select("source_sha256").union(fresh.select("source_sha256"))}
     of = lambda df: df.join(groups, "row_id").drop("row_id")
     for name in ("file_names", "tags"):
         out[name] = merge_first_seen(of(store[name]).select("group", "value", "source", "first_seen"), of(carried[name]).select("group", "value", "source", "first_seen"), ["group", "value", "source"])
@@ -123,7 +123,7 @@ def merge_file_store(store: Store, snapshots: Store, intelligence_only: bool = F
     lookups = of(carried["lookups"]).withColumn("raw_path", F.lit(None).cast("string") if intelligence_only else F.col("raw_path"))
     out["lookups"] = of(store["lookups"]).select("group", "provider", "status", "completed_at", "raw_path").union(lookups.select("group", "provider", "status", "completed_at", "raw_path"))
     changed = per.where("rows > 0")
-    warnings = ambiguous_md5(rows).select(F.lit("md5_conflict").alias("kind"), F.col("md5").alias("key")).union(changed.where("magics > 1 AND last.there").select(F.lit("magic_conflict"), F.col("group")))
+    warnings = file_warnings(rows).join(groups, "row_id").select("kind", F.col("group").alias("key")).distinct()
     counts = changed.agg(F.count_if(~F.col("known")).alias("files_inserted"), F.sum(F.col("rows") - F.when(F.col("known"), 0).otherwise(1)).alias("files_merged")).na.fill(0)
     notes = ["local observations and paths stay behind"] if intelligence_only else []
     return Merged(out, counts.crossJoin(_counts({"lookups_copied": carried["lookups"], "warnings": warnings})), warnings, notes)

@@ -10,9 +10,6 @@ from sparkintel.operators.exchange import MOST_BYTES, MOST_ITEMS
 from sparkintel.operators.folds import fitting_in_order
 from sparkintel.operators.merges import max_verdict, ranked_verdict, union_ignore
 
-FILE_VERDICTS = ["yes", "no", "unknown"]
-
-
 def apply_ip_results(entities: DataFrame, records: DataFrame) -> DataFrame:
     """Entities after provider records: ip, country_code, malicious, last_updated.
 
@@ -38,38 +35,6 @@ def apply_file_observations(files: DataFrame, observations: DataFrame) -> tuple[
     return merged, joined.where(clash).select("sha256")
 
 
-def same_files(rows: DataFrame) -> DataFrame:
-    """row_id, group: rows that are one file by SHA-256, or by MD5 where no SHA-256 says otherwise.
-
-    rows: row_id, sha256, md5. Rows of one SHA-256 are one file. A row without one joins the file of its
-    MD5 if there is exactly one; rows without any SHA-256 of one MD5 are one file; other MD5 matches are
-    left apart and reported by `ambiguous_md5`.
-    """
-    known = rows.where("sha256 IS NOT NULL AND md5 IS NOT NULL").groupBy("md5").agg(F.countDistinct("sha256").alias("files"), F.min("sha256").alias("only"))
-    joined = rows.join(known, "md5", "left")
-    name = F.when(F.col("sha256").isNotNull(), F.concat(F.lit("s:"), F.col("sha256"))).when(F.col("files") == 1, F.concat(F.lit("s:"), F.col("only"))).when(F.col("md5").isNotNull(), F.concat(F.lit("m:"), F.col("md5"))).otherwise(F.concat(F.lit("r:"), F.col("row_id").cast("string")))
-    return joined.select("row_id", name.alias("group"))
-
-
-def ambiguous_md5(rows: DataFrame) -> DataFrame:
-    """MD5 values that stand beside several SHA-256 values: kept apart, with a warning."""
-    return rows.where("sha256 IS NOT NULL AND md5 IS NOT NULL").groupBy("md5").agg(F.countDistinct("sha256").alias("files")).where("files > 1")
-
-
-def merge_files(rows: DataFrame) -> DataFrame:
-    """One row for each file of several snapshots: group, sha256, md5, magic, malicious, created_at, updated_at, n_rows.
-
-    rows: row_id, import_seq, sha256, md5, magic, malicious, created_at, updated_at. The magic of the
-    newest row that has any wins, of equals that of the later import; verdicts take the greatest.
-    """
-    grouped = rows.join(same_files(rows), "row_id")
-    magic = F.max_by("magic", F.struct(F.nullif("magic", F.lit("")).isNotNull(), "updated_at", "import_seq", "row_id"))
-    return grouped.groupBy("group").agg(
-        F.max("sha256").alias("sha256"), F.min("md5").alias("md5"), F.nullif(magic, F.lit("")).alias("magic"), F.coalesce(max_verdict(F.col("malicious"), FILE_VERDICTS), F.lit("unknown")).alias("malicious"),
-        F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.count(F.lit(1)).alias("n_rows"),
-    )
-
-
 def promote_findings(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Findings to add, with their versions: those whose (repository, fingerprint, provenance) is not there."""
     keys = ["repository_id", "fingerprint", "provenance"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkintel.operators import stores
+from sparkintel.operators import file_identity, stores
 from sparkintel.plans.queries import _EVENT_IPS, query
 from sparkintel.plans.tables import event_ips, read
 
@@ -32,13 +32,25 @@ _SNAPS = """
 
 
 @query(
-    f"""WITH r AS ({_SNAPS}), k AS (SELECT md5, count(DISTINCT sha256) AS files, min(sha256) AS only_one FROM r WHERE sha256 IS NOT NULL AND md5 IS NOT NULL GROUP BY md5),
-    g AS (SELECT r.*, CASE WHEN sha256 IS NOT NULL THEN 's:' || sha256 WHEN files = 1 THEN 's:' || only_one WHEN r.md5 IS NOT NULL THEN 'm:' || r.md5 ELSE 'r:' || row_id END AS grp FROM r LEFT JOIN k ON k.md5 = r.md5)
-    SELECT grp AS "group", nullif(arg_max(magic, (magic <> '', tm, row_id)), '') AS magic, CASE max(CASE malicious WHEN 'yes' THEN 3 WHEN 'no' THEN 2 ELSE 1 END) WHEN 3 THEN 'yes' WHEN 2 THEN 'no' ELSE 'unknown' END AS malicious,
-           min(tm) AS created_at, max(tm) AS updated_at, count(*) AS n_rows FROM g GROUP BY grp"""
+    f"""WITH RECURSIVE r AS (SELECT *, event_comp AS comp, row_number() OVER (PARTITION BY event_comp ORDER BY row_id) AS i FROM (SELECT *, row_id % 50 AS event_comp FROM ({_SNAPS}))),
+    turn AS (
+        SELECT comp, 0::BIGINT AS i, []::STRUCT(sha VARCHAR, md5 VARCHAR, magic VARCHAR, v INT, born VARCHAR, seen VARCHAR, n BIGINT)[] AS files FROM (SELECT DISTINCT comp FROM r)
+        UNION ALL
+        SELECT comp, i, CASE WHEN k IS NULL THEN list_append(files, {{'sha': sha, 'md5': md5, 'magic': m, 'v': v, 'born': tm, 'seen': tm, 'n': 1::BIGINT}})
+            ELSE list_concat(list_concat(files[:k - 1], [{{'sha': coalesce(f.sha, sha), 'md5': coalesce(f.md5, md5), 'magic': CASE WHEN f.magic IS NULL OR (m IS NOT NULL AND tm > f.seen) THEN m ELSE f.magic END,
+                'v': greatest(f.v, v), 'born': least(f.born, tm), 'seen': greatest(f.seen, tm), 'n': f.n + 1}}]), files[k + 1:]) END AS files
+        FROM (
+            SELECT *, files[k] AS f FROM (
+                SELECT *, CASE WHEN s IS NOT NULL THEN s WHEN p IS NOT NULL AND (sha IS NULL OR files[p].sha IS NULL) THEN p END AS k FROM (
+                    SELECT t.comp, r.i, t.files, r.sha256 AS sha, r.md5, nullif(r.magic, '') AS m, CASE r.malicious WHEN 'yes' THEN 3 WHEN 'no' THEN 2 ELSE 1 END AS v, r.tm,
+                           CASE WHEN r.sha256 IS NOT NULL THEN nullif(list_position(list_transform(t.files, lambda x: coalesce(x.sha, '')), r.sha256), 0) END AS s,
+                           CASE WHEN r.md5 IS NOT NULL THEN nullif(list_position(list_transform(t.files, lambda x: coalesce(x.md5, '')), r.md5), 0) END AS p
+                    FROM turn t JOIN r ON r.comp = t.comp AND r.i = t.i + 1)))),
+    last AS (SELECT comp, unnest(files) AS f FROM turn SEMI JOIN (SELECT comp, max(i) AS i FROM r GROUP BY comp) USING (comp, i))
+    SELECT f.sha AS sha256, f.md5 AS md5, f.magic AS magic, CASE f.v WHEN 3 THEN 'yes' WHEN 2 THEN 'no' ELSE 'unknown' END AS malicious, f.born AS created_at, f.seen AS updated_at, f.n AS n_rows FROM last"""
 )
 def merged_files(spark, sf_dir):
-    """Files of many snapshots, named by SHA-256 and by MD5 where that is safe."""
+    """Files of many snapshots by SHA-256 and MD5, as one import after the other leaves them."""
     e = read(spark, sf_dir, "events")
     n = lambda k: F.concat(F.lit("f"), (F.col("event_id") % k).cast("string"))
     at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
@@ -46,7 +58,7 @@ def merged_files(spark, sf_dir):
         F.col("event_id").alias("row_id"), F.col("event_id").alias("import_seq"), F.when(F.col("event_id") % 4 != 0, F.sha2(n(700), 256)).alias("sha256"), F.when(F.col("event_id") % 5 != 0, F.md5(n(650))).alias("md5"),
         F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("magic"), (F.col("event_id") % 11).cast("string"))).otherwise("").alias("magic"), F.when(F.col("event_id") % 7 == 0, "yes").when(F.col("event_id") % 7 == 1, "no").otherwise("unknown").alias("malicious"), at.alias("created_at"), at.alias("updated_at"),
     )
-    return stores.merge_files(rows).drop("sha256", "md5")
+    return file_identity.merge_files(rows).drop("group")
 
 
 @query(

@@ -6,14 +6,6 @@ from pyspark.sql import functions as F
 from sparkintel.operators import answers, stores
 
 
-def test_file_identities(spark):
-    rows = [(1, "s1", "m1"), (2, None, "m1"), (3, "s2", "m2"), (4, "s3", "m2"), (5, None, "m2"), (6, None, "m9"), (7, None, "m9"), (8, None, None)]
-    df = spark.createDataFrame(rows, "row_id long, sha256 string, md5 string")
-    got = {r["row_id"]: r["group"] for r in stores.same_files(df).collect()}
-    assert got[1] == got[2] and got[3] != got[4] and got[5] not in (got[3], got[4]) and got[6] == got[7] and got[8] == "r:8"
-    assert [r["md5"] for r in stores.ambiguous_md5(df).collect()] == ["m2"]
-
-
 def test_observations_keep_what_is_there(spark):
     files = spark.createDataFrame([("a", "m1", "", "no"), ("b", None, "old", "yes")], "sha256 string, md5 string, magic string, malicious string")
     seen = spark.createDataFrame([("a", "m1", "new", 1), ("b", "m2", "x", 2), ("c", "m3", None, 3), ("d", "m4", None, 4), ("d", "m5", None, 5)], "sha256 string, md5 string, magic string, seq long")
