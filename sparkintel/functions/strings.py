@@ -12,11 +12,17 @@ def csv_safe(c: Column) -> Column:
 
 
 def md_escape(c: Column) -> Column:
-    """Text that Markdown and HTML show as it is; null as `not recorded`."""
-    html = F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    marked = F.regexp_replace(html, r"([\\`*_{}\[\]()#+\-.!|~])", r"\\$1")
-    for code in (*range(9), *range(9, 32), 127, 0x2028, 0x2029):
-        marked = F.replace(marked, F.lit(chr(code)), F.lit(f"\\u{code:04x}")) if code else marked
+    """Text on one line that Markdown and HTML show as it is; null as `not recorded`.
+
+    Characters of the categories C, Zl and Zp, which hide or reorder text, are written as their code points.
+    """
+    hidden = r"[\p{C}\p{Zl}\p{Zp}]"
+    code = lambda x: F.lower(F.hex(F.ascii(x)))
+    # Character by character, and only where there is any.
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(hidden), F.concat(F.lit("\\u"), F.lpad(code(x), F.greatest(F.length(code(x)), F.lit(4)), F.lit("0")))).otherwise(x)), "")
+    marked = F.regexp_replace(F.when(c.rlike(hidden), spelled).otherwise(c), r"([\\`*_{}\[\]()#+\-.!|~])", r"\\$1")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        marked = F.replace(marked, F.lit(sign), F.lit(name))
     return F.coalesce(marked, F.lit("not recorded"))
 
 
@@ -129,8 +135,14 @@ def bound_meta(meta: Column, key: int = 128, value: int = 512, entries: int = 64
     return F.map_from_entries(cut)
 
 
+def utf8_floor(c: Column, most: Column) -> Column:
+    """The text of at most so many bytes, without a part of a character at the cut."""
+    raw, n = F.encode(c, "UTF-8"), most.cast("int")
+    # A character starts at a byte that does not continue one; it has at most four bytes.
+    ends = [F.when(~F.hex(F.substring(raw, n + 1 - back, F.lit(1))).rlike("^[89AB]"), n - back) for back in range(4)]
+    return F.when(F.octet_length(c) <= n, c).when(n <= 0, "").otherwise(F.substring(raw, F.lit(1), F.coalesce(*ends)).cast("string"))
+
+
 def utf8_head(c: Column, most: int) -> Column:
     """The text of at most so many bytes, without a part of a character at the cut."""
-    cut = F.substring(F.encode(c, "UTF-8"), 1, most)
-    whole = F.regexp_replace(F.hex(cut), "(?:F[0-7](?:[89AB][0-9A-F]){0,2}|E[0-9A-F](?:[89AB][0-9A-F])?|[CD][0-9A-F])$", "")
-    return F.when(F.octet_length(c) <= most, c).otherwise(F.decode(F.unhex(whole), "UTF-8"))
+    return utf8_floor(c, F.lit(most))

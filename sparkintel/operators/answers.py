@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from sparkintel.operators.folds import running_digest
 from sparkintel.operators.versions import effective_corrections, latest_by
 
 #: How sources are preferred by kind.
@@ -114,25 +113,6 @@ def capture_sources(files: DataFrame, group: str, max_doc: int, max_repo: int) -
     return cut.select(group, "path", "kind", F.col("kept").cast("long"), F.sha2(F.expr("substring(content, 1, CAST(kept AS INT))"), 256).alias("sha256"), is_translation(F.col("path")).alias("translation"))
 
 
-def evidence_rows(sources: DataFrame) -> DataFrame:
-    """The block of each repository as its rows, to be read in order of place: repository_id, place, text, hash."""
-    return sources.select("repository_id", "place", F.concat(F.lit("["), F.col("source_id").cast("string"), F.lit("]\n"), F.col("content")).alias("text"), F.sha2("content", 256).alias("hash"))
-
-
-def evidence_blocks(sources: DataFrame) -> DataFrame:
-    """What stands for the block of each repository: repository_id, set_hash, n.
-
-    set_hash is the hash of its hashes in order, joined by commas; n the length of its texts, joined by
-    blank lines. Hashes alone are brought together, and read as a stream that keeps one running hash, so
-    that a repository of very many sources is never one row or one frame.
-    """
-    rows = evidence_rows(sources)
-    lengths = rows.groupBy("repository_id").agg((F.sum(F.length("text")) + 2 * (F.count(F.lit(1)) - 1)).alias("length"))
-    hashes = running_digest(rows.select("repository_id", "place", "hash"), ["repository_id"], F.col("hash"), ["place"], ",")
-    same = hashes["repository_id"].eqNullSafe(lengths["repository_id"])
-    return hashes.join(lengths, same).select(hashes["repository_id"], F.col("digest").alias("set_hash"), F.col("length").alias("n"))
-
-
 def full_cards(cards: DataFrame, snapshots: DataFrame, copies: DataFrame, runs: DataFrame, corrections: DataFrame, fields: list[str]) -> DataFrame:
     """Cards with the rest of their latest snapshot, last fetch state, present copies and corrections."""
     latest = latest_by(snapshots.select("repository_id", "captured_at", "id", "license_spdx", "parent_full_name"), ["repository_id"], ["captured_at", "id"]).drop("captured_at", "id")

@@ -67,16 +67,20 @@ def fitting_in_order(items: DataFrame, key: str, size: str, whole: int, name: st
     return fold_in_order(rows, [key], ["id", size], ["id", size], f"id long, {size} long, {name} boolean", int, step)
 
 
-def running_digest(rows: DataFrame, keys: list[str], line: Column, order: list[str] | None = None, between: str = "") -> DataFrame:
-    """The SHA-256 of each key's lines, one after the other in their order (by themselves without one), and their number: keys..., digest, n.
+def running_digest(rows: DataFrame, keys: list[str], line: Column, order: list[str] | None = None, between: str = "", around: tuple[str, str] = ("", "")) -> DataFrame:
+    """The SHA-256 of each key's lines, one after the other in their order (by themselves without one), with text between and around them, and their number: keys..., digest, n.
 
     Lines are best hashes themselves: they alone are brought together, and read as a stream.
     """
 
     def step(state: list, row: tuple) -> tuple[list, None]:
         digest, n = state
-        digest.update((between if n else "").encode() + (row[0] or "").encode())
+        digest.update((between if n else around[0]).encode() + (row[0] or "").encode())
         return [digest, n + 1], None
 
+    def end(state: list) -> tuple[str, int]:
+        state[0].update(around[1].encode())
+        return state[0].hexdigest(), state[1]
+
     named = rows.select(*rows.columns, line.alias("line_of_digest"))
-    return fold_in_order(named, keys, [*(order or []), "line_of_digest"], ["line_of_digest"], "digest string, n long", lambda: [hashlib.sha256(), 0], step, lambda s: (s[0].hexdigest(), s[1]))
+    return fold_in_order(named, keys, [*(order or []), "line_of_digest"], ["line_of_digest"], "digest string, n long", lambda: [hashlib.sha256(), 0], step, end)

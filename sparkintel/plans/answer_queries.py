@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkintel.operators import answers, lookups
+from sparkintel.operators import answers, evidence, lookups
 from sparkintel.plans.queries import _EVENT_IPS, query
 from sparkintel.plans.tables import event_ips, read
 
@@ -34,21 +34,28 @@ def answer_violations(spark, sf_dir):
     return answers.answer_violations(read(spark, sf_dir, "documents").select("doc_id", body.alias("body")), "doc_id", "body")
 
 
+_BLOCK = """'<source id="' || doc_id || '" locator="' || source || '/' || doc_id || '.md" untrusted="true">' || chr(10) || coalesce(text, '') || chr(10) || '</source>'"""
+
+
+def _all_sources(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    locator = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return read(spark, sf_dir, "documents").select(F.col("source").alias("repository_id"), F.col("doc_id").alias("place"), F.col("doc_id").alias("version_id"), locator.alias("locator"), text.alias("content"), F.sha2(text, 256).alias("content_hash"))
+
+
 @query(
-    """WITH d AS (SELECT source AS repository_id, doc_id, coalesce(text, '') AS content FROM documents)
-    SELECT repository_id, sha256(string_agg(sha256(content), ',' ORDER BY doc_id)) AS set_hash, length(string_agg('[' || doc_id || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY doc_id)) AS n FROM d GROUP BY repository_id"""
+    f"""SELECT source AS repository_id, sha256('[' || string_agg('{{"hash":"' || sha256(coalesce(text, '')) || '","version_id":' || doc_id || '}}', ',' ORDER BY doc_id) || ']') AS set_hash,
+           length(string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY doc_id)) AS n FROM documents GROUP BY source"""
 )
 def evidence_blocks(spark, sf_dir):
     """All documents of each source with their whole texts."""
-    d = read(spark, sf_dir, "documents")
-    return answers.evidence_blocks(d.select(F.col("source").alias("repository_id"), F.col("doc_id").alias("place"), F.col("doc_id").alias("source_id"), F.coalesce("text", F.lit("")).alias("content")))
+    return evidence.evidence_blocks(_all_sources(spark, sf_dir))
 
 
-@query("SELECT source AS repository_id, doc_id AS place, '[' || doc_id || ']' || chr(10) || coalesce(text, '') AS text FROM documents")
+@query(f"SELECT source AS repository_id, doc_id AS place, {_BLOCK} AS text FROM documents")
 def evidence_block_rows(spark, sf_dir):
     """The blocks themselves, as rows to be read in order of place."""
-    d = read(spark, sf_dir, "documents")
-    return answers.evidence_rows(d.select(F.col("source").alias("repository_id"), F.col("doc_id").alias("place"), F.col("doc_id").alias("source_id"), F.coalesce("text", F.lit("")).alias("content"))).drop("hash")
+    return evidence.evidence_rows(_all_sources(spark, sf_dir)).drop("entry")
 
 
 @query("SELECT event_type AS metric, CAST(sum(event_id) AS BIGINT) AS value FROM events GROUP BY event_type")

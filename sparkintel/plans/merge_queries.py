@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkintel.functions import strings
+from sparkintel.functions.scripts import script_counts
 from sparkintel.operators import evidence, exchange, lookups, merges, search, signatures
 from sparkintel.operators.versions import dedupe_names
 from sparkintel.plans.queries import _EVENT_IPS, query
@@ -87,14 +88,28 @@ def union_ignore(spark, sf_dir):
 
 
 @query(
-    """WITH v AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) AS bytes FROM documents),
-    b AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY source ORDER BY doc_id % 7, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v)
-    SELECT source, doc_id, CAST(before AS BIGINT) AS before, CAST(least(bytes, 100000 - before) AS BIGINT) AS kept FROM b WHERE least(bytes, 100000 - before) > 0"""
+    """WITH RECURSIVE v AS (
+        SELECT source, doc_id, doc_id * 2 + (CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) AS version_id, CASE WHEN doc_id % 5 = 0 THEN translate(coalesce(text, ''), 'eao', 'éäヶ') ELSE coalesce(text, '') END AS content FROM documents WHERE doc_id % 11 <> 0),
+    o AS (SELECT source, version_id, content, row_number() OVER (PARTITION BY source ORDER BY doc_id % 3 DESC, (doc_id + 1) % 4, doc_id % 2 DESC, 'l' || doc_id) AS place FROM v WHERE content <> ''),
+    turn AS (
+        SELECT source, 0::BIGINT AS place, 0::BIGINT AS version_id, '' AS cut, 50001::BIGINT AS remaining FROM (SELECT DISTINCT source FROM o)
+        UNION ALL
+        SELECT source, place, version_id, cut, remaining - strlen(cut) FROM (
+            SELECT o.source, o.place, o.version_id, t.remaining, CASE WHEN strlen(content) <= t.remaining THEN content ELSE coalesce(
+                TRY(decode(encode(content)[1:t.remaining])), TRY(decode(encode(content)[1:t.remaining - 1])), TRY(decode(encode(content)[1:t.remaining - 2])), TRY(decode(encode(content)[1:t.remaining - 3])), '') END AS cut
+            FROM turn t JOIN o ON o.source = t.source AND o.place = t.place + 1 WHERE t.remaining > 0))
+    SELECT source AS repository_id, version_id, place, strlen(cut)::BIGINT AS kept, sha256(cut) AS sha256 FROM turn WHERE cut <> ''"""
 )
 def source_budget(spark, sf_dir):
-    """Documents of each source within a budget of bytes, in order of preference."""
-    v = read(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
-    return evidence.select_sources(v, "source", "bytes", [F.col("doc_id") % 7, F.col("doc_id")], 100_000).select("source", "doc_id", "before", "kept")
+    """Documents of each source within a budget of bytes: originals, their last versions, by priority, kind, origin and locator."""
+    d, n = read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))), F.col("doc_id")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("readme", "authors", "maintainers", "other")]), ((n + 1) % 4 + 1).cast("int"))
+    documents = d.select(n.alias("document_id"), F.col("source").alias("repository_id"), kind.alias("kind"), F.concat(F.lit("l"), n.cast("string")).alias("locator"), (n % 2).cast("string").alias("origin"), (n % 3).alias("priority"), (n % 11 == 0).alias("translation"))
+    first = d.select((n * 2).alias("version_id"), n.alias("document_id"), F.col("text").alias("content"))
+    second = d.where(n % 5 == 0).select((n * 2 + 1).alias("version_id"), n.alias("document_id"), F.translate("text", "eao", "éäヶ").alias("content"))
+    versions = first.union(second).withColumn("content_hash", F.sha2("content", 256))
+    chosen = evidence.select_evidence(documents, versions, 50_001)
+    return chosen.select("repository_id", "version_id", F.col("place").cast("long").alias("place"), "kept", F.sha2("content", 256).alias("sha256"))
 
 
 @query(
@@ -111,18 +126,48 @@ def quote_validation(spark, sf_dir):
     return evidence.validate_quotes(quotes, sources).select("quote_id", "source_id", "state", F.coalesce("start_offset", F.lit(-1)).alias("start_offset"))
 
 
-@query(r"SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^\p{Latin}]', '', 'g')) AS latin, length(regexp_replace(coalesce(text, ''), '[^\p{Cyrillic}]', '', 'g')) AS cyrillic, length(regexp_replace(coalesce(text, ''), '[^\p{Hangul}]', '', 'g')) AS hangul FROM documents")
+#: Letters by script as SQL knows them; the given texts hold none that their names put elsewhere, but for the two ordinal signs.
+_LETTERS = {"hangul": r"\p{Hangul}", "kana": r"\p{Hiragana}\p{Katakana}ー", "hebrew": r"\p{Hebrew}", "arabic": r"\p{Arabic}", "devanagari": r"\p{Devanagari}", "cyrillic": r"\p{Cyrillic}", "han": r"\p{Han}", "latin": r"\p{Latin}"}
+_LENGTHS = ", ".join(f"length(regexp_replace(regexp_replace(t, '[^\\p{{L}}]|[ªº]', '', 'g'), '[^{c}]', '', 'g')) AS {n}" for n, c in _LETTERS.items())
+_LENGTHS += f", length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) - length(regexp_replace(regexp_replace(t, '[^\\p{{L}}]|[ªº]', '', 'g'), '[^{''.join(_LETTERS.values())}]', '', 'g')) AS other"
+#: Texts in other scripts: Latin letters turned into others, a letter each.
+_ALPHABETS = {1: "абвгдежзийклмнопрстуфхцчшщ", 2: "あいうえおかきくけこさしすせそたちつてとなにぬねの", 3: "가나다라마바사아자차카타파하거너더러머버서어저처커터", 4: "的一是不了人我在有他这中大来上国个到说们为子和你地出", 5: "אבגדהוזחטיכלמנסעפצקרשתךםןף", 6: "ابتثجحخدذرزسشصضطظعغفقكلمنه", 7: "कखगघङचछजझञटठडढणतथदधनपफबभमय", 8: "αβγδεζηθικλμνξοπρστυφχψωϊϋ"}
+_CODES = ["en", "ru", None, None, "zh", None, "ar", "hi", "el", "uk", "fr", "pl"]
+_TOLD = "told AS (SELECT doc_id, CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_CODES) if c) + " END AS code, CASE doc_id % 10 " + " ".join(f"WHEN {k} THEN translate(lower(coalesce(text, '')), 'abcdefghijklmnopqrstuvwxyz', '{a}')" for k, a in _ALPHABETS.items()) + " ELSE coalesce(text, '') END AS t FROM documents)"
+
+
+def _told(spark, sf_dir):
+    """Documents, most of them in the letters of another script, with a detector's code."""
+    n, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    spelled, code = F.when(n % 10 == 0, text), F.lit(None).cast("string")
+    for k, alphabet in _ALPHABETS.items():
+        spelled = spelled.when(n % 10 == k, F.translate(F.lower(text), "abcdefghijklmnopqrstuvwxyz", alphabet))
+    for k, name in enumerate(_CODES):
+        code = F.when(n % 12 == k, F.lit(name)).otherwise(code)
+    return read(spark, sf_dir, "documents").select("doc_id", code.alias("code"), spelled.otherwise(text).alias("t"))
+
+
+@query(f"WITH {_TOLD} SELECT doc_id, {_LENGTHS} FROM told")
 def script_histogram(spark, sf_dir):
-    lengths = evidence.script_lengths(F.coalesce("text", F.lit("")))
-    return read(spark, sf_dir, "documents").select("doc_id", *[lengths[s].alias(s) for s in ("latin", "cyrillic", "hangul")])
+    """Letters of each document by script, in the letters of nine scripts."""
+    return _told(spark, sf_dir).select("doc_id", script_counts(F.col("t")).alias("s")).select("doc_id", "s.*")
 
 
-@query(r"SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '[^\p{Latin}]', '', 'g')) < 100 THEN 'Unknown' ELSE coalesce(lang, 'Unknown') END AS category FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '`|https?://|(^|\n)(    |\t)') AND NOT regexp_matches(coalesce(text, ''), '[\p{Hangul}\p{Hiragana}\p{Katakana}\p{Han}\p{Cyrillic}\p{Hebrew}\p{Arabic}\p{Greek}]')")
+@query(
+    rf"""WITH {_TOLD}, clean AS (SELECT doc_id, code, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?s)```.*?```', ' ', 'g'), '(?m)^(?: {{4}}|\t).*$', ' ', 'g'), '`[^`\n]*`', ' ', 'g'), 'https?://[^\s\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g') AS t FROM told),
+    n AS (SELECT doc_id, code, {_LENGTHS} FROM clean),
+    s AS (SELECT *, hangul + kana + hebrew + arabic + devanagari + cyrillic + han + latin + other AS letters, greatest(hangul, kana, hebrew, arabic, devanagari, cyrillic, han, latin, other) AS top FROM n),
+    d AS (SELECT *, CASE top WHEN hangul THEN 'hangul' WHEN kana THEN 'kana' WHEN hebrew THEN 'hebrew' WHEN arabic THEN 'arabic' WHEN devanagari THEN 'devanagari' WHEN cyrillic THEN 'cyrillic' WHEN han THEN 'han' WHEN latin THEN 'latin' ELSE 'other' END AS dominant,
+                 CASE WHEN code IN ('uk', 'be', 'bg', 'mk', 'sr', 'pl', 'cs', 'sk', 'sl', 'hr', 'bs') THEN 'Slavic-other' ELSE map {{'zh': 'Chinese', 'ru': 'Russian', 'ko': 'Korean', 'ja': 'Japanese', 'ar': 'Arabic', 'he': 'Hebrew', 'hi': 'Hindi', 'en': 'English'}}[code] END AS mapped FROM s),
+    k AS (SELECT *, letters >= 100 AND top >= 0.2 * letters AS enough FROM d)
+    SELECT doc_id, letters, dominant, CASE WHEN NOT enough THEN 'Unknown' WHEN dominant = 'hangul' THEN 'Korean' WHEN dominant = 'kana' THEN 'Japanese' WHEN dominant = 'hebrew' THEN 'Hebrew' WHEN dominant = 'other' THEN 'Unknown' ELSE coalesce(mapped, 'Unknown') END AS category,
+        CASE WHEN enough AND dominant IN ('hangul', 'kana', 'hebrew') THEN 'unicode-script' WHEN enough AND dominant = 'latin' AND mapped IS NOT NULL THEN 'language-detector' ELSE 'combined' END AS method,
+        coalesce(CASE WHEN enough AND dominant NOT IN ('hangul', 'kana', 'hebrew') THEN code END, '-') AS detected FROM k"""
+)
 def inferred_language(spark, sf_dir):
-    """Language categories of prose in the Latin script, with the given code as the detector's."""
-    d = read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    d = d.where(~F.col("text").rlike(r"`|https?://|(^|\n)(    |\t)") & ~F.col("text").rlike(r"[\p{IsHangul}\p{IsHiragana}\p{IsKatakana}\p{IsHan}\p{IsCyrillic}\p{IsHebrew}\p{IsArabic}\p{IsGreek}]"))
-    return evidence.infer_language(d, F.col("text"), F.col("lang"), F.col("doc_id")).select("doc_id", "category")
+    """Language categories of all documents, code and links taken out, in nine scripts."""
+    told = evidence.infer_language(_told(spark, sf_dir), F.col("t"), F.col("code"), F.col("doc_id"))
+    return told.select("doc_id", "letters", "dominant", "category", "method", F.coalesce("detected", F.lit("-")).alias("detected"))
 
 
 @query(

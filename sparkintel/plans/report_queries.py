@@ -207,13 +207,16 @@ def stamps_and_checks(spark, sf_dir):
 
 
 @query(
-    r"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'not recorded' WHEN 1 THEN replace(p_name, '-', '\-') || '&lt;\*&gt;' WHEN 2 THEN p_name || '\u000a' ELSE p_name || '&amp;\\' END AS shown,
-    CASE p_partkey % 3 WHEN 0 THEN 'ab' || p_partkey END AS hash, 'https://host/' || p_partkey AS url, CASE p_partkey % 2 WHEN 0 THEN 'a ' || p_name ELSE '' END AS terms FROM part"""
+    r"""WITH r AS (SELECT *, CASE p_partkey % 6 WHEN 1 THEN p_name || '<*>"' WHEN 2 THEN p_name || chr(10) WHEN 3 THEN p_name || '&\' WHEN 4 THEN chr(8238) || p_name || chr(133) || chr(8203) WHEN 5 THEN '[' || p_name || '](x' || chr(39) || 'y)' || chr(8233) END AS raw FROM part),
+    e AS (SELECT *, replace(replace(replace(replace(replace(raw, chr(10), '\u000a'), chr(8238), '\u202e'), chr(133), '\u0085'), chr(8203), '\u200b'), chr(8233), '\u2029') AS spelled FROM r)
+    SELECT p_partkey, coalesce(replace(replace(replace(replace(replace(regexp_replace(spelled, '([\\`*_{}\[\]()#+\-.!|~])', '\\\1', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;'), 'not recorded') AS shown,
+    CASE p_partkey % 3 WHEN 0 THEN 'ab' || p_partkey END AS hash, 'https://host/' || p_partkey AS url, CASE p_partkey % 2 WHEN 0 THEN 'a ' || p_name ELSE '' END AS terms FROM e"""
 )
 def text_guards(spark, sf_dir):
     """Escapes for Markdown, hashes in one form, addresses without credentials, and terms of JSON lists."""
     k, name = F.col("p_partkey"), F.col("p_name")
-    shown = F.when(k % 4 == 1, F.concat(name, F.lit("<*>"))).when(k % 4 == 2, F.concat(name, F.lit("\n"))).when(k % 4 == 3, F.concat(name, F.lit("&\\")))
+    shown = F.when(k % 6 == 1, F.concat(name, F.lit('<*>"'))).when(k % 6 == 2, F.concat(name, F.lit("\n"))).when(k % 6 == 3, F.concat(name, F.lit("&\\")))
+    shown = shown.when(k % 6 == 4, F.concat(F.lit("\u202e"), name, F.lit("\x85\u200b"))).when(k % 6 == 5, F.concat(F.lit("["), name, F.lit("](x'y)\u2029")))
     digest = F.when(k % 3 == 0, F.concat(F.lit(" AB"), k.cast("string"), F.lit(" "))).when(k % 3 == 1, F.lit("None")).otherwise(F.lit(" "))
     listed = F.when(k % 2 == 0, F.to_json(F.array(F.lit("a"), name))).otherwise("[broken")
     return read(spark, sf_dir, "part").select("p_partkey", strings.md_escape(shown).alias("shown"), strings.normalize_hash(digest).alias("hash"), strings.redact_url(F.concat(F.lit("https://u:p@host/"), k.cast("string"))).alias("url"), strings.terms(listed).alias("terms"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import ipaddress
+import json
 import re
 from collections import defaultdict
 
@@ -30,14 +31,17 @@ def test_evidence_blocks_hold_all_documents_and_whole_texts(spark, sf_dir):
     own = defaultdict(list)
     for r in sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").collect(), key=lambda r: r["doc_id"]):
         own[r["source"]].append((r["doc_id"], r["text"] or ""))
-    want = {s: (hashlib.sha256(",".join(hashlib.sha256(t.encode()).hexdigest() for _, t in d).encode()).hexdigest(), len("\n\n".join(f"[{k}]\n{t}" for k, t in d))) for s, d in own.items()}
+    blocks = {s: [f'<source id="{k}" locator="{s}/{k}.md" untrusted="true">\n{t}\n</source>' for k, t in d] for s, d in own.items() if s}
+    blocks |= {s: [None] * len(d) for s, d in own.items() if not s}  # no source, no locator
+    listed = {s: json.dumps([{"version_id": k, "hash": hashlib.sha256(t.encode()).hexdigest()} for k, t in d], separators=(",", ":"), sort_keys=True) for s, d in own.items()}
+    want = {s: (hashlib.sha256(listed[s].encode()).hexdigest(), len("\n\n".join(blocks[s])) if s else None) for s in own}
     assert sorted(len(d) for d in own.values()) == [1, 30, 90]
     got = rows_of(spark, sf_dir, "evidence_blocks")
     assert len(got) == 3 and {r["repository_id"]: (r["set_hash"], r["n"]) for r in got} == want
     parts = defaultdict(list)
     for r in sorted(rows_of(spark, sf_dir, "evidence_block_rows"), key=lambda r: r["place"]):
         parts[r["repository_id"]].append(r["text"])
-    assert dict(parts) == {s: [f"[{k}]\n{t}" for k, t in d] for s, d in own.items()}
+    assert dict(parts) == blocks
 
 
 def events_of(spark, sf_dir):
