@@ -151,9 +151,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     inside = inside.withColumn("up", up).select(
         "place", "size", "bucket", (F.floor(F.col("up") * F.col("extra") / F.col("n")) - F.floor((F.col("up") - F.col("here")) * F.col("extra") / F.col("n"))).alias("extra")
     )
-    ranked = spread.withColumn("rank", F.row_number().over(Window.partitionBy("place", "size", "bucket").orderBy("hash", "id")))
-    copies = F.coalesce(F.floor(F.col("given") / F.col("n")), F.lit(0)) + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0)
-    return ranked.join(inside, ["place", "size", "bucket"], "left").select(
+    # Only where some of a class get one copy more than others is there a rank; the rest, such as all texts without words, stays out of it.
+    uneven = F.coalesce(F.col("given") % F.col("n") > 0, F.lit(False))
+    ranked = spread.where(uneven).withColumn("rank", F.row_number().over(Window.partitionBy("place", "size", "bucket").orderBy("hash", "id"))).join(inside, ["place", "size", "bucket"], "left")
+    ranked = ranked.withColumn("more", F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0)).drop("rank", "extra")
+    every = ranked.unionByName(spread.where(~uneven).withColumn("more", F.lit(0)))
+    copies = F.coalesce(F.floor(F.col("given") / F.col("n")), F.lit(0)) + F.col("more")
+    return every.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.coalesce("rate", F.lit(1.0)).alias("rate"), copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
     )
 

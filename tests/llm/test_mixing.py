@@ -85,3 +85,14 @@ def test_mixed_documents_have_their_copies(docs):
 
 def test_empty(no_docs):
     assert mix_sources(no_docs).count() == 0 and mixed_documents(no_docs).count() == 0
+
+
+def test_texts_without_words_are_not_ranked(spark):
+    """Very many of one source: no window over them, and none is lost."""
+    rows = [(k, None if k % 2 else " ", "a") for k in range(3000)] + [(5000 + k, "some words here", "a" if k < 5 else "b") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mix_sources(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(got.collect()) == len(rows) and got.where("size = 0 AND (copies > 0 OR taken > 0)").count() == 0
+    filters = [line for line in plan.split("Window")[1].splitlines() if "Filter" in line]
+    assert "given" in filters[0] and "n#" in filters[0]  # below the window stand only rows that a rank decides
