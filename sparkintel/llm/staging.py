@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI of the file system that Spark itself resolves it against, for other readers and writers of it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    named = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{named.removeprefix('file:')}" if named.startswith("file:/") and not named.startswith("file://") else named
+
+
 class Staged:
     """Written tables of one operator run: each cuts the lineage and survives lost executors."""
 

@@ -34,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkintel.llm.staging import Staged
+from sparkintel.llm.staging import Staged, qualified
 from sparkintel.llm.token_ids import encoder, ids_crc32
 
 END_ID = 2
@@ -200,8 +200,8 @@ class TableReader:
 
 
 def _opened(folder: str, name: str = ""):
-    """File system and path of a URI or a plain path."""
-    fs, path = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    """File system and path of a qualified folder."""
+    fs, path = pafs.FileSystem.from_uri(folder)
     return fs, f"{path}/{name}" if name else path
 
 
@@ -216,6 +216,7 @@ def write_token_tables(docs: DataFrame, folder: str, tokenizer_path: str, id_col
     Null and empty texts are one end id. Every row is a document, also of an id that comes again; rows
     without an id come last. An empty table gives no shard. The rows are lazy: write them before use.
     """
+    folder = qualified(docs.sparkSession, folder)
     fields = [("path", pa.string()), *((n, pa.int64()) for n in ("first", "first_hash", "last", "documents", "ids"))]
 
     def texts(column: pa.Array) -> Iterator[bytes]:
@@ -255,7 +256,7 @@ def read_token_tables(manifest: DataFrame, folder: str, with_ids: bool = True) -
 
     start counts the ids of all documents before it, by ascending id, those without one last.
     """
-
+    folder = qualified(manifest.sparkSession, folder)
     columns = ["id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,6 +286,7 @@ def token_table_lookup(spark: SparkSession, manifest: DataFrame, folder: str, wa
 
     A null id is one that asks for the documents without an id.
     """
+    folder = qualified(spark, folder)
 
     def look(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fs, path = _opened(folder, key[0])
