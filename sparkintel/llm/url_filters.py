@@ -111,11 +111,15 @@ def judge_urls(
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = staged.write(base.select("id", "host", "path", rule.alias("rule"), verdict.alias("told"), "targets"))
     edges = staged.write(host_edges(judged.select("host", "targets"), staged))
-    told = staged.write(judged.where("host <> '' AND told IS NOT NULL").groupBy("host").agg(F.count_if(F.col("told") == "allow").alias("allowed"), F.count_if(F.col("told") == "block").alias("blocked")))
+    of_host = judged.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("urls"), F.count_if(F.col("told") == "allow").alias("allowed"), F.count_if(F.col("told") == "block").alias("blocked"))
+    told = staged.write(of_host.where("allowed + blocked > 0"))
 
-    votes = told.select(F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("allowed").alias("n")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("n")))).alias("vote"), "host")
+    # A host is a seed as far as rules speak of its urls: what a block of one path leaves alone speaks for it.
+    good = F.when(F.col("blocked") > 0, F.col("urls") - F.col("blocked")).otherwise(F.col("allowed"))
+    vote = lambda kind, n: F.struct(F.lit(kind).alias("kind"), (n * n / F.col("urls")).alias("n"))
+    votes = told.select(F.explode(F.array(vote("trust", good), vote("distrust", F.col("blocked")))).alias("vote"), "host")
     votes = votes.select("vote.kind", "host", "vote.n").where("n > 0")
-    everywhere = edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(told.select("host")).distinct().select(F.lit("place").alias("kind"), "host", F.lit(1).cast("long").alias("n"))
+    everywhere = edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(told.select("host")).distinct().select(F.lit("place").alias("kind"), "host", F.lit(1.0).alias("n"))
     votes = votes.union(everywhere)
     whole = votes.groupBy("kind").agg(F.sum("n").alias("whole"))  # three rows
     seeds = staged.write(votes.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("n") / F.col("whole")).alias("share")))

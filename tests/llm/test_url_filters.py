@@ -100,3 +100,18 @@ def test_join_skewed(spark):
     left, facts = spark.createDataFrame(rows, "key long, v long").repartition(7), spark.createDataFrame([(k, f"f{k}") for k in range(0, 500)], "key long, fact string")
     got = sorted((tuple(r) for r in join_skewed(left, facts, "key").select("key", "v", "fact").collect()), key=str)
     assert got == sorted(((k, v, f"f{k}" if k is not None and k < 500 else None) for k, v in rows), key=str)
+
+
+def test_a_blocked_path_leaves_its_hosts_alone(spark):
+    """Hosts of which one path of several is blocked keep their other urls, unlike one that is blocked nearly whole, and what links there."""
+    data, n = [], 0
+    for k in range(12):
+        for path in ("de/a", "en/a", "en/b", "about"):
+            data.append((n := n + 1, f"http://h{k}.example.com/{path}", None))
+    data += [(1000 + k, f"http://dark.example.org/bad/{k}", None) for k in range(40)] + [(1100, "http://dark.example.org/rest", None)]
+    data += [(1200 + k, f"http://friend{k}.info/x", '<a href="http://dark.example.org/bad/1">x</a>' * 5) for k in range(4)]
+    rules = [("block", "example.com", "/de/"), ("block", "example.org", "/bad/")]
+    got = judge_urls(spark.createDataFrame(data, "page_id long, url string, html string"), rules=rules).collect()
+    assert {r["verdict"] for r in got if r["host"].endswith("example.com") and r["rule"] is None} == {"allow"}
+    assert {r["verdict"] for r in got if r["rule"]} == {"block"}
+    assert {r["verdict"] for r in got if r["page_id"] >= 1100} == {"block"}
