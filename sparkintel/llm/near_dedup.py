@@ -11,7 +11,7 @@
 5.  The grouped prefix join finds the links that are left, which can only lie between components.
     Shingles are ordered by the number of components that have them; those of one component alone
     come first and match nothing, so that nodes whose set is theirs drop out. Nodes of one prefix and
-    one size are a group. Groups that share a prefix shingle pass the size and position filters and
+    one size are a group. Groups that share a prefix shingle and are of sizes near each other pass the size and position filters and
     are then expanded, and members of different components verified.
 
 No list of a shingle is gathered: shared shingles are counted, pairs come from joins of filtered
@@ -21,6 +21,7 @@ prefixes. Components take the links of 4 and 5 together.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
@@ -294,17 +295,21 @@ def _prefix_pairs(nodes: DataFrame, comps: DataFrame, staged: Staged) -> DataFra
         prefixes.groupBy("prefix", "n").agg(F.min("alone").alias("alone"), F.min("comp").alias("low"), F.max("comp").alias("high")).withColumn("cell", F.monotonically_increasing_id())
     )
     in_group = staged.write(prefixes.join(groups.select("prefix", "n", "cell").hint("shuffle_hash"), ["prefix", "n"]).select("cell", "node", "comp"))
-    posted = groups.select("cell", "n", "alone", "low", "high", F.posexplode("prefix").alias("place", "token"))
-    left = posted.select("token", *[F.col(c).alias(f"{c}_1") for c in ("cell", "n", "alone", "place", "low", "high")])
-    right = posted.select("token", *[F.col(c).alias(f"{c}_2") for c in ("cell", "n", "alone", "place", "low", "high")])
+    # Sizes that can link differ by a third at most, so that a shingle's groups meet by bands of such sizes: each with its own and with the next.
+    band = F.floor(F.log("n") / math.log(1.000001 * DENOMINATOR / NUMERATOR)).cast("int")
+    posted = groups.select("cell", "n", "alone", "low", "high", band.alias("band"), F.posexplode("prefix").alias("place", "token"))
+    facts = ("cell", "n", "alone", "place", "low", "high")
+    left = posted.select("token", "band", *[F.col(c).alias(f"{c}_1") for c in facts])
+    right = posted.select("token", F.explode(F.array("band", F.col("band") - 1)).alias("band"), *[F.col(c).alias(f"{c}_2") for c in facts])
     room = F.least(F.col("n_1") - F.col("alone_1") - F.col("place_1"), F.col("n_2") - F.col("alone_2") - F.col("place_2"))
     overlap = NUMERATOR * (F.col("n_1") + F.col("n_2")) <= (NUMERATOR + DENOMINATOR) * room
     apart = ~((F.col("low_1") == F.col("high_1")) & (F.col("low_2") == F.col("high_2")) & (F.col("low_1") == F.col("low_2")))
-    sized = (F.col("n_1") * DENOMINATOR >= F.col("n_2") * NUMERATOR) & (F.col("n_2") * DENOMINATOR >= F.col("n_1") * NUMERATOR)
-    cells = left.join(right, "token").where((F.col("cell_1") <= F.col("cell_2")) & sized & overlap & apart).select("cell_1", "cell_2").distinct()
+    turn = (F.col("n_1") < F.col("n_2")) | ((F.col("n_1") == F.col("n_2")) & (F.col("cell_1") <= F.col("cell_2")))
+    sized = F.col("n_1") * DENOMINATOR >= F.col("n_2") * NUMERATOR
+    cells = left.join(right, ["token", "band"]).where(turn & sized & overlap & apart).select("cell_1", "cell_2").distinct()
     first = in_group.select(F.col("cell").alias("cell_1"), F.col("node").alias("a"), F.col("comp").alias("c"))
     second = in_group.select(F.col("cell").alias("cell_2"), F.col("node").alias("b"), F.col("comp").alias("d"))
-    pairs = cells.join(first, "cell_1").join(second, "cell_2").where((F.col("c") != F.col("d")) & ((F.col("cell_1") < F.col("cell_2")) | (F.col("a") < F.col("b"))))
+    pairs = cells.join(first, "cell_1").join(second, "cell_2").where((F.col("c") != F.col("d")) & ((F.col("cell_1") != F.col("cell_2")) | (F.col("a") < F.col("b"))))
     return staged.write(pairs.select("a", "b").distinct())
 
 
