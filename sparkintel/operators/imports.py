@@ -1,8 +1,8 @@
 """Snapshots of whole stores merged into a store, each once: addresses, files and repositories by their natural keys.
 
 A store is a dict of DataFrames. A merge gives the store after it, what changed as counts, and warnings;
-what it refuses, it refuses before anything is written. Write the result as a new version behind one
-pointer (`sources.exports.write_version`), so that a set of stores is applied whole or not at all.
+what it refuses, it refuses before anything is written. `operators.import_sets` applies a set of stores
+whole or not at all.
 """
 
 from __future__ import annotations

@@ -1,7 +1,11 @@
-"""Exports: JSON, guarded CSV, their manifest, and versioned tables behind one pointer."""
+"""Exports: JSON, guarded CSV, their manifest, and versions of tables that are published as one."""
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -32,31 +36,83 @@ def export_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
+class Conflict(Exception):
+    """Another version was published since the one that this one builds on."""
+
+
 def _path(spark: SparkSession, path: str):
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_version(spark: SparkSession, root: str, version: str, tables: dict[str, DataFrame], dry_run: bool = False) -> dict[str, int]:
-    """Writes all tables as one version and then names it in `CURRENT`; a dry run only counts rows.
+def current_version(spark: SparkSession, root: str) -> int:
+    """The number of the last version that was published below root, 0 if there is none."""
+    path, fs = _path(spark, f"{root}/versions")
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return max((int(n) for n in names if n.isdigit()), default=0)
+
 
-    Readers of the pointer see all of the old version or all of the new one.
+def describe_version(spark: SparkSession, root: str, number: int | None = None) -> dict:
+    """What was published with a version (the last): `folder` and the writer's own facts."""
+    number = current_version(spark, root) if number is None else number
+    if not number:
+        raise LookupError(f"nothing is published below {root}")
+    return json.loads(spark.read.text(f"{root}/versions/{number:010d}", wholetext=True).first()[0])
+
+
+def publish(spark: SparkSession, root: str, folder: str, after: int, facts: dict | None = None) -> int:
+    """Names a written folder as the version after `after`.
+
+    The entry is written under another name and then renamed, which fails where its number is taken. So of
+    two writers one gets Conflict, and readers, who take the greatest number, see the version before or
+    all of this one. Nothing is ever replaced, so that readers of older versions go on.
     """
-    if dry_run:
-        return {name: df.count() for name, df in tables.items()}
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/{version}/{name}")
-    path, fs = _path(spark, f"{root}/CURRENT.next")
-    out = fs.create(path, True)
-    out.write(bytearray(version.encode()))
+    context, number = spark.sparkContext._jvm.org.apache.hadoop.fs, after + 1
+    if current_version(spark, root) != after:
+        raise Conflict(f"version {number} is there already")
+    made, fs = _path(spark, f"{root}/versions/.{uuid.uuid4().hex}")
+    out = fs.create(made, False)
+    out.write(bytearray(json.dumps({"folder": folder, **(facts or {})}, sort_keys=True).encode()))
     out.close()
-    target, _ = _path(spark, f"{root}/CURRENT")
-    fs.delete(target, False)
-    fs.rename(path, target)
-    return {name: spark.read.parquet(f"{root}/{version}/{name}").count() for name in tables}
+    target, _ = _path(spark, f"{root}/versions/{number:010d}")
+    files = context.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        files.rename(made, target, spark.sparkContext._gateway.new_array(context.Options.Rename, 0))
+    except Py4JJavaError as error:
+        fs.delete(made, False)
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            raise Conflict(f"version {number} is there already") from None
+        raise
+    return number
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Takes away a folder that was not published."""
+    path, fs = _path(spark, folder)
+    fs.delete(path, True)
 
 
-def read_version(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the version that the pointer names."""
-    version = spark.read.text(f"{root}/CURRENT", wholetext=True).first()[0].strip()
-    return spark.read.parquet(f"{root}/{version}/{name}")
+def write_version(spark: SparkSession, root: str, tables: dict[str, DataFrame], dry_run: bool = False, after: int | None = None, facts: dict | None = None) -> dict[str, int]:
+    """Writes all tables and then publishes them as one version; rows by table. A dry run only counts.
+
+    after: the version that the tables build on, by default the last. What fails before the end publishes
+    nothing and leaves nothing.
+    """
+    if dry_run:
+        return {name: df.count() for name, df in tables.items()}
+    after = current_version(spark, root) if after is None else after
+    folder = f"{root}/data/{uuid.uuid4().hex}"
+    try:
+        for name, df in tables.items():
+            df.write.parquet(f"{folder}/{name}")
+        counts = {name: spark.read.schema(df.schema).parquet(f"{folder}/{name}").count() for name, df in tables.items()}
+        publish(spark, root, folder, after, {"rows": counts, **(facts or {})})
+    except BaseException:
+        remove(spark, folder)
+        raise
+    return counts
+
+
+def read_version(spark: SparkSession, root: str, name: str, number: int | None = None) -> DataFrame:
+    """A table of a version, by default the last."""
+    return spark.read.parquet(f"{describe_version(spark, root, number)['folder']}/{name}")

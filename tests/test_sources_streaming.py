@@ -97,10 +97,10 @@ def test_exports_and_versions(spark, tmp_path):
     exports.export_json({"t": table}, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json/t")).select("t.id").count() == 2
     root = str(tmp_path / "store")
-    assert exports.write_version(spark, root, "v1", {"t": table}) == {"t": 2}
-    assert exports.write_version(spark, root, "v2", {"t": table.limit(1)}, dry_run=True) == {"t": 1}
+    assert exports.write_version(spark, root, {"t": table}) == {"t": 2}
+    assert exports.write_version(spark, root, {"t": table.limit(1)}, dry_run=True) == {"t": 1}
     assert exports.read_version(spark, root, "t").count() == 2
-    exports.write_version(spark, root, "v2", {"t": table.limit(1)})
+    exports.write_version(spark, root, {"t": table.limit(1)})
     assert exports.read_version(spark, root, "t").count() == 1
 
 
