@@ -25,9 +25,14 @@ from sparkintel.operators.merges import max_verdict, timestamp_key
 FILE_VERDICTS = ["yes", "no", "unknown"]
 
 
-def _at() -> Column:
-    """The place of a row: files of the store first, then by import and row."""
-    return F.struct(F.col("new"), F.col("import_seq"), F.col("row_id"))
+def _ordered(rows: DataFrame) -> DataFrame:
+    """row_id, sha256, md5, known_as and `at`: files of the store first, then by import, place and row."""
+    own = lambda name, otherwise: F.col(name) if name in rows.columns else otherwise
+    base = rows.select(
+        "row_id", (~own("there", F.lit(False))).alias("new"), own("import_seq", F.lit(0)).cast("long").alias("import_seq"), own("place", F.lit(0)).cast("long").alias("place"),
+        normalize_hash(F.col("sha256")).alias("sha256"), normalize_hash(F.col("md5")).alias("md5"), own("known_as", F.concat(F.lit("r:"), F.col("row_id").cast("string"))).alias("known_as"),
+    )
+    return base.select("row_id", "sha256", "md5", "known_as", F.struct("new", "import_seq", "place", "row_id").alias("at"))
 
 
 def _least(c: Column, when: Column) -> Column:
@@ -37,14 +42,12 @@ def _least(c: Column, when: Column) -> Column:
 def assign_files(rows: DataFrame) -> DataFrame:
     """row_id, group, conflict: the file of each row, and `md5_conflict` where its MD5 is another file's or not its file's.
 
-    rows: row_id, sha256, md5; import_seq (else 0) and row_id give the order, and `there` (else false)
+    rows: row_id, sha256, md5; import_seq, place (else 0) and row_id give the order, and `there` (else false)
     marks rows that are files of the store already, which come first and are not joined with each other
-    unless they have one name. A file is named by its SHA-256, else by its MD5, else by its row. Blank hashes are none.
+    unless they have one name. A file is named by its SHA-256, else by its MD5, else by `known_as` (else
+    its row). Blank hashes are none.
     """
-    there = F.col("there") if "there" in rows.columns else F.lit(False)
-    seq = F.col("import_seq") if "import_seq" in rows.columns else F.lit(0)
-    base = rows.select("row_id", (~there).alias("new"), seq.cast("long").alias("import_seq"), normalize_hash(F.col("sha256")).alias("sha256"), normalize_hash(F.col("md5")).alias("md5"))
-    base = base.select("row_id", "sha256", "md5", _at().alias("at"))
+    base = _ordered(rows)
 
     # Each SHA-256: when it starts, and the MD5 that its file has and since when.
     told = F.min(F.when(F.col("md5").isNotNull(), F.struct("at", "md5")))
@@ -88,14 +91,13 @@ def assign_files(rows: DataFrame) -> DataFrame:
     two = stored.select("row_id", F.coalesce(name("s:", F.col("joined")), name("m:", F.col("md5"))).alias("group"), F.lit(None).cast("string").alias("conflict"))
     met = plain.where("at.new").join(lows, "md5").where((F.col("from") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
     three = met.select("row_id", "group", F.lit(None).cast("string").alias("conflict"))
-    none = base.where("sha256 IS NULL AND md5 IS NULL").select("row_id", name("r:", F.col("row_id").cast("string")).alias("group"), F.lit(None).cast("string").alias("conflict"))
+    none = base.where("sha256 IS NULL AND md5 IS NULL").select("row_id", F.col("known_as").alias("group"), F.lit(None).cast("string").alias("conflict"))
     return one.union(two).union(three).union(none)
 
 
-def _in_turn(rows: DataFrame) -> DataFrame:
+def _in_turn(rows: DataFrame, files: DataFrame | None) -> DataFrame:
     """Rows with `at`, `group`, clean values, whether each is newer than all of its file before it, and the magic held until then."""
-    there = F.col("there") if "there" in rows.columns else F.lit(False)
-    own = rows.join(assign_files(rows), "row_id").withColumn("new", ~there).withColumn("at", _at())
+    own = rows.join(assign_files(rows) if files is None else files, "row_id").join(_ordered(rows).select("row_id", "at"), "row_id")
     own = own.withColumn("magic", F.nullif(F.trim("magic"), F.lit(""))).withColumn("malicious", F.when(F.col("malicious").isin(FILE_VERDICTS), F.col("malicious")).otherwise("unknown"))
     own = own.withColumn("when", timestamp_key(F.col("updated_at")))
     before = Window.partitionBy("group").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,15 +107,16 @@ def _in_turn(rows: DataFrame) -> DataFrame:
     return own.withColumn("held", held)
 
 
-def merge_files(rows: DataFrame) -> DataFrame:
+def merge_files(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """One row for each file of several snapshots: group, sha256, md5, magic, malicious, created_at, updated_at, n_rows.
 
     rows: as for `assign_files`, and magic, malicious, created_at, updated_at. A row that is newer than all
     before it gives its magic, another fills a blank one; verdicts take the greatest; of times that are
-    equal or no times, the first stays.
+    equal or no times, the first stays. files: the rows of `assign_files`, where they are there already.
     """
-    own = _in_turn(rows)
-    back = F.struct(F.when(F.col("new"), -1).otherwise(0).alias("a"), (-F.col("import_seq")).alias("b"), (-F.col("row_id")).alias("c")) if "import_seq" in rows.columns else F.struct(F.when(F.col("new"), -1).otherwise(0).alias("a"), (-F.col("row_id")).alias("c"))
+    own = _in_turn(rows, files)
+    # Of equally late rows the first: the order turned round.
+    back = F.struct(F.when(F.col("at.new"), 0).otherwise(1), -F.col("at.import_seq"), -F.col("at.place"), *([] if dict(rows.dtypes)["row_id"] == "string" else [-F.col("row_id")]))
     told = F.col("magic").isNotNull()
     magic = F.coalesce(F.max_by("magic", F.when(F.col("newer") & told, F.col("at"))), F.min_by("magic", F.when(told, F.col("at"))))
     md5 = normalize_hash(F.col("md5"))
@@ -124,8 +127,8 @@ def merge_files(rows: DataFrame) -> DataFrame:
     )
 
 
-def file_warnings(rows: DataFrame) -> DataFrame:
+def file_warnings(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """row_id, kind: rows whose MD5 is in conflict, and rows whose magic was another and not newer."""
-    own = _in_turn(rows)
+    own = _in_turn(rows, files)
     stays = F.when((F.col("magic") != F.col("held")) & ~F.col("newer"), "magic_conflict")
-    return own.where("new").select("row_id", F.explode(F.array_compact(F.array("conflict", stays))).alias("kind"))
+    return own.where("at.new").select("row_id", F.explode(F.array_compact(F.array("conflict", stays))).alias("kind"))

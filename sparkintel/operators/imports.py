@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkintel.functions.addresses import canonical_ip, ip_version
@@ -19,6 +19,7 @@ from sparkintel.functions.strings import normalize_hash
 from sparkintel.operators.file_identity import FILE_VERDICTS, assign_files, file_warnings, merge_files
 from sparkintel.operators.merges import add_versions, complete_findings, current_findings, merge_first_seen, merge_ip_snapshots, not_imported, union_ignore
 from sparkintel.operators.versions import assign_versions
+from sparkintel.sources.exports import written_once
 
 Store = dict[str, DataFrame]
 
@@ -100,33 +101,56 @@ def merge_file_store(store: Store, snapshots: Store, intelligence_only: bool = F
 
     store: files (row_id, import_seq, sha256, md5, magic, malicious, created_at, updated_at), file_names and
     tags (row_id, value, source, first_seen), observations (row_id, path), lookups (row_id, provider,
-    status, completed_at, raw_path) and ledger. snapshots: the same with source_sha256, and `snapshots`.
-    row_ids differ between snapshots; the store after it names files by `group`. Only for intelligence, local
-    observations and paths stay behind and the ledger guards. Warnings tell of files with a row whose MD5
-    is another's, or whose magic was another and not newer.
+    status, completed_at, raw_path) and ledger; snapshots: the same with source_sha256, and `snapshots`.
+    The store after it names files by `group` in all tables, with the row and import that made each, and can be
+    merged into again. Only for intelligence, local observations and paths stay behind and the ledger
+    guards. Warnings tell of files with a row whose MD5 is another's, or whose magic was another and not newer.
     """
     fresh = fresh_snapshots(snapshots["snapshots"], store["ledger"])
     carried = {name: df.join(fresh.select("source_sha256"), "source_sha256") for name, df in snapshots.items() if name != "snapshots"}
-    columns = ["row_id", "import_seq", "sha256", "md5", "magic", "malicious", "created_at", "updated_at"]
-    clean = lambda df: df.select(*columns).withColumn("sha256", normalize_hash(F.col("sha256"))).withColumn("md5", normalize_hash(F.col("md5"))).withColumn("magic", F.nullif(F.trim("magic"), F.lit(""))).withColumn("malicious", F.when(F.col("malicious").isin(FILE_VERDICTS), F.col("malicious")).otherwise("unknown"))
-    old, new = clean(store["files"]).withColumn("there", F.lit(True)), clean(carried["files"]).withColumn("there", F.lit(False))
-    rows = old.union(new)
-    groups = assign_files(rows).select("row_id", "group")
-    named = rows.join(groups, "row_id")
-    per = named.groupBy("group").agg(F.bool_or("there").alias("known"), F.count_if(~F.col("there")).alias("rows"))
-    out: Store = {"files": merge_files(rows), "ledger": store["ledger"].select("source_sha256").union(fresh.select("source_sha256"))}
-    of = lambda df: df.join(groups, "row_id").drop("row_id")
+    by_group = "group" in store["files"].columns
+    there = F.concat(F.lit("t:"), F.col("group" if by_group else "row_id").cast("string"))
+    told = F.concat("source_sha256", F.lit(":"), F.col("row_id").cast("string"))
+    named = F.concat(F.lit("r:"), F.col("row_id").cast("string"))
+
+    def rows_of(df: DataFrame, uid: Column, known_as: Column, old: bool) -> DataFrame:
+        verdict = F.when(F.col("malicious").isin(FILE_VERDICTS), F.col("malicious")).otherwise("unknown")
+        return df.select(uid.alias("row_id"), "import_seq", F.col("row_id").alias("place"), normalize_hash(F.col("sha256")).alias("sha256"), normalize_hash(F.col("md5")).alias("md5"), F.nullif(F.trim("magic"), F.lit("")).alias("magic"), verdict.alias("malicious"), "created_at", "updated_at", F.lit(old).alias("there"), known_as.alias("known_as"))
+
+    rows = rows_of(store["files"], there, F.col("group") if by_group else named, True).union(rows_of(carried["files"], told, named, False))
+    files = written_once(assign_files(rows))  # every table is named by it
+    groups = files.select("row_id", "group")
+    per = rows.join(groups, "row_id").groupBy("group").agg(F.bool_or("there").alias("known"), F.count_if(~F.col("there")).alias("rows"), F.min(F.struct((~F.col("there")).alias("new"), "import_seq", "place")).alias("born"))
+    top = store["files"].agg(F.coalesce(F.max("import_seq"), F.lit(-1)).alias("top"))  # one row
+    born = per.crossJoin(top).select("group", F.col("born.place").alias("row_id"), (F.col("born.import_seq") + F.when(F.col("born.new"), F.col("top") + 1).otherwise(0)).alias("import_seq"))
+    out: Store = {"files": merge_files(rows, files).join(born, "group"), "ledger": store["ledger"].select("source_sha256").union(fresh.select("source_sha256"))}
+
+    def of(df: DataFrame, *columns: str, old: bool = False) -> DataFrame:
+        return df.withColumn("row_id", there if old else told).drop("group").join(groups, "row_id").select("group", *columns)
+
     for name in ("file_names", "tags"):
-        out[name] = merge_first_seen(of(store[name]).select("group", "value", "source", "first_seen"), of(carried[name]).select("group", "value", "source", "first_seen"), ["group", "value", "source"])
-    kept = of(store["observations"]).select("group", "path")
-    out["observations"] = kept if intelligence_only else kept.union(of(carried["observations"]).select("group", "path"))
-    lookups = of(carried["lookups"]).withColumn("raw_path", F.lit(None).cast("string") if intelligence_only else F.col("raw_path"))
-    out["lookups"] = of(store["lookups"]).select("group", "provider", "status", "completed_at", "raw_path").union(lookups.select("group", "provider", "status", "completed_at", "raw_path"))
+        columns = ["value", "source", "first_seen"]
+        out[name] = merge_first_seen(of(store[name], *columns, old=True), of(carried[name], *columns), ["group", "value", "source"])
+    kept = of(store["observations"], "path", old=True)
+    out["observations"] = kept if intelligence_only else kept.union(of(carried["observations"], "path"))
+    lookups = carried["lookups"].withColumn("raw_path", F.lit(None).cast("string") if intelligence_only else F.col("raw_path"))
+    columns = ["provider", "status", "completed_at", "raw_path"]
+    out["lookups"] = of(store["lookups"], *columns, old=True).union(of(lookups, *columns))
     changed = per.where("rows > 0")
-    warnings = file_warnings(rows).join(groups, "row_id").select("kind", F.col("group").alias("key")).distinct()
+    warnings = file_warnings(rows, files).join(groups, "row_id").select("kind", F.col("group").alias("key")).distinct()
     counts = changed.agg(F.count_if(~F.col("known")).alias("files_inserted"), F.sum(F.col("rows") - F.when(F.col("known"), 0).otherwise(1)).alias("files_merged")).na.fill(0)
     notes = ["local observations and paths stay behind"] if intelligence_only else []
-    return Merged(out, counts.crossJoin(_counts({"lookups_copied": carried["lookups"], "warnings": warnings})), warnings, notes)
+    return Merged(out, counts.crossJoin(_counts({"snapshots_imported": fresh, "lookups_copied": carried["lookups"], "warnings": warnings})), warnings, notes)
+
+
+def empty_file_store(spark: SparkSession) -> Store:
+    """A store of files without any, whose tables are those that a merge gives."""
+    child = "group string, value string, source string, first_seen string"
+    tables = {
+        "files": "group string, sha256 string, md5 string, magic string, malicious string, created_at string, updated_at string, n_rows long, row_id long, import_seq long", "file_names": child, "tags": child,
+        "observations": "group string, path string", "lookups": "group string, provider string, status string, completed_at string, raw_path string", "ledger": "source_sha256 string",
+    }
+    return {name: spark.createDataFrame([], schema) for name, schema in tables.items()}
 
 
 DOCUMENT = ["identity_key", "kind", "locator"]

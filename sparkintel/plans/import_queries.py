@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkintel.operators import imports, merges, stores
+from sparkintel.operators import import_sets, imports, merges, stores
 from sparkintel.plans.queries import query
 from sparkintel.plans.tables import read
+from sparkintel.sources.exports import describe_version, scratch
 
 
 def _name(prefix: str, c: Column) -> Column:
@@ -174,7 +177,7 @@ _FILES = """
     FROM (SELECT grp, bool_or(s = 0) AS known, count(*) FILTER (s > 0) AS n FROM g GROUP BY grp) WHERE n > 0"""
 )
 def file_import_counts(spark, sf_dir):
-    return imports.merge_file_store(*_file_tables(spark, sf_dir), intelligence_only=True).counts.drop("warnings")
+    return imports.merge_file_store(*_file_tables(spark, sf_dir), intelligence_only=True).counts.drop("warnings", "snapshots_imported")
 
 
 @query(f"""WITH {_FILES} SELECT grp AS "group", value, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen FROM g GROUP BY grp, value""")
@@ -224,3 +227,32 @@ def appended_corrections(spark, sf_dir):
 def remapped_copies(spark, sf_dir):
     copies = read(spark, sf_dir, "events").select("user_id").distinct().select(_name("root", F.col("user_id") % 3).alias("root"), _name("p", F.col("user_id")).alias("path_key"))
     return stores.remap_root(copies, "root1", "moved", F.current_timestamp())[0]
+
+
+_SET_FILES = """
+    w AS (SELECT event_id AS row_id, event_id % 3 AS fs, CASE WHEN event_id % 4 <> 0 THEN 's:' || sha256('f' || (event_id % 900)) WHEN event_id % 5 <> 0 THEN 'm:' || md5('f' || (event_id % 900)) ELSE 'r:' || event_id END AS grp FROM events WHERE event_id % 3 > 0)"""
+
+
+@query(
+    f"""WITH {_IP.split('f AS (SELECT ip, k')[0].rstrip().rstrip(',')}, {_SET_FILES}
+    SELECT store, name, n, 1::BIGINT AS version FROM (
+        SELECT 'addresses' AS store, 'entities' AS name, count(DISTINCT ip) AS n FROM ent UNION ALL SELECT 'addresses', 'reverse_dns', count(*) FROM (SELECT DISTINCT ip, event_id % 4 FROM e WHERE s <> 2)
+        UNION ALL SELECT 'addresses', 'ledger', count(DISTINCT s) FROM e WHERE s > 0
+        UNION ALL SELECT 'files', 'files', count(DISTINCT grp) FROM w UNION ALL SELECT 'files', 'tags', count(*) FROM (SELECT DISTINCT grp, row_id % 6 FROM w) UNION ALL SELECT 'files', 'ledger', count(DISTINCT fs) FROM w
+        UNION ALL SELECT 'files', 'lookups', count(*) FROM w)"""
+)
+def imported_set(spark, sf_dir):
+    """Tables of a store of addresses and one of files after their snapshots were imported as a set, twice; the second import publishes nothing."""
+    ip, file = _ip_tables(spark, sf_dir), _file_tables(spark, sf_dir)
+    only = lambda store, snapshots: imports.merge_file_store(store, snapshots, intelligence_only=True)
+    parts = {
+        "addresses": import_sets.Part(imports.merge_ip, ip[1], ip[0], checks=[import_sets.one_row_a_key("entities", "ip")]),
+        "files": import_sets.Part(only, file[1], imports.empty_file_store(spark), checks=[import_sets.one_row_a_key("files", "group"), import_sets.refers("tags", "files", "group")]),
+    }
+    root = scratch(spark)
+    import_sets.import_set(spark, root, parts)
+    version = import_sets.import_set(spark, root, parts)["version"]
+    folder = describe_version(spark, root)["folder"]
+    tables = [("addresses", "entities"), ("addresses", "reverse_dns"), ("addresses", "ledger"), ("files", "files"), ("files", "tags"), ("files", "ledger"), ("files", "lookups")]
+    counts = [spark.read.parquet(f"{folder}/{store}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(store).alias("store"), F.lit(name).alias("name"), "n") for store, name in tables]
+    return reduce(DataFrame.union, counts).withColumn("version", F.lit(version).cast("long"))

@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkintel.plans.queries import query
-from sparkintel.streaming.captures import once, queue_stream, run_once, stable
+from sparkintel.plans.tables import read
+from sparkintel.sources.exports import scratch
+from sparkintel.streaming.captures import gate_leases, keep_pause, once, queue_stream, run_batches, run_once, stable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, below spark.checkpoint.dir; a temporary one only where all runs on this machine."""
-    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    named = named or tempfile.mkdtemp(prefix="spark-")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -71,3 +61,24 @@ def stream_queue(spark, sf_dir):
     every = spark.read.parquet(f"{folder}/out")
     last = every.groupBy("identity").agg(F.max_by(F.struct("last_source", "last_seq", "request_count"), "batch").alias("s"))
     return last.select("identity", "s.*")
+
+
+@query(
+    """WITH e AS (SELECT event_id, event_type, ts, ts + to_seconds(60 * (event_id % 300)) AS until, event_id % 6 AS b FROM events),
+    p AS (SELECT b, max(until) FILTER (event_type = 'error') AS until FROM e GROUP BY b),
+    before AS (SELECT b, max(until) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS paused FROM p)
+    SELECT event_id, b::BIGINT AS batch, coalesce(ts >= paused, true) AS granted FROM e JOIN before USING (b) WHERE event_type = 'view'"""
+)
+def gated_leases(spark, sf_dir):
+    """Calls for leases (views) in six batches, of which those are refused that fall into a pause by a rate limit (errors) of a batch before."""
+    folder = scratch(spark)
+    e = read(spark, sf_dir, "events")
+    until = F.timestamp_seconds(F.unix_timestamp("ts") + 60 * (F.col("event_id") % 300))
+    e = e.select("event_id", "event_type", "ts", until.alias("until"))
+    for batch in range(6):
+        e.where(F.col("event_id") % 6 == batch).write.parquet(f"{folder}/in/{batch}")
+        files = spark.readStream.schema(e.schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        run_batches(files.where("event_type = 'view'"), gate_leases(spark, f"{folder}/pause", f"{folder}/gate", "ts"), f"{folder}/state-gate")
+        changes = files.where("event_type = 'error'").select(F.lit("rate_limited").alias("why"), F.col("until").alias("next_eligible_at"))
+        run_batches(changes, keep_pause(spark, f"{folder}/pause"), f"{folder}/state-pause")
+    return spark.read.parquet(f"{folder}/gate/calls").select("event_id", F.col("batch_id").cast("long").alias("batch"), "granted")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -36,6 +37,22 @@ def export_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir; a temporary one only where all runs on this machine."""
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    named = named or tempfile.mkdtemp(prefix="spark-")
+    return f"{named.rstrip('/')}/scratch-{uuid.uuid4().hex[:12]}"
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """The same rows, written and read again, for what several tables are made of: it is computed once, and its plan ends there."""
+    folder = scratch(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 class Conflict(Exception):
     """Another version was published since the one that this one builds on."""
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkintel.sources.exports import current_version, describe_version, publish
+
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -104,19 +106,34 @@ def _millis(at: datetime) -> int:
 class LeasedQueue(StatefulProcessor):
     """A request item with its lease and its waits: takes requests, leases and outcomes, and tells each change.
 
-    A newer request makes the item pending and ends its lease and, unless it was rate limited, its wait. A
-    lease holds until its end, an outcome counts only with the lease's token. A lease that nobody ends and
-    a wait that is over are told by timers.
+    A newer request makes the item pending and ends its lease and, unless it was rate limited, its wait; a
+    late one only counts, and one that comes again, or a lease's token that does, is passed by for
+    as long as it is remembered. A lease holds until its end, an outcome counts only with the lease's
+    token. A lease that nobody ends and a wait that is over are told by timers.
     """
 
+    def __init__(self, remember: timedelta | None = None):
+        self.remember = remember
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.item = handle.getValueState("item", "source string, seq long, requests long, status string, last_outcome string, attempts long, lease_token string, lease_until timestamp, next_eligible_at timestamp")
+        self.seen = handle.getMapState("seen", "kind string, name string, seq long", "one boolean", None if self.remember is None else int(self.remember.total_seconds() * 1000))
+
+    def _again(self, row) -> bool:
+        """Whether this request or lease came before; from now on it did."""
+        name = ("request", row.source, int(row.seq)) if row.kind == "request" else ("lease", row.lease_token, 0)
+        if self.seen.containsKey(name):
+            return True
+        self.seen.updateValue(name, (True,))
+        return False
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         item = list(self.item.get()) if self.item.exists() else None
         told = []
         for row in pd.concat(rows).sort_values(["at", "kind", "seq"]).itertuples():
+            if row.kind != "outcome" and (item is not None or row.kind == "request") and self._again(row):
+                continue
             if row.kind == "request":
                 item, why = self._request(item, row)
             elif item is None:
@@ -188,9 +205,9 @@ class LeasedQueue(StatefulProcessor):
         pass
 
 
-def leased_queue(events: DataFrame) -> DataFrame:
+def leased_queue(events: DataFrame, remember: timedelta | None = None) -> DataFrame:
     """Every change of every item, by the events of EVENTS (kind: request, lease, outcome); needs the RocksDB state store."""
-    return events.groupBy("identity").transformWithStateInPandas(LeasedQueue(), TOLD, "append", "processingTime")
+    return events.groupBy("identity").transformWithStateInPandas(LeasedQueue(remember), TOLD, "append", "processingTime")
 
 
 def pause_stream(changes: DataFrame) -> DataFrame:
@@ -198,6 +215,56 @@ def pause_stream(changes: DataFrame) -> DataFrame:
     return changes.where("why = 'rate_limited'").groupBy(F.lit("all").alias("scope")).agg(F.max("next_eligible_at").alias("paused_until"))
 
 
+def _pause(spark: SparkSession, root: str, number: int | None = None) -> datetime | None:
+    """Until when all items are paused, by the last version of that one value (or by a version)."""
+    at = current_version(spark, root) if number is None else number
+    told = describe_version(spark, root, at)["paused_until"] if at else None
+    return None if told is None else datetime.fromisoformat(told)
+
+
+def keep_pause(spark: SparkSession, root: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over changes (rows of TOLD): publishes until when all items are paused, wherever a rate limit moves that on.
+
+    A batch that comes again moves nothing on. Sessions and moments are in UTC.
+    """
+
+    def work(changes: DataFrame, _: int) -> None:
+        after = current_version(spark, root)
+        latest = pause_stream(changes).first()
+        before = _pause(spark, root, after)
+        if latest is not None and (before is None or latest["paused_until"] > before):
+            publish(spark, root, "", after, {"paused_until": latest["paused_until"].isoformat()})
+
+    return work
+
+
+def gate_leases(spark: SparkSession, pauses: str, root: str, at: str = "at") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over calls for leases: writes them to `calls` below root with `granted`, false while all items are paused.
+
+    What a batch read of the pause is published before it is used, so that the batch decides alike if it comes
+    again, though the pause may have moved on, and its calls are written once more over the same place. The
+    rows granted are the lease events of `leased_queue`, which passes by a token that it has met.
+    """
+
+    def work(calls: DataFrame, batch: int) -> None:
+        decided = f"{root}/decided"
+        known = current_version(spark, decided)
+        if known <= batch:
+            paused = _pause(spark, pauses)
+            publish(spark, decided, "", batch, {"paused_until": None if paused is None else paused.isoformat()})
+        until = describe_version(spark, decided, batch + 1)["paused_until"]
+        paused = F.lit(None).cast("timestamp") if until is None else F.lit(until).cast("timestamp")
+        told = calls.withColumn("paused_until", paused).withColumn("granted", F.coalesce(F.col(at) >= F.col("paused_until"), F.lit(True)))
+        told.write.mode("overwrite").parquet(f"{root}/calls/batch_id={batch}")
+
+    return work
+
+
+def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Takes what is there now, batch by batch, and ends."""
+    stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def unit_stream(stream: DataFrame, root: str, depth: int, watermark: str | None = None) -> DataFrame:
     """Directories at a depth below a root, each once as files of them arrive: root, unit, depth, status."""
     below = F.substring_index(F.col("path"), f"{root.rstrip('/')}/", -1)

@@ -5,19 +5,31 @@ from pyspark.sql import functions as F
 
 from sparkintel.operators import imports
 from sparkintel.operators.import_sets import Part, import_set, one_row_a_key, open_store, refers, set_id
-from sparkintel.plans.import_queries import _ip_tables, _repo_tables
+from sparkintel.operators.merges import union_ignore
+from sparkintel.plans.import_queries import _file_tables, _ip_tables
 from sparkintel.sources import exports
 
 SF = "/root/testdata/sf0.001"
 
 
+def merge_notes(store, snapshots):
+    """A small store: notes by key, what is there stays; a blank key refuses the whole."""
+    fresh = imports.fresh_snapshots(snapshots["imports"], store["ledger"])
+    new = snapshots["notes"].join(fresh.select("source_sha256"), "source_sha256").drop("source_sha256")
+    imports._refuse(new.where("key = ''"), "noncanonical note")
+    merged = {"notes": union_ignore(store["notes"], new, ["key"]), "ledger": store["ledger"].union(fresh.select("source_sha256"))}
+    return imports.Merged(merged, new.agg(F.count(F.lit(1)).alias("rows")))
+
+
 @pytest.fixture(scope="module")
 def parts(spark):
     small = lambda tables: {k: spark.createDataFrame(df.collect(), df.schema).coalesce(1) for k, df in tables.items()}
-    ip, repo = _ip_tables(spark, SF), _repo_tables(spark, SF)
+    ip = _ip_tables(spark, SF)
+    notes = {"notes": spark.createDataFrame([("a", "old")], "key string, note string"), "ledger": spark.createDataFrame([], "source_sha256 string")}
+    told = {"notes": spark.createDataFrame([("a", "new", "d1"), ("b", "new", "d1")], "key string, note string, source_sha256 string"), "imports": spark.createDataFrame([("d1", 1)], "source_sha256 string, import_seq long")}
     return {
         "addresses": Part(imports.merge_ip, small(ip[1]), small(ip[0]), checks=[one_row_a_key("entities", "ip")]),
-        "repositories": Part(imports.merge_repos, small(repo[1]), small(repo[0]), "imports", [refers("findings", "repositories", "identity_key")]),
+        "notes": Part(merge_notes, told, notes, "imports", [refers("notes", "notes", "key")]),
     }
 
 
@@ -44,20 +56,17 @@ def test_all_or_none(spark, tmp_path, parts):
     before = open_store(spark, root, "addresses", parts["addresses"], 1)["entities"].count()
 
     def broken(store, snapshots):
-        merged = imports.merge_repos(store, snapshots)
-        merged.store["findings"] = merged.store["findings"].withColumn("summary", F.raise_error(F.lit("no room")).cast("string"))
-        return merged
-
-    def unsound(store, snapshots):
-        merged = imports.merge_repos(store, snapshots)
-        merged.store["repositories"] = merged.store["repositories"].limit(1)
+        merged = merge_notes(store, snapshots)
+        merged.store["notes"] = merged.store["notes"].withColumn("note", F.raise_error(F.lit("no room")).cast("string"))
         return merged
 
-    noncanonical = parts["repositories"].snapshots | {"repositories": parts["repositories"].snapshots["repositories"].withColumn("canonical_url", F.lit("https://example.com/a/b"))}
-    own = parts["repositories"]
-    for odd in (Part(broken, own.snapshots, own.empty, "imports"), Part(unsound, own.snapshots, own.empty, "imports", own.checks), Part(own.merge, noncanonical, own.empty, "imports")):
+    own = parts["notes"]
+    noncanonical = own.snapshots | {"notes": own.snapshots["notes"].withColumn("key", F.lit(""))}
+    unsound = [one_row_a_key("notes", "note")]  # two notes say "new" once another is there
+    twice = own.snapshots | {"notes": own.snapshots["notes"].withColumn("key", F.concat("key", F.lit("2")))}
+    for odd in (Part(broken, own.snapshots, own.empty, "imports"), Part(merge_notes, twice, own.empty, "imports", unsound), Part(merge_notes, noncanonical, own.empty, "imports")):
         with pytest.raises(Exception, match="no room|not sound|noncanonical"):
-            import_set(spark, root, parts | {"repositories": odd})
+            import_set(spark, root, parts | {"notes": odd})
         assert exports.current_version(spark, root) == 1 and len(listed(tmp_path / "set/data")) == 1
     assert open_store(spark, root, "addresses", parts["addresses"], 1)["entities"].count() == before
 
@@ -89,3 +98,30 @@ def test_readers_see_old_or_new(spark, tmp_path):
     with pytest.raises(exports.Conflict):
         exports.publish(spark, root, "elsewhere", 3)
     assert exports.current_version(spark, root) == 12
+
+
+def test_files_are_merged_into_what_a_merge_gave(spark):
+    """Two imports, one after the other, leave the files of one import of both; a bare MD5 that gets its SHA-256 takes its tags along."""
+    small = lambda df: spark.createDataFrame(df.collect(), df.schema).coalesce(1)
+    _, snapshots = _file_tables(spark, SF)
+    snapshots = {k: small(v) for k, v in snapshots.items()}
+    digests = [r[0] for r in snapshots["snapshots"].orderBy("import_seq").collect()]
+    one = imports.merge_file_store(imports.empty_file_store(spark), snapshots).store
+    turn = imports.empty_file_store(spark)
+    for digest in digests:
+        turn = {k: small(v) for k, v in imports.merge_file_store(turn, {k: v.where(F.col("source_sha256") == digest) for k, v in snapshots.items()}).store.items()}
+    names = ["group", "sha256", "md5", "magic", "malicious", "created_at", "updated_at"]
+    plain = lambda df, *columns: sorted(tuple(map(str, r)) for r in df.select(*columns).collect())
+    assert plain(one["files"], *names) == plain(turn["files"], *names) and plain(one["tags"], "group", "value", "first_seen") == plain(turn["tags"], "group", "value", "first_seen")
+    columns = "row_id long, import_seq long, sha256 string, md5 string, magic string, malicious string, created_at string, updated_at string, source_sha256 string"
+    rest = {k: v.where("false") for k, v in snapshots.items()}
+
+    def then(store, rows, digest, tags=()):
+        listed = spark.createDataFrame([(digest, 1)], "source_sha256 string, import_seq long")
+        tagged = spark.createDataFrame([(*t, "local", "1", digest) for t in tags], "row_id long, value string, source string, first_seen string, source_sha256 string")
+        return imports.merge_file_store(store, rest | {"files": spark.createDataFrame([(*r, None, "no", "1", "1", digest) for r in rows], columns), "tags": tagged, "snapshots": listed}).store
+
+    first = then(imports.empty_file_store(spark), [(1, 1, None, "m"), (2, 1, "a", None)], "d1", [(1, "bare"), (2, "a tag")])
+    second = then(first, [(1, 1, "b", "m"), (2, 1, "a", "m"), (3, 1, None, "m")], "d2", [(3, "later")])
+    assert sorted((r["group"], r["value"]) for r in second["tags"].collect()) == [("s:a", "a tag"), ("s:b", "bare"), ("s:b", "later")]
+    assert sorted((r["sha256"], r["md5"]) for r in second["files"].collect()) == [("a", "m"), ("b", "m")]

@@ -2,13 +2,14 @@
 
 import datetime
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkintel.plans.stream_queries import ROCKSDB
 from sparkintel.sources import captures
-from sparkintel.streaming.captures import EVENTS, TOLD, leased_queue, pause_stream, run_once, run_until, unit_stream
+from sparkintel.streaming.captures import EVENTS, TOLD, gate_leases, keep_pause, leased_queue, pause_stream, run_once, run_until, unit_stream
 
 T0 = datetime.datetime(2100, 1, 1)  # timers are not due
 
@@ -83,3 +84,39 @@ def test_replay_of_a_retained_capture(spark):
     for bad in (lambda: captures.replay(listed, rows, files, "c2", count), lambda: captures.replay(listed, rows.where("path = 'a'"), files, "c1", count), lambda: captures.replay(listed, rows, files.where("path = 'a'"), "c1", count)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_requests_and_leases_that_come_again(changes):
+    """Any order of one source's requests, with repeats within and across batches and a restart between, gives one state; a repeated lease is none."""
+    asked = [event("a", "request", k, "s", k) for k in range(8)]
+    rng = random.Random(2)
+    got = changes(
+        (rng.sample(asked[:6], 6) + asked[2:4] + [event("a", "lease", 50, token="t", until=90)] * 2, 7),
+        (rng.sample(asked, 8) + [event("a", "lease", 95, token="t", until=190), event("a", "lease", 96, token="u", until=191)], 3),
+    ).collect()
+    told = [(r["why"], r["request_count"], r["lease_token"]) for r in sorted(got, key=lambda r: (r["request_count"], r["at"]))]
+    assert max(r["request_count"] for r in got) == 8 and max(r["last_seq"] for r in got) == 7
+    assert [t for t in told if t[0] == "leased"] == [("leased", 6, "t"), ("leased", 8, "u")]
+
+
+def test_a_rate_limit_pauses_all_items(spark, tmp_path):
+    """In the batch after it, and alike when that batch comes again later."""
+    calls = lambda *seconds: spark.createDataFrame([(f"i{s}", at(s)) for s in seconds], "identity string, at timestamp")
+    limits = lambda *seconds: spark.createDataFrame([("rate_limited", at(s)) for s in seconds], "why string, next_eligible_at timestamp")
+    pauses, root = f"{tmp_path}/pause", f"{tmp_path}/gate"
+    gate, keep = gate_leases(spark, pauses, root), keep_pause(spark, pauses)
+    granted = lambda n: {r["identity"]: r["granted"] for r in spark.read.parquet(f"{root}/calls/batch_id={n}").collect()}
+    gate(calls(0, 10), 0)
+    keep(limits(100, 60), 0)
+    gate(calls(20, 99, 100), 1)
+    keep(limits(50), 1)  # moves nothing back
+    gate(calls(70, 120), 2)
+    keep(limits(500), 2)
+    assert granted(0) == {"i0": True, "i10": True} and granted(1) == {"i20": False, "i99": False, "i100": True} and granted(2) == {"i70": False, "i120": True}
+    for batch, seconds in ((0, (0, 10)), (1, (20, 99, 100)), (2, (70, 120))):
+        was = granted(batch)
+        gate(calls(*seconds), batch)
+        assert granted(batch) == was
+    keep(limits(500), 2)
+    gate(calls(499, 500), 3)
+    assert granted(3) == {"i499": False, "i500": True}
