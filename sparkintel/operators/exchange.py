@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,24 +35,36 @@ def bundle_violations(items: DataFrame, value: str, bundle: str = "bundle_id", p
     return rows.select(bundle, F.col(place).cast("long").alias(place), "violation").union(long)
 
 
+#: Types of the fields and items of a bundle, closed: no other fields, nothing else in their place.
+_FIELD_TYPES = {"schema_version": "BIGINT", "bundle_id": "STRING", "source_instance_id": "STRING", "source_sequence": "BIGINT", "created_at": "STRING", "selection": "STRING", "policy_sha256": "STRING", "counts": "OBJECT<files: BIGINT, ips: BIGINT, repositories: BIGINT>"}
+_ITEM_TYPES = {"files": ["OBJECT<md5: STRING, sha256: STRING>", "OBJECT<md5: VOID, sha256: STRING>"], "ips": ["STRING"], "repositories": ["OBJECT<canonical_url: STRING, identity_key: STRING>"]}
+
+
 def header_violations(bundles: DataFrame, key: str = "bundle_id") -> DataFrame:
     """What is wrong with bundles as JSON (key, body): key, violation.
 
     Fields are exactly BUNDLE_FIELDS; version 1, canonical UUIDs, a positive sequence, a UTC time, a known
-    selection, a digest of the policy, and counts that are those of the lists.
+    selection, a digest of the policy, and counts that are those of the lists. Fields and items have exactly
+    their types and inner fields (`types`, `items`); a key that comes twice makes a body no JSON (`json`).
     """
-    lists = "files array<struct<sha256:string,md5:string>>, ips array<string>, repositories array<struct<identity_key:string,canonical_url:string>>"
-    parsed = F.from_json("body", f"schema_version int, bundle_id string, source_instance_id string, source_sequence long, created_at string, selection string, policy_sha256 string, {lists}, counts struct<files:long,ips:long,repositories:long>")
-    fields, expected = F.json_object_keys("body"), F.array(*[F.lit(f) for f in BUNDLE_FIELDS])
-    b = lambda name: F.col("b")[name]
+    v = F.try_parse_json("body")
+    get = lambda name, kind="string": F.try_variant_get("v", f"$.{name}", kind)
     no = lambda good: ~F.coalesce(good, F.lit(False))
-    sizes = [F.coalesce(F.size(b(n)), F.lit(-1)) for n in ("files", "ips", "repositories")]
+    kind_of = lambda name: F.schema_of_variant(get(name, "variant"))
+    fields, expected = F.json_object_keys("body"), F.array(*[F.lit(f) for f in BUNDLE_FIELDS])
+    lists = {n: get(n, "array<variant>") for n in _ITEM_TYPES}
+    sizes = {n: F.coalesce(F.size(c), F.lit(-1)) for n, c in lists.items()}
+    counted = reduce(lambda a, b: a & b, [get(f"counts.{n}", "long") == size for n, size in sizes.items()])
+    typed = reduce(lambda a, b: a & b, [kind_of(n) == t for n, t in _FIELD_TYPES.items()])
+    of_type = lambda name: lambda x: F.schema_of_variant(x).isin(_ITEM_TYPES[name])
+    sound = reduce(lambda a, b: a & b, [F.forall(c, of_type(n)) for n, c in lists.items()])
     wrong = F.array(
-        F.when(no((F.size(fields) == len(BUNDLE_FIELDS)) & (F.size(F.array_except(fields, expected)) == 0)), "fields"), F.when(no(b("schema_version") == 1), "version"), F.when(no(is_uuid(b("bundle_id")) & is_uuid(b("source_instance_id"))), "uuid"),
-        F.when(no(b("source_sequence") >= 1), "sequence"), F.when(no(is_utc_time(b("created_at"))), "time"), F.when(no(b("selection").isin(SELECTIONS)), "selection"), F.when(no(is_sha256(b("policy_sha256"))), "policy"),
-        F.when(no((b("counts")["files"] == sizes[0]) & (b("counts")["ips"] == sizes[1]) & (b("counts")["repositories"] == sizes[2])), "counts"), F.when(sizes[0] + sizes[1] + sizes[2] > MOST_ITEMS, "size"), F.when(F.octet_length("body") > MOST_BYTES, "bytes"),
+        F.when(F.col("v").isNull(), "json"), F.when(no((F.size(fields) == len(BUNDLE_FIELDS)) & (F.size(F.array_except(fields, expected)) == 0)), "fields"), F.when(no(get("schema_version", "long") == 1), "version"),
+        F.when(no(is_uuid(get("bundle_id")) & is_uuid(get("source_instance_id"))), "uuid"), F.when(no(get("source_sequence", "long") >= 1), "sequence"), F.when(no(is_utc_time(get("created_at"))), "time"), F.when(no(get("selection").isin(SELECTIONS)), "selection"),
+        F.when(no(is_sha256(get("policy_sha256"))), "policy"), F.when(no(counted), "counts"), F.when(F.col("v").isNotNull() & no(typed), "types"), F.when(F.col("v").isNotNull() & no(sound), "items"),
+        F.when(reduce(lambda a, b: a + b, sizes.values()) > MOST_ITEMS, "size"), F.when(F.octet_length("body") > MOST_BYTES, "bytes"),
     )
-    return bundles.select(key, "body", parsed.alias("b")).select(key, F.explode(F.array_compact(wrong)).alias("violation"))
+    return bundles.select(key, "body", v.alias("v")).select(key, F.explode(F.array_compact(wrong)).alias("violation"))
 
 
 def indicator_violations(items: DataFrame, bundle: str = "bundle_id") -> DataFrame:

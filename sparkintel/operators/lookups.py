@@ -29,11 +29,14 @@ INTEL = {
 def load_intel(spark: SparkSession, folder: str, kind: str) -> tuple[DataFrame | None, str | None]:
     """A table of intelligence, or None and why it is unavailable: no table, or columns that it lacks.
 
-    Only its schema is read. Columns that are there besides the needed ones don't matter.
+    Only its schema is read. Columns that are there besides the needed ones don't matter. Other failures
+    than that nothing is there are raised.
     """
     try:
         df = spark.read.parquet(f"{folder}/{kind}")
     except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None, f"no table: {e.getCondition()}"
     lacking = missing_columns(df, _parse(spark, INTEL[kind]))
     return (None, f"missing columns: {', '.join(lacking)}") if lacking else (df.select(*[f.split()[0] for f in INTEL[kind].split(", ")]), None)
@@ -82,13 +85,17 @@ def lookup_ips(observed: DataFrame, entities: DataFrame | None, providers: DataF
     return joined.withColumn("status", status).select("ip", "status", F.when(hit, F.col("e.country_code")).alias("country_code"), F.when(hit, F.col("e.malicious")).alias("malicious"))
 
 
-def lookup_files(observed: DataFrame, files: DataFrame) -> DataFrame:
+def lookup_files(observed: DataFrame, files: DataFrame | None) -> DataFrame:
     """Files by SHA-256 and, only where that is unknown, by MD5.
 
     observed: sha256, md5. files: file_id, sha256_hash, md5_hash, malicious. Several rows of one MD5 are
-    ambiguous, as is one row that has another SHA-256; candidate ids are sorted.
+    ambiguous, as is one row that has another SHA-256; candidate ids are sorted. No table is unavailable,
+    never a miss.
     """
     asked = observed.select("sha256", "md5").distinct()
+    none = F.lit(None).cast("string")
+    if files is None:
+        return asked.select("sha256", "md5", F.lit("unavailable").alias("status"), *[none.alias(c) for c in ("match_type", "reason", "file_ids", "malicious")])
     by_sha = files.where("sha256_hash IS NOT NULL").select(F.col("sha256_hash").alias("sha256"), F.col("file_id").alias("sha_id"), F.col("malicious").alias("sha_verdict"))
     first = asked.join(by_sha, "sha256", "left")
     found = first.where("sha_id IS NOT NULL").select("sha256", "md5", F.lit("hit").alias("status"), F.lit("sha256").alias("match_type"), F.lit(None).cast("string").alias("reason"), F.col("sha_id").cast("string").alias("file_ids"), F.col("sha_verdict").alias("malicious"))
@@ -103,8 +110,10 @@ def lookup_files(observed: DataFrame, files: DataFrame) -> DataFrame:
     return found.unionByName(rest)
 
 
-def lookup_repositories(observed: DataFrame, cards: DataFrame, states: list[str]) -> DataFrame:
-    """Repositories by identity key; a card whose lists are no JSON lists or whose state is unknown is an error."""
+def lookup_repositories(observed: DataFrame, cards: DataFrame | None, states: list[str]) -> DataFrame:
+    """Repositories by identity key; a card whose lists are no JSON lists or whose state is unknown is an error, no table is unavailable."""
+    if cards is None:
+        return observed.select("identity_key").distinct().select("identity_key", F.lit("unavailable").alias("status"), F.lit(None).cast("string").alias("tool_types"))
     joined = observed.select("identity_key").distinct().join(cards, "identity_key", "left")
     parsed = F.from_json("tool_types_json", "array<string>")
     status = F.when(F.col("status").isNull() & F.col("tool_types_json").isNull(), "miss").when(parsed.isNull() | ~F.coalesce(F.col("status").isin(states), F.lit(False)), "error").otherwise("hit")

@@ -6,6 +6,8 @@ import fnmatch
 import re
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ BINARY_EXTENSIONS = [".exe", ".dll", ".sys", ".bin", ".elf", ".so", ".dylib"]
 SCAN_HEADERS = ["4D5A", "7F454C46", "FEEDFACE", "CEFAEDFE", "FEEDFACF", "CFFAEDFE", "CAFEBABE", "BEBAFECA"]
 MIME_FRAGMENTS = ["executable", "x-sh", "x-python", "x-perl", "x-php", "x-ruby", "javascript"]
 HEADER_BYTES = 8192
-#: Regular expressions of a rule set, at most: each is a column of its own.
-MOST_REGEXES = 500
+#: Regular expressions that one column tries; a rule set has as many such columns as it takes.
+REGEXES_A_COLUMN = 200
 #: Literals up to which texts are looked through where they lie, and those of them without an inner word.
 MOST_LITERALS, MOST_BARE = 20_000, 500
 
@@ -180,13 +182,30 @@ def _found(text: Column, expression: Column | str, place: Column) -> list[Column
     return [place.cast("long").alias("offset"), F.regexp_count(text, expression if isinstance(expression, Column) else F.lit(expression)).cast("long").alias("times")]
 
 
+def _tried(files: DataFrame, key: str, text: str, expressions: list[str]) -> DataFrame:
+    """key, pattern, offset, times of regular expressions: all are tried in one pass, those that match are then counted."""
+    java = files.sparkSession.sparkContext._jvm.java.util.regex.Pattern
+    for e in expressions:
+        try:
+            java.compile(e)
+        except (Py4JJavaError, PySparkException) as error:
+            raise ValueError(f"not a regular expression: {e}") from error
+    columns = [F.array_compact(F.array(*[F.when(F.col(text).rlike(e), k) for k, e in enumerate(expressions[at : at + REGEXES_A_COLUMN], at)])) for at in range(0, len(expressions), REGEXES_A_COLUMN)]
+    # Outer, as otherwise a filter on the matches would be put before it and try them all once more.
+    matched = files.where(F.col(text).isNotNull()).select(key, text, F.explode_outer(F.flatten(F.array(*columns))).alias("place")).where("place IS NOT NULL")
+    listed = files.sparkSession.createDataFrame(list(enumerate(expressions)), "place int, pattern string")  # the rule set
+    named = matched.join(F.broadcast(listed), "place")
+    first = F.call_function("regexp_extract", F.col(text), F.concat(F.lit("(?s)^(.*?)(?:"), F.col("pattern"), F.lit(")")), F.lit(1))
+    return named.select(key, "pattern", *_found(F.col(text), F.col("pattern"), F.length(first)))
+
+
 def match_signatures(files: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
     """Matches of rules: key, namespace, rule, n_strings, first_offset.
 
     rules: namespace, rule, pattern_id, pattern, condition (`any`, `all` or a number as text) and, where
     there are regular expressions too, kind (`text` or `regex`). A literal is looked for only in texts
     that have a word or a gram of it, and then verified; occurrences may overlap. Regular expressions,
-    MOST_REGEXES at most, are columns of one pass over the texts. Texts may be null.
+    as Java reads them, are tried in one pass over the texts, and counted where they match. Texts may be null.
     """
     kinded = rules if "kind" in rules.columns else rules.withColumn("kind", F.lit("text"))
     named = kinded.select("namespace", "rule", "pattern_id", "pattern", "condition", "kind").where("pattern <> ''")
@@ -194,14 +213,8 @@ def match_signatures(files: DataFrame, key: str, text: str, rules: DataFrame) ->
     held = _held(files.where(F.col(text).isNotNull()), key, text, literals)
     spots = held.select(key, "pattern", *_found(F.col(text), F.concat(F.lit("(?="), quoted(F.col("pattern")), F.lit(")")), F.instr(text, F.col("pattern")) - 1))
     if "kind" in rules.columns:
-        expressions = [r["pattern"] for r in named.where("kind = 'regex'").select("pattern").distinct().orderBy("pattern").limit(MOST_REGEXES + 1).collect()]
-        if len(expressions) > MOST_REGEXES:
-            raise ValueError(f"a rule set has at most {MOST_REGEXES} regular expressions")
-        for e in expressions:
-            re.compile(e)
-        if expressions:
-            tried = [F.when(F.col(text).rlike(e), F.struct(F.lit(e).alias("pattern"), *_found(F.col(text), e, F.length(F.regexp_extract(text, f"(?s)^(.*?)(?:{e})", 1))))) for e in expressions]
-            spots = spots.union(files.select(key, F.explode(F.array_compact(F.array(*tried))).alias("x")).select(key, "x.*"))
+        expressions = [r["pattern"] for r in named.where("kind = 'regex'").select("pattern").distinct().orderBy("pattern").collect()]
+        spots = spots.union(_tried(files, key, text, expressions)) if expressions else spots
     found = spots.join(named, "pattern")
     wanted = named.groupBy("namespace", "rule").agg(F.countDistinct("pattern_id").alias("patterns"))
     per = found.groupBy(key, "namespace", "rule", "condition").agg(F.countDistinct("pattern_id").alias("n_patterns"), F.sum("times").cast("long").alias("n_strings"), F.min("offset").cast("long").alias("first_offset"))

@@ -9,6 +9,8 @@ from sparkintel.functions.strings import unique_clean
 from sparkintel.operators.exchange import MOST_BYTES, MOST_ITEMS
 from sparkintel.operators.folds import fitting_in_order
 from sparkintel.operators.merges import max_verdict, ranked_verdict, union_ignore
+from sparkintel.sources.exports import written_once
+
 
 def apply_ip_results(entities: DataFrame, records: DataFrame) -> DataFrame:
     """Entities after provider records: ip, country_code, malicious, last_updated.
@@ -68,15 +70,21 @@ def append_corrections(corrections: DataFrame, new: DataFrame, fields: list[str]
     """Corrections with new ones added: each gets the next id of all and the id of the one of its field before it.
 
     corrections: id, repository_id, field_path, replacement, rationale, supersedes_id; new: the same without
-    ids, and seq. What `correction_violations` finds wrong is left out.
+    ids, and seq, by which they follow each other. What `correction_violations` finds wrong is left out, and
+    all rows of a seq that comes twice. Ids go on without gaps.
     """
-    wrong = correction_violations(new.withColumn("id", F.col("seq")), fields).select(F.col("id").alias("seq")).distinct()
-    good = new.join(wrong, "seq", "left_anti")
-    top = corrections.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = good.crossJoin(top).withColumn("id", F.col("top") + F.col("seq"))  # one row
+    wrong = correction_violations(new.withColumn("id", F.col("seq")), fields).select(F.col("id").alias("seq"))
+    twice = new.groupBy("seq").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 OR seq IS NULL").select("seq")
+    good = written_once(new.join(wrong.union(twice).distinct(), "seq", "left_anti").where("seq IS NOT NULL").repartitionByRange("seq").sortWithinPartitions("seq").withColumn("mark", F.monotonically_increasing_id()))
+    # Ranks by partitions: rows of one, and how many rows the ones before it have; one row a partition.
+    part, within = F.expr("shiftright(mark, 33)"), F.col("mark").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = good.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    before = sizes.withColumn("before", F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).select("part", "before")
+    top = corrections.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))  # one row
+    numbered = good.withColumn("part", part).join(F.broadcast(before), "part").crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("before") + within + 1)
     last = corrections.groupBy("repository_id", "field_path").agg(F.max("id").alias("last"))
-    before = F.lag("id").over(Window.partitionBy("repository_id", "field_path").orderBy("id"))
-    linked = numbered.join(last, ["repository_id", "field_path"], "left").withColumn("supersedes_id", F.coalesce(before, "last"))
+    earlier = F.lag("id").over(Window.partitionBy("repository_id", "field_path").orderBy("id"))
+    linked = numbered.join(last, ["repository_id", "field_path"], "left").withColumn("supersedes_id", F.coalesce(earlier, "last"))
     return corrections.unionByName(linked.select(*corrections.columns))
 
 
@@ -149,7 +157,7 @@ def remap(child: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
 def correction_violations(corrections: DataFrame, fields: list[str], most: int = 30) -> DataFrame:
     """What is wrong with corrections: field, blank value, rationale, list length."""
     wrong = F.array(
-        F.when(~F.col("field_path").isin(fields), "field"), F.when(F.trim("replacement") == "", "blank"), F.when(~F.length("rationale").between(1, 2000), "rationale"),
+        F.when(~F.coalesce(F.col("field_path").isin(fields), F.lit(False)), "field"), F.when(F.coalesce(F.trim("replacement"), F.lit("")) == "", "blank"), F.when(~F.coalesce(F.length("rationale").between(1, 2000), F.lit(False)), "rationale"),
         F.when(F.size(F.from_json("replacement", "array<string>")) > most, "items"),
     )
     return corrections.select("id", F.explode(F.array_compact(wrong)).alias("violation"))

@@ -206,8 +206,8 @@ def moved_pointers(spark, sf_dir):
 
 
 @query(
-    """WITH old AS (SELECT row_number() OVER (ORDER BY event_id) AS id, user_id, event_type FROM events WHERE event_id % 3 = 0),
-    new AS (SELECT (SELECT max(id) FROM old) + event_id AS id, user_id, event_type FROM events WHERE event_id % 3 = 1 AND event_type <> 'error'),
+    """WITH old AS (SELECT event_id // 3 + 1 AS id, user_id, event_type FROM events WHERE event_id % 3 = 0),
+    new AS (SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY event_id) AS id, user_id, event_type FROM events WHERE event_id % 3 = 1 AND event_type <> 'error'),
     linked AS (SELECT n.id, n.user_id, n.event_type, coalesce(lag(n.id) OVER (PARTITION BY n.user_id, n.event_type ORDER BY n.id), o.last) AS before FROM new n LEFT JOIN (SELECT user_id, event_type, max(id) AS last FROM old GROUP BY 1, 2) o ON o.user_id = n.user_id AND o.event_type = n.event_type)
     SELECT id, user_id AS repository_id, event_type AS field_path, coalesce(before, -1) AS supersedes_id FROM linked"""
 )

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,19 +34,64 @@ def eligible(path: Column, max_depth: int | None = None, include_hidden: bool =
 
 
 def scan_capture(spark: SparkSession, root: str, max_depth: int | None = None, include_hidden: bool = True, max_bytes: int | None = None, content: bool = True) -> DataFrame:
-    """Files below a folder: path (relative), length, modificationTime, and content where asked.
+    """Files below a folder: path (relative), length, modificationTime, content where asked, and error.
 
-    The size limit is a filter on `length`, which the source applies before it reads a file; without
-    content no file is opened at all. Spark's own listing leaves out names that start with a dot or an
-    underscore; they are reached through archives and manifests.
+    A file above the limit is a row with the error `too_large` and no content, and is not read, as the limit is a
+    filter on `length`; `read_slices` reads such files in parts. Without content no file is opened at all.
+    Spark's own listing leaves out names that start with a dot or an underscore; they are reached
+    through archives and manifests.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    if max_bytes is not None:
-        files = files.where(F.col("length") <= max_bytes)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     path = F.expr("substring(path, locate('{0}/', path) + {1})".format(base.replace("'", "\\'"), len(base) + 1))
-    named = files.select(path.alias("path"), "length", "modificationTime", *(["content"] if content else []))
-    return named.where(eligible(F.col("path"), max_depth, include_hidden))
+
+    def named(df: DataFrame, read: bool, error: str | None) -> DataFrame:
+        held = [(F.col("content") if read else F.lit(None).cast("binary")).alias("content")] if content else []
+        return df.select(path.alias("path"), "length", "modificationTime", *held, F.lit(error).cast("string").alias("error"))
+
+    if max_bytes is None:
+        rows = named(files, True, None)
+    else:
+        rows = named(files.where(F.col("length") <= max_bytes), True, None).union(named(files.where(F.col("length") > max_bytes), False, "too_large"))
+    return rows.where(eligible(F.col("path"), max_depth, include_hidden))
+
+
+#: A token that a slice may cut is at most so long; longer runs are cut anywhere.
+OVERLAP = 128
+#: Bytes of which tokens consist; all others end one.
+_TOKEN = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + b".:%_-/@" + bytes(range(128, 256))
+_ENDS = re.compile(b"[^" + re.escape(_TOKEN) + b"]")
+
+
+def _cut(source, at: int, size: int) -> int:
+    """Where the slices on both sides of a place part: after the first byte from the one before it on that is of no token, if one is near."""
+    if at <= 0 or at >= size:
+        return max(0, min(at, size))
+    found = _ENDS.search(source.read_at(min(OVERLAP + 1, size - at + 1), at - 1))
+    return at if found is None else at + found.start()
+
+
+def read_slices(files: DataFrame, slice_bytes: int = 16 << 20) -> DataFrame:
+    """Files (uri, length) in slices: uri, start, content; together the slices of a file are its bytes.
+
+    Slices end between tokens of up to OVERLAP bytes, so that whatever is looked for in tokens is found in
+    exactly one slice, at its place in the file less `start`. A task reads one slice at a time, so that
+    a file of any size is neither a row nor a task. uri: qualified as by Spark's own listing.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, size, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fs, path = pafs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else f"file://{uri.removeprefix('file:')}")
+                with fs.open_input_file(path) as source:
+                    start, end = _cut(source, first, size), _cut(source, first + slice_bytes, size)
+                    if end > start or size == 0:
+                        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([start], pa.int64()), pa.array([source.read_at(end - start, start)], pa.binary())], names=["uri", "start", "content"])
+
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(slice_bytes).cast("long"))).alias("first")
+    partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt out, as the list of a few large files lies in one partition.
+    return files.select("uri", F.col("length").cast("long").alias("length"), places).repartition(partitions, "uri", "first").mapInArrow(work, "uri string, start long, content binary")
 
 
 def manifest(files: DataFrame, capture_id: Column) -> DataFrame:

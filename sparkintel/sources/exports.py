@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -95,9 +96,9 @@ def publish(spark: SparkSession, root: str, folder: str, after: int, facts: dict
     files = context.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
     try:
         files.rename(made, target, spark.sparkContext._gateway.new_array(context.Options.Rename, 0))
-    except Py4JJavaError as error:
+    except (Py4JJavaError, PySparkException) as error:
         fs.delete(made, False)
-        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+        if "FileAlreadyExists" in str(error):
             raise Conflict(f"version {number} is there already") from None
         raise
     return number
