@@ -30,8 +30,7 @@ def ip_number(c: Column) -> Column:
     return F.when(is_v4(c), F.aggregate(F.split(c, r"\."), F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long")))
 
 
-@F.pandas_udf(StringType())
-def _v6_canonical(values: pd.Series) -> pd.Series:
+def _compressed(values: pd.Series) -> pd.Series:
     def one(text):
         try:
             return str(ipaddress.IPv6Address(text))
@@ -41,6 +40,10 @@ def _v6_canonical(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
+_v6_canonical = F.pandas_udf(_compressed, StringType())
+_v6_once = F.pandas_udf(_compressed, StringType()).asNondeterministic()
+
+
 @F.pandas_udf(StringType())
 def _v6_key(values: pd.Series) -> pd.Series:
     return values.map(lambda text: None if text is None else format(int(ipaddress.IPv6Address(text)), "032x"))
@@ -104,23 +107,35 @@ def strict_v6_text(token: Column) -> Column:
     return F.when(F.contains(found, F.lit(":")) & ~zone_before_slash, found)
 
 
+def _settled(*columns: Column) -> Column:
+    """A struct that is computed once: what uses its fields is not put before it, where it would compute them anew."""
+    return F.explode_outer(F.array(F.struct(*columns))).alias("x")
+
+
 def extract_ips(df: DataFrame, text: Column, *keep: Column, v6: bool = False) -> DataFrame:
     """Distinct addresses of each row in the strict dialect: keep..., ip. Reserved v4 networks are left out.
 
-    Tokens are distinct in each row before v6 candidates, which have two colons at least, go to Python.
+    Only tokens that look like addresses leave their text, each once a row; of these, v6 candidates, which
+    have two colons at least, go to Python.
     """
-    tokens = df.where(text.rlike("[0-9A-Fa-f][.:]|::" if v6 else "[0-9A-Fa-f][.:]")).select(*keep, F.explode(F.array_distinct(strict_tokens(text))).alias("token"))
-    names = tokens.columns[:-1]
+    four_like, six_like = r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]", ":.*:"
+    looks = f"{four_like}|{six_like}" if v6 else four_like
+    tokens = F.array_distinct(F.filter(strict_tokens(text), lambda t: t.rlike(looks)))
+    named = df.where(text.rlike("[0-9A-Fa-f][.:]|::" if v6 else "[0-9A-Fa-f][.:]")).select(*keep, F.explode_outer(tokens).alias("token")).where("token IS NOT NULL")
+    names = named.columns[:-1]
+    four = F.when(F.col("token").rlike(four_like), strict_v4(F.col("token"))).alias("four")
+    raw = (F.when(F.col("token").rlike(six_like), strict_v6_text(F.col("token"))) if v6 else F.lit(None).cast("string")).alias("raw")
+    told = named.select(*names, _settled(four, raw)).select(*names, "x.*")
+    told = told.select(*names, _settled(F.col("four"), F.col("raw"), ip_number(F.col("four")).alias("number"))).select(*names, "x.*")
+    found = told.where((F.col("four").isNotNull() & ~in_networks(F.col("number"))) | F.col("raw").isNotNull())
     if not v6:
-        four = tokens.where(F.col("token").rlike("^[0-9]")).select(*names, strict_v4(F.col("token")).alias("ip"))
-        return four.where(F.col("ip").isNotNull() & ~in_networks(ip_number(F.col("ip")))).distinct()
-    maybe = tokens.select(*names, F.when(F.col("token").rlike("^[0-9]"), strict_v4(F.col("token"))).alias("four"), F.when(F.col("token").rlike(":.*:"), strict_v6_text(F.col("token"))).alias("raw"))
-    found = maybe.where((F.col("four").isNotNull() & ~in_networks(ip_number(F.col("four")))) | F.col("raw").isNotNull())
-    return found.select(*names, F.coalesce("four", _v6_canonical("raw")).alias("ip")).where("ip IS NOT NULL").distinct()
+        return found.select(*names, F.col("four").alias("ip")).distinct()
+    # A filter on what Python gives would otherwise be put before it and ask it twice.
+    return found.select(*names, F.coalesce("four", _v6_once("raw")).alias("ip")).where("ip IS NOT NULL").distinct()
 
 
 def extract_ips_loose(text: Column) -> Column:
-    """v4 addresses of the loose dialect: not beside a letter, digit or underscore, dots may follow."""
+    """v4 addresses of the loose dialect: not beside a letter, digit or underscore, dots may follow; `extract_loose` has v6 too."""
     pattern = rf"(?<![A-Za-z0-9_]){V4}(?![A-Za-z0-9_])"
     tokens = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_.:%-]+"), F.lit(0))
     found = F.flatten(F.transform(tokens, lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkintel.operators.answers import search_document
+from sparkintel.sources.exports import written_once
 
 K1, B = 1.2, 0.75
 MOST = 100
@@ -45,14 +46,15 @@ def _times(words: Column, term: str) -> Column:
 def bm25_search(docs: DataFrame, key: str, text: str, query: str, k: int = 10) -> DataFrame:
     """The k best documents that have every term: key, score. Ties by key.
 
-    Documents are counted and their lengths summed in one pass; postings hold only the asked terms.
+    Texts are cut into words once: the lengths and counts of the asked terms are written, and what
+    is known of all documents and the ranks are made of these.
     """
     if not 1 <= k <= MOST:
         raise ValueError(f"k must be between 1 and {MOST}")
     terms = query_terms(query)
-    counted = docs.select(key, tokens(F.col(text)).alias("tokens")).select(
-        key, F.size("tokens").alias("length"), *[_times(F.col("tokens"), term).alias(f"tf{n}") for n, term in enumerate(terms)]
-    )
+    counts = F.struct(F.size("tokens").alias("length"), *[_times(F.col("tokens"), term).alias(f"tf{n}") for n, term in enumerate(terms)])
+    cut = docs.select(key, F.explode_outer(F.array(tokens(F.col(text)))).alias("tokens"))  # once, and not for each use
+    counted = written_once(cut.select(key, counts.alias("c")).select(key, "c.*"))
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{n}") > 0).alias(f"df{n}") for n in range(len(terms))])
     hits = counted
     for n in range(len(terms)):
