@@ -140,3 +140,17 @@ def extract_ips_loose(text: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_.:%-]+"), F.lit(0))
     found = F.flatten(F.transform(tokens, lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))))
     return F.filter(F.array_distinct(found), lambda ip: ~in_networks(ip_number(ip)))
+
+
+def extract_loose(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
+    """Distinct addresses of each row in the loose dialect, of both versions: keep..., ip.
+
+    A token with two colons or more is a candidate of version 6 as a whole, but for a zone after `%`; v4
+    addresses are looked for inside tokens. Reserved v4 networks are left out.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_.:%-]+"), F.lit(0))
+    six = F.transform(F.filter(tokens, lambda t: t.rlike(":.*:")), lambda t: F.regexp_replace(t, r"%[A-Za-z0-9._-]+$", ""))
+    found = df.where(text.rlike("[0-9A-Fa-f][.:]|::")).select(*keep, F.explode_outer(F.array_distinct(F.concat(extract_ips_loose(text), six))).alias("token")).where("token IS NOT NULL")
+    names = found.columns[:-1]
+    told = F.when(F.contains("token", F.lit(":")), _v6_once(F.when(F.contains("token", F.lit(":")), F.col("token")))).otherwise(F.col("token"))
+    return found.select(*names, told.alias("ip")).where("ip IS NOT NULL").distinct()

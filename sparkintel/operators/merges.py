@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkintel.functions.strings import normalize_hash
+
 
 def ranked_verdict(c: Column, order: list[str]) -> Column:
     """Rank of a verdict, the first of the order being the greatest; 0 for anything else."""
@@ -115,14 +117,35 @@ def prune_placeholders(files: DataFrame, observations: DataFrame, tags: DataFram
     return files.join(held, "file_id", "left").where((F.col("malicious") != "unknown") | F.col("magic").isNotNull() | F.col("held")).drop("held")
 
 
-def apply_file_results(files: DataFrame, results: DataFrame) -> DataFrame:
-    """Provider results over files by SHA-256: what files have stays, blanks are filled, verdicts rise.
+class HashConflict(ValueError):
+    """A provider's SHA-256 of a file is not the file's own."""
+
+
+def apply_file_results(files: DataFrame, results: DataFrame, tags: DataFrame, names: DataFrame, at: Column) -> dict[str, DataFrame]:
+    """files, tags and names after provider results: what files have stays, blanks are filled, verdicts rise, children are added where they are new.
 
-    results may hold several rows a file; the first by `seq` fills.
+    files: file_id, sha256, md5, magic, malicious, updated_at; results: file_id, seq, provider, sha256, md5,
+    magic, malicious, tags, names (arrays); tags (file_id, tag, source, first_seen) and names (file_id,
+    name, source, first_seen). The first result by `seq` that has a value fills it. A result for no file, or
+    with another SHA-256 than its file's (or an earlier result's), refuses the whole batch.
     """
     order = ["yes", "no", "unknown"]
-    filled = results.groupBy("sha256").agg(F.min_by("magic", F.struct(F.nullif("magic", F.lit("")).isNull(), "seq")).alias("new_magic"), max_verdict(F.col("malicious"), order).alias("new_verdict"))
-    joined = files.join(filled, "sha256", "left")
-    best = F.greatest(ranked_verdict(F.col("malicious"), order), ranked_verdict(F.col("new_verdict"), order))
-    verdict = F.element_at(F.array(*[F.lit(v) for v in reversed(order)]), F.greatest(best, F.lit(1)).cast("int"))
-    return joined.select("sha256", F.coalesce(F.nullif("magic", F.lit("")), F.nullif("new_magic", F.lit(""))).alias("magic"), verdict.alias("malicious"))
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    sha, md5 = normalize_hash(F.col("sha256")), normalize_hash(F.col("md5"))
+    clean = results.select("file_id", "seq", "provider", sha.alias("sha256"), md5.alias("md5"), blank("magic").alias("magic"), "malicious", "tags", "names")
+    told = clean.groupBy("file_id").agg(
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"new_{c}") for c in ("sha256", "md5", "magic")], max_verdict(F.col("malicious"), order).alias("new_verdict"),
+        F.min("sha256").alias("least_sha"), F.max("sha256").alias("most_sha"),
+    )
+    joined = files.withColumn("sha256", sha).withColumn("md5", md5).join(told, "file_id", "full_outer")
+    known = files.select("file_id").withColumn("known", F.lit(True))
+    checked = joined.join(known, "file_id", "left")
+    wrong = checked.where("known IS NULL OR least_sha <> most_sha OR (sha256 IS NOT NULL AND (least_sha <> sha256 OR most_sha <> sha256))")
+    if odd := wrong.select("file_id", "known").limit(1).collect():
+        raise HashConflict(f"file {odd[0]['file_id']}: " + ("a provider's SHA-256 is another" if odd[0]["known"] else "there is no such file"))
+    best = F.greatest(ranked_verdict(F.col("malicious"), order), ranked_verdict(F.col("new_verdict"), order), F.lit(1))
+    verdict = F.element_at(F.array(*[F.lit(v) for v in reversed(order)]), best.cast("int"))
+    touched = F.col("least_sha").isNotNull() | F.col("new_verdict").isNotNull() | F.col("new_md5").isNotNull() | F.col("new_magic").isNotNull()
+    merged = joined.select("file_id", *[F.coalesce(blank(c), F.col(f"new_{c}")).alias(c) for c in ("sha256", "md5", "magic")], verdict.alias("malicious"), F.when(touched, at).otherwise(F.col("updated_at")).alias("updated_at"))
+    child = lambda values, column: clean.select("file_id", F.explode(values).alias(column), F.col("provider").alias("source")).where(F.trim(column) != "").distinct().withColumn("first_seen", at)
+    return {"files": merged, "tags": union_ignore(tags, child("tags", "tag"), ["file_id", "tag", "source"]), "names": union_ignore(names, child("names", "name"), ["file_id", "name", "source"])}

@@ -1,6 +1,9 @@
+import ipaddress
+import re
+
 from pyspark.sql import functions as F
 
-from sparkintel.functions.addresses import RESERVED, canonical_ip, extract_ips, extract_ips_loose, order_key
+from sparkintel.functions.addresses import RESERVED, canonical_ip, extract_ips, extract_ips_loose, extract_loose, order_key
 
 MIXED = "5.5.5.5:8080 [2606:4700::1111]:443 fe80::a%wlan1 198.51.100.9 z7.7.7.7q 2606:4700::64"
 
@@ -52,3 +55,21 @@ def test_canonical_forms_and_order(spark):
     assert [got[k] for k in range(7)] == ["192.0.2.1", "2001:db8::1", "fe80::1", None, "::ffff:1.2.3.4", None, None]
     ordered = spark.createDataFrame([(v,) for v in ("10.0.0.1", "9.0.0.1", "2001:db8::1", "::2")], "v string").orderBy(order_key(F.col("v")))
     assert [r["v"] for r in ordered.collect()] == ["9.0.0.1", "10.0.0.1", "::2", "2001:db8::1"]
+
+
+def test_loose_dialect_of_both_versions(spark):
+    """Against the tokens one by one."""
+    texts = ["a 2606:4700::64, [2606:4700::1111]:443 fe80::b%wlan1 x::y ::1", "8.8.8.8 10.0.0.1 1::2::3 12:30:59 2606:4700::64%", "no address", None, "v::6 2001:DB8:0:0::7 ::ffff:9.9.9.9 aa:bb:cc:dd:ee:ff:00:11"]
+    want = set()
+    for k, text in enumerate(texts):
+        for token in re.findall(r"[A-Za-z0-9_.:%-]+", text or ""):
+            found = re.findall(r"(?<![A-Za-z0-9_])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9_])", token) + ([re.sub(r"%[A-Za-z0-9._-]+$", "", token)] if token.count(":") > 1 else [])
+            for one in found:
+                try:
+                    ip = ipaddress.ip_address(one)
+                except ValueError:
+                    continue
+                if ip.version == 6 or not any(ip in ipaddress.ip_network(n) for n in RESERVED):
+                    want.add((k, str(ip)))
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    assert {tuple(r) for r in extract_loose(df, F.col("text"), F.col("k")).collect()} == want

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sparkintel.operators import answers, stores
+from sparkintel.operators import answers, merges, stores
 
 
 def test_observations_keep_what_is_there(spark):
@@ -83,3 +83,17 @@ def test_pointers_remotes_and_corrections(spark):
     children = spark.createDataFrame([("1.1.1.1", "a", "t0")], "ip string, domain string, first_seen string")
     records = spark.createDataFrame([("1.1.1.1", ["a", " b ", ""])], "ip string, domains array<string>")
     assert {tuple(r) for r in stores.apply_children(children, records, "domain", F.lit("t1")).collect()} == {("1.1.1.1", "a", "t0"), ("1.1.1.1", "b", "t1")}
+
+
+def test_provider_results_of_files(spark):
+    files = spark.createDataFrame([(1, "s1", None, "", "no", "t0"), (2, None, "m2", "old", "yes", "t0"), (3, "s3", None, None, "unknown", "t0")], "file_id long, sha256 string, md5 string, magic string, malicious string, updated_at string")
+    tags = spark.createDataFrame([(1, "worm", "p", "t0")], "file_id long, tag string, source string, first_seen string")
+    names = spark.createDataFrame([], "file_id long, name string, source string, first_seen string")
+    schema = "file_id long, seq long, provider string, sha256 string, md5 string, magic string, malicious string, tags array<string>, names array<string>"
+    told = [(1, 2, "p", " S1 ", "m9", "PE", "yes", ["worm", "new"], ["a.exe"]), (1, 1, "q", None, "m1", None, "unknown", [], ["a.exe", " "]), (2, 1, "p", "s2", "m8", "new", "no", None, None)]
+    got = merges.apply_file_results(files, spark.createDataFrame(told, schema), tags, names, F.lit("t1"))
+    assert {tuple(r) for r in got["files"].collect()} == {(1, "s1", "m1", "PE", "yes", "t1"), (2, "s2", "m2", "old", "yes", "t1"), (3, "s3", None, None, "unknown", "t0")}
+    assert {tuple(r) for r in got["tags"].collect()} == {(1, "worm", "p", "t0"), (1, "new", "p", "t1")} and {tuple(r) for r in got["names"].collect()} == {(1, "a.exe", "p", "t1"), (1, "a.exe", "q", "t1")}
+    for odd in ([(3, 1, "p", "s4", None, None, None, None, None)], [(2, 1, "p", "x", None, None, None, None, None), (2, 2, "q", "y", None, None, None, None, None)], [(9, 1, "p", None, None, None, None, None, None)]):
+        with pytest.raises(merges.HashConflict):
+            merges.apply_file_results(files, spark.createDataFrame(odd, schema), tags, names, F.lit("t1"))
