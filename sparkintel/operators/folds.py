@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from sparkintel.sources.exports import written_once
+
 Step = Callable[[Any, tuple], tuple[Any, tuple | None]]
 
 
@@ -52,6 +55,28 @@ def fold_in_order(rows: DataFrame, keys: list[str], order: list[str], columns: l
     return ordered.select(*keys, *columns).mapInArrow(work, schema)
 
 
+def numbered_in_order(parts: list[DataFrame], keys: list[str], name: str) -> DataFrame:
+    """The rows of all parts with their number within their keys, from 1, as `name`.
+
+    Each part is sorted by its keys and then by its own order, by ranges (`in_ranges`); a key is in one part.
+    Numbers are those within a range and what the ranges before hold of the key, so that a key of very many rows
+    is dealt over as many tasks as there are ranges of it, and none of them sees the others.
+    """
+    mark = F.monotonically_increasing_id()
+    marked = written_once(reduce(DataFrame.unionByName, parts).withColumn("mark_of_row", mark)).withColumn("range_of_row", F.expr("shiftright(mark_of_row, 33)"))
+    sizes = marked.groupBy(*keys, "range_of_row").agg(F.count(F.lit(1)).alias("rows_of_range"), F.min("mark_of_row").alias("first_of_range"))
+    before = F.sum("rows_of_range").over(Window.partitionBy(*keys).orderBy("range_of_row")) - F.col("rows_of_range")  # one row a range
+    starts = sizes.withColumn("before_range", before).drop("rows_of_range")
+    number = F.col("mark_of_row") - F.col("first_of_range") + F.col("before_range") + 1
+    columns = [c for c in parts[0].columns if c not in keys]
+    return marked.join(starts, [*keys, "range_of_row"]).select(*keys, number.cast("long").alias(name), *columns)
+
+
+def in_ranges(rows: DataFrame, *order: Column) -> DataFrame:
+    """The rows dealt out and sorted by ranges of an order."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def fitting_in_order(items: DataFrame, key: str, size: str, whole: int, name: str, each: int | None = None) -> DataFrame:
     """key, id, size and, as `name`, whether the item fits: none above `each`, and their sum in order of id within `whole`.
 

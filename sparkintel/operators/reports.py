@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkintel.functions.addresses import order_key
 from sparkintel.functions.strings import md_escape
+from sparkintel.operators.folds import in_ranges, numbered_in_order
 
 SECTIONS = ["With intel", "Without intel", "Ambiguous", "Incomplete"]
 #: The sections of each adapter's report in their order.
@@ -34,13 +35,12 @@ def _more(c: Column) -> Column:
 
 
 def _numbered(parts: list[tuple[str, DataFrame, list[Column], Column]], adapter: str, capture: str) -> DataFrame:
-    """Parts (section, rows, order, line) as one table: capture, section_no, section, row_no, line."""
-    out = None
+    """Parts (section, rows, order, line) as one table: capture, section_no, section, row_no, line. A capture of very many rows is numbered range by range."""
+    dealt = []
     for section, rows, order, line in parts:
-        number = F.row_number().over(Window.partitionBy(capture).orderBy(*order))
-        part = rows.select(F.col(capture).alias("capture"), F.lit(REPORT_SECTIONS[adapter].index(section)).alias("section_no"), F.lit(section).alias("section"), number.cast("long").alias("row_no"), line.alias("line"))
-        out = part if out is None else out.union(part)
-    return out
+        ranged = in_ranges(rows, F.col(capture), *order)
+        dealt.append(ranged.select(F.col(capture).alias("capture"), F.lit(REPORT_SECTIONS[adapter].index(section)).alias("section_no"), F.lit(section).alias("section"), line.alias("line")))
+    return numbered_in_order(dealt, ["capture", "section_no"], "row_no").select("capture", "section_no", "section", "row_no", "line")
 
 
 def _summary(rows: DataFrame, capture: str, counters: dict[str, Column], more: dict[str, Column] | None = None) -> tuple[DataFrame, list[Column], Column]:

@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkintel.functions.strings import quoted
+from sparkintel.functions.literals import find_literals
 
 #: Headers, extensions and descriptions of executables, the descriptions in the order in which they are looked for.
 HEADERS = ["4D5A", "7F454C46", "FEEDFA", "CFFAEDFE", "CAFEBABE"]
@@ -28,8 +28,6 @@ MIME_FRAGMENTS = ["executable", "x-sh", "x-python", "x-perl", "x-php", "x-ruby",
 HEADER_BYTES = 8192
 #: Regular expressions that one column tries; a rule set has as many such columns as it takes.
 REGEXES_A_COLUMN = 200
-#: Literals up to which texts are looked through where they lie, and those of them without an inner word.
-MOST_LITERALS, MOST_BARE = 20_000, 500
 
 
 def header(content: Column) -> Column:
@@ -114,70 +112,6 @@ def match_candidates(df: DataFrame, path: str, size: str, globs: list[str], rege
     return kept.where(reduce(lambda a, b: a | b, [F.col(path).rlike(r) for r in regexes])) if regexes else kept
 
 
-#: A word that stands whole in a literal, white space on both sides: it stands whole in every text that holds the literal.
-_INNER = r"(?<=[ \t\n\x0B\f\r])[^ \t\n\x0B\f\r]+(?=[ \t\n\x0B\f\r])"
-_SPACES = r"[ \t\n\x0B\f\r]+"
-GRAM = 4
-
-
-def _anchored(rules: DataFrame) -> DataFrame:
-    """Literals with `anchor`, the longest of their inner words, or null."""
-    inner = F.regexp_extract_all("pattern", F.lit(_INNER), F.lit(0))
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("less"), w.alias("word")))), 1)
-    return rules.withColumn("anchor", F.when(F.size(inner) > 0, longest["word"]))
-
-
-def _candidates(files: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
-    """(key, pattern) that may match, by equi-joins alone: key, pattern.
-
-    A literal with an inner word meets the texts that have that word. Others meet the texts that have
-    their first characters, which is asked only if there are such literals.
-    """
-    literals = _anchored(rules.select("pattern").distinct())
-    words = files.select(key, F.explode(F.array_distinct(F.split(text, _SPACES))).alias("anchor"))
-    found = words.join(literals.where("anchor IS NOT NULL"), "anchor").select(key, "pattern")
-    bare = literals.where("anchor IS NULL")
-    if bare.isEmpty():
-        return found.distinct()
-    # Grams of words where the literal is one word, whose start then lies inside a single word of the text.
-    gram = lambda c, at: F.substr(c, at, F.lit(GRAM))
-    first = F.regexp_extract("pattern", r"[^ \t\n\x0B\f\r]+", 0)
-    head = bare.withColumn("gram", F.left(first, F.lit(GRAM)))
-    grams = files.select(key, F.explode(F.array_distinct(F.split(text, _SPACES))).alias("word")).where("word <> ''")
-    shingled = grams.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: gram(F.col("word"), i)))).alias("gram"))
-    # A first word of fewer characters than a gram may stand anywhere: it meets every gram that starts with it.
-    short = head.where(F.length("gram") < GRAM).select("pattern", "gram", F.length("gram").alias("n"))
-    out = found.union(shingled.join(head.where(F.length("gram") == GRAM), "gram").select(key, "pattern"))
-    for n in range(1, GRAM):
-        out = out.union(shingled.withColumn("gram", F.left("gram", F.lit(n))).join(short.where(F.col("n") == n), "gram").select(key, "pattern"))
-    blank = head.where("gram = ''").select("pattern", F.lit(1).alias("one"))
-    return out.union(files.where(F.col(text).rlike(_SPACES)).select(key, F.lit(1).alias("one")).join(blank, "one").select(key, "pattern")).distinct()
-
-
-def _held(files: DataFrame, key: str, text: str, literals: DataFrame) -> DataFrame:
-    """key, text, pattern for each literal that a text holds.
-
-    Up to MOST_LITERALS, texts stay where they lie: their words are held against a set of inner words. More
-    are joined by those words, and texts shuffled to the candidates.
-    """
-    distinct = _anchored(literals.select("pattern").distinct())
-    known = distinct.limit(MOST_LITERALS + 1).collect()
-    bare = sorted(r["pattern"] for r in known if r["anchor"] is None)
-    if len(known) > MOST_LITERALS or len(bare) > MOST_BARE:
-        return files.select(key, text).join(_candidates(files, key, text, literals), key).where(F.contains(F.col(text), F.col("pattern")))
-    anchors = sorted({r["anchor"] for r in known} - {None})
-    out = None
-    if anchors:
-        hits = F.array_distinct(F.filter(F.split(text, _SPACES), lambda w: w.isin(anchors)))
-        # Outer, as otherwise a filter on the hits would be put before it and find them all once more.
-        words = files.select(key, text, F.explode_outer(hits).alias("anchor")).where("anchor IS NOT NULL")
-        out = words.join(F.broadcast(distinct), "anchor").where(F.contains(F.col(text), F.col("pattern"))).select(key, text, "pattern")
-    if bare:
-        seen = files.select(key, text, F.explode_outer(F.array_compact(F.array(*[F.when(F.contains(F.col(text), F.lit(p)), F.lit(p)) for p in bare]))).alias("pattern")).where("pattern IS NOT NULL")
-        out = seen if out is None else out.union(seen)
-    return files.select(key, text, F.lit("").alias("pattern")).where("false") if out is None else out
-
-
 def _found(text: Column, expression: Column | str, place: Column) -> list[Column]:
     return [place.cast("long").alias("offset"), F.regexp_count(text, expression if isinstance(expression, Column) else F.lit(expression)).cast("long").alias("times")]
 
@@ -203,15 +137,14 @@ def match_signatures(files: DataFrame, key: str, text: str, rules: DataFrame) ->
     """Matches of rules: key, namespace, rule, n_strings, first_offset.
 
     rules: namespace, rule, pattern_id, pattern, condition (`any`, `all` or a number as text) and, where
-    there are regular expressions too, kind (`text` or `regex`). A literal is looked for only in texts
-    that have a word or a gram of it, and then verified; occurrences may overlap. Regular expressions,
+    there are regular expressions too, kind (`text` or `regex`). All literals are looked for in one pass;
+    occurrences may overlap. Regular expressions,
     as Java reads them, are tried in one pass over the texts, and counted where they match. Texts may be null.
     """
     kinded = rules if "kind" in rules.columns else rules.withColumn("kind", F.lit("text"))
     named = kinded.select("namespace", "rule", "pattern_id", "pattern", "condition", "kind").where("pattern <> ''")
-    literals = named.where("kind = 'text'")
-    held = _held(files.where(F.col(text).isNotNull()), key, text, literals)
-    spots = held.select(key, "pattern", *_found(F.col(text), F.concat(F.lit("(?="), quoted(F.col("pattern")), F.lit(")")), F.instr(text, F.col("pattern")) - 1))
+    literals = [r["pattern"] for r in named.where("kind = 'text'").select("pattern").distinct().orderBy("pattern").collect()]  # the rule set
+    spots = find_literals(files, key, text, literals)
     if "kind" in rules.columns:
         expressions = [r["pattern"] for r in named.where("kind = 'regex'").select("pattern").distinct().orderBy("pattern").collect()]
         spots = spots.union(_tried(files, key, text, expressions)) if expressions else spots

@@ -6,7 +6,10 @@ import re
 
 import pytest
 
-from sparkintel.operators import exchange, lookups, stores
+from pyspark.sql import functions as F
+
+from sparkintel.operators import exchange, indicators, lookups, stores
+from sparkintel.operators.folds import in_ranges, numbered_in_order
 from sparkintel.operators.signatures import match_signatures
 from sparkintel.sources import captures
 
@@ -108,3 +111,29 @@ def test_absent_tables_are_unavailable(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)parquet|footer|read"):
         table, why = lookups.load_intel(spark, str(tmp_path), "ip")
         assert table is not None, why
+
+
+def test_numbers_of_a_capture_with_most_rows(spark):
+    """As by one window, but dealt over the tasks, and with nothing of a key in one of them."""
+    rng = random.Random(9)
+    rows = [("hot" if k % 3 else f"c{k % 7}", rng.randrange(400), f"line {k}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "capture string, v int, line string").repartition(6)
+    parts = [in_ranges(df, F.col("capture"), F.col("v").desc(), F.col("line")).select("capture", F.lit(1).alias("section"), "line"), in_ranges(df.where("v > 100"), F.col("capture"), F.col("line")).select("capture", F.lit(2).alias("section"), "line")]
+    got = numbered_in_order(parts, ["capture", "section"], "row_no").collect()
+    want = set()
+    for section, order, kept in ((1, lambda r: (-r[1], r[2]), rows), (2, lambda r: r[2], [r for r in rows if r[1] > 100])):
+        for capture in {r[0] for r in kept}:
+            want |= {(capture, section, k, r[2]) for k, r in enumerate(sorted([r for r in kept if r[0] == capture], key=order), 1)}
+    assert {(r["capture"], r["section"], r["row_no"], r["line"]) for r in got} == want and len(got) == len(want)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or so small a table is one task
+    try:
+        ranges = parts[0].withColumn("task", F.spark_partition_id()).where("capture = 'hot'").groupBy("task").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(ranges) > 1 and max(r["count"] for r in ranges) < 2000
+
+
+def test_the_first_rows_of_a_capture_are_limited_before_they_meet(spark):
+    df = spark.createDataFrame([("hot", k) for k in range(500)], "capture string, n int")
+    plan = indicators.cap_observations(df, "capture", [F.col("n")], 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan.split("Exchange")[-1]  # below the shuffle

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from sparkintel.functions.literals import find_literals, parts_of
 from sparkintel.operators import exchange, indicators, lookups, merges, signatures
 from sparkintel.operators.signatures import attach_provenance, cap_strings, match_signatures
 
@@ -126,12 +127,10 @@ def test_signatures_of_any_form(spark):
     assert got() == want
     plan = match_signatures(files, "id", "text", frame)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
-    before = signatures.MOST_LITERALS, signatures.MOST_BARE
-    try:  # the way of very many literals
-        signatures.MOST_LITERALS, signatures.MOST_BARE = 3, 0
-        assert got() == want
-    finally:
-        signatures.MOST_LITERALS, signatures.MOST_BARE = before
+    assert plan.count("MapInArrow") == 1
+    spots = lambda most: {tuple(r) for r in find_literals(files, "id", "text", literals, most).collect()}
+    assert spots(1 << 20) == spots(10) == {(k, p, t.find(p), times(t, p)) for k, t in texts if t for p in literals if p in t}
+    assert parts_of(literals, 10) != [literals] and sum(parts_of(literals, 10), []) == literals
     expressions = frame.limit(0).withColumn("kind", F.lit("text")).union(spark.createDataFrame([("ns", "e", "a", "n[ei]+dle", "any", "regex"), ("ns", "e", "b", "^ab", "any", "regex"), ("ns", "e", "c", "zz top", "any", "text")], "namespace string, rule string, pattern_id string, pattern string, condition string, kind string"))
     found = {r["id"]: (r["n_strings"], r["first_offset"]) for r in match_signatures(files, "id", "text", expressions).collect()}
     tests = [re.compile("n[ei]+dle"), re.compile("^ab"), re.compile("zz top")]
