@@ -7,7 +7,8 @@ a host's place in the graph gives it by itself. A host is blocked if its distrus
 times its trust and at least `FLOOR` of that, so that a trickle from far away blocks nobody, while all
 that hangs on a blocked host alone is blocked with it, however much that is. Host edges are the links
 of pages to other hosts and, at a lower weight, the tie between a host and the domain above it, in both
-directions: who runs a domain runs its subdomains. Pages are read once.
+directions: who runs a domain runs its subdomains. A host is a seed by the share of its urls that rules
+speak of, and what a block of some paths leaves alone counts for it. Pages are read once.
 """
 
 from __future__ import annotations

@@ -1,11 +1,13 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import unicodedata
 
 from pyspark.sql import functions as F
 
-from sparkintel.llm.language_id import family_of, has_letter, language_report
+from sparkintel.llm.language_id import SIZE, family_of, has_letter, identify_languages, language_report, learn_languages
 
 SYLLABLES = {"en": "the and ing tion er ed", "de": "der und ung keit sch ein", "fr": "les que ment eau oi re", "es": "los que ado cion mente ar"}
 
@@ -44,3 +46,43 @@ def test_letters_are_those_of_unicode(spark):
     texts = [None, "", " ", "½ ②", "Ⅷ", "_", "１２", "é", "ªb", "日", "ʰ", "\U0001f600", "٣", "ǅ", "\U00010400"]
     got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", has_letter(F.col("text")).alias("has")).collect()
     assert {r["text"]: r["has"] for r in got} == {t: any(unicodedata.category(c).startswith("L") for c in t or "") for t in texts}
+
+
+def plain_prediction(model, text):
+    """By the definition: one gram, one machine and one vote at a time."""
+    if not text or not any(unicodedata.category(c).startswith("L") for c in text):
+        return "und", 0.0
+    data, counts = (" " + " ".join(text.lower().split()) + " ").encode(), [0] * SIZE
+    for k in range(len(data) - 1):
+        pair = data[k] * 257 + data[k + 1]
+        counts[(pair * 2654435 >> 7) % SIZE] += 1
+        if k + 2 < len(data):
+            triple = (pair * 263 + data[k + 2]) * 40503
+            triple = (triple + 2**31) % 2**32 - 2**31  # 32 bits
+            counts[(triple >> 5) % SIZE] += 1
+    x = [math.sqrt(c / sum(counts)) for c in counts]
+    chance = lambda w: 1 / (1 + math.exp(-3 * (sum(a * b for a, b in zip(x, w[:-1], strict=True)) + w[-1])))
+    chances = {f: chance(w) for f, w in zip(model["families"], model["against"], strict=True)}
+    family = max(chances, key=chances.get)
+    votes, sure = Counter(), Counter()
+    own = model["groups"][family]
+    for (a, b), w in model["pairs"].items():
+        if a in own:
+            p = chance(w)
+            votes[a if p >= 0.5 else b] += 1
+            sure[a] += p
+            sure[b] += 1 - p
+    best = max(own, key=lambda v: (votes[v], sure[v], v))
+    return best, chances[family] / sum(chances.values()) * (sure[best] / (len(own) - 1) if len(own) > 1 else 1)
+
+
+def test_against_the_definition(spark):
+    rng = random.Random(3)
+    data = [(k, make(rng, lang, rng.randrange(5, 60)), lang) for k, lang in enumerate(rng.choices(list(SYLLABLES), k=200))] + [(900, "é", None), (901, None, "en"), (902, "12", "de"), (903, "a", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    model = learn_languages(docs, F.col("doc_id") < 150)
+    assert len(model["families"]) == 2 and len(model["pairs"]) == 2
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify_languages(docs, model).collect()}
+    for k, text, _ in data:
+        language, score = plain_prediction(model, text)
+        assert got[k][0] == language and abs(got[k][1] - score) < 1e-6

@@ -88,3 +88,15 @@ def test_an_empty_table(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_extra_columns_of_the_stages_own_names(spark, docs, rows):
+    """Columns that are named as what the stages compute stay as they are, through every stage but the last."""
+    table = docs.selectExpr("*", "7 AS times", "8 AS copies", "'k' AS doc_row", "9 AS n_chars", "'l' AS lang_pred", "10 AS comp")
+    after = table
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, after, "")
+        assert after.columns == table.columns
+    after = after.cache()
+    assert after.count() > 0 and after.select("times", "copies", "doc_row", "size", "cell", "lang_pred", "comp").distinct().collect() == table.select("times", "copies", "doc_row", "size", "cell", "lang_pred", "comp").distinct().collect()
+    assert corpus_pipeline.STAGES[-1][1](spark, after, "").count() >= after.count()

@@ -115,3 +115,11 @@ def test_a_blocked_path_leaves_its_hosts_alone(spark):
     assert {r["verdict"] for r in got if r["host"].endswith("example.com") and r["rule"] is None} == {"allow"}
     assert {r["verdict"] for r in got if r["rule"]} == {"block"}
     assert {r["verdict"] for r in got if r["page_id"] >= 1100} == {"block"}
+
+
+def test_very_long_html(spark):
+    """A page of very many links, the only one to a blocked host, and one of no link in very much text."""
+    links = "".join(f'<a href="http://far{k % 40}.info/{k}">x</a>' for k in range(20_000)) + '<a href="http://bad.net/">x</a>'
+    data = [(0, "http://long.info/", links), (1, "http://plain.info/", "word " * 400_000), (2, "http://bad.net/x", None)]
+    got = {r["page_id"]: r for r in judge_urls(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert len(got) == 3 and [got[k]["verdict"] for k in (1, 2)] == ["allow", "block"] and 0 < got[0]["distrust"] and got[1]["distrust"] == 0
