@@ -10,7 +10,7 @@ import functools
 import unicodedata
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,14 +33,19 @@ def class_table() -> np.ndarray:
     return table
 
 
-def _counts(texts: pd.Series) -> pd.DataFrame:
+#: Texts that are decoded at once.
+_SLICE = 64
+
+
+def _counts(texts: pa.Array) -> pa.Array:
     table, out = class_table(), np.zeros((len(texts), len(SCRIPTS)), np.int64)
-    for k, text in enumerate(texts):
-        if text:
-            out[k] = np.bincount(table[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)], minlength=len(SCRIPTS) + 1)[1:]
-    return pd.DataFrame(out, columns=SCRIPTS)
+    for at in range(0, len(texts), _SLICE):
+        for k, text in enumerate(texts.slice(at, _SLICE).to_pylist(), at):
+            if text:
+                out[k] = np.bincount(table[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)], minlength=len(SCRIPTS) + 1)[1:]
+    return pa.StructArray.from_arrays([pa.array(out[:, k]) for k in range(len(SCRIPTS))], names=SCRIPTS)
 
 
 def script_counts(text: Column) -> Column:
     """A struct of the letters of each script, in one pass; zeros for null."""
-    return F.pandas_udf(_counts, ", ".join(f"{s} long" for s in SCRIPTS))(text)
+    return F.arrow_udf(_counts, ", ".join(f"{s} long" for s in SCRIPTS))(text)
