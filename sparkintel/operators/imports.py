@@ -104,7 +104,8 @@ def merge_file_store(store: Store, snapshots: Store, intelligence_only: bool = F
     status, completed_at, raw_path) and ledger; snapshots: the same with source_sha256, and `snapshots`.
     The store after it names files by `group` in all tables, with the row and import that made each, and can be
     merged into again. Only for intelligence, local observations and paths stay behind and the ledger
-    guards. Warnings tell of files with a row whose MD5 is another's, or whose magic was another and not newer.
+    guards. Warnings tell of MD5 values that a row brings where they are another file's or not its file's, and of
+    files with a row whose magic was another and not newer.
     """
     fresh = fresh_snapshots(snapshots["snapshots"], store["ledger"])
     carried = {name: df.join(fresh.select("source_sha256"), "source_sha256") for name, df in snapshots.items() if name != "snapshots"}
@@ -137,10 +138,11 @@ def merge_file_store(store: Store, snapshots: Store, intelligence_only: bool = F
     columns = ["provider", "status", "completed_at", "raw_path"]
     out["lookups"] = of(store["lookups"], *columns, old=True).union(of(lookups, *columns))
     changed = per.where("rows > 0")
-    warnings = file_warnings(rows, files).join(groups, "row_id").select("kind", F.col("group").alias("key")).distinct()
+    told_of = file_warnings(rows, files).join(rows.select("row_id", "md5"), "row_id").join(groups, "row_id")
+    warnings = told_of.select("kind", F.when(F.col("kind") == "md5_conflict", F.col("md5")).otherwise(F.col("group")).alias("key")).distinct()
     counts = changed.agg(F.count_if(~F.col("known")).alias("files_inserted"), F.sum(F.col("rows") - F.when(F.col("known"), 0).otherwise(1)).alias("files_merged")).na.fill(0)
     notes = ["local observations and paths stay behind"] if intelligence_only else []
-    return Merged(out, counts.crossJoin(_counts({"snapshots_imported": fresh, "lookups_copied": carried["lookups"], "warnings": warnings})), warnings, notes)
+    return Merged(out, counts.crossJoin(_counts({"lookups_copied": carried["lookups"], "warnings": warnings})), warnings, notes)
 
 
 def empty_file_store(spark: SparkSession) -> Store:
