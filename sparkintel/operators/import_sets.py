@@ -57,7 +57,7 @@ def _row(counts: DataFrame) -> dict[str, int]:
 def import_set(spark: SparkSession, root: str, parts: dict[str, Part], dry_run: bool = False) -> dict[str, Any]:
     """Imports the snapshots of all parts into the last version below root, and publishes the next.
 
-    Every part is merged first, which refuses what is not canonical before anything is written; a dry
+    Every part is merged first, which refuses what is not canonical before any table is written; a dry
     run ends there. Then all tables are written to a folder of their own, read back, held against each part's
     checks, and published under one number, if nobody else did in the meantime and the snapshots are
     still the same. A set whose snapshots are all recorded publishes nothing.
@@ -65,13 +65,13 @@ def import_set(spark: SparkSession, root: str, parts: dict[str, Part], dry_run:
     after = current_version(spark, root)
     digests = {name: part.digest() for name, part in parts.items()}
     stores = {name: open_store(spark, root, name, part, after) for name, part in parts.items()}
-    merged = {name: part.merge(stores[name], part.snapshots) for name, part in parts.items()}
     told: dict[str, Any] = {"import_set_id": set_id(digests), "dry_run": dry_run, "version": after}
+    fresh = [name for name, part in parts.items() if not part.snapshots[part.listing].select("source_sha256").join(stores[name]["ledger"], "source_sha256", "left_anti").isEmpty()]
+    if not fresh and not dry_run:
+        return told | {"already_imported": True}
+    merged = {name: part.merge(stores[name], part.snapshots) for name, part in parts.items()}
     if dry_run:
         return told | {"previews": {name: _row(m.counts) for name, m in merged.items()}}
-    known = {name: part.snapshots[part.listing].select("source_sha256").join(stores[name]["ledger"], "source_sha256", "left_anti").isEmpty() for name, part in parts.items()}
-    if all(known.values()):
-        return told | {"already_imported": True}
 
     folder = f"{root}/data/{uuid.uuid4().hex}"
     try:
