@@ -103,8 +103,8 @@ def merge_file_store(store: Store, snapshots: Store, intelligence_only: bool = F
     tags (row_id, value, source, first_seen), observations (row_id, path), lookups (row_id, provider,
     status, completed_at, raw_path) and ledger; snapshots: the same with source_sha256, and `snapshots`.
     The store after it names files by `group` in all tables, with the row and import that made each, and can be
-    merged into again. Only for intelligence, local observations and paths stay behind and the ledger
-    guards. Warnings tell of MD5 values that a row brings where they are another file's or not its file's, and of
+    merged into again. A store that is given in part has `tops` (top), the greatest import_seq of the whole.
+    Only for intelligence, local observations and paths stay behind and the ledger guards. Warnings tell of MD5 values that a row brings where they are another file's or not its file's, and of
     files with a row whose magic was another and not newer.
     """
     fresh = fresh_snapshots(snapshots["snapshots"], store["ledger"])
@@ -122,7 +122,7 @@ def merge_file_store(store: Store, snapshots: Store, intelligence_only: bool = F
     files = written_once(assign_files(rows))  # every table is named by it
     groups = files.select("row_id", "group")
     per = rows.join(groups, "row_id").groupBy("group").agg(F.bool_or("there").alias("known"), F.count_if(~F.col("there")).alias("rows"), F.min(F.struct((~F.col("there")).alias("new"), "import_seq", "place")).alias("born"))
-    top = store["files"].agg(F.coalesce(F.max("import_seq"), F.lit(-1)).alias("top"))  # one row
+    top = store["tops"] if "tops" in store else store["files"].agg(F.coalesce(F.max("import_seq"), F.lit(-1)).alias("top"))  # one row
     born = per.crossJoin(top).select("group", F.col("born.place").alias("row_id"), (F.col("born.import_seq") + F.when(F.col("born.new"), F.col("top") + 1).otherwise(0)).alias("import_seq"))
     out: Store = {"files": merge_files(rows, files).join(born, "group"), "ledger": store["ledger"].select("source_sha256").union(fresh.select("source_sha256"))}
 
@@ -191,10 +191,10 @@ def merge_repos(store: Store, snapshots: Store) -> Merged:
     name = lambda df, columns, alias: df.withColumn(alias, F.sha2(F.to_json(F.struct(*columns)), 256))
     held = name(versions, ["source_sha256", *VERSION], "source_version_id")
     cited = name(name(src["evidence"], ["source_sha256", *VERSION], "source_version_id"), ["source_sha256", *FINDING], "finding_id")
-    whole = complete_findings(name(src["findings"], ["source_sha256", *FINDING], "finding_id"), cited, held)
+    whole = written_once(complete_findings(name(src["findings"], ["source_sha256", *FINDING], "finding_id"), cited, held))  # five tables are made of it
     first = whole.groupBy(*FINDING).agg(F.min_by(F.struct("import_seq", "version", "created_at", "summary"), F.struct("import_seq", "version")).alias("f")).select(*FINDING, "f.*")
     fresh_findings = first.join(store["findings"].select(*FINDING), FINDING, "left_anti")
-    numbered = assign_versions(store["findings"].select("identity_key", "version"), fresh_findings.drop("version"), "identity_key", ["import_seq", "created_at", "fingerprint", "provenance"])
+    numbered = written_once(assign_versions(store["findings"].select("identity_key", "version"), fresh_findings.drop("version"), "identity_key", ["import_seq", "created_at", "fingerprint", "provenance"]))
     out["findings"] = store["findings"].unionByName(numbered.select(*store["findings"].columns))
     carried = whole.select("source_sha256", *FINDING).distinct()
     evidence = src["evidence"].join(carried, ["source_sha256", *FINDING])

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkintel.operators import import_sets, imports, merges, stores
-from sparkintel.plans.queries import query
+from sparkintel.operators import change_sets, import_sets, imports, merges, stores
+from sparkintel.plans.queries import ORACLE_SQL, query
 from sparkintel.plans.tables import read
 from sparkintel.sources.exports import describe_version, scratch
 
@@ -256,3 +256,36 @@ def imported_set(spark, sf_dir):
     tables = [("addresses", "entities"), ("addresses", "reverse_dns"), ("addresses", "ledger"), ("files", "files"), ("files", "tags"), ("files", "ledger"), ("files", "lookups")]
     counts = [spark.read.parquet(f"{folder}/{store}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(store).alias("store"), F.lit(name).alias("name"), "n") for store, name in tables]
     return reduce(DataFrame.union, counts).withColumn("version", F.lit(version).cast("long"))
+
+
+def _in_two_imports(spark: SparkSession, name: str, part: import_sets.Part, layout: change_sets.Layout) -> imports.Store:
+    """A store after the first of its snapshots, and then all, were imported bucket by bucket."""
+    root, every = scratch(spark), part.snapshots[part.listing]
+    early = import_sets.Part(part.merge, part.snapshots | {part.listing: every.where("import_seq <= 1")}, part.empty, part.listing, part.checks)
+    for one in (early, part):
+        change_sets.import_changes(spark, root, {name: one}, {name: layout})
+    return change_sets.open_kept(spark, root, name, part, layout)
+
+
+@query(ORACLE_SQL["merged_ip_store"])
+def changed_ip_store(spark, sf_dir):
+    """Addresses as in `merged_ip_store`, by two imports of which the second touches buckets of the first."""
+    store, snapshots = _ip_tables(spark, sf_dir)
+    part = import_sets.Part(imports.merge_ip, snapshots, store, checks=[import_sets.one_row_a_key("entities", "ip")])
+    entities = _in_two_imports(spark, "addresses", part, change_sets.IP_LAYOUT)["entities"]
+    return entities.select("ip", F.nullif("country_code", F.lit("")).alias("country_code"), "whois", "malicious", "first_seen", "last_updated")
+
+
+@query(ORACLE_SQL["merged_repo_findings"])
+def changed_repo_findings(spark, sf_dir):
+    """Findings as in `merged_repo_findings`, by two imports."""
+    store, snapshots = _repo_tables(spark, sf_dir)
+    part = import_sets.Part(imports.merge_repos, snapshots, store, "imports", [import_sets.one_row_a_key("findings", *imports.FINDING), import_sets.refers("evidence", "findings", *imports.FINDING)])
+    return _in_two_imports(spark, "repositories", part, change_sets.REPO_LAYOUT)["findings"].drop("provenance")
+
+
+@query(ORACLE_SQL["merged_file_tags"].replace("FROM g GROUP", "FROM g WHERE s > 0 GROUP").replace("FROM r WHERE sha", "FROM r WHERE s > 0 AND sha"))
+def changed_file_tags(spark, sf_dir):
+    """Tags of files by two imports into an empty store: a file is found by its hashes, an MD5 by the index of the store."""
+    part = import_sets.Part(change_sets.merge_indexed_files, _file_tables(spark, sf_dir)[1], change_sets.empty_indexed_store(spark), checks=[import_sets.one_row_a_key("files", "group"), import_sets.refers("tags", "files", "group")])
+    return _in_two_imports(spark, "files", part, change_sets.FILE_LAYOUT)["tags"].drop("source")
