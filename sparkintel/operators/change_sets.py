@@ -34,12 +34,13 @@ class Layout:
     """How a store lies: the key column of each table in buckets, and the tables that only grow; others are small and replaced whole.
 
     Rows of one key must depend on rows of that key alone, over all tables of one key column. touches: tells
-    the touched keys where the snapshots' tables do not hold them as columns of the same name.
+    the touched keys where the snapshots' tables do not hold them as columns of the same name. buckets: a
+    bucket is a folder, so that there should be as many as the store has files of a good size.
     """
 
     keys: dict[str, str]
     grows: tuple[str, ...] = ("ledger",)
-    buckets: int = 256
+    buckets: int = 64
     touches: Touches | None = None
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -260,7 +261,7 @@ def imported_set(spark, sf_dir):
 
 def _in_two_imports(spark: SparkSession, name: str, part: import_sets.Part, layout: change_sets.Layout) -> imports.Store:
     """A store after the first of its snapshots, and then all, were imported bucket by bucket."""
-    root, every = scratch(spark), part.snapshots[part.listing]
+    root, every, layout = scratch(spark), part.snapshots[part.listing], replace(layout, buckets=16)
     early = import_sets.Part(part.merge, part.snapshots | {part.listing: every.where("import_seq <= 1")}, part.empty, part.listing, part.checks)
     for one in (early, part):
         change_sets.import_changes(spark, root, {name: one}, {name: layout})

@@ -42,7 +42,7 @@ def test_imports_in_turn_leave_what_one_import_leaves(spark, tmp_path):
 
 def test_an_import_reads_and_writes_the_buckets_it_touches(spark, tmp_path):
     """One address of a large store: one bucket is read and written, others stay in their folder; older versions can be read."""
-    root, layout = str(tmp_path / "kept"), change_sets.Layout(change_sets.IP_LAYOUT.keys, change_sets.IP_LAYOUT.grows, 64)
+    root, layout = str(tmp_path / "kept"), change_sets.Layout(change_sets.IP_LAYOUT.keys, change_sets.IP_LAYOUT.grows, 16)
     store = small(_ip_tables(spark, SF)[0], spark)
     store = {k: df.where("false") for k, df in store.items()}
     entity = store["entities"].schema
@@ -53,7 +53,7 @@ def test_an_import_reads_and_writes_the_buckets_it_touches(spark, tmp_path):
     part = Part(imports.merge_ip, none | {"entities": made(names, "d1", "A"), "snapshots": listed(("d1", 1))}, store, checks=[one_row_a_key("entities", "ip")])
     first = change_sets.import_changes(spark, root, {"a": part}, {"a": layout})
     [(folder, buckets)] = first["places"]["a"]["entities"].items()
-    assert len(buckets) > 50
+    assert len(buckets) == 16
 
     late = made([names[3]], "d2", "B").withColumn("last_updated", F.lit("2025")).union(made(["10.9.9.9"], "d2", "C"))
     opened = []
@@ -64,7 +64,7 @@ def test_an_import_reads_and_writes_the_buckets_it_touches(spark, tmp_path):
 
     second = Part(watched, part.snapshots | {"entities": late.union(made(names, "d1", "A")), "snapshots": listed(("d1", 1), ("d2", 2))}, store, checks=part.checks)
     done = change_sets.import_changes(spark, root, {"a": second}, {"a": layout})
-    touched = [r[0] for r in late.select(change_sets.bucket_of(F.col("ip"), 64)).distinct().collect()]
+    touched = [r[0] for r in late.select(change_sets.bucket_of(F.col("ip"), 16)).distinct().collect()]
     assert done["touched"] == {"a": {"ip": len(touched)}} and 1 <= len(touched) <= 2
     assert {p.split("bucket=")[1].split("/")[0] for p in opened[0]["entities"]} == {str(b) for b in touched if b in buckets}
     assert not opened[0]["ledger"] and done["applied"]["a"]["entities_inserted"] == 1 and done["applied"]["a"]["entities_merged"] == 1
@@ -72,8 +72,8 @@ def test_an_import_reads_and_writes_the_buckets_it_touches(spark, tmp_path):
     assert places[folder] == [b for b in buckets if b not in touched] and sorted(b for f, bs in places.items() if f != folder for b in bs) == sorted(touched)
     now, before = (change_sets.open_kept(spark, root, "a", part, layout, n)["entities"] for n in (2, 1))
     assert now.count() == 201 and before.count() == 200 and now.where("country_code = 'B'").count() == 1 and not before.where("country_code = 'B'").count()
-    with pytest.raises(ValueError, match="lies in 64 buckets"):
-        change_sets.open_kept(spark, root, "a", part, change_sets.Layout(layout.keys, layout.grows, 32))
+    with pytest.raises(ValueError, match="lies in 16 buckets"):
+        change_sets.open_kept(spark, root, "a", part, change_sets.Layout(layout.keys, layout.grows, 8))
 
 
 def test_what_fails_publishes_nothing(spark, tmp_path):
@@ -104,7 +104,7 @@ def test_files_by_their_hashes(spark, tmp_path):
     columns = "row_id long, import_seq long, sha256 string, md5 string, magic string, malicious string, created_at string, updated_at string, source_sha256 string"
     told, tags = [], []
     for seq in (1, 2, 3):
-        for i in range(14):
+        for i in range(9):
             at = str(rng.randrange(9))
             told.append((i, seq, pick(rng, "abcdefgh"), pick(rng, "mnopqrst"), pick(rng, ["x", "y"]), rng.choice(["yes", "no", "unknown"]), at, at, f"d{seq}"))
             tags.append((i, rng.choice("uvw"), "local", at, f"d{seq}"))
@@ -113,7 +113,7 @@ def test_files_by_their_hashes(spark, tmp_path):
         "files": spark.createDataFrame(told, columns).coalesce(1), "tags": spark.createDataFrame(tags, child).coalesce(1), "file_names": spark.createDataFrame([], child), "observations": spark.createDataFrame([], "row_id long, path string, source_sha256 string"),
         "lookups": spark.createDataFrame([], "row_id long, provider string, status string, completed_at string, raw_path string, source_sha256 string"), "snapshots": spark.createDataFrame([(f"d{n}", n) for n in (1, 2, 3)], "source_sha256 string, import_seq long"),
     }
-    layout = change_sets.Layout(change_sets.FILE_LAYOUT.keys, buckets=64, touches=change_sets.touched_files)
+    layout = change_sets.Layout(change_sets.FILE_LAYOUT.keys, buckets=32, touches=change_sets.touched_files)
     part, root, turn = Part(change_sets.merge_indexed_files, snapshots, change_sets.empty_indexed_store(spark), checks=[one_row_a_key("files", "group")]), str(tmp_path / "kept"), imports.empty_file_store(spark)
     for seq in (1, 2, 3):
         done = change_sets.import_changes(spark, root, {"f": until(part, seq)}, {"f": layout})
@@ -123,4 +123,4 @@ def test_files_by_their_hashes(spark, tmp_path):
             assert rows(got[table]) == rows(turn[table].select(*got[table].columns)), (seq, table)
         assert rows(got["by_md5"], "md5", "group") == rows(turn["files"].where("md5 IS NOT NULL"), "md5", "group")
         assert rows(got["tops"]) == [(str(turn["files"].agg(F.max("import_seq")).first()[0]),)]
-    assert done["touched"]["f"]["group"] < 64 and done["touched"]["f"]["md5"] <= 8
+    assert done["touched"]["f"]["group"] < 32 and done["touched"]["f"]["md5"] <= 8
