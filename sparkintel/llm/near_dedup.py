@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkintel.llm.components import connected_components
 from sparkintel.llm.rows import deal_out, join_skewed, keyed
-from sparkintel.llm.staging import Staged
+from sparkintel.llm.staging import Staged, batches_of
 from sparkintel.llm.words import LOWER, mix, shingle_sets, text_groups
 
 SHINGLE = 5
@@ -185,18 +184,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
 
-@contextmanager
-def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of fewer rows, as each row of what runs inside holds one or two whole sets."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that link; nodes: node, n, tokens."""
     left = nodes.select(F.col("node").alias("a"), "n", F.col("tokens").alias("x"))
@@ -235,7 +222,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     rows, some = _survivors(texts, staged)
     chosen = staged.write(some.groupBy("sig").agg(F.min("id").alias("one")).select(F.col("one").alias("one")).distinct())
     staged.drop(1, "kind=1")  # the dealt shingles have been met
-    with _batches_of(spark, 2000):
+    with batches_of(spark, 2000):
         own = texts.join(chosen.hint("shuffle_hash"), texts["id"].eqNullSafe(chosen["one"]), "left_semi").select("text").mapInArrow(_sets, "sig binary, tokens array<long>")
         sets = staged.write(own.dropDuplicates(["sig"]).withColumn("node", F.monotonically_increasing_id()).withColumn("n", F.size("tokens")))
         tokens = sets.select("node", F.explode("tokens").alias("token"))

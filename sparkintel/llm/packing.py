@@ -18,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkintel.llm.staging import Staged
+from sparkintel.llm.staging import Staged, batches_of
 from sparkintel.llm.token_ids import encoder, ids_crc32
+from sparkintel.llm.words import text_groups
 
 CAPACITY = 2048
 END_ID = 0
+#: Whole texts that pass to Python at once, at most.
+BATCH = 1000
 
 
 def fullest(room: int, counts: dict[int, int], lengths: list[int]) -> list[tuple[int, int]]:
@@ -71,24 +74,32 @@ def slack_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[i
     return plan
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
-    """id, piece, start, length, ids_crc32: the ids of each text and an end id, cut at the capacity."""
+def piece_rows(tokenizer_path: str, capacity: int):
+    """Arrow batches of (id, text) to rows of pieces; about a MB of texts at a time becomes Python objects."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all = encoder(tokenizer_path).encode_all
         for batch in batches:
-            rows: list[tuple] = []
-            for k, found in enumerate(encode_all(text or b"" for text in batch.column(1).cast(pa.binary()).to_pylist())):
-                ids = np.append(found, np.uint32(END_ID))
-                rows += [(k, n, start, len(x := ids[start : start + capacity]), ids_crc32(x)) for n, start in enumerate(range(0, len(ids), capacity))]
-            k, piece, start, length, crc = zip(*rows, strict=True) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(k, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=["id", "piece", "start", "length", "ids_crc32"],
-            )
+            for row, data, starts in text_groups(batch.column(1)):
+                bounds = zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)
+                rows: list[tuple] = []
+                for k, found in enumerate(encode_all(data[a:b].tobytes() for a, b in bounds), row):
+                    ids = np.append(found, np.uint32(END_ID))
+                    rows += [(k, n, start, len(x := ids[start : start + capacity]), ids_crc32(x)) for n, start in enumerate(range(0, len(ids), capacity))]
+                k, piece, start, length, crc = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(k, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    names=["id", "piece", "start", "length", "ids_crc32"],
+                )
+
+    return work
 
+
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
+    """id, piece, start, length, ids_crc32: the ids of each text and an end id, cut at the capacity."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    return texts.mapInArrow(piece_rows(tokenizer_path, capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +109,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     rest. Repeated rows are packed as often as they come. An empty table gives an empty result.
     """
     staged = Staged(docs.sparkSession, "packing")
-    pieces = staged.write(token_pieces(docs, tokenizer_path, capacity, id_col, text_col))
+    with batches_of(docs.sparkSession, BATCH):
+        pieces = staged.write(token_pieces(docs, tokenizer_path, capacity, id_col, text_col))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     plan = slack_plan(counts, capacity)
     entries, used, sequence = [], dict.fromkeys(counts, 0), 0

@@ -1,14 +1,18 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from sparkintel.llm import packing
 from sparkintel.llm.packing import fullest, pack_documents, slack_plan
+from sparkintel.llm.staging import Staged
 from sparkintel.llm.token_ids import WordEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -72,3 +76,33 @@ def test_against_whole_encodings(docs, rows, tokenizer, capacity):
 
 def test_empty(no_docs):
     assert pack_documents(no_docs, PATH).count() == 0
+
+
+@pytest.mark.parametrize(("before", "most"), [("10000", "1000"), ("7", "7"), ("-1", "1000")])
+def test_texts_pass_to_python_in_small_batches(docs, monkeypatch, before, most):
+    name, write, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", Staged.write, []
+    conf = docs.sparkSession.conf
+    monkeypatch.setattr(Staged, "write", lambda self, df, *by: (seen.append(conf.get(name)), write(self, df, *by))[1])
+    conf.set(name, before)
+    try:
+        pack_documents(docs, PATH)
+        assert (seen, conf.get(name)) == ([most], before)
+    finally:
+        conf.unset(name)
+
+
+def test_a_worker_holds_few_texts_of_a_batch(tokenizer):
+    texts = [f"word{k % 50} other" + " " * 3000 if k % 100 else None for k in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7, 10_007)), pa.array(texts, pa.string())], names=["id", "text"])
+    known = {text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0] for text in set(texts)}
+    work = packing.piece_rows(PATH, 2048)
+    list(work(iter([batch.slice(0, 100)])))  # loads the tokenizer
+    tracemalloc.start()
+    found = list(work(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < batch.nbytes / 3
+    got = pa.Table.from_batches(found).to_pydict()
+    assert got["id"] == [*range(7, 10_007)] and set(got["start"]) == set(got["piece"]) == {0}
+    assert got["length"] == [len(known[t]) for t in texts]
+    assert got["ids_crc32"] == [zlib.crc32(np.array(known[t], "<u4").tobytes()) for t in texts]
