@@ -3,7 +3,7 @@
 A text is the histogram of its byte pairs and triples, lower-cased and with single spaces, hashed and
 square-rooted. Linear support vector machines, one for each family against the rest, name the family;
 inside it, one for each pair of its languages votes. All are fitted on a bounded sample of labelled
-rows by Newton steps on the squared hinge loss. Texts are scored whole, in Arrow batches.
+rows by Newton steps on the squared hinge loss, in tasks. Texts are scored whole, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkintel.llm.sampling import lowest_of_labels
+from sparkintel.llm.staging import Staged
 
 SIZE = 2048
 #: Labelled texts that the machines are fitted on, at most: for each label those of the smallest hashes.
@@ -70,22 +71,49 @@ def fit_machine(x: np.ndarray, up: np.ndarray, cost: float = 10.0, steps: int =
     return w
 
 
-def fit_languages(x: np.ndarray, languages: list[str]) -> dict:
-    """Families with their machines, and for each pair of one family's languages a machine."""
-    names = np.array(languages)
-    known = sorted(set(languages))
+def machines_of(languages: list[str]) -> dict:
+    """The model of so many languages before any machine is fitted: families, their languages, and no weights."""
     groups: dict[str, list[str]] = {}
-    for language in known:
+    for language in sorted(set(languages)):
         groups.setdefault(family_of(language), []).append(language)
-    of = np.array([family_of(v) for v in languages])
-    model = {"families": sorted(groups), "groups": groups, "against": [], "pairs": {}}
-    if len(groups) > 1:
-        model["against"] = [fit_machine(x, of == f) for f in model["families"]]
-    for own in groups.values():
-        for a, b in combinations(own, 2):
-            here = (names == a) | (names == b)
-            model["pairs"][a, b] = fit_machine(x[here], names[here] == a)
-    return model
+    return {"families": sorted(groups), "groups": groups, "against": [], "pairs": {}}
+
+
+def machine_names(model: dict) -> list[tuple[str, ...]]:
+    """(family,) for each machine of a family against the rest, then (a, b) for each pair of one family's languages."""
+    against = [(f,) for f in model["families"]] if len(model["families"]) > 1 else []
+    return against + [pair for own in model["groups"].values() for pair in combinations(own, 2)]
+
+
+def fit_named(name: tuple[str, ...], x: np.ndarray, languages: np.ndarray) -> np.ndarray:
+    """Weights of one machine, from the features of all texts and their languages."""
+    if len(name) == 1:
+        return fit_machine(x, np.array([family_of(v) for v in languages]) == name[0])
+    here = (languages == name[0]) | (languages == name[1])
+    return fit_machine(x[here], languages[here] == name[0])
+
+
+def fit_on_executors(kept: DataFrame, model: dict) -> dict:
+    """The model with its machines, fitted from kept (lang, features); a task takes the sample once and fits its share of the machines.
+
+    The driver gets the weights alone.
+    """
+    names = machine_names(model)
+    tasks = min(len(names), kept.sparkSession.sparkContext.defaultParallelism)
+    if not tasks:
+        return model
+
+    def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["lang"].to_pylist(), table["features"].to_pylist(), strict=True))  # whatever order rows come in
+        x, languages = np.frombuffer(b"".join(f for _, f in rows), np.float32).reshape(-1, SIZE), np.array([v for v, _ in rows])
+        own = range(key[0].as_py(), len(names), tasks)
+        return pa.table({"machine": pa.array(own, pa.int32()), "weights": pa.array([fit_named(names[k], x, languages).tobytes() for k in own], pa.binary())})
+
+    sent = kept.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), "lang", "features")
+    fitted = sent.repartitionByRange(tasks, "task").groupBy("task").applyInArrow(work, "machine int, weights binary")
+    weights = {names[r["machine"]]: np.frombuffer(bytes(r["weights"])) for r in fitted.collect()}
+    against = [weights[(f,)] for f in model["families"]] if len(model["families"]) > 1 else []
+    return model | {"against": against, "pairs": {name: w for name, w in weights.items() if len(name) == 2}}
 
 
 def _chance(margin: np.ndarray) -> np.ndarray:
@@ -121,7 +149,7 @@ def learn_languages(docs: DataFrame, use: Column, id_col: str = "doc_id", text_c
     rows = docs.where(use & docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
     edges = lowest_of_labels(rows.select(F.xxhash64("text").alias("hash"), "lang"), "hash", "lang", sample)
     if not edges:
-        return fit_languages(np.zeros((0, SIZE)), [])
+        return machines_of([])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,8 +158,8 @@ def learn_languages(docs: DataFrame, use: Column, id_col: str = "doc_id", text_c
 
     upto = F.broadcast(docs.sparkSession.createDataFrame(sorted(edges.items()), "lang string, edge long"))
     kept = rows.join(upto, "lang").where(F.xxhash64("text") <= F.col("edge")).select("text", "lang").dropDuplicates(["text", "lang"])  # as many as the sample
-    table = sorted((r["lang"], bytes(r["features"])) for r in kept.mapInArrow(work, "lang string, features binary").collect())  # whatever order rows come in
-    return fit_languages(np.frombuffer(b"".join(f for _, f in table), np.float32).reshape(-1, SIZE), [language for language, _ in table])
+    staged = Staged(docs.sparkSession, "languages")
+    return fit_on_executors(staged.write(kept.mapInArrow(work, "lang string, features binary")), machines_of(list(edges)))
 
 
 def has_letter(text: Column) -> Column:

@@ -15,6 +15,8 @@ by hash order, ranked in buckets of about the root of the class, so that no larg
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,30 +75,34 @@ def tilted_rates(classes: DataFrame, sources: DataFrame, staged: Staged, cap: in
         (top * F.col("source_size") / F.col("documents") / F.col("least")).alias("high"), F.lit(False).alias("settled"),
     )
     state = state.withColumn("settled", F.col("fixed").isNotNull()).withColumn("multiplier", F.coalesce("fixed", "multiplier")).drop("fixed")
-    state = staged.write(state)
+    told = ["place", "target", "mean", "multiplier"]
+    state, left = staged.write_counted(state, ~F.col("settled"))
+    done = [state.where("settled").select(*told)]
     for _ in range(STEPS):
-        if state.where("NOT settled").isEmpty():
+        if not left:
             break
         x = F.col("size") / F.col("mean")
         inner = F.col("multiplier") * x < top
         mass = F.col("n") * F.col("size") * F.exp(F.least(F.col("multiplier") * x, top))
-        sums = classes.join(state.where("NOT settled").select("place", "mean", "multiplier"), "place").groupBy("place").agg(
+        # Each source that is left has classes, so that its sums can carry what is known of it.
+        both = classes.join(state.where("NOT settled").drop("settled"), "place").groupBy("place", "target", "mean", "multiplier", "low", "high").agg(
             F.sum(mass).alias("value"), F.sum(F.when(inner, mass * x).otherwise(0.0)).alias("slope")
         )
-        both = state.join(sums, "place", "left")
         over = F.col("value") > F.col("target")
         low, high = F.when(over, F.col("low")).otherwise(F.col("multiplier")), F.when(over, F.col("multiplier")).otherwise(F.col("high"))
         newton = F.col("multiplier") - (F.col("value") - F.col("target")) / F.col("slope")
         good = F.abs(F.col("value") - F.col("target")) <= PRECISE * F.col("target")
         step = F.when((F.col("slope") > 0) & (newton > F.col("new_low")) & (newton < F.col("new_high")), newton).otherwise((F.col("new_low") + F.col("new_high")) / 2)
-        stay = F.col("settled") | good
-        state = staged.write(
+        state, left = staged.write_counted(
             both.withColumn("new_low", low).withColumn("new_high", high).select(
-                "place", "target", "mean", F.when(stay, F.col("multiplier")).otherwise(step).alias("multiplier"),
-                F.when(stay, F.col("low")).otherwise(F.col("new_low")).alias("low"), F.when(stay, F.col("high")).otherwise(F.col("new_high")).alias("high"), stay.alias("settled"),
-            )
+                "place", "target", "mean", F.when(good, F.col("multiplier")).otherwise(step).alias("multiplier"),
+                F.when(good, F.col("low")).otherwise(F.col("new_low")).alias("low"), F.when(good, F.col("high")).otherwise(F.col("new_high")).alias("high"), good.alias("settled"),
+            ),
+            ~F.col("settled"),
         )
-    return state.select("place", "target", "mean", "multiplier")
+        done.append(state.where("settled").select(*told))
+    done.append(state.where("NOT settled").select(*told))
+    return reduce(DataFrame.union, done)
 
 
 def _filled(dealt: DataFrame, cap: int) -> DataFrame:
@@ -141,7 +147,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         near = dealt.join(lacks, "place").where(F.when(F.col("lack") > 0, F.col("given") < cap * F.col("n")).otherwise(F.col("given") > 0))
         near = near.groupBy("place").agg(F.min(F.struct(F.abs(F.col("size") - F.abs("lack")).alias("off"), "size", "lack")).alias("best")).where("best.off < abs(best.lack)")
         near = near.select("place", F.col("best.size").alias("size"), F.signum("best.lack").cast("long").alias("change"))
-        dealt = staged.write(dealt.join(near, ["place", "size"], "left").withColumn("given", F.col("given") + F.coalesce("change", F.lit(0))).drop("change"))
+        mended = dealt.join(near, ["place", "size"], "left").withColumn("given", F.col("given") + F.coalesce("change", F.lit(0)))
+        dealt, changed = staged.write_counted(mended, F.col("change").isNotNull())
+        dealt = dealt.drop("change")
+        if not changed:  # nor would another turn change anything
+            break
     shares = dealt.select("place", "size", "n", "given", "rate", F.ceil(F.sqrt("n")).alias("buckets"))
     spread = staged.write(
         placed.join(shares, ["place", "size"], "left").withColumn("hash", F.xxhash64("id", "place")).withColumn("bucket", F.expr("pmod(hash, coalesce(buckets, 1))"))

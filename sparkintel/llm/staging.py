@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +49,12 @@ class Staged:
         fields += [df.schema[name] for name in partition_by]
         return self.spark.read.schema(type(df.schema)(fields)).parquet(path)
 
+    def write_counted(self, df: DataFrame, what: Column) -> tuple[DataFrame, int]:
+        """The rows of df, written once, and for how many of them `what` holds, without another job."""
+        seen = Observation()
+        written = self.write(df.observe(seen, F.count_if(what).alias("n")))
+        return written, seen.get["n"]
+
     def folder(self) -> str:
         self.written += 1
         return f"{self.root}/{self.written:04d}"

@@ -5,9 +5,11 @@ from collections import Counter
 
 import unicodedata
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from sparkintel.llm.language_id import SIZE, family_of, has_letter, identify_languages, language_report, learn_languages
+from sparkintel.llm import language_id
+from sparkintel.llm.language_id import SIZE, family_of, fit_machine, has_letter, identify_languages, language_report, learn_languages, text_features
 
 SYLLABLES = {"en": "the and ing tion er ed", "de": "der und ung keit sch ein", "fr": "les que ment eau oi re", "es": "los que ado cion mente ar"}
 
@@ -86,3 +88,26 @@ def test_against_the_definition(spark):
     for k, text, _ in data:
         language, score = plain_prediction(model, text)
         assert got[k][0] == language and abs(got[k][1] - score) < 1e-6
+
+
+def test_machines_are_fitted_in_tasks(spark, monkeypatch):
+    """The driver fits none, and the weights are those of one fit over all texts."""
+    rng = random.Random(5)
+    data = sorted({(make(rng, lang, rng.randrange(5, 60)), lang) for lang in rng.choices(list(SYLLABLES), k=120)})
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(data)], "doc_id long, text string, lang string").repartition(3)
+
+    def here(*_):
+        raise AssertionError("a machine was fitted on the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(language_id, "fit_machine", here)
+        model = learn_languages(docs, F.lit(True))
+    rows = sorted((lang, text_features(text).astype(np.float32).tobytes()) for text, lang in data)
+    x, names = np.frombuffer(b"".join(f for _, f in rows), np.float32).reshape(-1, SIZE), np.array([v for v, _ in rows])
+    of = np.array([family_of(v) for v in names])
+    for family, w in zip(model["families"], model["against"], strict=True):
+        assert np.allclose(w, fit_machine(x, of == family), atol=1e-5)
+    assert set(model["pairs"]) == {("de", "en"), ("es", "fr")}
+    for (a, b), w in model["pairs"].items():
+        pair = (names == a) | (names == b)
+        assert np.allclose(w, fit_machine(x[pair], names[pair] == a), atol=1e-5)

@@ -96,3 +96,14 @@ def test_texts_without_words_are_not_ranked(spark):
     assert len(got.collect()) == len(rows) and got.where("size = 0 AND (copies > 0 OR taken > 0)").count() == 0
     filters = [line for line in plan.split("Window")[1].splitlines() if "Filter" in line]
     assert "given" in filters[0] and "n#" in filters[0]  # below the window stand only rows that a rank decides
+
+
+def test_a_step_is_one_short_plan(spark, docs):
+    """The driver keeps every plan and job of a session, so that the search asks for few of them."""
+    sc, group = spark.sparkContext, "mixing-jobs"
+    sc.setJobGroup(group, group)
+    try:
+        mix_sources(docs).count()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup(group)) < 66
