@@ -16,9 +16,9 @@ def _pick(values: list[str], c: Column) -> Column:
 
 
 def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses of events as lookups: capture (type of event), ip, status, error_code, malicious, country_code, reverse_dns, paths."""
+    """Addresses of events as lookups: capture (type of event), ip, status, error_code, malicious, country_code, reverse_dns, paths. The first event of an address speaks for it."""
     e = event_ips(spark, sf_dir).withColumn("k", F.col("user_id") % 9)
-    per = e.groupBy(F.col("event_type").alias("capture"), "ip").agg(F.first("k").alias("k"), F.array_sort(F.collect_set(F.concat(F.lit("f"), (F.col("event_id") % 5).cast("string")))).alias("paths"))
+    per = e.groupBy(F.col("event_type").alias("capture"), "ip").agg(F.min_by("k", F.struct("event_id", "k")).alias("k"), F.array_sort(F.collect_set(F.concat(F.lit("f"), (F.col("event_id") % 5).cast("string")))).alias("paths"))
     status = F.when(F.col("k") < 5, "hit").when(F.col("k") < 7, "miss").when(F.col("k") == 7, "unavailable").otherwise("error")
     return per.select(
         "capture", "ip", status.alias("status"), F.when(F.col("k") == 8, "bad_version").alias("error_code"), F.when(F.col("k") < 2, "Yes").when(F.col("k") == 2, "No").alias("malicious"), F.lit("C*").alias("country_code"), F.when(F.col("k") == 0, F.array(F.lit("a<b"), F.lit("c"))).otherwise(F.array().cast("array<string>")).alias("reverse_dns"), "paths"

@@ -52,6 +52,18 @@ def address(e):
     return f"{1 + e['user_id'] % 223}.{e['event_id'] % 7}.{e['user_id'] % 251}.{1 + e['event_id'] % 5}"
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_the_first_event_of_an_address_speaks_for_it_in_reports(spark, tmp_path, turned):
+    users = [7, 7 + 223 * 251]  # of one address, but unavailable and a hit
+    events = [(0, users[0], "view"), (35, users[1], "view"), (0, users[1], "error"), (35, users[0], "error"), (70, users[1], "click"), (70, users[0], "click")]
+    spark.createDataFrame(events[::-1] if turned else events, "event_id long, user_id long, event_type string").withColumn("ts", F.timestamp_seconds("event_id")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    told = {(r["capture"], r["section_no"]): (r["row_no"], r["line"]) for r in rows_of(spark, str(tmp_path), "ip_report_sections") if r["section_no"]}
+    hit = {1: "| 8.0.7.1 | Yes | C\\* | a&lt;b; c | f0 |", 6: "### 8.0.7.1: IPv4, hit, f0"}
+    gone = {3: "| 8.0.7.1 | unavailable | not recorded | f0 |", 6: "### 8.0.7.1: IPv4, unavailable, f0"}
+    # Of two events of one number, the smaller value speaks.
+    assert told == {(c, n): (1, line) for c, lines in (("view", gone), ("error", hit), ("click", hit)) for n, line in lines.items()}
+
+
 def test_children_of_all_users(spark, sf_dir):
     own = defaultdict(list)
     for e in sorted(events_of(spark, sf_dir), key=lambda e: (-ord(e["event_type"][0]), e["event_id"])):
